@@ -108,6 +108,15 @@ class Catalog:
             "cast(5 + s_suppkey % 3 as int) as page_limit",
             "cast((s_suppkey % 4) * 2 as int) as page_offset")
 
+    @cached_property
+    def doc_searches(self) -> DataFrame:
+        """Searches over documents: words of the benchmark passages as AND, phrase and negation."""
+        words = "filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '')"
+        return self.table("benchmark").selectExpr("item_id", f"{words} as w").selectExpr(
+            "item_id as qid",
+            """case item_id % 4 when 0 then concat(w[0], ' ', w[1]) when 1 then concat('"', w[0], ' ', w[1], ' ', w[2], '"')
+               when 2 then concat(w[0], ' -', w[1]) else concat(w[0], ' ', w[1], ' ', w[2]) end as text""")
+
     @cached_property
     def snapshots(self) -> DataFrame:
         """Four fetches of every page: volatile noise on each, real edits on some, one withdrawal."""
@@ -265,6 +274,10 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
  case when s_suppkey % 13 = 0 then [s_suppkey, s_suppkey + 1] end clays,
  cast(5 + s_suppkey % 3 as integer) page_limit, cast((s_suppkey % 4) * 2 as integer) page_offset
  from supplier join (select *, string_split(p_name, ' ') w from part) on s_suppkey = p_partkey"""),
+    "doc_searches": ("", """select item_id qid, case item_id % 4 when 0 then w[1] || ' ' || w[2]
+ when 1 then '"' || w[1] || ' ' || w[2] || ' ' || w[3] || '"' when 2 then w[1] || ' -' || w[2]
+ else w[1] || ' ' || w[2] || ' ' || w[3] end as text
+ from (select item_id, [x for x in regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') if x <> ''] w from benchmark)"""),
     "snapshots": ("", """select url || '#' || page_id url, page_id * 4 + n id, cast(page_id % 4 as integer) maker_id,
  1704067200 + n * 86400 + page_id fetched_s,
  case when page_id % 17 = 0 and n = 3 then 404 when page_id % 19 = 0 and n = 2 then 304

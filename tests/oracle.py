@@ -83,6 +83,7 @@ def main() -> None:
     sf = sys.argv[1]
     wanted = sys.argv[2:]
     spark = build(8)
+    spark.sparkContext.setLogLevel("OFF")
     con = duck(sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = []
@@ -92,7 +93,7 @@ def main() -> None:
         try:
             ok, note = compare(spark, con, sf, name, fn, oracles.get(name))
         except Exception as exc:  # noqa: BLE001 - the report names every failure
-            ok, note = False, f"{type(exc).__name__}: {str(exc)[:1200]}"
+            ok, note = False, f"{type(exc).__name__}: {str(exc)[:700]}"
         print("ok  " if ok else "FAIL", name, note, flush=True)
         if not ok:
             bad.append(name)
