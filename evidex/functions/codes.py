@@ -42,7 +42,7 @@ def name_code(name: Column) -> Column:
 
 def has_code_shape(slug: Column) -> Column:
     """Does a slug open with a known prefix and a number?"""
-    return F.lower(F.trim(F.lit("/"), slug)).rlike(rf"^({longest_first(LINE_PREFIXES)})-\d{{1,3}}(-|$)")
+    return F.lower(F.trim(slug, F.lit("/"))).rlike(rf"^({longest_first(LINE_PREFIXES)})-\d{{1,3}}(-|$)")
 
 
 def same_key(a: Column, b: Column) -> Column:

@@ -33,8 +33,8 @@ def basename(url: Column) -> Column:
 
 def slug_of(url: Column) -> Column:
     """One slug from a permalink, an API address (``?slug=``) or a bare slug; applying it twice changes nothing."""
-    path = F.regexp_replace(F.trim(F.lit("/"), url_path(url)), r"^product/", "")
-    return F.coalesce(F.trim(F.lit("/"), query_value(url, "slug")), F.trim(F.lit("/"), path))
+    path = F.regexp_replace(F.trim(url_path(url), F.lit("/")), r"^product/", "")
+    return F.coalesce(F.trim(query_value(url, "slug"), F.lit("/")), F.trim(path, F.lit("/")))
 
 
 def stem_of(filename: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.functions.text import gram_similarity, trigrams
+from evidex.functions.text import trigram_similarity, trigrams
 
 
 def gram_table(texts: DataFrame, text: str) -> DataFrame:
@@ -20,29 +20,22 @@ def gram_table(texts: DataFrame, text: str) -> DataFrame:
             .withColumn("grams", trigrams(F.col(text))).filter(F.size("grams") > 0))
 
 
-def _prefixes(side: DataFrame, text: str, frequency: DataFrame, threshold: float) -> DataFrame:
-    ranked = (side.select(text, F.explode("grams").alias("gram"), F.size("grams").alias("n"))
-              .join(frequency, "gram")
-              .groupBy(text, "n").agg(F.array_sort(F.collect_list(F.struct("seen", "gram"))).alias("ordered")))
-    length = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
-    return ranked.select(text, "n", F.explode(F.slice("ordered", F.lit(1), length)).alias("e")).select(
-        text, "n", F.col("e.gram").alias("gram"))
-
-
 def similar_texts(left: DataFrame, left_text: str, right: DataFrame, right_text: str, threshold: float) -> DataFrame:
     """(left text, right text, similarity) of every distinct pair strictly above ``threshold``."""
-    a = gram_table(left, left_text).withColumnsRenamed({left_text: "__a", "grams": "__ga"})
-    b = gram_table(right, right_text).withColumnsRenamed({right_text: "__b", "grams": "__gb"})
-    frequency = (b.select(F.explode("__gb").alias("gram"))
-                 .unionByName(a.select(F.explode("__ga").alias("gram")))
-                 .groupBy("gram").agg(F.count(F.lit(1)).alias("seen")))
-    pa = _prefixes(a.withColumnRenamed("__ga", "grams"), "__a", frequency, threshold)
-    pb = _prefixes(b.withColumnRenamed("__gb", "grams"), "__b", frequency, threshold)
-    na, nb = F.col("na"), F.col("nb")
-    candidates = (pa.withColumnRenamed("n", "na").join(pb.withColumnRenamed("n", "nb"), "gram")
-                  .filter((na >= nb * threshold) & (nb >= na * threshold))
+    both = gram_table(left, left_text).select(F.lit(0).alias("side"), F.col(left_text).alias("text"), "grams").unionByName(
+        gram_table(right, right_text).select(F.lit(1).alias("side"), F.col(right_text).alias("text"), "grams"))
+    grams = both.select("side", "text", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    frequency = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("seen"))
+    ordered = (grams.join(frequency, "gram").groupBy("side", "text", "n")
+               .agg(F.array_sort(F.collect_list(F.struct("seen", "gram"))).alias("ordered")))
+    length = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
+    prefix = ordered.select("side", "text", "n", F.explode(F.slice("ordered", F.lit(1), length)).alias("e")).select(
+        "side", "text", "n", F.col("e.gram").alias("gram"))
+    a = prefix.filter("side = 0").select("gram", F.col("text").alias("__a"), F.col("n").alias("na"))
+    b = prefix.filter("side = 1").select("gram", F.col("text").alias("__b"), F.col("n").alias("nb"))
+    candidates = (a.join(b, "gram")
+                  .filter((F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold))
                   .select("__a", "__b").distinct())
-    return (candidates.join(a, "__a").join(b, "__b")
-            .withColumn("similarity", gram_similarity(F.col("__ga"), F.col("__gb")))
+    return (candidates.withColumn("similarity", trigram_similarity(F.col("__a"), F.col("__b")))
             .filter(F.col("similarity") > threshold)
             .select(F.col("__a").alias(left_text), F.col("__b").alias(f"{right_text}_match"), "similarity"))

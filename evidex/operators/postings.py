@@ -50,59 +50,49 @@ def clauses(searches: DataFrame, qid: str = "qid", text: str = "text") -> DataFr
             .filter("term is not null"))
 
 
-def unit_hits(index: DataFrame, terms: DataFrame, doc_id: str) -> DataFrame:
-    """(qid, grp, unit, negated, doc): documents where the whole unit stands, terms next to one another."""
-    sized = terms.groupBy("qid", "grp", "unit").agg(F.count(F.lit(1)).alias("n_terms"))
-    found = index.join(terms.join(sized, ["qid", "grp", "unit"]), "term")
-    keys = ["qid", "grp", "unit", "negated", doc_id]
-    single = found.filter("n_terms = 1").select(*keys)
-    phrase = (found.filter("n_terms > 1")
-              .groupBy(*keys, "n_terms", (F.col("pos") - F.col("place")).alias("start"))
-              .agg(F.count_distinct("place").alias("have"))
-              .filter("have = n_terms").select(*keys))
-    return single.unionByName(phrase).distinct()
+#: Does a document's ordered occurrence list ``at`` hold unit ``u``, its terms at their offsets?
+_HOLDS = """exists(at, x -> x.term = u.terms[0].term and forall(u.terms, k -> k.place = u.terms[0].place
+    or exists(at, y -> y.term = k.term and y.pos = x.pos + k.place - u.terms[0].place)))"""
+
+_STATE = "struct<seen:array<struct<pos:int,weight:double>>,start:int,score:double>"
+_COVER_RANK = f"""aggregate(filter(at, x -> array_contains(words, x.term)),
+    cast(named_struct('seen', transform(words, w -> named_struct('pos', cast(null as int), 'weight', cast(null as double))),
+                      'start', -1, 'score', 0D) as {_STATE}),
+    (acc, x) -> aggregate(
+        array(transform(acc.seen, (v, i) -> if(words[i] = x.term, named_struct('pos', x.pos, 'weight', x.weight), v))),
+        acc,
+        (a, seen) -> aggregate(
+            array(if(exists(seen, v -> v.pos is null), null, array_min(transform(seen, v -> v.pos)))),
+            a,
+            (b, s) -> cast(if(s > b.start,
+                named_struct('seen', seen, 'start', s, 'score', b.score
+                    + least(1D, size(words) / (x.pos - s + 1))
+                    * size(words) / aggregate(seen, 0D, (t, v) -> t + 1D / v.weight)),
+                named_struct('seen', seen, 'start', b.start, 'score', b.score)) as {_STATE}))),
+    acc -> round(acc.score, 6))"""
 
 
 def matches(index: DataFrame, terms: DataFrame, doc_id: str) -> DataFrame:
-    """(qid, grp, doc) that satisfy an alternative: every required unit there, no excluded one."""
-    need = (terms.select("qid", "grp", "unit", "negated").distinct()
-            .groupBy("qid", "grp").agg(F.count_if(~F.col("negated")).alias("needed")))
-    hits = unit_hits(index, terms, doc_id)
-    tally = hits.groupBy("qid", "grp", doc_id).agg(
-        F.count_if(~F.col("negated")).alias("have"), F.bool_or("negated").alias("barred"))
-    return (tally.join(need, ["qid", "grp"])
-            .filter("needed > 0 and have = needed and not barred")
-            .select("qid", "grp", doc_id))
-
-
-def cover_rank(index: DataFrame, terms: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
-    """Cover density (Clarke, Cormack, Tudhope) of every match.
-
-    A cover is a shortest span holding all K required terms; it scores ``min(1, K / span)`` times the
-    harmonic mean of the field weights of the K positions that realise it. The positions of one
-    search in one document are scanned in order once, so the state is bounded by K and the list by
-    the document.
+    """(qid, grp, doc, cover_rank) of documents that satisfy an alternative of a search.
+
+    One join on term and one aggregate on (search, alternative, document): the occurrences of one
+    search's terms in one document form a list no longer than the document, and units, exclusions
+    and rank are read off that list.
+
+    The rank is cover density (Clarke, Cormack, Tudhope): a cover is a shortest span holding all K
+    required terms; it scores ``min(1, K / span)`` times the harmonic mean of the field weights of
+    the K positions that realise it.
     """
-    wanted = terms.filter("not negated").select("qid", "grp", "term").distinct()
-    k = (wanted.groupBy("qid", "grp").agg(F.array_sort(F.collect_set("term")).alias("words")))
-    occurrences = (index.join(wanted, "term").join(found, ["qid", "grp", doc_id])
-                   .groupBy("qid", "grp", doc_id)
-                   .agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias("at")))
-    state = "struct<seen:array<struct<pos:int,weight:double>>,start:int,score:double>"
-    score = f"""aggregate(at,
-        cast(named_struct('seen', transform(words, w -> named_struct('pos', cast(null as int), 'weight', cast(null as double))),
-                          'start', -1, 'score', 0D) as {state}),
-        (acc, x) -> aggregate(
-            array(transform(acc.seen, (v, i) -> if(words[i] = x.term, named_struct('pos', x.pos, 'weight', x.weight), v))),
-            acc,
-            (a, seen) -> aggregate(
-                array(if(exists(seen, v -> v.pos is null), null, array_min(transform(seen, v -> v.pos)))),
-                a,
-                (b, s) -> cast(if(s > b.start,
-                    named_struct('seen', seen, 'start', s, 'score', b.score
-                        + least(1D, size(words) / (x.pos - s + 1))
-                        * size(words) / aggregate(seen, 0D, (t, v) -> t + 1D / v.weight)),
-                    named_struct('seen', seen, 'start', b.start, 'score', b.score)) as {state}))),
-        acc -> round(acc.score, 6))"""
-    return (occurrences.join(k, ["qid", "grp"])
-            .select("qid", "grp", doc_id, F.expr(score).alias("cover_rank")))
+    units = terms.groupBy("qid", "grp", "unit", "negated").agg(
+        F.array_sort(F.collect_list(F.struct("place", "term"))).alias("terms"))
+    plan = units.groupBy("qid", "grp").agg(
+        F.collect_list(F.when(~F.col("negated"), F.struct("terms"))).alias("required"),
+        F.collect_list(F.when(F.col("negated"), F.struct("terms"))).alias("excluded"))
+    plan = plan.filter(F.size("required") > 0).withColumn(
+        "words", F.array_sort(F.array_distinct(F.flatten(F.transform("required", lambda u: u["terms"]["term"])))))
+    found = (index.join(terms.select("qid", "grp", "term").distinct(), "term")
+             .groupBy("qid", "grp", doc_id)
+             .agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias("at")))
+    return (found.join(plan, ["qid", "grp"])
+            .filter(F.expr(f"forall(required, u -> {_HOLDS}) and not exists(excluded, u -> {_HOLDS})"))
+            .select("qid", "grp", doc_id, F.expr(_COVER_RANK).alias("cover_rank")))

@@ -14,6 +14,7 @@ from evidex.operators import evidence as E
 from evidex.operators import filters as P
 from evidex.operators import postings as T
 from evidex.operators.fuzzy import similar_texts
+from evidex.session import stored
 
 #: Frozen output: order is part of the contract.
 HIT_COLUMNS = [
@@ -56,18 +57,20 @@ def collapse(searches: DataFrame) -> DataFrame:
 def _texted(t: Tables, asked: DataFrame, index: DataFrame) -> DataFrame:
     """Full-text hits and close spellings of searches that have text."""
     texted = asked.filter(F.trim("text") != "")
-    terms = T.clauses(texted)
-    found = T.matches(index, terms, "item_id")
-    ranked = T.cover_rank(index, terms, found, "item_id").select(
+    ranked = T.matches(index, T.clauses(texted), "item_id").select(
         "qid", "item_id", F.col("cover_rank").alias("ts_rank"), F.lit(True).alias("is_hit"))
-    for column, floor in (("name", V.NAME_SIMILARITY_FLOOR), ("code", V.CODE_SIMILARITY_FLOOR)):
-        close = similar_texts(texted, "text", t.items.select(column), column, floor).select(
-            "text", F.col(f"{column}_match").alias(column))
-        ranked = ranked.unionByName(
-            texted.select("qid", "text").join(close, "text").select("qid", column)
-            .join(t.items.select("item_id", column), column)
+    # Names and codes share one index over distinct spellings, however many items carry them.
+    floors = {"name": V.NAME_SIMILARITY_FLOOR, "code": V.CODE_SIMILARITY_FLOOR}
+    spelled = t.items.select("item_id", F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("spelling")) for kind in floors])).alias("s")).select("item_id", "s.*")
+    close = similar_texts(texted, "text", spelled, "spelling", min(floors.values()))
+    above = F.lit(False)
+    for kind, floor in floors.items():
+        above = above | ((F.col("kind") == kind) & (F.col("similarity") > floor))
+    near = (texted.select("qid", "text").join(close, "text").withColumnRenamed("spelling_match", "spelling")
+            .join(spelled, "spelling").filter(above)
             .select("qid", "item_id", F.lit(0.0).alias("ts_rank"), F.lit(False).alias("is_hit")))
-    return ranked
+    return ranked.unionByName(near)
 
 
 def _browse(t: Tables, asked: DataFrame) -> DataFrame:
@@ -166,8 +169,11 @@ def project_hit(page: DataFrame, t: Tables, keep: tuple[str, ...] = ()) -> DataF
 
 
 def ranked_search(t: Tables, searches: DataFrame, match_floor: float = V.MATCH_RANK_FLOOR) -> DataFrame:
-    """Pages of hits for every search, with (qid, position) in front of the hit columns."""
-    grouped = collapse(searches)
-    distinct = grouped.filter("qid = rep")
-    chosen = pages(scored(t, distinct, match_floor), grouped)
+    """Pages of hits for every search, with (qid, position) in front of the hit columns.
+
+    The chosen pages (at most the sum of the page limits) are stored before anything is looked up for
+    them: what follows reads evidence for those items only.
+    """
+    grouped = stored(collapse(searches), "searches")
+    chosen = stored(pages(scored(t, grouped.filter("qid = rep"), match_floor), grouped), "pages")
     return project_hit(chosen, t, keep=("qid", "position"))

@@ -64,9 +64,7 @@ def match_not(c: Catalog) -> DataFrame:
 @check("cover_rank", f"""with {Q.doc_index()}, {Q.term_ctes('doc_searches')}, {Q.match_ctes('dp', 'doc_id')}, {Q.cover_ctes('dp', 'doc_id')}
  select qid, cast(grp as integer) grp, doc_id, round(cover_rank, 5) cover_rank from cr""", "doc_searches")
 def cover_rank(c: Catalog) -> DataFrame:
-    index, terms = doc_postings(c), T.clauses(c.doc_searches)
-    found = T.matches(index, terms, "doc_id")
-    return T.cover_rank(index, terms, found, "doc_id").withColumn("cover_rank", F.round("cover_rank", 5))
+    return T.matches(doc_postings(c), T.clauses(c.doc_searches), "doc_id").withColumn("cover_rank", F.round("cover_rank", 5))
 
 
 @check("trigram_sim", f"select item_id, round({Q.similarity('a', 'b')}, 6) sim from (select item_id, {Q.grams('name')} a,"

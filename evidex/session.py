@@ -61,6 +61,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/evidex/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a (small) intermediate to the shared folder and read it back.
+
+    Cuts the lineage once, survives lost executors, and gives later joins the true size.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _literal(value: object) -> str:
     if value is None:
         return "NULL"
