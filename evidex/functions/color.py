@@ -1,8 +1,7 @@
 """Colour expressions: sRGB to CIE L*a*b* and CIEDE2000.
 
-Each formula is a list of named steps. A step is bound either to DataFrame columns (code-generated
-projections) or to the fields of structs inside an array (one expression per row, no join), so the
-formula itself is written once.
+Each formula is a list of named steps bound to columns: a chain of code-generated projections, in
+which no intermediate is computed twice.
 """
 
 from __future__ import annotations
@@ -123,31 +122,39 @@ def with_delta_e(df: DataFrame, first: Sequence[str], second: Sequence[str], out
     return _with_steps(df, "__d_", inputs, _DELTA_STEPS, {"de": out})
 
 
-def nearest_terms(l: Column, a: Column, b: Column, vocabulary: Sequence[tuple], limit: int) -> Column:  # noqa: E741
-    """Terms whose own radius contains the colour, nearest first, at most ``limit``.
+def reading_words(readings: DataFrame, key: str, colours: Sequence[tuple[str, str, str, int]], vocabulary: Sequence[tuple]) -> DataFrame:
+    """(key, hits, words): the terms whose own radius contains a measured colour.
 
-    The closed vocabulary is a literal array inside the expression, so naming a reading is a
-    per-row expression: no join, no shuffle. Equal distances keep vocabulary order.
+    ``colours`` lists L*, a*, b* columns and how many terms each may give, main colour first. Words
+    are each term followed by its family, first occurrence kept. The closed vocabulary is a literal
+    array, so every distance is a code-generated projection beside its reading; only hits are
+    shuffled, and a reading has at most one per term and colour. Equal distances keep vocabulary
+    order.
     """
-    rows = F.array(*[
-        F.struct(F.lit(i).alias("ord"), F.lit(t).alias("term"), F.lit(vl).alias("l2"), F.lit(va).alias("a2"),
-                 F.lit(vb).alias("b2"), F.lit(radius).alias("radius"), F.lit(family).cast("string").alias("family"))
-        for i, (t, vl, va, vb, radius, _, family) in enumerate(vocabulary, start=1)])
-    # Each step is one pass over the array, so no intermediate is computed twice.
-    out = F.transform(rows, lambda t: F.struct(
-        t["ord"].alias("ord"), t["term"].alias("term"), t["radius"].alias("radius"), t["family"].alias("family"),
-        l.alias("l1"), a.alias("a1"), b.alias("b1"), t["l2"].alias("l2"), t["a2"].alias("a2"), t["b2"].alias("b2")))
-    fields = ["ord", "term", "radius", "family", "l1", "a1", "b1", "l2", "a2", "b2"]
-    for name, step in _DELTA_STEPS:
-        def add(t: Column, name: str = name, step=step, known: tuple[str, ...] = tuple(fields)) -> Column:
-            return F.struct(*[t[f].alias(f) for f in known], step(lambda f: t[f]).alias(name))
-
-        out = F.transform(out, add)
-        fields.append(name)
-    hits = F.filter(out, lambda t: t["de"] <= t["radius"])
-    ranked = F.array_sort(F.transform(hits, lambda t: F.struct(
-        F.round(t["de"], 6).alias("distance"), t["ord"].alias("ord"), t["term"].alias("term"), t["family"].alias("family"))))
-    return F.slice(ranked, 1, limit)
+    terms = F.array(*[
+        F.struct(F.lit(i).alias("ord"), F.lit(t).alias("term"), F.lit(tl).alias("l2"), F.lit(ta).alias("a2"),
+                 F.lit(tb).alias("b2"), F.lit(radius).alias("radius"), F.lit(family).cast("string").alias("family"))
+        for i, (t, tl, ta, tb, radius, _, family) in enumerate(vocabulary, start=1)])
+    measured = F.array(*[
+        F.struct(F.lit(i).alias("nth"), F.col(cl).alias("l1"), F.col(ca).alias("a1"), F.col(cb).alias("b1"))
+        for i, (cl, ca, cb, _) in enumerate(colours)])
+    wide = (readings.select(key, F.explode(measured).alias("m")).select(key, "m.*").filter("l1 is not null")
+            .select("*", F.explode(terms).alias("t")).select(key, "nth", "l1", "a1", "b1", "t.*"))
+    near = with_delta_e(wide, ("l1", "a1", "b1"), ("l2", "a2", "b2"))
+    # The radius is tested inside the aggregate: as a filter, the optimizer would push it below every
+    # projection of the distance and repeat the whole formula in it. A miss is null, which is not collected.
+    hit = F.when(F.col("delta_e") <= F.col("radius"), F.struct(
+        "nth", F.round("delta_e", 6).alias("distance"), "ord", "term", "family"))
+    grouped = near.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("every"))
+    # Per colour the first `limit` of its own sorted hits.
+    own = [F.slice(F.filter("every", _is_nth(i)), 1, limit)
+           for i, (_, _, _, limit) in enumerate(colours)]
+    spoken = F.flatten(F.transform("hits", lambda t: F.filter(F.array(t["term"], t["family"]), lambda w: w.isNotNull())))
+    return grouped.select(key, F.concat(*own).alias("hits")).withColumn("words", F.array_distinct(spoken))
+
+
+def _is_nth(i: int) -> Callable[[Column], Column]:
+    return lambda h: h["nth"] == i
 
 
 def hex_of(r: Column, g: Column, b: Column) -> Column:

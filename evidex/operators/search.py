@@ -23,6 +23,8 @@ HIT_COLUMNS = [
     "hero_source_url", "hero_storage_path", "hero_hex", "coat_levels", "layering_count", "clay_bodies_shown",
     "tier", "rank", "maker_name", "maker_site",
 ]
+#: Into how many parts the items under one maker are cut when blank searches meet them.
+SALTS = 32
 FILTER_ARRAYS = ["makers", "lines", "surfaces", "opacities", "clays", "codes", "code_makers"]
 
 
@@ -76,13 +78,16 @@ def _texted(t: Tables, asked: DataFrame, index: DataFrame) -> DataFrame:
 def _browse(t: Tables, asked: DataFrame) -> DataFrame:
     """Blank searches list every item their filters allow; the maker is the join key.
 
-    Every item also stands under the key -1, where searches without a chosen maker look.
+    Every item also stands under the key -1, where searches without a chosen maker look. A key can
+    hold all items, so it is salted: the few blank searches are repeated, the items are spread.
     """
     open_makers = F.col("makers").isNull() | (F.size("makers") == 0)
     keys = F.when(open_makers, F.array(F.lit(-1))).otherwise(F.array_distinct("makers"))
-    reach = asked.filter(F.trim("text") == "").select("qid", F.explode(keys).alias("reach"))
-    filed = t.items.select("item_id", F.explode(F.array(F.col("maker_id"), F.lit(-1))).alias("reach"))
-    return reach.join(filed, "reach").select(
+    reach = (asked.filter(F.trim("text") == "").select("qid", F.explode(keys).alias("reach"))
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    filed = t.items.select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int").alias("salt"),
+                           F.explode(F.array(F.col("maker_id"), F.lit(-1))).alias("reach"))
+    return reach.join(filed, ["reach", "salt"]).select(
         "qid", "item_id", F.lit(1.0).alias("ts_rank"), F.lit(True).alias("is_hit"))
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from evidex import vocabulary as V
 from evidex.functions import color as C
-from evidex.functions.intervals import ordinals
 from evidex.operators import evidence as E
 from evidex.operators import similar
+from evidex.operators.ranges import overlapping
 from evidex.operators.ordered import time_slice
 from evidex.operators.snapshots import for_makers, head_as_of, newest
 from evidex.plans import sqltext as Q
@@ -82,33 +82,17 @@ def resolve_vocab(c: Catalog) -> DataFrame:
     return issues.groupBy("kind", "value", "maker_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@check("color_match", """with d as (select r.vec_id, t.term, t.ord, t.radius, sqrt(a1*a1 + b1*b1) c1s, sqrt(t.a*t.a + t.b*t.b) c2s, r.l1, r.a1, r.b1, t.l l2, t.a a2, t.b b2 from readings r cross join color_terms t),
- g as (select *, 0.5 * (1 - sqrt(pow((c1s + c2s)/2, 7) / (pow((c1s + c2s)/2, 7) + pow(25.0, 7)))) g from d),
- p as (select *, (1+g)*a1 ap1, (1+g)*a2 ap2 from g),
- q as (select *, sqrt(ap1*ap1 + b1*b1) c1, sqrt(ap2*ap2 + b2*b2) c2,
-   case when ap1 = 0 and b1 = 0 then 0 else (degrees(atan2(b1, ap1)) + 360) % 360 end h1, case when ap2 = 0 and b2 = 0 then 0 else (degrees(atan2(b2, ap2)) + 360) % 360 end h2 from p),
- h as (select *, case when c1*c2 = 0 then 0 when h2-h1 > 180 then h2-h1-360 when h2-h1 < -180 then h2-h1+360 else h2-h1 end dh,
-   case when c1*c2 = 0 then h1+h2 when abs(h1-h2) <= 180 then (h1+h2)/2 when h1+h2 < 360 then (h1+h2+360)/2 else (h1+h2-360)/2 end hm, (l1+l2)/2 lm, (c1+c2)/2 cm from q),
- k as (select *, 1 - 0.17*cos(radians(hm-30)) + 0.24*cos(radians(2*hm)) + 0.32*cos(radians(3*hm+6)) - 0.2*cos(radians(4*hm-63)) t,
-   (l2-l1)/(1 + 0.015*pow(lm-50,2)/sqrt(20+pow(lm-50,2))) xl, (c2-c1)/(1+0.045*cm) xc,
-   -2*sqrt(pow(cm,7)/(pow(cm,7)+pow(25.0,7)))*sin(radians(60*exp(-pow((hm-275)/25,2)))) rt from h),
- e as (select *, 2*sqrt(c1*c2)*sin(radians(dh/2))/(1+0.015*cm*t) xh from k),
- f as (select vec_id, term, ord, radius, sqrt(xl*xl+xc*xc+xh*xh+rt*xc*xh) de from e)
- select vec_id, term, round(de, 4) distance from f where de <= radius qualify row_number() over (partition by vec_id order by round(de, 6), ord) <= 3""",
-       "readings color_terms")
+@check("color_match", f"with {Q.NAMED} select vec_id, term, round(round(de, 6), 4) distance from nm where nth = 0", "readings color_terms")
 def color_match(c: Catalog) -> DataFrame:
-    found = C.nearest_terms(F.col("l1"), F.col("a1"), F.col("b1"), V.COLOR_TERMS, 3)
-    return c.readings.select("vec_id", F.explode(found).alias("t")).select("vec_id", "t.term", F.round("t.distance", 4).alias("distance"))
+    found = C.reading_words(c.readings, "vec_id", [("l1", "a1", "b1", 3)], V.COLOR_TERMS)
+    return found.select("vec_id", F.explode("hits").alias("t")).select("vec_id", "t.term", F.round("t.distance", 4).alias("distance"))
 
 
 @check("interval_join", """select w.qid, count(*) n_items, cast(sum(i.item_id) as bigint) ids from (select s_suppkey qid, cast(1 + s_suppkey % 30 as integer) lo, cast(4 + s_suppkey % 30 as integer) hi from supplier) w
  join items i on coalesce(i.lo, 1) <= w.hi and coalesce(i.hi, 32767) >= w.lo group by w.qid""", "items")
 def interval_join(c: Catalog) -> DataFrame:
-    """Ranges meet on shared ordinals of the closed scale; a pair is kept at its first shared one only."""
     want = c.table("supplier").selectExpr("s_suppkey as qid", "cast(1 + s_suppkey % 30 as int) as lo", "cast(4 + s_suppkey % 30 as int) as hi")
-    a = want.select("qid", F.col("lo").alias("wlo"), F.explode(ordinals(F.col("lo"), F.col("hi"))).alias("ordinal"))
-    b = c.items.select("item_id", F.coalesce("lo", F.lit(1)).alias("ilo"), F.explode(ordinals(F.col("lo"), F.col("hi"))).alias("ordinal"))
-    pairs = a.join(b, "ordinal").filter(F.col("ordinal") == F.greatest("wlo", "ilo"))
+    pairs = overlapping(want, c.items, "qid", "item_id")
     return pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n_items"), F.sum("item_id").alias("ids"))
 
 

@@ -114,3 +114,27 @@ SCORED = f"""sq as (select *, {grams('text')} qg from searches),
    case when blank or coalesce(ts_rank, -1) >= 0.02 then 'match' else 'near' end tier,
    round(case when blank then 1.0 else greatest(coalesce(ts_rank, 0), sim) end, 6) as rank
    from pr where blank or ts_rank is not null or nsim > 0.25 or csim > 0.30)"""
+
+
+def delta_e_ctes(source: str, keep: str) -> str:
+    """``de(keep..., de)`` of a relation with columns l1 a1 b1 l2 a2 b2, written independently of the library."""
+    return f"""d0 as (select *, sqrt(a1*a1 + b1*b1) c1s, sqrt(a2*a2 + b2*b2) c2s from {source}),
+ d1 as (select *, 0.5 * (1 - sqrt(pow((c1s + c2s)/2, 7) / (pow((c1s + c2s)/2, 7) + pow(25.0, 7)))) g from d0),
+ d2 as (select *, (1+g)*a1 ap1, (1+g)*a2 ap2 from d1),
+ d3 as (select *, sqrt(ap1*ap1 + b1*b1) c1, sqrt(ap2*ap2 + b2*b2) c2,
+   case when ap1 = 0 and b1 = 0 then 0 else (degrees(atan2(b1, ap1)) + 360) % 360 end h1, case when ap2 = 0 and b2 = 0 then 0 else (degrees(atan2(b2, ap2)) + 360) % 360 end h2 from d2),
+ d4 as (select *, case when c1*c2 = 0 then 0 when h2-h1 > 180 then h2-h1-360 when h2-h1 < -180 then h2-h1+360 else h2-h1 end dh,
+   case when c1*c2 = 0 then h1+h2 when abs(h1-h2) <= 180 then (h1+h2)/2 when h1+h2 < 360 then (h1+h2+360)/2 else (h1+h2-360)/2 end hm, (l1+l2)/2 lm, (c1+c2)/2 cm from d3),
+ d5 as (select *, 1 - 0.17*cos(radians(hm-30)) + 0.24*cos(radians(2*hm)) + 0.32*cos(radians(3*hm+6)) - 0.2*cos(radians(4*hm-63)) t,
+   (l2-l1)/(1 + 0.015*pow(lm-50,2)/sqrt(20+pow(lm-50,2))) xl, (c2-c1)/(1+0.045*cm) xc,
+   -2*sqrt(pow(cm,7)/(pow(cm,7)+pow(25.0,7)))*sin(radians(60*exp(-pow((hm-275)/25,2)))) rt from d4),
+ d6 as (select *, 2*sqrt(c1*c2)*sin(radians(dh/2))/(1+0.015*cm*t) xh from d5),
+ de as (select {keep}, sqrt(xl*xl+xc*xc+xh*xh+rt*xc*xh) de from d6)"""
+
+
+#: ``nm(vec_id, nth, term, family, place)``: three terms of the first colour and one of the second
+NAMED = ("""lr as (select vec_id, 0 nth, 3 lim, l1, a1, b1 from readings union all select vec_id, 1, 1, l2, a2, b2 from readings),
+ lt as (select lr.*, t.term, t.family, t.ord, t.radius, t.l l2, t.a a2, t.b b2 from lr cross join color_terms t),
+ """ + delta_e_ctes("lt", "vec_id, nth, lim, term, family, ord, radius") + """,
+ nm as (select *, row_number() over (partition by vec_id, nth order by round(de, 6), ord) place from de where de <= radius
+   qualify row_number() over (partition by vec_id, nth order by round(de, 6), ord) <= lim)""")
