@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module per area of the operator inventory.
-AREAS = ("joins", "aggregates")
+AREAS = ("windows", "paging", "sets")
 
 
 def load_checks():
