@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidex.functions.seal import seal
+
 Get = Callable[[str], Column]
 Step = tuple[str, Callable[[Get], Column]]
 
@@ -106,7 +108,7 @@ def _with_steps(df: DataFrame, prefix: str, inputs: dict[str, Column], steps: Se
     out = df.withColumns({prefix + k: v.cast("double") for k, v in inputs.items()})
     for name, step in steps:
         out = out.withColumn(prefix + name, step(get))
-    return out.select(*df_cols, *[get(name).alias(alias) for name, alias in outputs.items()])
+    return seal(out.select(*df_cols, *[get(name).alias(alias) for name, alias in outputs.items()]), *outputs.values())
 
 
 def with_lab(df: DataFrame, r: str, g: str, b: str, out: Sequence[str] = ("lab_l", "lab_a", "lab_b")) -> DataFrame:
@@ -140,12 +142,9 @@ def reading_words(readings: DataFrame, key: str, colours: Sequence[tuple[str, st
         for i, (cl, ca, cb, _) in enumerate(colours)])
     wide = (readings.select(key, F.explode(measured).alias("m")).select(key, "m.*").filter("l1 is not null")
             .select("*", F.explode(terms).alias("t")).select(key, "nth", "l1", "a1", "b1", "t.*"))
-    near = with_delta_e(wide, ("l1", "a1", "b1"), ("l2", "a2", "b2"))
-    # The radius is tested inside the aggregate: as a filter, the optimizer would push it below every
-    # projection of the distance and repeat the whole formula in it. A miss is null, which is not collected.
-    hit = F.when(F.col("delta_e") <= F.col("radius"), F.struct(
-        "nth", F.round("delta_e", 6).alias("distance"), "ord", "term", "family"))
-    grouped = near.groupBy(key).agg(F.array_sort(F.collect_list(hit)).alias("every"))
+    hits = with_delta_e(wide, ("l1", "a1", "b1"), ("l2", "a2", "b2")).filter("delta_e <= radius")
+    grouped = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+        "nth", F.round("delta_e", 6).alias("distance"), "ord", "term", "family"))).alias("every"))
     # Per colour the first `limit` of its own sorted hits.
     own = [F.slice(F.filter("every", _is_nth(i)), 1, limit)
            for i, (_, _, _, limit) in enumerate(colours)]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions.codes import LINE_PREFIXES, longest_first, zero_kept, zero_stripped
+from evidex.functions.seal import seal
 from evidex.functions.urls import stem_of
 from evidex.vocabulary import CLAY_NUMBERS
 
@@ -60,10 +61,12 @@ def _codes(stem: Column, pattern: str, spell) -> Column:
 
 
 def _blank_first(text: Column, needle: Column) -> Column:
-    """``text`` with the first ``needle`` blanked out; unchanged when there is none."""
-    at = F.instr(text, needle)
-    return F.when(needle.isNotNull() & (at > 0), F.concat(
-        F.substring(text, F.lit(1), at - 1), F.lit(" "), F.substring(text, at + F.length(needle), F.length(text)))).otherwise(text)
+    """``text`` with the first ``needle`` blanked out; a null needle matches nothing.
+
+    ``text`` is written once, so blanking several needles in a row stays linear.
+    """
+    literal = F.coalesce(F.concat(F.lit(r"\Q"), needle, F.lit(r"\E")), F.lit("(?!)"))
+    return F.array_join(F.split(text, literal, 2), " ")
 
 
 def _evidence(rules: dict[str, Column]) -> Column:
@@ -72,6 +75,11 @@ def _evidence(rules: dict[str, Column]) -> Column:
     return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
 
 
+def _facts(df: DataFrame, given: list[str]) -> DataFrame:
+    out = df.drop(*[c for c in df.columns if c.startswith("__")])
+    return seal(out, *[c for c in out.columns if c not in given])
+
+
 def source_b_facts(images: DataFrame, filename: str = "filename", product_code: str = "product_code", alt: str = "alt") -> DataFrame:
     """Add role, subject, layered_over, combination, cone, coats, form, confidence, unmatched, evidence."""
     df = images.withColumn("__stem", stem_of(F.col(filename)))
@@ -134,7 +142,7 @@ def source_b_facts(images: DataFrame, filename: str = "filename", product_code:
             "cone_from_alt": F.when(F.col("__cone_text").isNull(), F.col("__alt_cone")), "coats_unsplit": F.col("__coat_text"),
             "form": F.col("__form_word"), "line_image": F.col("__line_word")}),
     })
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+    return _facts(df, images.columns)
 
 
 def source_a_facts(images: DataFrame, filename: str = "filename", product_code: str = "product_code", product_name: str = "product_name") -> DataFrame:
@@ -200,4 +208,4 @@ def source_a_facts(images: DataFrame, filename: str = "filename", product_code:
             "glaze_code": F.when(n > 0, F.array_join("__codes", ",")), "layering": F.concat("__top", F.lit(" over "), "layered_over"),
             "cone": F.col("__cone_text"), "clay_body": clay_text, "coats_composite": F.col("__comp"), "line_chart": F.col("__chart"),
             "tile_size": F.col("tile_size"), "form": F.col("form")}),
-    }).drop(*[c for c in df.columns if c.startswith("__")])
+    }).transform(_facts, images.columns)

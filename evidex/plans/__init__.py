@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module per area of the operator inventory.
-AREAS = ("windows", "paging", "sets")
+AREAS = ("filters", "joins", "aggregates", "windows", "paging", "sets", "search", "extraction")
 
 
 def load_checks():

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions.codes import sku_code
+from evidex.functions.seal import seal
 from evidex.functions.text import clean_text
 from evidex.functions.urls import basename, slug_of
 from evidex.session import literal_table
@@ -55,7 +56,7 @@ def parse_products(payloads: DataFrame, body: str = "body") -> DataFrame:
     is_list = F.ltrim(F.col(body)).startswith("[")
     whole = F.try_parse_json(F.col(body)).isNotNull()
     product = F.when(whole & is_list, F.try_element_at(listed, F.lit(1))).when(whole, single)
-    return payloads.withColumn("product", product)
+    return seal(payloads.withColumn("product", product), "product")
 
 
 def dead_letter_reason(product: Column) -> Column:
