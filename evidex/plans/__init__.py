@@ -5,7 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module per area of the operator inventory.
-AREAS = ("filters", "joins", "aggregates", "windows", "paging", "sets", "search", "extraction")
+AREAS = ("filters", "joins", "aggregates", "windows", "paging", "sets", "scalars", "search", "extraction", "merging", "folds",
+         "quality")
 
 
 def load_checks():
