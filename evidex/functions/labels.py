@@ -16,7 +16,7 @@ def range_label(lo: Column, hi: Column) -> Column:
 
 def price_label(price: Column) -> Column:
     """``From $6.95``; null stays null."""
-    return F.concat(F.lit("From $"), F.format_string("%.2f", price.cast("decimal(18,2)")))
+    return F.concat(F.lit("From $"), price.cast("decimal(18,2)").cast("string"))
 
 
 def line_label(code: Column, name: Column) -> Column:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 #: One module per area of the operator inventory.
 AREAS = ("filters", "joins", "aggregates", "windows", "paging", "sets", "scalars", "search", "extraction", "merging", "folds",
-         "quality")
+         "quality", "streams")
 
 
 def load_checks():

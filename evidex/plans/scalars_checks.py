@@ -16,7 +16,7 @@ from evidex.plans.views import Catalog
 from evidex.plans.windows_checks import NOISE
 
 
-@check("clean_text", """select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))) digest from pages""")
+@check("clean_text", """select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'))) digest from pages""")
 def clean_text_check(c: Catalog) -> DataFrame:
     return c.table("pages").select("page_id", F.sha2(clean_text(F.col("html")), 256).alias("digest"))
 
