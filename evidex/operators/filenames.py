@@ -28,8 +28,8 @@ B_LINE_WORDS = ["lineup"]
 B_ALT_WORDS = ["oxidation", "reduction", "soda", "salt", "wood", "clay", "body", "white", "brown", "dark", "speckled", "red"]
 
 # --- fixed values: patterns and word lists of the first source ----------------------------------
-A_CODE = rf"(?<![a-z0-9])({longest_first(LINE_PREFIXES)})[-_ ]?(\d{{1,3}})(?![0-9a-z])"
-A_CONE = r"(?<![a-z0-9])cone[-_ ]?(0?\d{1,2})(?![0-9])"
+A_CODE = rf"(?<![a-z0-9])({longest_first(LINE_PREFIXES)})[-_ ]?(\d{{1,3}})(?![0-9])"
+A_CONE = r"(?<![a-z0-9])cone[-_ ]?(0\d|\d{1,2})(?![0-9])"
 A_CLAY = r"(?<![a-z0-9])(\d{1,2})[-_ ]?m(?![a-z0-9])"
 A_COMPOSITE = r"application[-_ ]?tiles?"
 A_CHART = r"colou?r[-_ ]?chart"

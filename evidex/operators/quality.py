@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidex.session import literal_table
+
 
 def below_floor(items: DataFrame, floors: DataFrame, key: str) -> DataFrame:
     """Sources that produced something but less than their floor; a source with nothing yet is not judged."""
@@ -14,38 +16,36 @@ def below_floor(items: DataFrame, floors: DataFrame, key: str) -> DataFrame:
 
 
 def verdicts(measured: DataFrame, limits: list[tuple[str, str, str, float]]) -> DataFrame:
-    """(name, severity, observed, bound, ok) from a one-row frame of named measurements.
+    """(name, severity, observed, bound, ok) from (name, observed) measurements.
 
     ``limits`` rows are (measurement, severity, op, limit) with op one of ``>=``, ``<=``, ``report``.
     """
-    def one(name: str, severity: str, op: str, limit: float) -> Column:
-        seen = F.col(name).cast("double")
-        ok = {"report": F.lit(True), ">=": seen >= limit, "<=": seen <= limit}[op]
-        return F.struct(F.lit(name).alias("name"), F.lit(severity).alias("severity"), seen.alias("observed"),
-                        F.lit(float(limit)).alias("bound"), ok.alias("ok"))
-
-    return measured.select(F.inline(F.array(*[one(*limit) for limit in limits])))
+    rules = F.broadcast(literal_table(measured.sparkSession, "name string, severity string, op string, bound double", limits))
+    ok = (F.when(F.col("op") == "report", True).when(F.col("op") == ">=", F.col("observed") >= F.col("bound"))
+          .otherwise(F.col("observed") <= F.col("bound")))
+    return measured.join(rules, "name").select("name", "severity", "observed", "bound", ok.alias("ok"))
 
 
 def measure(items: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Every corpus measurement: one aggregate per table, one row in all."""
+    """Every corpus measurement as (name, observed): one aggregate per table."""
+    def long(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+        row = df.agg(*[agg.alias(name) for name, agg in metrics.items()])
+        return row.select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("name"), F.col(name).cast("double").alias("observed")) for name in metrics])))
+
     confident_empty = ((F.col("role").isin("layered", "other")) & F.col("coat").isNull() & F.col("clay").isNull()
                        & F.col("layered_over").isNull())
-    shown = items.join(evidence.select("item_id"), "item_id", "left_semi")
-    a = items.agg(
-        F.count(F.lit(1)).alias("items"), F.count_if(F.size("terms") == 0).alias("items_without_terms"),
-        F.count_if(F.col("lo").isNull()).alias("items_without_range"),
-        (F.count_if(F.size("terms") > 0) / F.count(F.lit(1))).alias("share_with_terms"))
-    b = evidence.agg(
-        F.count(F.lit(1)).alias("evidence"), F.count_if(F.contains("source_url", F.lit("image-manager"))).alias("leaked_icons"),
-        F.count_if(confident_empty).alias("confident_but_empty"), F.count("layered_over").alias("links_resolved"),
-        F.count("clay").alias("with_clay"), F.count_if((F.col("role") == "coats_composite") & F.col("coat").isNull()).alias("unsplit_composites"),
-        F.count_distinct("hex").alias("distinct_assets"))
-    c = shown.agg(F.count(F.lit(1)).alias("items_with_evidence"))
-    # Three one-row frames side by side.
-    one = F.lit(1).alias("__one")
-    return (a.select("*", one).join(b.select("*", one), "__one").join(c.select("*", one), "__one").drop("__one")
-            .withColumn("items_without_evidence", F.col("items") - F.col("items_with_evidence")))
+    bare = items.join(evidence.select("item_id"), "item_id", "left_anti")
+    return (
+        long(items, {
+            "items": F.count(F.lit(1)), "items_without_range": F.count_if(F.col("lo").isNull()),
+            "share_with_terms": F.count_if(F.size("terms") > 0) / F.count(F.lit(1))})
+        .unionByName(long(evidence, {
+            "leaked_icons": F.count_if(F.contains("source_url", F.lit("image-manager"))),
+            "confident_but_empty": F.count_if(confident_empty), "links_resolved": F.count("layered_over"), "with_clay": F.count("clay"),
+            "unsplit_composites": F.count_if((F.col("role") == "coats_composite") & F.col("coat").isNull()),
+            "distinct_assets": F.count_distinct("hex")}))
+        .unionByName(long(bare, {"items_without_evidence": F.count(F.lit(1))})))
 
 
 def schema_contract(df: DataFrame, expected: T.StructType) -> list[str]:

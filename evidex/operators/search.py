@@ -99,7 +99,7 @@ def _permits(t: Tables, searches: DataFrame) -> tuple[DataFrame, DataFrame]:
     clay = (searches.filter(by_clay).select("qid", F.explode("clays").alias("clay"))
             .join(shown, "clay").select("qid", "item_id", F.lit(1).alias("bit")))
     keyed = t.items.join(t.makers, "maker_id").select("item_id", "maker_key", fold(F.col("code")).alias("code_key"))
-    refs = P.paired_refs(searches.filter(by_ref), keep=["qid"])
+    refs = P.paired_refs(searches.filter(by_ref), makers="code_makers", keep=["qid"])
     ref = refs.join(keyed, ["maker_key", "code_key"]).select("qid", "item_id", F.lit(2).alias("bit"))
     have = clay.unionByName(ref).groupBy("qid", "item_id").agg(F.bit_or("bit").alias("have"))
     need = searches.select("qid", (F.when(by_clay, 1).otherwise(0) + F.when(by_ref, 2).otherwise(0)).alias("need"))

@@ -82,10 +82,10 @@ def resolve_vocab(c: Catalog) -> DataFrame:
     return issues.groupBy("kind", "value", "maker_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@check("color_match", f"with {Q.NAMED} select vec_id, term, round(round(de, 6), 4) distance from nm where nth = 0", "readings color_terms")
+@check("color_match", f"with {Q.NAMED} select vec_id, term, round(de, 6) distance from nm where nth = 0", "readings color_terms")
 def color_match(c: Catalog) -> DataFrame:
     found = C.reading_words(c.readings, "vec_id", [("l1", "a1", "b1", 3)], V.COLOR_TERMS)
-    return found.select("vec_id", F.explode("hits").alias("t")).select("vec_id", "t.term", F.round("t.distance", 4).alias("distance"))
+    return found.select("vec_id", F.explode("hits").alias("t")).select("vec_id", "t.term", "t.distance")
 
 
 @check("interval_join", """select w.qid, count(*) n_items, cast(sum(i.item_id) as bigint) ids from (select s_suppkey qid, cast(1 + s_suppkey % 30 as integer) lo, cast(4 + s_suppkey % 30 as integer) hi from supplier) w

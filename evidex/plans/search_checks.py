@@ -62,9 +62,9 @@ def match_not(c: Catalog) -> DataFrame:
 
 
 @check("cover_rank", f"""with {Q.doc_index()}, {Q.term_ctes('doc_searches')}, {Q.match_ctes('dp', 'doc_id')}, {Q.cover_ctes('dp', 'doc_id')}
- select qid, cast(grp as integer) grp, doc_id, round(cover_rank, 5) cover_rank from cr""", "doc_searches")
+ select qid, cast(grp as integer) grp, doc_id, cover_rank from cr""", "doc_searches")
 def cover_rank(c: Catalog) -> DataFrame:
-    return T.matches(doc_postings(c), T.clauses(c.doc_searches), "doc_id").withColumn("cover_rank", F.round("cover_rank", 5))
+    return T.matches(doc_postings(c), T.clauses(c.doc_searches), "doc_id")
 
 
 @check("trigram_sim", f"select item_id, round({Q.similarity('a', 'b')}, 6) sim from (select item_id, {Q.grams('name')} a,"
@@ -85,11 +85,11 @@ _SEARCH_CTES = (f"{Q.item_index()}, {Q.term_ctes('searches')}, {Q.match_ctes('ip
                 f"{Q.cover_ctes('ip', 'item_id')}, {Q.SCORED}")
 
 
-@check("tiering", f"with {_SEARCH_CTES} select qid, tier, count(*) n, round(max(rank), 5) best, round(min(rank), 5) worst,"
+@check("tiering", f"with {_SEARCH_CTES} select qid, tier, count(*) n, max(rank) best, min(rank) worst,"
        " cast(sum(item_id) as bigint) ids from sc group by qid, tier", "searches items evidence")
 def tiering(c: Catalog) -> DataFrame:
     return S.scored(tables(c), c.searches).groupBy("qid", "tier").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.max("rank"), 5).alias("best"), F.round(F.min("rank"), 5).alias("worst"),
+        F.count(F.lit(1)).alias("n"), F.max("rank").alias("best"), F.min("rank").alias("worst"),
         F.sum("item_id").alias("ids"))
 
 

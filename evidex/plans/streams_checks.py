@@ -129,5 +129,5 @@ def stream_link(c: Catalog) -> DataFrame:
 
     B.link_stream(stream, items_now, f"{root}/resolved", f"{root}/pending", f"{root}/checkpoint").awaitTermination()
     late = B.relink(c.spark, f"{root}/pending", evidence.schema, c.items).filter("linked_item is not null")
-    out = c.spark.read.schema(late.schema).parquet(f"{root}/resolved").unionByName(late)
+    out = c.spark.read.schema(late.schema).parquet(f"{root}/resolved").drop("batch_id").unionByName(late)
     return out.groupBy("item_id", "base_code", "linked_item").agg(F.count(F.lit(1)).alias("n"))
