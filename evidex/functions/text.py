@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Letters and digits of any language make a token.
-TOKEN_BREAK = r"[^\p{L}\p{N}]+"
+TOKEN = r"[\p{L}\p{N}]+"
 
 # --- fixed values: named character references this library decodes ------------------------------
 NAMED_ENTITIES = {
@@ -22,7 +22,7 @@ _ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 def tokens(col: Column) -> Column:
     """Lower-cased tokens in reading order."""
-    return F.filter(F.split(F.lower(col), TOKEN_BREAK), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(col), F.lit(TOKEN), 0)
 
 
 def _decoded(name: Column) -> Column:
@@ -81,13 +81,10 @@ def array_text(col: Column) -> Column:
     return F.array_join(col, " ")
 
 
-# --- fixed values: suffix rules of Porter (1980), step 1a/1b, as this library applies them -------
-STEM_RULES = [(r"sses$", "ss"), (r"ies$", "i"), (r"([^s])s$", "$1")]
-
-
 def light_stem(token: Column) -> Column:
-    """Plural folding; the first matching rule applies. Words of up to three letters stay."""
-    out = token
-    for pattern, replacement in reversed(STEM_RULES):
-        out = F.when(token.rlike(pattern), F.regexp_replace(token, pattern, replacement)).otherwise(out)
-    return F.when(F.length(token) > 3, out).otherwise(token)
+    """Plural folding: the suffix rules of Porter (1980), step 1a. Words of up to three letters stay."""
+    shorter = lambda n: F.substring(token, F.lit(1), F.length(token) - n)
+    return (F.when(F.length(token) <= 3, token)
+            .when(F.endswith(token, F.lit("sses")) | F.endswith(token, F.lit("ies")), shorter(2))
+            .when(F.endswith(token, F.lit("s")) & ~F.endswith(token, F.lit("ss")), shorter(1))
+            .otherwise(token))

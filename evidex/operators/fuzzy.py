@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions.text import trigram_similarity, trigrams
+from evidex.session import spread
 
 
 def gram_table(texts: DataFrame, text: str) -> DataFrame:
@@ -36,6 +37,6 @@ def similar_texts(left: DataFrame, left_text: str, right: DataFrame, right_text:
     candidates = (a.join(b, "gram")
                   .filter((F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold))
                   .select("__a", "__b").distinct())
-    return (candidates.withColumn("similarity", trigram_similarity(F.col("__a"), F.col("__b")))
+    return (spread(candidates, "__a", "__b").withColumn("similarity", trigram_similarity(F.col("__a"), F.col("__b")))
             .filter(F.col("similarity") > threshold)
             .select(F.col("__a").alias(left_text), F.col("__b").alias(f"{right_text}_match"), "similarity"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.functions.text import light_stem, tokens
+from evidex.session import spread
 
 # --- fixed values: English stop words left out of the index -------------------------------------
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it",
@@ -27,14 +28,22 @@ def terms_of(col: Column) -> Column:
 
 
 def postings(docs: DataFrame, doc_id: str, fields: Sequence[tuple[Column, float]]) -> DataFrame:
-    """(doc, pos, term, weight): fields follow one another in one position space."""
-    def weigh(col: Column, weight: float) -> Column:
-        return F.transform(terms_of(col), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
+    """(doc, pos, term, weight): fields follow one another in one position space.
 
-    weighted = [weigh(col, weight) for col, weight in fields]
-    return (docs.select(F.col(doc_id), F.posexplode(F.concat(*weighted)).alias("pos", "entry"))
-            .filter("entry.term is not null")
-            .select(doc_id, "pos", "entry.term", "entry.weight"))
+    Tokens are exploded first and stemmed as plain columns, inside generated code.
+    """
+    named = [f"__f{i}" for i in range(len(fields))]
+    split = docs.select(F.col(doc_id), *[F.coalesce(tokens(col), F.array().cast("array<string>")).alias(n) for n, (col, _) in zip(named, fields, strict=True)])
+    ends, total = [], F.lit(0)
+    for n in named:
+        total = total + F.size(n)
+        ends.append(total)
+    placed = split.select(doc_id, *[e.alias(f"__e{i}") for i, e in enumerate(ends)], F.posexplode(F.concat(*named)).alias("pos", "token"))
+    weight = F.lit(fields[-1][1])
+    for i in reversed(range(len(fields) - 1)):
+        weight = F.when(F.col("pos") < F.col(f"__e{i}"), fields[i][1]).otherwise(weight)
+    return placed.filter(~F.col("token").isin(STOP_WORDS)).select(
+        doc_id, "pos", light_stem(F.col("token")).alias("term"), weight.alias("weight"))
 
 
 def clauses(searches: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
@@ -75,24 +84,52 @@ _COVER_RANK = f"""aggregate(filter(at, x -> array_contains(words, x.term)),
 def matches(index: DataFrame, terms: DataFrame, doc_id: str) -> DataFrame:
     """(qid, grp, doc, cover_rank) of documents that satisfy an alternative of a search.
 
-    One join on term and one aggregate on (search, alternative, document): the occurrences of one
-    search's terms in one document form a list no longer than the document, and units, exclusions
-    and rank are read off that list.
-
     The rank is cover density (Clarke, Cormack, Tudhope): a cover is a shortest span holding all K
     required terms; it scores ``min(1, K / span)`` times the harmonic mean of the field weights of
     the K positions that realise it.
+
+    First pass: one join on term and one hash aggregate that ORs a bit per distinct term. It settles
+    every alternative whose units are single words, drops documents that lack a required word, and
+    ranks one-word alternatives (each occurrence is a cover). Second pass, for the documents left:
+    their occurrences form a list no longer than the document, and phrases and covers are read off it.
     """
     units = terms.groupBy("qid", "grp", "unit", "negated").agg(
         F.array_sort(F.collect_list(F.struct("place", "term"))).alias("terms"))
     plan = units.groupBy("qid", "grp").agg(
         F.collect_list(F.when(~F.col("negated"), F.struct("terms"))).alias("required"),
         F.collect_list(F.when(F.col("negated"), F.struct("terms"))).alias("excluded"))
-    plan = plan.filter(F.size("required") > 0).withColumn(
-        "words", F.array_sort(F.array_distinct(F.flatten(F.transform("required", lambda u: u["terms"]["term"])))))
-    found = (index.join(terms.select("qid", "grp", "term").distinct(), "term")
-             .groupBy("qid", "grp", doc_id)
-             .agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias("at")))
-    return (found.join(plan, ["qid", "grp"])
+    flat = lambda units: F.array_distinct(F.flatten(F.transform(units, lambda u: u["terms"]["term"])))
+    plan = (plan.filter(F.size("required") > 0)
+            .withColumn("words", F.array_sort(flat("required")))
+            .withColumn("barred", flat(F.filter("excluded", lambda u: F.size(u["terms"]) == 1)))
+            .withColumn("vocabulary", F.array_union("words", "barred")))
+    bits = F.size("vocabulary")
+    # One bit per word; alternatives of more than 62 words are settled by the second pass alone.
+    plan = plan.withColumn("fits", bits <= 62).withColumn("easy", F.col("fits") & (F.size("words") == 1) & ~F.arrays_overlap("words", "barred")
+                           & ~F.exists(F.concat("required", "excluded"), lambda u: F.size(u["terms"]) > 1))
+    asked = plan.select("qid", "grp", "fits", F.size("words").alias("n_words"), F.posexplode("vocabulary").alias("bit", "term")).select(
+        "qid", "grp", "term", F.when(F.col("fits"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0)).cast("bigint").alias("bit"),
+        (F.col("bit") < F.col("n_words")).alias("wanted"))
+    # Postings are placed by document once. With a batch of searches small enough for the planner to
+    # broadcast, nothing below moves a posting again; a larger batch is joined by shuffling on term.
+    index = spread(index, doc_id)
+    # A word counts once per document here, so its repeats are summed before searches multiply them.
+    per_doc = index.groupBy(doc_id, "term").agg(F.sum("weight").alias("weight"))
+    tally = (per_doc.join(asked, "term").groupBy("qid", "grp", doc_id)
+             .agg(F.bit_or("bit").alias("seen"), F.sum(F.when(F.col("wanted"), F.col("weight"))).alias("weight")))
+    need = plan.select("qid", "grp", "easy", "fits", F.expr("shiftleft(1L, size(words)) - 1").alias("need"),
+                       F.expr("shiftleft(1L, size(vocabulary)) - shiftleft(1L, size(words))").alias("bar"))
+    enough = F.col("seen").bitwiseAND(F.col("need")) == F.col("need")
+    clean = F.col("seen").bitwiseAND(F.col("bar")) == 0
+    passed = tally.join(need, ["qid", "grp"]).filter(~F.col("fits") | (enough & clean))
+    simple = passed.filter("easy").select("qid", "grp", doc_id, F.round("weight", 6).alias("cover_rank"))
+
+    words = plan.filter("not easy").select("qid", "grp", F.explode(F.array_union("words", flat("excluded"))).alias("term"))
+    listed = (index.join(words, "term")
+              .join(passed.filter("not easy").select("qid", "grp", doc_id), ["qid", "grp", doc_id], "left_semi")
+              .groupBy("qid", "grp", doc_id)
+              .agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias("at")))
+    full = (listed.join(plan.filter("not easy").select("qid", "grp", "required", "excluded", "words"), ["qid", "grp"])
             .filter(F.expr(f"forall(required, u -> {_HOLDS}) and not exists(excluded, u -> {_HOLDS})"))
             .select("qid", "grp", doc_id, F.expr(_COVER_RANK).alias("cover_rank")))
+    return simple.unionByName(full)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidex import vocabulary as V
 from evidex.functions.codes import fold
-from evidex.functions.text import array_text, gram_similarity, trigrams
+from evidex.functions.text import array_text, trigram_similarity
 from evidex.operators import evidence as E
 from evidex.operators import filters as P
 from evidex.operators import postings as T
@@ -60,7 +60,7 @@ def _texted(t: Tables, asked: DataFrame, index: DataFrame) -> DataFrame:
     """Full-text hits and close spellings of searches that have text."""
     texted = asked.filter(F.trim("text") != "")
     ranked = T.matches(index, T.clauses(texted), "item_id").select(
-        "qid", "item_id", F.col("cover_rank").alias("ts_rank"), F.lit(True).alias("is_hit"))
+        "qid", "item_id", F.col("cover_rank").alias("ts_rank"), F.lit(True).alias("is_hit"), F.lit(None).cast("double").alias("near"))
     # Names and codes share one index over distinct spellings, however many items carry them.
     floors = {"name": V.NAME_SIMILARITY_FLOOR, "code": V.CODE_SIMILARITY_FLOOR}
     spelled = t.items.select("item_id", F.explode(F.array(*[
@@ -71,7 +71,7 @@ def _texted(t: Tables, asked: DataFrame, index: DataFrame) -> DataFrame:
         above = above | ((F.col("kind") == kind) & (F.col("similarity") > floor))
     near = (texted.select("qid", "text").join(close, "text").withColumnRenamed("spelling_match", "spelling")
             .join(spelled, "spelling").filter(above)
-            .select("qid", "item_id", F.lit(0.0).alias("ts_rank"), F.lit(False).alias("is_hit")))
+            .select("qid", "item_id", F.lit(0.0).alias("ts_rank"), F.lit(False).alias("is_hit"), F.col("similarity").alias("near")))
     return ranked.unionByName(near)
 
 
@@ -88,7 +88,7 @@ def _browse(t: Tables, asked: DataFrame) -> DataFrame:
     filed = t.items.select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int").alias("salt"),
                            F.explode(F.array(F.col("maker_id"), F.lit(-1))).alias("reach"))
     return reach.join(filed, ["reach", "salt"]).select(
-        "qid", "item_id", F.lit(1.0).alias("ts_rank"), F.lit(True).alias("is_hit"))
+        "qid", "item_id", F.lit(1.0).alias("ts_rank"), F.lit(True).alias("is_hit"), F.lit(None).cast("double").alias("near"))
 
 
 def _permits(t: Tables, searches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,24 +114,27 @@ def scored(t: Tables, searches: DataFrame, match_floor: float = V.MATCH_RANK_FLO
     """
     index = item_postings(t.items) if index is None else index
     found = (_texted(t, searches, index).unionByName(_browse(t, searches))
-             .groupBy("qid", "item_id").agg(F.max("ts_rank").alias("ts_rank"), F.bool_or("is_hit").alias("is_hit")))
+             .groupBy("qid", "item_id").agg(F.max("ts_rank").alias("ts_rank"), F.bool_or("is_hit").alias("is_hit"),
+                                            F.max("near").alias("near")))
     have, need = _permits(t, searches)
     asked = searches.join(need, "qid").select(
         "qid", "text", "makers", "lines", "surfaces", "opacities", "need",
-        F.col("lo").alias("want_lo"), F.col("hi").alias("want_hi"), F.col("flag").alias("want_flag"),
-        trigrams(F.col("text")).alias("q_grams"))
-    described = t.items.select("item_id", "code", "maker_id", "line", "surface", "opacity", "lo", "hi", "flag",
-                               trigrams(F.col("name")).alias("name_grams"), trigrams(F.col("code")).alias("code_grams"))
+        F.col("lo").alias("want_lo"), F.col("hi").alias("want_hi"), F.col("flag").alias("want_flag"))
+    described = t.items.select("item_id", "code", "name", "maker_id", "line", "surface", "opacity", "lo", "hi", "flag")
     # The candidates are partitioned by (qid, item_id) already, so the permits join moves only permits.
     rows = (found.join(have, ["qid", "item_id"], "left").join(asked, "qid")
             .filter(F.coalesce("have", F.lit(0)) == F.col("need"))
             .join(described, "item_id").filter(P.row_passes()))
     blank = F.trim("text") == ""
-    sim = F.when(blank, F.lit(0.0)).otherwise(F.greatest(
-        gram_similarity(F.col("q_grams"), F.col("name_grams")), gram_similarity(F.col("q_grams"), F.col("code_grams"))))
+    # A spelling not found on the way here is at most the higher floor, so similarity is computed only
+    # where nothing known exceeds that.
+    high = F.lit(max(V.NAME_SIMILARITY_FLOOR, V.CODE_SIMILARITY_FLOOR))
+    known = F.greatest(F.col("ts_rank"), F.coalesce("near", F.lit(0.0)))
+    close = F.greatest(trigram_similarity(F.col("text"), F.col("name")), trigram_similarity(F.col("text"), F.col("code")))
+    best = F.when(blank | (known >= high), known).otherwise(F.greatest(known, close))
     tier = F.when(blank | (F.col("is_hit") & (F.col("ts_rank") >= match_floor)), "match").otherwise("near")
     return rows.select("qid", "item_id", "code", tier.alias("tier"),
-                       F.round(F.greatest(F.col("ts_rank"), sim), 6).alias("rank"))
+                       F.round(best, 6).alias("rank"))
 
 
 def pages(rows: DataFrame, searches: DataFrame) -> DataFrame:

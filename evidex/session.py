@@ -61,6 +61,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/evidex/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread rows over all shuffle partitions before a step that multiplies them.
+
+    A small input sits in few tasks, and adaptive execution merges small shuffles; neither knows that a
+    row is about to become many. A stated number of partitions is left alone.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a (small) intermediate to the shared folder and read it back.
 
