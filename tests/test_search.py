@@ -131,3 +131,17 @@ def test_clauses(spark):
     frame = spark.createDataFrame([(1, 'red "Dark Flux" -matte or the greens')], "qid long, text string")
     got = {(r.grp, r.unit, r.negated, r.place, r.term) for r in clauses(frame).collect()}
     assert got == {(0, 0, False, 0, "red"), (0, 1, False, 0, "dark"), (0, 1, False, 1, "flux"), (0, 2, True, 0, "matte"), (1, 1, False, 0, "green")}
+
+
+def test_matching_edges(spark):
+    """A word both required and excluded matches nothing; more words than bits still match."""
+    from evidex.operators.postings import matches
+
+    many = " ".join(f"w{i}x" for i in range(70))
+    docs = spark.createDataFrame([(1, "red fox"), (2, many + " red"), (3, many.replace("w69x", "zz"))], "doc long, text string")
+    from evidex.operators.postings import postings
+
+    index = postings(docs, "doc", [(F.col("text"), 1.0)])
+    asked = spark.createDataFrame([(1, "red -red"), (2, many), (3, 'red -"red fox"'), (4, "fox red")], "qid long, text string")
+    got = {(r.qid, r.doc): r.cover_rank for r in matches(index, clauses(asked), "doc").collect()}
+    assert set(got) == {(2, 2), (3, 2), (4, 1)} and got[(4, 1)] == 1.0 and got[(2, 2)] == 1.0
