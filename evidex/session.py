@@ -38,6 +38,7 @@ def build(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g
         SparkSession.builder.master(f"local[{cores}]")
         .appName("evidex")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.extraJavaOptions", "-Duser.timezone=UTC")
