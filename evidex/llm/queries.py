@@ -191,13 +191,13 @@ ORACLES: dict[str, str] = {
         r as (select doc_id as a, doc_id as b from d union select r.a, u.b from r join u on r.b = u.a)
         select r.a as doc_id, cast(any_value(n.n) as bigint) as n_shingles, min(r.b) as component_id, r.a = min(r.b) as kept from r join n on n.doc_id = r.a group by r.a""",
     "op7_revisits": f"""
-        with p as (select page_id, url, html, to_timestamp(1704067200 + (page_id * 7919) % 86400) as at, '"' || md5(html) || '"' as tag, 'day ' || (page_id % 28) as date from pages),
-        f as (select page_id, {_CANONICAL} as c, at, tag, date, html from p),
-        v as (select page_id, {_CANONICAL} as c, case when page_id % 11 = 0 then at - interval 2 day else at + interval 1 day end as at,
+        with p as (select page_id, url, html, to_timestamp(1704067200 + (page_id * 7919) % 86400) as ts, '"' || md5(html) || '"' as tag, 'day ' || (page_id % 28) as date from pages),
+        f as (select page_id, {_CANONICAL} as c, ts, tag, date, html from p),
+        v as (select page_id, {_CANONICAL} as c, case when page_id % 11 = 0 then ts - interval 2 day else ts + interval 1 day end as ts,
                      case when page_id % 7 = 0 then '"stale"' when page_id % 5 in (0, 1) then null when page_id % 3 = 1 then 'W/' || tag else tag end as tag,
                      case when page_id % 5 = 0 then date end as date from p),
-        j as (select v.page_id, v.c, v.tag, v.date, arg_max({{'id': f.page_id, 'tag': f.tag, 'date': f.date, 'html': f.html}}, (f.at, f.page_id)) filter (f.page_id is not null) as s
-              from v left join f on v.c = f.c and f.at < v.at group by all),
+        j as (select v.page_id, v.c, v.tag, v.date, arg_max({{'id': f.page_id, 'tag': f.tag, 'date': f.date, 'html': f.html}}, (f.ts, f.page_id)) filter (f.page_id is not null) as s
+              from v left join f on v.c = f.c and f.ts < v.ts group by all),
         o as (select *, case when s is null then 'missing' when tag is not null then case when regexp_replace(tag, '^W/', '') = s.tag then 'resolved' else 'changed' end
                      when date is not null then case when date = s.date then 'resolved' else 'changed' end else 'resolved' end as outcome from j)
         select page_id, c as canonical_url, outcome, s.id as source_page, case when outcome = 'resolved' then md5(s.html) end as body_md5,
