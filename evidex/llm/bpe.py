@@ -2,7 +2,7 @@
 
 White space splits a text into stretches that any BPE of this family encodes independently (the
 tokenizer's own splitting never crosses white space); texts of Latin-1 characters are split further, by
-the tokenizer's own pattern. Most stretches are words and come from a bounded memo. A long unsplit stretch is cut into halves again and again, the leaves are encoded side by side,
+the tokenizer's own pattern. Most stretches are words and come from a bounded memo that tasks of a worker share. A long unsplit stretch is cut into halves again and again, the leaves are encoded side by side,
 and neighbours are joined as a tree: a window around the join is encoded anew and grows until one of its
 tokens equals a token of the left side and one equals a token of the right side, away from every cut.
 Tokens of a BPE code are fixed pair by pair, so equal tokens on both sides make the join exact.
@@ -13,6 +13,7 @@ Arrow batch and a memo of at most ``MEMO_WORDS`` stretches.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -22,12 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidex.llm.words import BASES, Powers
+
 #: A stretch longer than this is encoded as a tree.
 LEAF_CHARS = 4096
 #: Cuts and window ends distort tokens near them; agreement counts only this far away (longer than any added token).
 GUARD_CHARS = 48
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 600_000
 _BATCH_WORDS = 1024
+#: Characters that are split and looked up at once.
+_BATCH_CHARS = 2_000_000
 #: White space as the tokenizer's normalizer sees it; ``str.split`` also splits at four control characters.
 _CONTROLS = re.compile(r"[\x1c-\x1f]")
 _SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -37,9 +42,47 @@ _PATTERN = json.dumps("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p
 _MARK = "\x01"
 
 
-#: The tokenizer's split pattern over Latin-1 text in lower case (fixed value), and what is outside Latin-1.
-_LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\\xaa\\xb5\\xba\\xdf-\\xf6\\xf8-\\xff]+|[0-9\\xb2\\xb3\\xb9\\xbc-\\xbe]|[^\\t-\\r \\x85\\xa0a-z\\xaa\\xb5\\xba\\xdf-\\xf6\\xf8-\\xff0-9\\xb2\\xb3\\xb9\\xbc-\\xbe]+")
-_WIDE = re.compile("[^\\x00-\\xff]")
+#: Kinds of Latin-1 characters in the split pattern (fixed values): white space, letters, single digits, all others.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[*range(9, 14), 32, 0x85, 0xA0]] = 0
+_KIND[[*range(97, 123), 0xAA, 0xB5, 0xBA, *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = 1
+_KIND[[*range(48, 58), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = 2
+#: What the plain split does not cover: characters outside Latin-1, and apostrophes, which may start a contraction.
+_OTHER = re.compile("[^\\x00-&(-\xff]")
+_BYTES = np.random.default_rng(20260103).integers(0, 2**64, 256, dtype=np.uint64)
+_HASH = [Powers(b) for b in BASES[:2]]
+
+
+class _Index:
+    """Open addressing over arrays: 128-bit keys to numbers, looked up and filed many at a time."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.zeros((2, 1 << bits), np.uint64)
+        self.values = np.full(1 << bits, -1, np.int64)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        out, at = np.full(len(key), -1, np.int64), np.arange(len(key))
+        slot = (key >> self.shift).astype(np.int64)
+        while len(at):
+            value = self.values[slot]
+            same = (self.keys[0][slot] == key[at]) & (self.keys[1][slot] == check[at]) & (value >= 0)
+            out[at[same]] = value[same]
+            more = (value >= 0) & ~same
+            at, slot = at[more], (slot[more] + 1) & self.mask
+        return out
+
+    def file(self, key: np.ndarray, check: np.ndarray, value: np.ndarray) -> None:
+        at, slot = np.arange(len(key)), (key >> self.shift).astype(np.int64)
+        while len(at):
+            free = np.flatnonzero(self.values[slot] < 0)
+            place, first = np.unique(slot[free], return_index=True)
+            mine = free[first]
+            self.values[place] = value[at[mine]]
+            self.keys[0][place], self.keys[1][place] = key[at[mine]], check[at[mine]]
+            left = np.ones(len(at), bool)
+            left[mine] = False
+            at, slot = at[left], (slot[left] + 1) & self.mask
 
 
 def stretches(text: str) -> list[str]:
@@ -80,21 +123,15 @@ class TreeEncoder:
         self.ends_word = np.array([t is not None and t.endswith(suffix) for t in self.tokens])
         return lean
 
-    def _split(self, text: str, fast: list[bool]) -> list[str]:
-        if self.lean is None or _WIDE.search(text) or any(t in text for t in self.special):
-            fast.append(False)
-            return stretches(text)
-        fast.append(True)
-        return _LATIN.findall(text.lower())
-
     def _reset(self) -> None:
         self.memo: dict[str, int] = {}
+        self.index, self.words = _Index(21), 0
         self.begin, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
-    def _remember(self, words: list[str], flat: np.ndarray, count: np.ndarray) -> None:
-        """File words whose ids stand one after the other in ``flat``."""
-        k, n = len(self.memo), len(words)
+    def _remember(self, flat: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Keep words whose ids stand one after the other in ``flat``; their numbers."""
+        k, n = self.words, len(count)
         while k + n > len(self.begin):
             self.begin, self.count = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.count, 2 * len(self.count))
         while self.used + len(flat) > len(self.flat):
@@ -102,50 +139,92 @@ class TreeEncoder:
         self.count[k:k + n] = count
         self.begin[k:k + n] = self.used + np.cumsum(count) - count
         self.flat[self.used:self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.memo.update(zip(words, range(k, k + n), strict=True))
-
-    def _learn(self, words: list[str], split: bool) -> None:
-        """Encode new words, many per call; ``split`` says that they are whole pieces of the pattern."""
-        plain = [w for w in words if len(w) <= self.leaf_chars and (split or _MARK not in w and self.mark is not None)]
-        taken = set(plain)
-        for word in words:
-            if word not in taken:
-                ids = self.tree(word)
-                self._remember([word], ids, np.array([len(ids)]))
+        self.used, self.words = self.used + len(flat), k + n
+        return np.arange(k, k + n)
+
+    def _learn(self, words: list[str], split: bool) -> np.ndarray:
+        """Encode new words, many per call; ``split`` says that they are whole pieces of the pattern. Their numbers."""
+        number = np.zeros(len(words), np.int64)
+        plain = [k for k, w in enumerate(words) if len(w) <= self.leaf_chars and (split or _MARK not in w and self.mark is not None)]
+        for k in set(range(len(words))).difference(plain):
+            ids = self.tree(words[k])
+            number[k] = self._remember(ids, np.array([len(ids)]))[0]
         groups = [plain[i:i + _BATCH_WORDS] for i in range(0, len(plain), _BATCH_WORDS)]
         tokenizer, joint = (self.lean, " ") if split else (self.tokenizer, f" {_MARK} ")
-        for group, encoding in zip(groups, tokenizer.encode_batch_fast([joint.join(g) for g in groups], add_special_tokens=False), strict=True):
+        for group, encoding in zip(groups, tokenizer.encode_batch_fast([joint.join([words[k] for k in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(encoding.ids, np.uint32)
             if split:
-                last = np.flatnonzero(self.ends_word[ids])
-                count = np.diff(last, prepend=-1)
+                count = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
             else:
                 own = ids != self.mark
                 count = np.diff(np.append(np.flatnonzero(~own), len(ids)), prepend=-1) - 1
                 ids = ids[own]
             if len(count) != len(group):
                 raise ValueError("words encoded together came back as another number of words")
-            self._remember(group, ids, count)
+            number[group] = self._remember(ids, count)
+        return number
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text; a null text is empty."""
-        if len(self.memo) > MEMO_WORDS:
+        out: list[np.ndarray] = []
+        first, held = 0, 0
+        for k, text in enumerate(texts):
+            held += len(text or "")
+            if held >= _BATCH_CHARS:
+                out += self._encode(texts[first:k + 1])
+                first, held = k + 1, 0
+        return out + self._encode(texts[first:])
+
+    def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        if self.words > MEMO_WORDS:
             self._reset()
-        fast: list[bool] = []
-        words = [self._split(t or "", fast) for t in texts]
-        for split in (True, False):
-            unknown = set().union(*(w for w, own in zip(words, fast, strict=True) if own == split)) - self.memo.keys()
-            if unknown:
-                self._learn(list(unknown), split)
-        out = []
-        for own in words:
-            at = np.fromiter(map(self.memo.__getitem__, own), np.int64, len(own))
-            count = self.count[at]
-            shift = self.begin[at] - (np.cumsum(count) - count)
-            out.append(self.flat[np.repeat(shift, count) + np.arange(count.sum())])
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        plain, rest = [], []
+        for k, text in enumerate(texts):
+            if text:
+                slow = self.lean is None or _OTHER.search(text) or any(t in text for t in self.special)
+                (rest if slow else plain).append(k)
+        for chosen, numbers in ((plain, self._plain), (rest, self._rest)):
+            if chosen:
+                at, ends = numbers([texts[k] for k in chosen])
+                count = self.count[at]
+                shift = self.begin[at] - (np.cumsum(count) - count)
+                ids = self.flat[np.repeat(shift, count) + np.arange(count.sum())]
+                for k, own in zip(chosen, np.split(ids, np.append(0, np.cumsum(count))[ends][:-1]), strict=True):
+                    out[k] = own
         return out
 
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of all pattern pieces, how many there are up to the end of each text), for Latin-1 texts."""
+        whole = "\n".join(texts).lower().encode("latin-1")
+        raw = np.frombuffer(whole, np.uint8)
+        kind = _KIND[raw]
+        edge = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        start = np.flatnonzero(edge & (kind != 0))
+        end = np.append(np.flatnonzero(edge), len(raw))
+        end = end[np.searchsorted(end, start, side="right")]
+        value = _BYTES[raw]
+        key, check = (p.spans(p.prefix(value), start, end) for p in _HASH)
+        at = self.index.find(key, check)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            _, first = np.unique(key[new], return_index=True)
+            mine = new[first]
+            number = self._learn([whole[a:b].decode("latin-1") for a, b in zip(start[mine].tolist(), end[mine].tolist(), strict=True)], True)
+            self.index.file(key[mine], check[mine], number)
+            at[new] = self.index.find(key[new], check[new])
+            if (at < 0).any():
+                raise ValueError("two words of one batch share a hash")
+        return at, np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]) - 1)
+
+    def _rest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = [stretches(t) for t in texts]
+        unknown = list(set().union(*words) - self.memo.keys())
+        if unknown:
+            self.memo.update(zip(unknown, self._learn(unknown, False).tolist(), strict=True))
+        ends = np.cumsum([len(w) for w in words])
+        return np.fromiter((self.memo[w] for own in words for w in own), np.int64, int(ends[-1])), ends
+
     def tree(self, text: str) -> np.ndarray:
         """Ids of one unsplit stretch: leaves side by side, then joins, level by level."""
         cuts = [0, len(text)]
@@ -178,6 +257,12 @@ class TreeEncoder:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
 
+@functools.cache
+def encoder_of(path: str, leaf_chars: int = LEAF_CHARS) -> TreeEncoder:
+    """The worker process's own encoder, with the words it has met in earlier tasks."""
+    return TreeEncoder(path, leaf_chars)
+
+
 class _Part:
     """Tokens of a span of the text; ``lo`` and ``hi`` are their places in the whole text."""
 
@@ -221,7 +306,7 @@ def encode_descriptions(items: DataFrame, tokenizer_path: str, leaf_chars: int =
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = TreeEncoder(tokenizer_path, leaf_chars)
+        encoder = encoder_of(tokenizer_path, leaf_chars)
         for batch in batches:
             yield pd.DataFrame({"item_id": batch["item_id"], "token_ids": [x.astype(np.int32) for x in encoder.encode_batch(batch["description"].tolist())]})
 
@@ -233,7 +318,7 @@ def decode_tokens(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``item_id, description``: the text of every ``token_ids`` array; a null array gives an empty text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = TreeEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for batch in batches:
             ids = [np.array([], np.int32) if x is None else np.asarray(x) for x in batch["token_ids"]]
             yield pd.DataFrame({"item_id": batch["item_id"], "description": encoder.decode_batch(ids)})
@@ -249,7 +334,7 @@ def recode_descriptions(items: DataFrame, tokenizer_path: str, leaf_chars: int =
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = TreeEncoder(tokenizer_path, leaf_chars)
+        encoder = encoder_of(tokenizer_path, leaf_chars)
         for batch in batches:
             ids = encoder.encode_batch(batch["description"].tolist())
             yield pd.DataFrame({"item_id": batch["item_id"], "token_ids": [x.astype(np.int32) for x in ids], "decoded": encoder.decode_batch(ids)})

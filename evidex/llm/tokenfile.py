@@ -127,10 +127,10 @@ def write_token_files(items: DataFrame, tokenizer_path: str, end_id: int, path:
     Items stand in ascending ``item_id`` (null ids first, equal ids by their text); a null or empty description is its end id alone;
     repeated rows are all written; an empty table gives files without blocks. Other columns are not looked at.
     """
-    from evidex.llm.bpe import TreeEncoder
+    from evidex.llm.bpe import encoder_of
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = TreeEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for batch in batches:
             ids = [np.append(x, end_id).astype("<u4") for x in encoder.encode_batch(batch["description"].tolist())]
             small = [x.astype("<u2") if x.max() < 1 << 16 else x for x in ids]
