@@ -22,6 +22,7 @@ DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _items(docs: DataFrame) -> DataFrame:
+    configure(docs.sparkSession)
     return docs.withColumnsRenamed({"doc_id": "item_id", "text": "description"})
 
 

@@ -29,10 +29,10 @@ from evidex.llm.words import BASES, Powers
 LEAF_CHARS = 4096
 #: Cuts and window ends distort tokens near them; agreement counts only this far away (longer than any added token).
 GUARD_CHARS = 48
-MEMO_WORDS = 600_000
+MEMO_WORDS = 300_000
 _BATCH_WORDS = 1024
 #: Characters that are split and looked up at once.
-_BATCH_CHARS = 2_000_000
+_BATCH_CHARS = 500_000
 #: White space as the tokenizer's normalizer sees it; ``str.split`` also splits at four control characters.
 _CONTROLS = re.compile(r"[\x1c-\x1f]")
 _SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -125,7 +125,7 @@ class TreeEncoder:
 
     def _reset(self) -> None:
         self.memo: dict[str, int] = {}
-        self.index, self.words = _Index(21), 0
+        self.index, self.words = _Index(20), 0
         self.begin, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.flat, self.used = np.zeros(1 << 14, np.uint32), 0
 
