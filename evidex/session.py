@@ -19,6 +19,8 @@ RUNTIME_CONF = {
     # Top-k windows keep k rows per group before the shuffle, so a hot group costs k rows a task.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows may be long texts; a Python task holds one batch at a time.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
