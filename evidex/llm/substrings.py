@@ -4,8 +4,8 @@ Windows of 13, 25 and 50 words (each twice the one before, joined words shared)
 the asked length is represented at a shorter length by the least hash inside it, so equal windows have
 equal representatives. At each level, hashes that occur in one item alone are dropped, and with them
 every window they represent; only what is repeated is extended to the next length, until the asked length
-is reached or nothing is left. At the last level a window is repeated if its own hash, 128 bits wide,
-also starts in an item with a smaller id.
+is reached or nothing is left. At the last level a window is repeated if its own hash and that of its
+representative (128 bits together) also start in an item with a smaller id.
 
 Items with the same word sequence are one class, and only its first item takes part. Each level is one
 combinable minimum and maximum per hash and one join back; a passage that a third of all items share
@@ -82,16 +82,17 @@ def _passages(items: DataFrame, scan: DataFrame, window: int) -> DataFrame:
     small, middle, _ = ([1] * 3 + levels(window))[-3:]
     heads = scan.filter(F.size("seeds") > 0).groupBy("klass").agg(F.min("item_id").alias("item_id"))
     seeds = scan.join(heads, ["klass", "item_id"]).select("klass", "item_id", F.explode("seeds").alias("h"))
-    alive = seeds.join(_shared(seeds.select("h", "item_id"), "h"), "h").groupBy("item_id").agg(F.collect_set("h").alias("alive"), F.collect_set("klass").alias("klasses"))
+    alive = (seeds.join(_shared(seeds.select("h", "item_id"), "h"), "h").groupBy("item_id")
+             .agg(F.collect_set("h").alias("alive"), F.sort_array(F.collect_set("klass")).alias("klasses")))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = unpacker()
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("item_id", "klass", "h", "starts", "a", "b")}
+            out: dict[str, list] = {c: [] for c in ("item_id", "tag", "h", "starts", "a")}
             for item, z, alive, klasses in zip(batch["item_id"], batch["z"], batch["alive"], batch["klasses"], strict=True):
                 data = unpack(z)
-                klass = _klass(data)
-                if klass not in set(klasses):
+                tag = {k: n for n, k in enumerate(klasses)}.get(_klass(data))
+                if tag is None:
                     continue
                 words = word_hashes(data)[0]
                 hashes, place = _representatives(words, window, small)
@@ -99,18 +100,21 @@ def _passages(items: DataFrame, scan: DataFrame, window: int) -> DataFrame:
                 mine = hashes[place].view(np.int64)
                 starts = np.flatnonzero(known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] == mine)
                 hashes, place = _representatives(words, window, middle)
+                whole = run_hashes(words, window, 2)[starts].view(np.int64)
+                # Places never fall back from one window to the next, so windows of one representative are a run.
                 rep = place[starts]
-                a, b = (run_hashes(words, window, k)[starts].view(np.int64) for k in (1, 2))
-                for seed, own in pd.Series(np.arange(len(starts))).groupby(rep).indices.items():
-                    for name, value in zip(out, (item, klass, int(hashes[seed].view(np.int64)), starts[own].astype(np.int32), a[own], b[own]), strict=True):
+                edge = np.append(np.flatnonzero(np.diff(rep, prepend=-1)), len(rep))
+                for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    for name, value in zip(out, (item, tag, int(hashes[rep[x]].view(np.int64)), starts[x:y].astype(np.int32), whole[x:y]), strict=True):
                         out[name].append(value)
             yield pd.DataFrame(out)
 
-    grown = stored(packed(items).join(alive, "item_id").mapInPandas(extend, "item_id long, klass string, h long, starts array<int>, a array<long>, b array<long>"), "grown")
+    grown = stored(packed(items).join(alive, "item_id").mapInPandas(extend, "item_id long, tag int, h long, starts array<int>, a array<long>"), "grown")
     doubled = grown.join(_shared(grown.select("h", "item_id"), "h").select("h"), "h")
-    windows = doubled.select("item_id", "klass", F.inline(F.arrays_zip("starts", "a", "b"))).distinct()
-    final = windows.join(_shared(windows.select("a", "b", "item_id"), "a", "b"), ["a", "b"]).filter("item_id > first")
-    return final.groupBy("item_id", "klass").agg(F.sort_array(F.collect_set("starts")).alias("starts"))
+    windows = doubled.select("item_id", "tag", "h", F.inline(F.arrays_zip("starts", "a")))
+    final = windows.join(_shared(windows.select("h", "a", "item_id"), "h", "a"), ["h", "a"]).filter("item_id > first")
+    starts = final.groupBy("item_id", "tag").agg(F.sort_array(F.collect_set("starts")).alias("starts"))
+    return starts.join(alive.select("item_id", "klasses"), "item_id").select("item_id", F.get("klasses", F.col("tag")).alias("klass"), "starts")
 
 
 def strip_repeated_passages(items: DataFrame, window: int = 50) -> DataFrame:
