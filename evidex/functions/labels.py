@@ -30,10 +30,13 @@ def credit_label(maker: Column) -> Column:
 
 
 def bare_name(code: Column, name: Column) -> Column:
-    """A name without the code it repeats at its front."""
-    starts = F.lower(name).startswith(F.lower(code))
-    rest = F.regexp_replace(F.substring(name, F.length(code) + 1, F.length(name)), r"^[\s\-–:]+", "")
-    return F.when(starts & (rest != ""), rest).otherwise(name)
+    """A name without the code it repeats at its front, with or without a dash and padding zeros."""
+    letters, digits = F.regexp_extract(code, "^([A-Za-z]+)-?0*[0-9]+$", 1), F.regexp_extract(code, "^[A-Za-z]+-?0*([0-9]+)$", 1)
+    front = F.concat(F.lit("(?i)^"), letters, F.lit("[- ]?0*"), digits, F.lit("(?![0-9])"))
+    padded = F.when(letters != "", F.regexp_replace(name, front, F.lit("")))
+    exact = F.when(F.lower(name).startswith(F.lower(code)), F.substring(name, F.length(code) + 1, F.length(name)))
+    rest = F.regexp_replace(F.when(padded != name, padded).otherwise(exact), r"^[\s\-–:]+", "")
+    return F.when(rest != "", rest).otherwise(name)
 
 
 def relative_time(ts_ms: Column, as_of_ms: Column) -> Column:

@@ -37,9 +37,9 @@ def slug_of(url: Column) -> Column:
     return F.coalesce(F.trim(query_value(url, "slug"), F.lit("/")), F.trim(path, F.lit("/")))
 
 
-def stem_of(filename: Column) -> Column:
-    """A comparable lower-case stem: no extension, upload stamp, size or scale suffix."""
+def stem_of(filename: Column, suffixes: tuple[str, ...] = (CACHE_BUSTER, SIZE_SUFFIX, SCALED_SUFFIX)) -> Column:
+    """A comparable lower-case stem: no extension, and none of the source's suffixes (upload stamp, size, scale)."""
     stem = F.regexp_replace(F.lower(filename), r"\.[^./]*$", "")
-    for pattern in (CACHE_BUSTER, SIZE_SUFFIX, SCALED_SUFFIX):
+    for pattern in suffixes:
         stem = F.regexp_replace(stem, pattern, "")
     return stem

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from evidex.vocabulary import ROLE_PRIORITY
 
 
-def role_priority(role: Column) -> Column:
+def role_priority(role: Column, ladder: dict[str, int] = ROLE_PRIORITY) -> Column:
     out = F.when(F.lit(False), F.lit(0))
-    for name, rank in ROLE_PRIORITY.items():
+    for name, rank in ladder.items():
         out = out.when(role == name, F.lit(rank))
-    return out.otherwise(F.lit(len(ROLE_PRIORITY)))
+    return out.otherwise(F.lit(len(ladder)))
 
 
 def hero_columns() -> list[Column]:

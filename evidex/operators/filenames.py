@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.codes import LINE_PREFIXES, longest_first, zero_kept, zero_stripped
 from evidex.functions.seal import seal
-from evidex.functions.urls import stem_of
+from evidex.functions.urls import CACHE_BUSTER, stem_of
 from evidex.vocabulary import CLAY_NUMBERS
 
 # --- fixed values: patterns and word lists of the second source ---------------------------------
@@ -147,7 +147,7 @@ def source_b_facts(images: DataFrame, filename: str = "filename", product_code:
 
 def source_a_facts(images: DataFrame, filename: str = "filename", product_code: str = "product_code", product_name: str = "product_name") -> DataFrame:
     """Add role, subject, layered_over, combination, cone, clay, tile_size, form, confidence, unmatched, evidence."""
-    df = images.withColumn("__stem", F.regexp_replace(stem_of(F.col(filename)), A_GLUED, "_over_"))
+    df = images.withColumn("__stem", F.regexp_replace(stem_of(F.col(filename), (CACHE_BUSTER,)), A_GLUED, "_over_"))
     stem, product = F.col("__stem"), F.col(product_code)
 
     def word(w: str) -> str:

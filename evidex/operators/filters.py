@@ -132,9 +132,12 @@ def active_count(arrays: Sequence[str], lo: str, hi: str, flag: str) -> Column:
 
 
 def request_key(text: Column, limit: Column, arrays: Sequence[Column], scalars: Sequence[Column]) -> Column:
-    """The meaning of a request as one string: sets sorted, blanks trimmed, empty equals absent."""
+    """The meaning of a request as one string: sets sorted, blanks trimmed, null and blank text and empty and absent sets equal.
+
+    The parts stand in a JSON object by place, so different requests never share a key.
+    """
     def canon(a: Column) -> Column:
-        return F.when(~_unrestricted(a), F.array_join(F.transform(F.array_sort(F.array_distinct(a)), lambda v: v.cast("string")), ","))
+        return F.when(~_unrestricted(a), F.array_sort(F.array_distinct(a)))
 
-    parts = [F.trim(text), limit.cast("string"), *[canon(a) for a in arrays], *[s.cast("string") for s in scalars]]
-    return F.concat_ws("|", *[F.coalesce(p, F.lit("-")) for p in parts])
+    parts = [F.coalesce(F.trim(text), F.lit("")), limit, *[canon(a) for a in arrays], *scalars]
+    return F.to_json(F.struct(*[p.alias(f"p{k}") for k, p in enumerate(parts)]))

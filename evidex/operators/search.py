@@ -58,7 +58,7 @@ def collapse(searches: DataFrame) -> DataFrame:
 
 def _texted(t: Tables, asked: DataFrame, index: DataFrame) -> DataFrame:
     """Full-text hits and close spellings of searches that have text."""
-    texted = asked.filter(F.trim("text") != "")
+    texted = asked.filter(F.coalesce(F.trim("text"), F.lit("")) != "")
     ranked = T.matches(index, T.clauses(texted), "item_id").select(
         "qid", "item_id", F.col("cover_rank").alias("ts_rank"), F.lit(True).alias("is_hit"), F.lit(None).cast("double").alias("near"))
     # Names and codes share one index over distinct spellings, however many items carry them.
@@ -83,7 +83,7 @@ def _browse(t: Tables, asked: DataFrame) -> DataFrame:
     """
     open_makers = F.col("makers").isNull() | (F.size("makers") == 0)
     keys = F.when(open_makers, F.array(F.lit(-1))).otherwise(F.array_distinct("makers"))
-    reach = (asked.filter(F.trim("text") == "").select("qid", F.explode(keys).alias("reach"))
+    reach = (asked.filter(F.coalesce(F.trim("text"), F.lit("")) == "").select("qid", F.explode(keys).alias("reach"))
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
     filed = t.items.select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int").alias("salt"),
                            F.explode(F.array(F.col("maker_id"), F.lit(-1))).alias("reach"))
@@ -125,7 +125,7 @@ def scored(t: Tables, searches: DataFrame, match_floor: float = V.MATCH_RANK_FLO
     rows = (found.join(have, ["qid", "item_id"], "left").join(asked, "qid")
             .filter(F.coalesce("have", F.lit(0)) == F.col("need"))
             .join(described, "item_id").filter(P.row_passes()))
-    blank = F.trim("text") == ""
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
     # A spelling not found on the way here is at most the higher floor, so similarity is computed only
     # where nothing known exceeds that.
     high = F.lit(max(V.NAME_SIMILARITY_FLOOR, V.CODE_SIMILARITY_FLOOR))

@@ -33,7 +33,7 @@ def dim_enrich(c: Catalog) -> DataFrame:
 
 @check("evidence_listing", """select * exclude (prio, coat), row_number() over (partition by item_id order by coat nulls last, prio, ev_id, source_url, storage_path) as place from (
  select i.item_id, i.code, e.ev_id, e.source_url, e.storage_path, e.role, e.coat, c.coat_name, v.clay_name, b.code base_code, b.name base_name, e.hex,
- case e.role when 'label_chip' then 0 when 'coats_composite' then 1 else 2 end prio
+ case e.role when 'label_chip' then 0 when 'coats_composite' then 1 when 'layered' then 2 else 3 end prio
  from items i join makers m on m.maker_id = i.maker_id join evidence e on e.item_id = i.item_id
  left join coats c on c.coat = e.coat left join clay_vocab v on v.clay = e.clay left join items b on b.item_id = e.layered_over
  where i.maker_id = 2 and i.code in ('PC-1', 'PC-7', 'PC-20'))""", "items makers evidence coats clay_vocab")
@@ -49,7 +49,7 @@ def evidence_listing(c: Catalog) -> DataFrame:
     rows = (c.evidence.drop("base_code").join(asked, "item_id").join(V.coats(c.spark), "coat", "left").join(c.clay_vocab.drop("maker_id"), "clay", "left")
             .join(base, "layered_over", "left"))
     # A detail page lists one item; the order is within the items asked for.
-    order = Window.partitionBy("item_id").orderBy(F.asc_nulls_last("coat"), E.role_priority(F.col("role")), "ev_id", "source_url", "storage_path")
+    order = Window.partitionBy("item_id").orderBy(F.asc_nulls_last("coat"), E.role_priority(F.col("role"), V.DETAIL_PRIORITY), "ev_id", "source_url", "storage_path")
     return rows.select("item_id", "code", "ev_id", "source_url", "storage_path", "role", "coat_name", "clay_name", "base_code", "base_name", "hex",
                        F.row_number().over(order).cast("bigint").alias("place"))
 

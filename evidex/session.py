@@ -53,13 +53,16 @@ def build(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``. Only when that is unset (as
-    in local tests) a temporary folder of this machine is used.
+    The cluster names its shared folder in ``spark.checkpoint.dir`` or by ``setCheckpointDir``. Only in a local
+    session (as in tests) that has neither is a temporary folder of this machine used; elsewhere that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
+    root = root or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="evidex-")
     return f"{root.rstrip('/')}/evidex/{name}-{uuid.uuid4().hex}"
 

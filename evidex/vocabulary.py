@@ -78,6 +78,8 @@ PAGE_SIZE = 40
 SIMILARITY_WEIGHTS = {"term": 3, "surface": 2, "opacity": 2, "line": 1}
 #: display priority of an evidence role; anything else comes after
 ROLE_PRIORITY = {"label_chip": 0, "coats_composite": 1}
+#: the same for the rows of a detail page
+DETAIL_PRIORITY = ROLE_PRIORITY | {"layered": 2}
 
 
 def cones(spark: SparkSession) -> DataFrame:

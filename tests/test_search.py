@@ -9,12 +9,12 @@ from evidex.operators.postings import clauses
 
 ITEMS = "item_id long, maker_id int, code string, name string, description string, line string, lo int, hi int, terms array<string>, surface int, opacity int, flag boolean, price double"
 ROWS = [
-    (1, 1, "PC-20", "PC-20 Blue Rutile", "An active, complex glaze, flowing light blue where thick.", "PC", 27, 28, ["teal", "blue", "celadon", "green"], 1, 2, None, 9.0),
-    (2, 1, "PC-13", "PC-13 Serpentine Green", "A fluid translucent emerald glaze.", "PC", 27, 28, ["sage", "green"], 1, 1, True, 8.0),
-    (3, 1, "LG-99", "LG-99 Wide Range", "A deliberately wide firing range.", "PC", 19, 32, ["brown"], None, None, False, None),
-    (4, 1, "PC-30", "PC-30 Temmoku", "Classic iron saturate.", "PC", 27, 28, ["tenmoku", "brown"], None, None, None, 7.0),
+    (1, 1, "PC-20", "PC-20 Blue Lagoon", "Runs on edges and pools light blue in cut lines.", "PC", 27, 28, ["teal", "blue", "celadon", "green"], 1, 2, None, 9.0),
+    (2, 1, "PC-13", "PC-13 Fernleaf Green", "Clear emerald that moves a little.", "PC", 27, 28, ["sage", "green"], 1, 1, True, 8.0),
+    (3, 1, "LG-99", "LG-99 Broad Fire", "Fires broad on purpose.", "PC", 19, 32, ["brown"], None, None, False, None),
+    (4, 1, "PC-30", "PC-30 Tessaku", "Deep iron for tall jars.", "PC", 27, 28, ["tenmoku", "brown"], None, None, None, 7.0),
 ]
-OTHER = (5, 2, "PC-20", "PC-20 Ochre Thing", "From another maker.", "T", None, None, ["ochre", "yellow"], None, 2, None, 7.0)
+OTHER = (5, 2, "PC-20", "PC-20 Sand Slip", "Sold elsewhere.", "T", None, None, ["ochre", "yellow"], None, 2, None, 7.0)
 SEARCH = "qid long, text string, makers array<int>, lines array<string>, surfaces array<int>, opacities array<int>, lo int, hi int, flag boolean, clays array<long>, codes array<string>, code_makers array<string>, page_limit int, page_offset int"
 
 
@@ -27,7 +27,7 @@ def search(text="", **kw):
 @pytest.fixture(scope="module")
 def tables(spark):
     items = spark.createDataFrame(ROWS, ITEMS)
-    makers = spark.createDataFrame([(1, "alpha"), (2, "testco")], "maker_id int, maker_key string")
+    makers = spark.createDataFrame([(1, "alpha"), (2, "secondco")], "maker_id int, maker_key string")
     evidence = spark.createDataFrame(
         [(f"e{i}", i, "label_chip", 2, 32 if i == 1 else 25, "#82a1a1", None, f"u{i}", f"s{i}") for i in (1, 2, 3, 4)]
         + [("e9", 1, "layered", None, None, None, 4, "u9", "s9")],
@@ -39,7 +39,7 @@ def tables(spark):
 @pytest.fixture(scope="module")
 def answers(spark, tables):
     asked = [
-        search("blue rutile"), search("sage"), search("sage green"), search("tenmoku brown"), search(lo=28, hi=28), search("temoku"), search("  "),
+        search("blue lagoon"), search("sage"), search("sage green"), search("tenmoku brown"), search(lo=28, hi=28), search("tesaku"), search("  "),
         search(clays=[32]), search('"light blue"'), search("green -sage"), search("sage or tenmoku"), search(flag=True), search(codes=["pc-30", "PC-20", "LG-99"], code_makers=["alpha ", "nobody"]),
         search(page_limit=-1), search(page_limit=2, page_offset=1), search("zzzz"), search(makers=[]), search('"blue light"'),
     ]
