@@ -35,7 +35,7 @@ def bare_name(code: Column, name: Column) -> Column:
     front = F.concat(F.lit("(?i)^"), letters, F.lit("[- ]?0*"), digits, F.lit("(?![0-9])"))
     padded = F.when(letters != "", F.regexp_replace(name, front, F.lit("")))
     exact = F.when(F.lower(name).startswith(F.lower(code)), F.substring(name, F.length(code) + 1, F.length(name)))
-    rest = F.regexp_replace(F.when(padded != name, padded).otherwise(exact), r"^[\s\-–:]+", "")
+    rest = F.regexp_replace(F.when(letters != "", F.nullif(padded, name)).otherwise(exact), r"^[\s\-–:]+", "")
     return F.when(rest != "", rest).otherwise(name)
 
 
