@@ -149,11 +149,15 @@ def replace_children(existing: DataFrame, incoming: DataFrame, parent: str) -> D
 
 
 def carry_forward(incoming: DataFrame, existing: DataFrame, keys: list[str], measured: list[str]) -> DataFrame:
-    """A text-only re-run keeps what was measured before: where a new row measured nothing, its measured
-    columns come from the previous row of the same key."""
-    previous = existing.select(*keys, *[F.col(c).alias(f"__old_{c}") for c in measured])
-    nothing = F.coalesce(*[F.col(c).cast("string") for c in measured]).isNull()
-    joined = incoming.join(previous, keys, "left")
-    return joined.withColumns(
-        {c: F.when(nothing, F.col(f"__old_{c}")).otherwise(F.col(c)) for c in measured}
-    ).select(*incoming.columns)
+    """A text-only re-run keeps what was measured before, image by image (``keys``).
+
+    Where no new row of an image measured anything but old rows did, the image keeps as many rows as it has
+    measured old ones, each with the facts of the new row (of several, the least). All other new rows stay as they are.
+    """
+    any_measured = F.coalesce(*[F.col(c).cast("string") for c in measured]).isNotNull()
+    old = existing.filter(any_measured).select(*keys, *measured)
+    facts = [c for c in incoming.columns if c not in (*keys, *measured)]
+    images = incoming.groupBy(*keys).agg(F.bool_or(any_measured).alias("__measured"), F.min(F.struct(F.lit(0).alias("__"), *facts)).alias("__facts"))
+    carried = images.filter("not __measured").join(old, keys).select(*keys, *measured, *[F.col("__facts")[c].alias(c) for c in facts])
+    stay = incoming.join(carried.select(*keys).distinct(), keys, "left_anti")
+    return stay.unionByName(carried).select(*incoming.columns)

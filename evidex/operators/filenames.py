@@ -156,7 +156,8 @@ def source_a_facts(images: DataFrame, filename: str = "filename", product_code:
     df = df.withColumns({
         "__codes": _codes(stem, A_CODE, zero_stripped), "__pieces": F.split(stem, A_CODE, -1),
         "__cone_text": _present(F.regexp_extract(stem, A_CONE, 0)), "cone": _present(F.regexp_extract(stem, A_CONE, 1)),
-        "__clays": F.filter(F.transform(F.regexp_extract_all(stem, F.lit(A_CLAY), 1), lambda d: d.cast("int")), lambda d: d.isin(CLAY_NUMBERS)),
+        "__clays": F.filter(F.zip_with(F.regexp_extract_all(stem, F.lit(A_CLAY), 1), F.regexp_extract_all(stem, F.lit(A_CLAY), 0),
+                                       lambda d, t: F.struct(d.cast("int").alias("number"), t.alias("text"))), lambda c: c["number"].isin(CLAY_NUMBERS)),
         "__comp": _present(F.regexp_extract(stem, A_COMPOSITE, 0)), "__chart": _present(F.regexp_extract(stem, A_CHART, 0)),
         "__tile": _present(F.regexp_extract(stem, A_TILE, 0)),
         "tile_size": F.when(stem.rlike(A_TILE), F.concat(F.regexp_extract(stem, A_TILE, 1), F.lit("x"), F.regexp_extract(stem, A_TILE, 2))),
@@ -167,8 +168,9 @@ def source_a_facts(images: DataFrame, filename: str = "filename", product_code:
     pair = F.coalesce(F.col("__at"), F.lit(0)) > 0
     df = df.withColumns({
         "__top": F.when(pair, F.try_element_at(codes, F.col("__at"))), "layered_over": F.when(pair, F.try_element_at(codes, F.col("__at") + 1)),
-        "clay": F.try_element_at("__clays", F.lit(1)),
+        "__clay": F.try_element_at("__clays", F.lit(1)),
     })
+    df = df.withColumn("clay", F.col("__clay.number"))
     seen = {w: stem.rlike(word(w)) for w in A_FORMS}
     tiles = ("flat_tile", "textured_tile")
     # The first vessel word wins; without one, the last tile word listed.
@@ -188,7 +190,7 @@ def source_a_facts(images: DataFrame, filename: str = "filename", product_code:
     })
     kept = F.filter("__pieces", lambda p, i: ~(F.coalesce(F.col("__at"), F.lit(0)) > 0) | (i != F.col("__at")))
     residue = F.array_join(kept, " ")
-    clay_text = F.when(F.col("clay").isNotNull(), F.regexp_extract(stem, A_CLAY, 0))
+    clay_text = F.col("__clay.text")
     for found in (F.col("__cone_text"), clay_text, F.col("__comp"), F.col("__chart"), F.col("__tile")):
         residue = _blank_first(residue, found)
     for w in A_FORMS:

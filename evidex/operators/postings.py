@@ -49,12 +49,16 @@ def postings(docs: DataFrame, doc_id: str, fields: Sequence[tuple[Column, float]
 def clauses(searches: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:
     """(qid, grp, unit, negated, place, term): alternatives, their units, and the terms of each unit.
 
+    A bare ``or`` separates alternatives; inside quotes it is a word like any other.
     ``place`` is the offset of a term inside its unit (0 unless the unit is a phrase).
     """
-    groups = F.split(F.lower(F.trim(F.col(text))), r"\s+or\s+")
-    return (searches.select(qid, F.posexplode(groups).alias("grp", "__g"))
-            .select(qid, "grp", F.posexplode(F.regexp_extract_all("__g", F.lit(f"({UNIT})"), 1)).alias("unit", "__u"))
-            .select(qid, "grp", "unit", F.col("__u").startswith("-").alias("negated"),
+    units = F.regexp_extract_all(F.lower(F.trim(F.col(text))), F.lit(f"({UNIT})"), 1)
+    before = F.slice("__units", F.lit(1), F.col("__n"))
+    grp = F.size(F.filter(before, lambda u: u == "or"))
+    since = F.array_position(F.reverse(before), "or").cast("int")
+    return (searches.select(qid, units.alias("__units"))
+            .select(qid, "__units", F.posexplode("__units").alias("__n", "__u")).filter("__u <> 'or'")
+            .select(qid, grp.alias("grp"), F.when(since > 0, since - 1).otherwise(F.col("__n")).alias("unit"), F.col("__u").startswith("-").alias("negated"),
                     F.posexplode(terms_of(F.col("__u"))).alias("place", "term"))
             .filter("term is not null"))
 
@@ -84,6 +88,8 @@ _COVER_RANK = f"""aggregate(filter(at, x -> array_contains(words, x.term)),
 def matches(index: DataFrame, terms: DataFrame, doc_id: str) -> DataFrame:
     """(qid, grp, doc, cover_rank) of documents that satisfy an alternative of a search.
 
+    Alternatives made of exclusions only have no words to look up and give no row here; see ``lacking``.
+
     The rank is cover density (Clarke, Cormack, Tudhope): a cover is a shortest span holding all K
     required terms; it scores ``min(1, K / span)`` times the harmonic mean of the field weights of
     the K positions that realise it.
@@ -133,3 +139,18 @@ def matches(index: DataFrame, terms: DataFrame, doc_id: str) -> DataFrame:
             .filter(F.expr(f"forall(required, u -> {_HOLDS}) and not exists(excluded, u -> {_HOLDS})"))
             .select("qid", "grp", doc_id, F.expr(_COVER_RANK).alias("cover_rank")))
     return simple.unionByName(full)
+
+
+def exclusions(terms: DataFrame) -> DataFrame:
+    """The terms of alternatives that are made of exclusions only."""
+    return terms.join(terms.filter("not negated").select("qid", "grp"), ["qid", "grp"], "left_anti")
+
+
+def lacking(index: DataFrame, barred: DataFrame, listed: DataFrame, doc_id: str) -> DataFrame:
+    """Rows of ``listed`` (qid, grp, doc) that hold no unit of their alternative in ``barred`` (see ``exclusions``).
+
+    Every barred unit is looked up as an alternative of its own; what holds one is taken off the list.
+    """
+    each = barred.select("qid", F.struct("grp", "unit").alias("grp"), "unit", F.lit(False).alias("negated"), "place", "term")
+    held = matches(index, each, doc_id).select("qid", F.col("grp.grp").alias("grp"), doc_id)
+    return listed.join(held, ["qid", "grp", doc_id], "left_anti")

@@ -59,8 +59,15 @@ def collapse(searches: DataFrame) -> DataFrame:
 def _texted(t: Tables, asked: DataFrame, index: DataFrame) -> DataFrame:
     """Full-text hits and close spellings of searches that have text."""
     texted = asked.filter(F.coalesce(F.trim("text"), F.lit("")) != "")
-    ranked = T.matches(index, T.clauses(texted), "item_id").select(
-        "qid", "item_id", F.col("cover_rank").alias("ts_rank"), F.lit(True).alias("is_hit"), F.lit(None).cast("double").alias("near"))
+    terms = T.clauses(texted)
+    found = T.matches(index, terms, "item_id").select("qid", "item_id", F.col("cover_rank").alias("ts_rank"))
+    barred = T.exclusions(terms)
+    # Exclusions alone rank nothing, but what lacks them is a hit. Their lookup is planned only where a search asks for it.
+    if not barred.isEmpty():
+        alone = barred.select("qid", "grp").distinct().join(texted.select("qid", "makers"), "qid")
+        lack = T.lacking(index, barred, _listed(t, alone, ["qid", "grp"]), "item_id")
+        found = found.unionByName(lack.select("qid", "item_id", F.lit(0.0).alias("ts_rank")))
+    ranked = found.select("qid", "item_id", "ts_rank", F.lit(True).alias("is_hit"), F.lit(None).cast("double").alias("near"))
     # Names and codes share one index over distinct spellings, however many items carry them.
     floors = {"name": V.NAME_SIMILARITY_FLOOR, "code": V.CODE_SIMILARITY_FLOOR}
     spelled = t.items.select("item_id", F.explode(F.array(*[
@@ -75,19 +82,24 @@ def _texted(t: Tables, asked: DataFrame, index: DataFrame) -> DataFrame:
     return ranked.unionByName(near)
 
 
-def _browse(t: Tables, asked: DataFrame) -> DataFrame:
-    """Blank searches list every item their filters allow; the maker is the join key.
+def _listed(t: Tables, asked: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., item_id) of every item of the makers that each row of ``asked`` allows; the maker is the join key.
 
     Every item also stands under the key -1, where searches without a chosen maker look. A key can
-    hold all items, so it is salted: the few blank searches are repeated, the items are spread.
+    hold all items, so it is salted: the few searches are repeated, the items are spread.
     """
     open_makers = F.col("makers").isNull() | (F.size("makers") == 0)
     keys = F.when(open_makers, F.array(F.lit(-1))).otherwise(F.array_distinct("makers"))
-    reach = (asked.filter(F.coalesce(F.trim("text"), F.lit("")) == "").select("qid", F.explode(keys).alias("reach"))
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    reach = asked.select(*keep, F.explode(keys).alias("reach")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     filed = t.items.select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int").alias("salt"),
                            F.explode(F.array(F.col("maker_id"), F.lit(-1))).alias("reach"))
-    return reach.join(filed, ["reach", "salt"]).select(
+    return reach.join(filed, ["reach", "salt"]).select(*keep, "item_id")
+
+
+def _browse(t: Tables, asked: DataFrame) -> DataFrame:
+    """Blank searches list every item their filters allow."""
+    blank = asked.filter(F.coalesce(F.trim("text"), F.lit("")) == "")
+    return _listed(t, blank, ["qid"]).select(
         "qid", "item_id", F.lit(1.0).alias("ts_rank"), F.lit(True).alias("is_hit"), F.lit(None).cast("double").alias("near"))
 
 

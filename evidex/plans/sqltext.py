@@ -32,10 +32,10 @@ def similarity(a: str, b: str) -> str:
 
 def term_ctes(searches: str) -> str:
     """``st(qid, grp, unit, negated, place, term)`` of a (qid, text) relation."""
-    return f"""sg as (select qid, unnest(regexp_split_to_array(lower(trim(text)), '\\s+or\\s+')) g,
-   generate_subscripts(regexp_split_to_array(lower(trim(text)), '\\s+or\\s+'), 1) - 1 grp from {searches}),
- su as (select qid, grp, unnest(regexp_extract_all(g, '-?"[^"]*"|\\S+')) u,
-   generate_subscripts(regexp_extract_all(g, '-?"[^"]*"|\\S+'), 1) - 1 unit from sg),
+    return f"""sg as (select qid, regexp_extract_all(lower(trim(text)), '-?"[^"]*"|\\S+') us from {searches}),
+ sn as (select qid, us, unnest(us) u, generate_subscripts(us, 1) - 1 n from sg),
+ su as (select qid, len(list_filter(us[1:n], lambda x: x = 'or')) grp,
+   coalesce(nullif(list_position(list_reverse(us[1:n]), 'or'), 0) - 1, n) unit, u from sn where u <> 'or'),
  sw as (select qid, grp, unit, u like '-%' negated, unnest({tokens('u')}) t, generate_subscripts({tokens('u')}, 1) - 1 as place from su),
  st as (select qid, grp, unit, negated, place, {stem('t')} term from sw where t not in {stop_list()})"""
 

@@ -28,3 +28,21 @@ def test_detail_ladder_and_source_suffixes(spark):
     assert [tuple(r) for r in ranks] == [(0, 0), (1, 1), (2, 2), (2, 3)]
     name = spark.createDataFrame([("PC-27_Lagoon-12x12.jpg",)], "f string")
     assert name.select(urls.stem_of(F.col("f"), (urls.CACHE_BUSTER,))).first()[0] == "pc-27_lagoon-12x12"
+
+
+def test_clay_words_are_those_of_the_clay_found(spark):
+    from evidex.operators.filenames import source_a_facts
+
+    df = spark.createDataFrame([("pc-20_99m_16m.jpg", "PC-20", None), ("pc-20_99m.jpg", "PC-20", None)], "filename string, product_code string, product_name string")
+    got = [(r.clay, r.evidence.get("clay_body")) for r in source_a_facts(df).select("clay", "evidence").collect()]
+    assert got == [(16, "16m"), (None, None)]
+
+
+def test_carry_forward_by_image(spark):
+    from evidex.operators.evidence import carry_forward
+
+    old = spark.createDataFrame([(1, "light", "#1", "a"), (1, "heavy", "#2", "a"), (2, "light", "#3", "b"), (2, "heavy", "#4", "b"), (3, None, None, "c")],
+                                "image int, coat string, hex string, cone string")
+    new = spark.createDataFrame([(1, None, None, "6"), (2, "light", "#9", "6"), (3, None, None, "6"), (4, None, None, "5"), (None, None, None, "5")], old.schema)
+    got = sorted(map(tuple, carry_forward(new, old, ["image"], ["coat", "hex"]).collect()), key=str)
+    assert got == sorted([(1, "light", "#1", "6"), (1, "heavy", "#2", "6"), (2, "light", "#9", "6"), (3, None, None, "6"), (4, None, None, "5"), (None, None, None, "5")], key=str)

@@ -42,6 +42,7 @@ def answers(spark, tables):
         search("blue lagoon"), search("sage"), search("sage green"), search("tenmoku brown"), search(lo=28, hi=28), search("tesaku"), search("  "),
         search(clays=[32]), search('"light blue"'), search("green -sage"), search("sage or tenmoku"), search(flag=True), search(codes=["pc-30", "PC-20", "LG-99"], code_makers=["alpha ", "nobody"]),
         search(page_limit=-1), search(page_limit=2, page_offset=1), search("zzzz"), search(makers=[]), search('"blue light"'),
+        search("-green"), search("-green or sage"), search("-green -tenmoku", makers=[1]), search('"edges or pools"'), search('"blue or light"'),
     ]
     frame = spark.createDataFrame([(i, *row) for i, row in enumerate(asked)], SEARCH)
     rows = S.ranked_search(tables, frame).orderBy("qid", "position").collect()
@@ -86,6 +87,18 @@ def test_phrase_negation_alternative(answers):
     assert sorted(codes([r for r in answers[10] if r.tier == "match"])) == ["PC-13", "PC-30"]
 
 
+def test_exclusions_alone_list_what_lacks_them(answers):
+    """They rank nothing, so the rows are near ones; a close spelling may still be listed."""
+    assert codes([r for r in answers[18] if r.rank == 0]) == ["LG-99", "PC-30"] and {r.tier for r in answers[18]} == {"near"}
+    assert {r.code for r in answers[19]} == {"LG-99", "PC-30", "PC-13"} and answers[19][0].code == "PC-13"
+    assert codes([r for r in answers[20] if r.rank == 0]) == ["LG-99"]
+
+
+def test_or_inside_quotes_is_a_word(answers):
+    assert codes([r for r in answers[21] if r.tier == "match"]) == ["PC-20"]
+    assert not [r for r in answers[22] if r.tier == "match"]
+
+
 def test_flag_and_identity_lists_fail_closed(answers):
     assert codes(answers[11]) == ["PC-13"]
     assert codes(answers[12]) == ["PC-30"]
