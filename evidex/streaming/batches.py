@@ -1,13 +1,15 @@
 """Streams that merge each micro-batch into keyed tables.
 
-Tables are split into hash buckets; a batch reads and rewrites the buckets it touches and no others.
-Every merge is idempotent, so a batch replayed after a failure leaves the same table.
+Tables are split into hash buckets; a batch reads the buckets it touches and writes them anew beside the old ones.
+A merge counts once its buckets are logged, so one that fails half-way leaves the table as it was. Every
+merge is idempotent, so a batch replayed after a failure leaves the same table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,11 @@ Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 class KeyedTable:
-    """A Parquet table in hash buckets of its key, merged bucket by bucket."""
+    """A Parquet table in hash buckets of its key, merged bucket by bucket.
+
+    ``data/merge=n/bucket=b`` holds bucket b as merge n left it, ``log/merge=n`` the buckets of a finished
+    merge; the newest logged one of a bucket is read. Superseded folders stay for readers that still use them.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, keys: Sequence[str], buckets: int = 64):
         self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
@@ -30,13 +36,25 @@ class KeyedTable:
         return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
     def read(self) -> DataFrame:
-        return self._raw().drop("bucket")
+        return self._rows(self._newest()).drop("bucket", "merge")
+
+    def _stored(self, part: str, fields: list[T.StructField]) -> DataFrame:
+        schema = T.StructType([*fields, T.StructField("bucket", T.IntegerType()), T.StructField("merge", T.LongType())])
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def _newest(self) -> dict[int, int]:
+        """The newest finished merge of every bucket; at most two numbers per bucket reach the driver."""
+        log = self._stored("log", [])
+        return {r.bucket: r.merge for r in log.groupBy("bucket").agg(F.max("merge").alias("merge")).collect()}
 
-    def _raw(self) -> DataFrame:
-        full = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        return self.spark.read.schema(full).parquet(self.path) if there else self.spark.createDataFrame([], full)
+    def _rows(self, newest: dict[int, int]) -> DataFrame:
+        places = [f"{merge}:{bucket}" for bucket, merge in newest.items()]
+        return self._stored("data", self.schema.fields).filter(F.concat_ws(":", "merge", "bucket").isin(places))
 
     def merge(self, incoming: DataFrame, how: Merge) -> None:
         """Replace the touched buckets by ``how(existing rows of those buckets, incoming)``."""
@@ -46,10 +64,15 @@ class KeyedTable:
             touched = [r.bucket for r in new.select("bucket").distinct().collect()]
             if not touched:
                 return
-            old = self._raw().filter(F.col("bucket").isin(touched)).drop("bucket")
+            newest = self._newest()
+            number = max(newest.values(), default=-1) + 1
+            old = self._rows({b: m for b, m in newest.items() if b in touched}).drop("bucket", "merge")
             merged = how(old, new.drop("bucket"))
-            (self._bucket(merged.select(*self.schema.names)).repartition("bucket")
-                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path))
+            # What an unfinished merge left under this number was never logged and is replaced.
+            (self._bucket(merged.select(*self.schema.names)).repartition("bucket").write.mode("overwrite")
+                 .option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.path}/data/merge={number}"))
+            log = self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1)
+            log.write.mode("overwrite").parquet(f"{self.path}/log/merge={number}")
         finally:
             new.unpersist()
 

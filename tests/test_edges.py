@@ -46,3 +46,30 @@ def test_carry_forward_by_image(spark):
     new = spark.createDataFrame([(1, None, None, "6"), (2, "light", "#9", "6"), (3, None, None, "6"), (4, None, None, "5"), (None, None, None, "5")], old.schema)
     got = sorted(map(tuple, carry_forward(new, old, ["image"], ["coat", "hex"]).collect()), key=str)
     assert got == sorted([(1, "light", "#1", "6"), (1, "heavy", "#2", "6"), (2, "light", "#9", "6"), (3, None, None, "6"), (4, None, None, "5"), (None, None, None, "5")], key=str)
+
+
+def test_a_failed_merge_leaves_the_table_whole(spark, tmp_path):
+    import pytest
+
+    from evidex.streaming.batches import KeyedTable
+
+    table = KeyedTable(spark, str(tmp_path / "t"), "k long, v string", ["k"], buckets=4)
+    assert table.read().count() == 0
+
+    def newer(old, new):
+        return old.join(new, "k", "left_anti").unionByName(new)
+
+    def torn(old, new):
+        return newer(old, new).withColumn("v", F.when(F.col("k") == 7, F.raise_error(F.lit("lost"))).otherwise(F.col("v")))
+
+    first = spark.createDataFrame([(k, "a") for k in range(20)], "k long, v string")
+    second = spark.createDataFrame([(k, "b") for k in range(5, 25)], "k long, v string")
+    table.merge(first, newer)
+    with pytest.raises(Exception, match="lost"):
+        table.merge(second, torn)
+    assert {(r.k, r.v) for r in table.read().collect()} == {(k, "a") for k in range(20)}
+    for _ in range(2):  # the replayed batch, and once more
+        table.merge(second, newer)
+        assert {(r.k, r.v) for r in table.read().collect()} == {(k, "a" if k < 5 else "b") for k in range(25)}
+    table.merge(second.limit(0), newer)
+    assert table.read().count() == 25
