@@ -31,29 +31,47 @@ def dim_enrich(c: Catalog) -> DataFrame:
             .select("item_id", "maker_key", "line_id", "line_lo", "line_hi", "range_from", "range_to", "surface_name", "opacity_name"))
 
 
-@check("evidence_listing", """select * exclude (prio, coat), row_number() over (partition by item_id order by coat nulls last, prio, ev_id, source_url, storage_path) as place from (
- select i.item_id, i.code, e.ev_id, e.source_url, e.storage_path, e.role, e.coat, c.coat_name, v.clay_name, b.code base_code, b.name base_name, e.hex,
- case e.role when 'label_chip' then 0 when 'coats_composite' then 1 when 'layered' then 2 else 3 end prio
- from items i join makers m on m.maker_id = i.maker_id join evidence e on e.item_id = i.item_id
- left join coats c on c.coat = e.coat left join clay_vocab v on v.clay = e.clay left join items b on b.item_id = e.layered_over
- where i.maker_id = 2 and i.code in ('PC-1', 'PC-7', 'PC-20'))""", "items makers evidence coats clay_vocab")
-def evidence_listing(c: Catalog) -> DataFrame:
+def _listing(c: Catalog, refs: DataFrame) -> DataFrame:
+    """The evidence of the items that ``refs`` names, in the order of their detail pages."""
     from pyspark.sql import Window
 
     from evidex.operators.filters import exact_lookup
 
-    refs = (c.makers.filter("maker_id = 2").select("maker_key")
-            .select(F.lit(0).alias("ref_id"), F.col("maker_key").alias("maker"), F.explode(F.array(*[F.lit(x) for x in ("pc-1", " PC-7", "Pc-20")])).alias("code")))
     asked = exact_lookup(c.items, c.makers, refs).select("item_id", "code")
     base = c.items.select(F.col("item_id").alias("layered_over"), F.col("code").alias("base_code"), F.col("name").alias("base_name"))
     rows = (c.evidence.drop("base_code").join(asked, "item_id").join(V.coats(c.spark), "coat", "left").join(c.clay_vocab.drop("maker_id"), "clay", "left")
             .join(base, "layered_over", "left"))
     # A detail page lists one item; the order is within the items asked for.
-    order = Window.partitionBy("item_id").orderBy(F.asc_nulls_last("coat"), E.role_priority(F.col("role"), V.DETAIL_PRIORITY), "ev_id", "source_url", "storage_path")
+    order = Window.partitionBy("item_id").orderBy(F.asc_nulls_last("coat"), E.role_priority(F.col("role"), V.DETAIL_PRIORITY), "ev_id", "source_url", "storage_path", "clay")
     return rows.select("item_id", "code", "ev_id", "source_url", "storage_path", "role", "coat_name", "clay_name", "base_code", "base_name", "hex",
                        F.row_number().over(order).cast("bigint").alias("place"))
 
 
+@check("evidence_listing", """select * exclude (prio, coat), row_number() over (partition by item_id order by coat nulls last, prio, ev_id, source_url, storage_path) as place from (
+ select i.item_id, i.code, e.ev_id, e.source_url, e.storage_path, e.role, e.coat, c.coat_name, v.clay_name, b.code base_code, b.name base_name, e.hex,
+ case e.role when 'label_chip' then 0 when 'coats_composite' then 1 when 'layered' then 2 else 3 end prio
+ from items i join makers m on m.maker_id = i.maker_id join evidence e on e.item_id = i.item_id
+ left join coats c on c.coat = e.coat left join clay_vocab v on v.clay = e.clay left join items b on b.item_id = e.layered_over
+ where i.maker_id = 2 and i.code in ('PC-1', 'PC-7', 'PC-20'))""", "items makers evidence coats clay_vocab")
+def evidence_listing(c: Catalog) -> DataFrame:
+    refs = (c.makers.filter("maker_id = 2").select("maker_key")
+            .select(F.lit(0).alias("ref_id"), F.col("maker_key").alias("maker"), F.explode(F.array(*[F.lit(x) for x in ("pc-1", " PC-7", "Pc-20")])).alias("code")))
+    return _listing(c, refs)
+
+
+@check("evidence_listing_all", """select * exclude (prio, coat, clay), row_number() over (partition by item_id order by coat nulls last, prio, ev_id, source_url, storage_path, clay nulls first) as place from (
+ select i.item_id, i.code, e.ev_id, e.source_url, e.storage_path, e.role, e.coat, e.clay, c.coat_name, v.clay_name, b.code base_code, b.name base_name, e.hex,
+ case e.role when 'label_chip' then 0 when 'coats_composite' then 1 when 'layered' then 2 else 3 end prio
+ from items i join makers m on m.maker_id = i.maker_id join evidence e on e.item_id = i.item_id
+ left join coats c on c.coat = e.coat left join clay_vocab v on v.clay = e.clay left join items b on b.item_id = e.layered_over)""",
+       "items makers evidence coats clay_vocab")
+def evidence_listing_all(c: Catalog) -> DataFrame:
+    """The detail pages of every item, each asked for by a reference in one of four spellings."""
+    spelt = "case item_id % 4 when 0 then lower(code) when 1 then concat(' ', code) when 2 then concat(code, '  ') else concat(' p', substr(code, 2), ' ') end"
+    refs = c.items.join(c.makers, "maker_id").selectExpr("item_id as ref_id", "if(item_id % 3 = 0, concat(upper(maker_key), ' '), maker_key) as maker", f"{spelt} as code")
+    return _listing(c, refs)
+
+
 @check("evidence_rollup", f"with {Q.ROLL_UP} select item_id, hero_source_url, hero_storage_path, hero_hex, coat_levels, layering_count,"
        " coalesce(clay_bodies_shown, '') clays from ru", "evidence clay_vocab")
 def evidence_rollup(c: Catalog) -> DataFrame:

@@ -73,3 +73,11 @@ def test_a_failed_merge_leaves_the_table_whole(spark, tmp_path):
         assert {(r.k, r.v) for r in table.read().collect()} == {(k, "a" if k < 5 else "b") for k in range(25)}
     table.merge(second.limit(0), newer)
     assert table.read().count() == 25
+
+
+def test_every_items_evidence_is_listed(catalog):
+    from evidex.plans import load_checks
+
+    listed = load_checks()["evidence_listing_all"].run(catalog)
+    known = catalog.evidence.join(catalog.items.join(catalog.makers, "maker_id"), "item_id", "left_semi")
+    assert listed.count() == known.count() and listed.select("item_id").distinct().count() == known.select("item_id").distinct().count() > 3
