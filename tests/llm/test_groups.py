@@ -157,6 +157,17 @@ def test_main_text(spark):
     assert maintext.main_text(df.filter("false")).count() == 0
 
 
+def test_text_outside_a_teaser_and_copies(spark):
+    site = "<body><div>Kiln and Co, makers of fine glazes for potters</div>{}<div>All rights of these pages are reserved by us</div></body>"
+    teaser = "<article>Read on</article><div>{} ash melts at cone six and runs down the pot</div><p>Title {}</p>"
+    pages = [(1, "http://a.com/g/1", site.format(teaser.format("Wood", 1))), (2, "http://a.com/g/2", site.format(teaser.format("Bone", 2))),
+             (3, "http://b.com/1", site.format("<p>first</p>")), *[(k, f"http://b.com/{k}", site.format("<p>copy</p>")) for k in (4, 5, 6, 7, 8)], (9, "http://b.com/9", site.format("<p>last</p>")),
+             (10, "http://b.com/95", site.format("<p>copy</p>"))]
+    got = {r["snapshot_id"]: r["text"] for r in maintext.main_text(spark.createDataFrame(pages, "snapshot_id long, url string, body string")).collect()}
+    assert got == {1: "Read on\n\nWood ash melts at cone six and runs down the pot\n\nTitle 1", 2: "Read on\n\nBone ash melts at cone six and runs down the pot\n\nTitle 2",
+                   3: "first", **dict.fromkeys((4, 5, 6, 7, 8, 10), "copy"), 9: "last"}
+
+
 def test_op10_keeps_articles(spark, sf):
     rows = queries()["op10_main_text"](spark, sf).collect()
     assert len(rows) == 50 and all(r["n_chars"] == len(r["text"]) > 0 and "track(" not in r["text"] for r in rows)
