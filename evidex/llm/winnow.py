@@ -1,10 +1,13 @@
 """Fingerprints of item descriptions by winnowing, in column expressions only.
 
-The text is cut into pieces (words; longer ones every eight characters). Every four pieces in a row give one
+A run of up to eight characters without blanks is one piece; a longer one gives a piece of eight characters at every
+position, so pieces do not depend on where a run starts. Every four pieces in a row give one
 rolling hash; of every eight hashes in a row the least is kept, the rightmost of equal ones, with its
-position. Two texts that share eleven pieces in a row therefore share a fingerprint, whatever is around
-them, and its positions say where. A text of fewer than eight hashes keeps its least one, a text of fewer than four
-pieces has one hash of all of them.
+position. Two texts that share eleven pieces in a row (18 characters inside runs without blanks) therefore share a fingerprint,
+whatever is around them, and its positions say where. A text of fewer than eight hashes keeps its least one.
+
+A text of up to 64 characters, its blanks run together, keeps besides the hash of its four characters at every
+position (of all of them, if fewer), so that short texts are compared by what they share too. Positions of these are characters.
 
 Hash and position are packed into one number (32 and 31 bits), so a window's choice is a plain
 minimum, found by doubling: three passes over the array. Steps are sealed from each other, so that no array is computed twice.
@@ -18,6 +21,9 @@ from pyspark.sql import functions as F
 from evidex.functions.seal import seal
 
 _LAST = (1 << 31) - 1
+#: At every character: the short run that starts there, else eight characters of a longer run.
+_PIECE = r"(?=((?<!\S)\S{1,8}(?!\S)|\S{8}))\S"
+_SHORT, _GRAM = 64, 4
 
 
 def _later(name: str, by: int) -> Column:
@@ -38,20 +44,25 @@ def fingerprints(items: DataFrame, text: str = "description", prints: str = "pri
     def step(df: DataFrame, value: Column) -> DataFrame:
         return seal(df.withColumn("__w", value), "__w")
 
-    pieces = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S{1,8}"), 0)
-    df = step(items, F.transform(pieces, lambda p: F.xxhash64(p)))
-    df = seal(df.withColumn("__wall", F.when(F.size("__w") > 0, F.xxhash64(F.col("__w")))), "__wall")
+    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
+    packed = lambda h, i: F.shiftleft(low(h), 31).bitwiseOR(F.lit(_LAST).cast("long") - i)
+    none = F.expr("cast(array() as array<bigint>)")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    df = seal(items.withColumn("__wall", F.regexp_replace(F.regexp_replace(whole, r"\s+", " "), "^ | $", "")), "__wall")
+    n = F.char_length("__wall")
+    starts = F.sequence(F.lit(0), F.greatest(n - _GRAM, F.lit(0)))
+    chars = F.transform(starts, lambda i: packed(F.xxhash64(F.substring(F.col("__wall"), i + 1, F.lit(_GRAM))), i))
+    df = seal(df.withColumn("__wall", F.when((n > 0) & (n <= _SHORT), chars).otherwise(none)), "__wall")
+    pieces = F.regexp_extract_all(whole, F.lit(_PIECE), 1)
+    df = step(df, F.transform(pieces, lambda p: F.xxhash64(p)))
     df = step(df, _paired("__w", 1, lambda a, b: F.xxhash64(a, b)))
     df = step(df, _paired("__w", 2, lambda a, b: F.xxhash64(a, b)))
-    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
-    df = step(df, F.when(F.size("__w") > 0, F.transform("__w", lambda h, i: F.shiftleft(low(h), 31).bitwiseOR(F.lit(_LAST).cast("long") - i)))
-              .when(F.col("__wall").isNotNull(), F.array(F.shiftleft(low(F.col("__wall")), 31).bitwiseOR(F.lit(_LAST).cast("long"))))
-              .otherwise(F.expr("cast(array() as array<bigint>)")))
+    df = step(df, F.transform("__w", packed))
     df = seal(df.withColumn("__wmin", F.array_min("__w")).withColumn("__wn", F.size("__w")), "__wmin", "__wn")
     for by in (1, 2, 4):
         df = step(df, _paired("__w", by, lambda a, b: F.least(a, b)))
-    kept = F.when(F.col("__wn") >= 8, F.array_distinct("__w")).when(F.col("__wn") > 0, F.array("__wmin")).otherwise(F.expr("cast(array() as array<bigint>)"))
-    return df.withColumn(prints, kept).drop("__w", "__wall", "__wmin", "__wn")
+    kept = F.when(F.col("__wn") >= 8, F.array_distinct("__w")).when(F.col("__wn") > 0, F.array("__wmin")).otherwise(none)
+    return df.withColumn(prints, F.concat(kept, "__wall")).drop("__w", "__wall", "__wmin", "__wn")
 
 
 def hashes(prints: Column) -> Column:

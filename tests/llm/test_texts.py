@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evidex.llm import bpe, leaks, quality, tokenfile, winnow
@@ -178,6 +179,16 @@ def test_winnowing_by_hand(spark, odd_items):
     assert [(p >> 31, (1 << 31) - 1 - (p & ((1 << 31) - 1))) for p in got["prints"]] == want
 
 
+def test_passages_shifted_in_text_without_blanks(spark):
+    rng = random.Random(5)
+    run = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    shared = run(18)
+    rows = [(0, shared), *[(k, run(90) + run(k) + shared + run(90)) for k in range(1, 17)], (99, run(300)), (100, "iron red glaze"), (101, "iron red slip"), (102, "ash")]
+    found = {r["item_id"]: set(r["h"]) for r in winnow.fingerprints(spark.createDataFrame(rows, EMPTY)).select("item_id", winnow.hashes(F.col("prints")).alias("h")).collect()}
+    assert all(found[1] & found[k] for k in range(2, 17)) and not found[1] & found[99]
+    assert found[100] & found[101] and found[102] and not found[100] & found[102]
+
+
 def test_next_in_global_order(spark):
     for n in (0, 1, 2, 500):
         df = spark.range(n).selectExpr("id * 7 % 500 as k", "id")
