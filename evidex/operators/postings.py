@@ -94,7 +94,7 @@ def matches(index: DataFrame, terms: DataFrame, doc_id: str) -> DataFrame:
     required terms; it scores ``min(1, K / span)`` times the harmonic mean of the field weights of
     the K positions that realise it.
 
-    First pass: one join on term and one hash aggregate that ORs a bit per distinct term. It settles
+    First pass: one join on term and one hash aggregate that counts distinct terms, however many. It settles
     every alternative whose units are single words, drops documents that lack a required word, and
     ranks one-word alternatives (each occurrence is a cover). Second pass, for the documents left:
     their occurrences form a list no longer than the document, and phrases and covers are read off it.
@@ -110,24 +110,19 @@ def matches(index: DataFrame, terms: DataFrame, doc_id: str) -> DataFrame:
             .withColumn("barred", flat(F.filter("excluded", lambda u: F.size(u["terms"]) == 1)))
             .withColumn("vocabulary", F.array_union("words", "barred")))
     bits = F.size("vocabulary")
-    # One bit per word; alternatives of more than 62 words are settled by the second pass alone.
-    plan = plan.withColumn("fits", bits <= 62).withColumn("easy", F.col("fits") & (F.size("words") == 1) & ~F.arrays_overlap("words", "barred")
+    plan = plan.withColumn("easy", (F.size("words") == 1) & ~F.arrays_overlap("words", "barred")
                            & ~F.exists(F.concat("required", "excluded"), lambda u: F.size(u["terms"]) > 1))
-    asked = plan.select("qid", "grp", "fits", F.size("words").alias("n_words"), F.posexplode("vocabulary").alias("bit", "term")).select(
-        "qid", "grp", "term", F.when(F.col("fits"), F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0)).cast("bigint").alias("bit"),
-        (F.col("bit") < F.col("n_words")).alias("wanted"))
+    asked = plan.select("qid", "grp", F.size("words").alias("n_words"), F.posexplode("vocabulary").alias("at", "term")).select(
+        "qid", "grp", "term", (F.col("at") < F.col("n_words")).alias("wanted"))
     # Postings are placed by document once. With a batch of searches small enough for the planner to
     # broadcast, nothing below moves a posting again; a larger batch is joined by shuffling on term.
     index = spread(index, doc_id)
     # A word counts once per document here, so its repeats are summed before searches multiply them.
     per_doc = index.groupBy(doc_id, "term").agg(F.sum("weight").alias("weight"))
     tally = (per_doc.join(asked, "term").groupBy("qid", "grp", doc_id)
-             .agg(F.bit_or("bit").alias("seen"), F.sum(F.when(F.col("wanted"), F.col("weight"))).alias("weight")))
-    need = plan.select("qid", "grp", "easy", "fits", F.expr("shiftleft(1L, size(words)) - 1").alias("need"),
-                       F.expr("shiftleft(1L, size(vocabulary)) - shiftleft(1L, size(words))").alias("bar"))
-    enough = F.col("seen").bitwiseAND(F.col("need")) == F.col("need")
-    clean = F.col("seen").bitwiseAND(F.col("bar")) == 0
-    passed = tally.join(need, ["qid", "grp"]).filter(~F.col("fits") | (enough & clean))
+             .agg(F.count_if("wanted").alias("n_wanted"), F.count_if(~F.col("wanted")).alias("n_barred"), F.sum(F.when(F.col("wanted"), F.col("weight"))).alias("weight")))
+    need = plan.select("qid", "grp", "easy", F.size("words").alias("need"))
+    passed = tally.join(need, ["qid", "grp"]).filter("n_wanted = need and n_barred = 0")
     simple = passed.filter("easy").select("qid", "grp", doc_id, F.round("weight", 6).alias("cover_rank"))
 
     words = plan.filter("not easy").select("qid", "grp", F.explode(F.array_union("words", flat("excluded"))).alias("term"))

@@ -67,6 +67,37 @@ def cover_rank(c: Catalog) -> DataFrame:
     return T.matches(doc_postings(c), T.clauses(c.doc_searches), "doc_id")
 
 
+def _passage_sql(form: str) -> str:
+    return f"""with {Q.doc_index()}, {Q.term_ctes(f'(select * from passage_searches where qid % 4 {form})')}, {Q.match_ctes('dp', 'doc_id')}
+ select distinct qid, doc_id from mt"""
+
+
+def _passages_matched(c: Catalog, form: str) -> DataFrame:
+    terms = T.clauses(c.passage_searches.filter(f"qid % 4 {form}"))
+    return T.matches(doc_postings(c), terms, "doc_id").select("qid", "doc_id").distinct()
+
+
+@check("match_and_whole", _passage_sql("= 0"), "passage_searches")
+def match_and_whole(c: Catalog) -> DataFrame:
+    return _passages_matched(c, "= 0")
+
+
+@check("match_phrase_whole", _passage_sql("= 1"), "passage_searches")
+def match_phrase_whole(c: Catalog) -> DataFrame:
+    return _passages_matched(c, "= 1")
+
+
+@check("match_not_whole", _passage_sql("in (2, 3)"), "passage_searches")
+def match_not_whole(c: Catalog) -> DataFrame:
+    return _passages_matched(c, "in (2, 3)")
+
+
+@check("cover_rank_whole", f"""with {Q.doc_index()}, {Q.term_ctes('passage_searches')}, {Q.match_ctes('dp', 'doc_id')}, {Q.cover_ctes('dp', 'doc_id')}
+ select qid, cast(grp as integer) grp, doc_id, cover_rank from cr""", "passage_searches")
+def cover_rank_whole(c: Catalog) -> DataFrame:
+    return T.matches(doc_postings(c), T.clauses(c.passage_searches), "doc_id")
+
+
 @check("trigram_sim", f"select item_id, round({Q.similarity('a', 'b')}, 6) sim from (select item_id, {Q.grams('name')} a,"
        f" {Q.grams('description')} b from items)", "items")
 def trigram_sim(c: Catalog) -> DataFrame:

@@ -117,6 +117,16 @@ class Catalog:
             """case item_id % 4 when 0 then concat(w[0], ' ', w[1]) when 1 then concat('"', w[0], ' ', w[1], ' ', w[2], '"')
                when 2 then concat(w[0], ' -', w[1]) else concat(w[0], ' ', w[1], ' ', w[2]) end as text""")
 
+    @cached_property
+    def passage_searches(self) -> DataFrame:
+        """Every whole benchmark passage as AND (form 0), phrase (1), its first word without the passage (2) and without its other words (3)."""
+        words = "filter(split(lower(text), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '')"
+        return self.table("benchmark").selectExpr("item_id", f"{words} as w", "explode(array(0, 1, 2, 3)) as form").selectExpr(
+            "item_id * 4 + form as qid",
+            """case form when 0 then array_join(filter(w, x -> x <> 'or'), ' ') when 1 then concat('"', array_join(w, ' '), '"')
+               when 2 then concat(w[0], ' -"', array_join(w, ' '), '"')
+               else concat(w[0], ' ', array_join(transform(filter(w, x -> x <> w[0]), x -> concat('-', x)), ' ')) end as text""")
+
     @cached_property
     def snapshots(self) -> DataFrame:
         """Four fetches of every page: volatile noise on each, real edits on some, one withdrawal."""
@@ -278,6 +288,11 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
  when 1 then '"' || w[1] || ' ' || w[2] || ' ' || w[3] || '"' when 2 then w[1] || ' -' || w[2]
  else w[1] || ' ' || w[2] || ' ' || w[3] end as text
  from (select item_id, [x for x in regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') if x <> ''] w from benchmark)"""),
+    "passage_searches": ("", """select item_id * 4 + form qid, case form when 0 then array_to_string([x for x in w if x <> 'or'], ' ')
+ when 1 then '"' || array_to_string(w, ' ') || '"' when 2 then w[1] || ' -"' || array_to_string(w, ' ') || '"'
+ else w[1] || ' ' || array_to_string(['-' || x for x in w if x <> w[1]], ' ') end as text
+ from (select item_id, [x for x in regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') if x <> ''] w from benchmark)
+ cross join (values (0), (1), (2), (3)) f(form)"""),
     "snapshots": ("", """select url || '#' || page_id url, page_id * 4 + n id, cast(page_id % 4 as integer) maker_id,
  1704067200 + n * 86400 + page_id fetched_s,
  case when page_id % 17 = 0 and n = 3 then 404 when page_id % 19 = 0 and n = 2 then 304

@@ -81,3 +81,16 @@ def test_every_items_evidence_is_listed(catalog):
     listed = load_checks()["evidence_listing_all"].run(catalog)
     known = catalog.evidence.join(catalog.items.join(catalog.makers, "maker_id"), "item_id", "left_semi")
     assert listed.count() == known.count() and listed.select("item_id").distinct().count() == known.select("item_id").distinct().count() > 3
+
+
+def test_whole_passages_are_searched(spark, catalog):
+    from evidex.operators import postings as T
+
+    asked = catalog.passage_searches
+    assert asked.count() == 4 * catalog.table("benchmark").count()
+    assert asked.filter("qid % 4 = 1").selectExpr("min(size(split(text, ' '))) n").first()["n"] >= 15
+    words = [f"w{k}q" for k in range(80)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[1:])), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    searches = spark.createDataFrame([(1, " ".join(words)), (2, '"' + " ".join(words) + '"'), (3, words[1] + ' -"' + " ".join(words) + '"'), (4, " ".join(words[1:]) + " -" + words[0])], "qid long, text string")
+    found = T.matches(T.postings(docs, "doc_id", [(docs.text, 1.0)]), T.clauses(searches), "doc_id")
+    assert {(r["qid"], r["doc_id"]) for r in found.collect()} == {(1, 1), (1, 3), (2, 1), (3, 2), (3, 3), (4, 2)}
