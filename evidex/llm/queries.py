@@ -151,6 +151,29 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("snapshot_id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidex.llm.distinct import distinct_items
+
+    return distinct_items(_items(spark, sf_dir)).withColumnRenamed("item_id", "doc_id")
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidex.llm.manifest import manifest
+
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    met = F.when(touched, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", seen={"n_chars": met})
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evidex.llm.negatives import hard_negatives
+
+    readings = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("item_id"), F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("line"),
+        F.col("embedding").alias("lab"), (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return hard_negatives(readings)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -158,7 +181,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-for _fn in (op1_bpe, op2_quality, op3_substrings, op4_near_duplicates, op5_leaks, op6_fingerprints, op7_revisits, op8_urls, op9_token_files, op10_main_text, pipeline):
+for _fn in (op1_bpe, op2_quality, op3_substrings, op4_near_duplicates, op5_leaks, op6_fingerprints, op7_revisits, op8_urls, op9_token_files, op10_main_text, op11_exact_duplicates, op12_manifest, op13_hard_negatives, pipeline):
     def _run(spark: SparkSession, sf_dir: str, fn=_fn) -> DataFrame:
         return fn(configure(spark), sf_dir)
 
@@ -169,6 +192,22 @@ _CANONICAL = r"""(select h || p || case when q <> '' then '?' || q else '' end f
     regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)?$', '') h, regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') p,
     array_to_string(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')), '&') q
     from (select regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') rest)))"""
+#: CRC-32 of a whole number's digits, bit by bit: each byte is mixed in and followed by eight shifts (-1).
+_CRC = """xor(list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: list_prepend(cast(ord(c) as bigint), list_transform(range(8), lambda i: cast(-1 as bigint)))))),
+ lambda c, e: case when e >= 0 then xor(c, e) else xor(c >> 1, case when c % 2 = 1 then cast(3988292384 as bigint) else 0 end) end), cast(4294967295 as bigint))"""
+_TOUCHED = f"case when {_CRC} % 7 = 0 then n_chars + 1 else n_chars end"
+
+
+def _leaf(n_chars: str) -> str:
+    parts = [f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
+#: The next level of lists of nodes, and one step of a record up to it.
+_NEXT = "select {g}lvl + 1, list_transform(range(0, (len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], ''))) from {t} where len(nodes) > 1"
+_SIBLING = "coalesce(a.nodes[f.k + case when f.k % 2 = 1 then 1 else -1 end], '')"
+_UP = f"""0 as stage, f.lvl + 1 as lvl, (f.k + 1) // 2 as k, sha256(case when f.k % 2 = 1 then f.now || {_SIBLING} else {_SIBLING} || f.now end) as now,
+                f.proof || {_SIBLING} as proof, len(up.nodes) = 1 as done"""
 ORACLES: dict[str, str] = {
     "op3_substrings": f"""
         with d as (select doc_id, {_WORDS} as w from documents),
@@ -203,6 +242,35 @@ ORACLES: dict[str, str] = {
         select page_id, c as canonical_url, outcome, s.id as source_page, case when outcome = 'resolved' then md5(s.html) end as body_md5,
                case when outcome = 'resolved' then cast(length(s.html) as bigint) end as n_chars, case when outcome = 'resolved' then 'max-age=' || page_id end as cache_control,
                case when outcome = 'resolved' then 'text/html' end as content_type from o""",
+    "op11_exact_duplicates": r"""
+        with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as x from documents)
+        select doc_id, min(doc_id) over (partition by x) as keep_id, count(*) over (partition by x) as group_size,
+               doc_id is not distinct from min(doc_id) over (partition by x) as kept, sha256(x) as text_sha256 from t""",
+    "op12_manifest": f"""
+        with recursive h as (select doc_id, lang, {_leaf("n_chars")} as leaf, {_leaf(_TOUCHED)} as seen from documents),
+        o as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) as k from h),
+        a as (select lang, 0 as lvl, list(leaf order by k) as nodes from o group by lang union all {_NEXT.format(t="a", g="lang, ")}),
+        s as (select lang, nodes[1] as subroot, row_number() over (order by lang is not null, lang) as k from a where len(nodes) = 1),
+        b as (select 0 as lvl, list(subroot order by k) as nodes from s union all {_NEXT.format(t="b", g="")}),
+        f as (select o.doc_id, o.lang, o.leaf, o.k as id, 0 as stage, 0 as lvl, o.k as k, o.seen as now, '' as proof, len(a.nodes) = 1 as done
+              from o join a on a.lvl = 0 and a.lang is not distinct from o.lang
+              union all select doc_id, lang, leaf, id, stage, lvl, k, now, proof, done from (
+                select f.doc_id, f.lang, f.leaf, f.id, {_UP} from f join a on f.stage = 0 and not f.done and a.lvl = f.lvl and a.lang is not distinct from f.lang
+                  left join a as up on up.lvl = f.lvl + 1 and up.lang is not distinct from f.lang
+                union all select f.doc_id, f.lang, f.leaf, f.id, 1, 0, s.k, f.now, f.proof, len(a.nodes) = 1 from f join s on f.stage = 0 and f.done and s.lang is not distinct from f.lang join b as a on a.lvl = 0
+                union all select f.doc_id, f.lang, f.leaf, f.id, {_UP.replace("0 as stage", "1 as stage")} from f join b as a on f.stage = 1 and not f.done and a.lvl = f.lvl left join b as up on up.lvl = f.lvl + 1))
+        select doc_id, leaf, s.subroot, b.nodes[1] as root, sha256(proof) as proof_sha256, now as folded_root, now = b.nodes[1] as verified
+        from f join s on f.stage = 1 and f.done and s.lang is not distinct from f.lang join b on len(b.nodes) = 1""",
+    "op13_hard_negatives": """
+        with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+                   where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+                     cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * coalesce(b.v[i], 0))) as bigint) as score
+              from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+        p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+        select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as integer) as rank, vec_id as negative_id, positive_score, score as negative_score
+        from p join s on s.anchor_id = p.anchor_id and not same and 80 * positive_score <= 100 * score and score <= positive_score
+        qualify rank <= 5""",
 }
 
 
