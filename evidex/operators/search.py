@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -49,7 +50,7 @@ def collapse(searches: DataFrame) -> DataFrame:
     """Give equivalent searches one representative (``rep``): each distinct request is evaluated once."""
     scalars = [F.col("lo"), F.col("hi"), F.col("flag")]
     # Parallel identity lists are pairs, not sets: their order is meaning.
-    pairs = F.concat_ws(",", F.transform(F.arrays_zip("codes", "code_makers"), lambda p: F.to_json(p)))
+    pairs = F.when(F.col("codes").isNotNull(), F.concat_ws(",", F.transform(F.arrays_zip("codes", F.coalesce("code_makers", F.array().cast("array<string>"))), lambda p: F.to_json(p))))
     arrays = [F.col(a) for a in FILTER_ARRAYS if a not in ("codes", "code_makers")]
     keyed = searches.withColumn("__key", P.request_key(F.col("text"), F.lit(0), arrays, [*scalars, pairs]))
     reps = keyed.groupBy("__key").agg(F.min("qid").alias("rep"))
@@ -82,8 +83,8 @@ def _texted(t: Tables, asked: DataFrame, index: DataFrame) -> DataFrame:
     return ranked.unionByName(near)
 
 
-def _listed(t: Tables, asked: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep..., item_id) of every item of the makers that each row of ``asked`` allows; the maker is the join key.
+def _listed(t: Tables, asked: DataFrame, keep: list[str], facets: Sequence[str] = ()) -> DataFrame:
+    """(keep..., item_id, facets...) of every item of the makers that each row of ``asked`` allows; the maker is the join key.
 
     Every item also stands under the key -1, where searches without a chosen maker look. A key can
     hold all items, so it is salted: the few searches are repeated, the items are spread.
@@ -91,9 +92,9 @@ def _listed(t: Tables, asked: DataFrame, keep: list[str]) -> DataFrame:
     open_makers = F.col("makers").isNull() | (F.size("makers") == 0)
     keys = F.when(open_makers, F.array(F.lit(-1))).otherwise(F.array_distinct("makers"))
     reach = asked.select(*keep, F.explode(keys).alias("reach")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    filed = t.items.select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int").alias("salt"),
+    filed = t.items.select("item_id", *facets, F.pmod(F.xxhash64("item_id"), F.lit(SALTS)).cast("int").alias("salt"),
                            F.explode(F.array(F.col("maker_id"), F.lit(-1))).alias("reach"))
-    return reach.join(filed, ["reach", "salt"]).select(*keep, "item_id")
+    return reach.join(filed, ["reach", "salt"]).select(*keep, "item_id", *facets)
 
 
 def _browse(t: Tables, asked: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def _browse(t: Tables, asked: DataFrame) -> DataFrame:
 def _permits(t: Tables, searches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Evidence and identity filters as keys: (qid, item_id, have) and, per search, how many are needed."""
     by_clay = F.col("clays").isNotNull() & (F.size("clays") > 0)
-    by_ref = F.col("codes").isNotNull() & (F.size("codes") > 0)
+    by_ref = F.col("codes").isNotNull()  # a stated but empty list allows nothing
     shown = t.evidence.filter("clay is not null").select("item_id", "clay").distinct()
     clay = (searches.filter(by_clay).select("qid", F.explode("clays").alias("clay"))
             .join(shown, "clay").select("qid", "item_id", F.lit(1).alias("bit")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evidex.functions.text import trigram_similarity
 from evidex.operators import postings as T
 from evidex.operators import search as S
+from evidex.operators import search_index as I
 from evidex.operators.fuzzy import similar_texts
 from evidex.plans import sqltext as Q
 from evidex.plans.registry import check
@@ -162,3 +163,35 @@ def flat(hits: DataFrame, *without: str) -> DataFrame:
 def hit_projection(c: Catalog) -> DataFrame:
     page = c.items.select("item_id", F.lit("match").alias("tier"), F.lit(1.0).alias("rank"))
     return flat(S.project_hit(page, tables(c)))
+
+
+def _pages_sql(ctes: str) -> str:
+    return f"""with {ctes}, {Q.ROLL_UP},
+ nb as (select *, row_number() over (partition by qid order by tier, rank desc, code, item_id) as position from sc),
+ pg as (select * from nb where position > page_offset and position <= page_offset + page_limit)
+ select p.qid, p.position, p.item_id, p.code, i.name, i.description, i.line line_code, m.maker_key, cf.cone range_from, ct.cone range_to,
+ s.surface_name, o.opacity_name, array_to_string(i.terms, ',') color_terms, i.flag food_safe, i.price price_min,
+ r.hero_source_url, r.hero_storage_path, r.hero_hex, coalesce(r.coat_levels, 0) coat_levels, coalesce(r.layering_count, 0) layering_count,
+ coalesce(r.clay_bodies_shown, '') clay_bodies_shown, p.tier, p.rank
+ from pg p join items i on i.item_id = p.item_id join makers m on m.maker_id = i.maker_id
+ left join cones cf on cf.ordinal = i.lo left join cones ct on ct.ordinal = i.hi
+ left join surfaces s on s.surface = i.surface left join opacities o on o.opacity = i.opacity
+ left join ru r on r.item_id = p.item_id"""
+
+
+_FOUND = "items evidence clay_vocab makers cones surfaces opacities"
+
+
+@check("index_search", _pages_sql(_SEARCH_CTES), f"searches {_FOUND}")
+def index_search(c: Catalog) -> DataFrame:
+    return _hits(I.search(I.build_index(tables(c)), c.searches))
+
+
+@check("search_edges", _pages_sql(f"{Q.item_index()}, {Q.term_ctes('edge_searches')}, {Q.match_ctes('ip', 'item_id')}, {Q.cover_ctes('ip', 'item_id')}, {Q.SCORED_EDGES}"),
+       f"edge_searches {_FOUND}")
+def search_edges(c: Catalog) -> DataFrame:
+    return _hits(I.search(I.build_index(tables(c)), c.edge_searches))
+
+
+def _hits(hits: DataFrame) -> DataFrame:
+    return flat(hits, "line_name", "ap_seal", "availability", "product_url", "maker_name", "maker_site").withColumn("position", F.col("position").cast("bigint"))

@@ -115,6 +115,27 @@ SCORED = f"""sq as (select *, {grams('text')} qg from searches),
    round(case when blank then 1.0 else greatest(coalesce(ts_rank, 0), sim) end, 6) as rank
    from pr where blank or ts_rank is not null or nsim > 0.25 or csim > 0.30)"""
 
+#: the same with every filter, null texts, and alternatives made of exclusions alone (they rank nothing)
+SCORED_EDGES = f"""sq as (select * replace (coalesce(text, '') as text), {grams("coalesce(text, '')")} qg from edge_searches),
+ ig as (select *, {grams('name')} ng, {grams('code')} cg from items),
+ lk as (select n.qid, i.item_id from (select qid, grp from st group by all having bool_and(negated)) n cross join items i
+   where not exists (select 1 from uh where uh.qid = n.qid and uh.grp = n.grp and uh.item_id = i.item_id)),
+ fts as (select qid, item_id, max(r) ts_rank from (select qid, item_id, cover_rank r from cr union all select qid, item_id, 0.0 from lk) group by all),
+ rf as (select q.qid, i.item_id from (select qid, unnest(codes) code, unnest(code_makers) mk from edge_searches) q join makers m on m.maker_key = lower(trim(q.mk))
+   join items i on i.maker_id = m.maker_id and upper(i.code) = upper(trim(q.code))),
+ pr as (select q.qid, q.text, q.page_limit, q.page_offset, i.item_id, i.code, trim(q.text) = '' blank, f.ts_rank,
+   greatest({similarity('qg', 'ng')}, {similarity('qg', 'cg')}) sim, {similarity('qg', 'ng')} nsim, {similarity('qg', 'cg')} csim
+   from sq q cross join ig i left join fts f on f.qid = q.qid and f.item_id = i.item_id
+   where (q.makers is null or list_contains(q.makers, i.maker_id)) and (q.lines is null or list_contains(q.lines, i.line))
+   and (q.surfaces is null or coalesce(list_contains(q.surfaces, i.surface), false)) and (q.opacities is null or coalesce(list_contains(q.opacities, i.opacity), false))
+   and (q.flag is null or i.flag is not distinct from q.flag)
+   and ((q.lo is null and q.hi is null) or (coalesce(i.lo, 1) <= coalesce(q.hi, 32767) and coalesce(i.hi, 32767) >= coalesce(q.lo, 1)))
+   and (q.clays is null or exists (select 1 from evidence e where e.item_id = i.item_id and list_contains(q.clays, e.clay)))
+   and (q.codes is null or exists (select 1 from rf where rf.qid = q.qid and rf.item_id = i.item_id))),
+ sc as (select qid, item_id, code, page_limit, page_offset, case when blank or coalesce(ts_rank, -1) >= 0.02 then 'match' else 'near' end tier,
+   round(case when blank then 1.0 else greatest(coalesce(ts_rank, 0), sim) end, 6) as rank
+   from pr where blank or ts_rank is not null or nsim > 0.25 or csim > 0.30)"""
+
 
 def delta_e_ctes(source: str, keep: str) -> str:
     """``de(keep..., de)`` of a relation with columns l1 a1 b1 l2 a2 b2, written independently of the library."""

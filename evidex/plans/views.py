@@ -108,6 +108,31 @@ class Catalog:
             "cast(5 + s_suppkey % 3 as int) as page_limit",
             "cast((s_suppkey % 4) * 2 as int) as page_offset")
 
+    @cached_property
+    def edge_searches(self) -> DataFrame:
+        """Searches at the edges, one per supplier: null text, exclusions alone, a quoted ``or``, identity lists (short, empty), every filter."""
+        part = self.table("part").select("p_partkey", "p_name", "p_type")
+        sup = self.table("supplier").select("s_suppkey", "s_nationkey")
+        w1, w2 = "split(p_name, ' ')[0]", "split(p_name, ' ')[1]"
+        return sup.join(part, sup.s_suppkey == part.p_partkey).selectExpr(
+            "s_suppkey as qid",
+            f"""case s_suppkey % 10 when 0 then null when 1 then concat('-', {w1}) when 2 then concat('"', {w1}, ' or ', {w2}, '"')
+                when 3 then concat({w1}, ' or -', {w2}) when 4 then concat(' ', {w2}, ' ', {w1}) when 5 then concat('-', {w1}, ' -', lower(p_type))
+                when 6 then '' when 7 then {w1} when 8 then concat('"', {w1}, ' ', {w2}, '" ', lower(p_type)) else concat({w2}, ' of pc') end as text""",
+            "case when s_suppkey % 4 = 1 then array(1, 3) end as makers",
+            "case when s_suppkey % 9 = 2 then array('SMALL', 'LARGE') end as lines",
+            "case when s_suppkey % 7 = 3 then array(1, 2) end as surfaces",
+            "case when s_suppkey % 3 = 1 then array(1, 2, 4) end as opacities",
+            "case when s_suppkey % 5 = 2 then 8 end as lo",
+            "case when s_suppkey % 5 in (2, 3) then 22 end as hi",
+            "case when s_suppkey % 11 = 5 then false end as flag",
+            "case when s_suppkey % 13 = 4 then array(s_suppkey, s_suppkey + 1) end as clays",
+            "case when s_suppkey % 10 in (6, 7) then case when s_suppkey % 30 = 7 then cast(array() as array<string>) else"
+            " array(concat(' pc-', s_suppkey), concat('PC-', s_suppkey + 1), 'pc-3') end end as codes",
+            "case when s_suppkey % 10 in (6, 7) then case when s_suppkey % 20 = 6 then array('asia', 'EUROPE ') else array('america', 'asia', 'nobody') end end as code_makers",
+            "cast(4 + s_suppkey % 5 as int) as page_limit",
+            "cast(case when s_suppkey % 6 = 5 then -3 else (s_suppkey % 3) * 3 end as int) as page_offset")
+
     @cached_property
     def doc_searches(self) -> DataFrame:
         """Searches over documents: words of the benchmark passages as AND, phrase and negation."""
@@ -283,6 +308,17 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
  case when s_suppkey % 11 = 0 then true end flag,
  case when s_suppkey % 13 = 0 then [s_suppkey, s_suppkey + 1] end clays,
  cast(5 + s_suppkey % 3 as integer) page_limit, cast((s_suppkey % 4) * 2 as integer) page_offset
+ from supplier join (select *, string_split(p_name, ' ') w from part) on s_suppkey = p_partkey"""),
+    "edge_searches": ("", """select s_suppkey qid, case s_suppkey % 10 when 0 then null when 1 then '-' || w[1] when 2 then '"' || w[1] || ' or ' || w[2] || '"'
+ when 3 then w[1] || ' or -' || w[2] when 4 then ' ' || w[2] || ' ' || w[1] when 5 then '-' || w[1] || ' -' || lower(p_type)
+ when 6 then '' when 7 then w[1] when 8 then '"' || w[1] || ' ' || w[2] || '" ' || lower(p_type) else w[2] || ' of pc' end as text,
+ case when s_suppkey % 4 = 1 then [1, 3] end makers, case when s_suppkey % 9 = 2 then ['SMALL', 'LARGE'] end lines,
+ case when s_suppkey % 7 = 3 then [1, 2] end surfaces, case when s_suppkey % 3 = 1 then [1, 2, 4] end opacities,
+ case when s_suppkey % 5 = 2 then 8 end lo, case when s_suppkey % 5 in (2, 3) then 22 end hi, case when s_suppkey % 11 = 5 then false end flag,
+ case when s_suppkey % 13 = 4 then [s_suppkey, s_suppkey + 1] end clays,
+ case when s_suppkey % 10 in (6, 7) then case when s_suppkey % 30 = 7 then [] else [' pc-' || s_suppkey, 'PC-' || (s_suppkey + 1), 'pc-3'] end end codes,
+ case when s_suppkey % 10 in (6, 7) then case when s_suppkey % 20 = 6 then ['asia', 'EUROPE '] else ['america', 'asia', 'nobody'] end end code_makers,
+ cast(4 + s_suppkey % 5 as integer) page_limit, case when s_suppkey % 6 = 5 then 0 else cast((s_suppkey % 3) * 3 as integer) end page_offset
  from supplier join (select *, string_split(p_name, ' ') w from part) on s_suppkey = p_partkey"""),
     "doc_searches": ("", """select item_id qid, case item_id % 4 when 0 then w[1] || ' ' || w[2]
  when 1 then '"' || w[1] || ' ' || w[2] || ' ' || w[3] || '"' when 2 then w[1] || ' -' || w[2]
