@@ -81,10 +81,27 @@ def array_text(col: Column) -> Column:
     return F.array_join(col, " ")
 
 
-def light_stem(token: Column) -> Column:
-    """Plural folding: the suffix rules of Porter (1980), step 1a. Words of up to three letters stay."""
-    shorter = lambda n: F.substring(token, F.lit(1), F.length(token) - n)
-    return (F.when(F.length(token) <= 3, token)
-            .when(F.endswith(token, F.lit("sses")) | F.endswith(token, F.lit("ies")), shorter(2))
-            .when(F.endswith(token, F.lit("s")) & ~F.endswith(token, F.lit("ss")), shorter(1))
-            .otherwise(token))
+#: A consonant, a vowel, and the place where an ending was cut off; a ``y`` that is a vowel is written ``Y``.
+_C, _V, _CUT = "[^aeiouY]", "[aeiouY]", "\u0001"
+#: Step 1 of Porter (1980) as replacements, one after the other (fixed values).
+PORTER_STEP_1 = (
+    (r"sses$", "ss"), (r"ies$", "i"), (r"([^s])s$", "$1"),                      # 1a
+    (r"([^aeiou])y", "$1Y"),
+    (rf"({_V}{_C}.*)eed$", "$1ee"),                                              # 1b, measure above 0
+    (rf"^(.*{_V}.*[^e]|.*[aiouY])ed$", "$1" + _CUT), (rf"^(.*{_V}.*)ing$", "$1" + _CUT),
+    (rf"(at|bl|iz){_CUT}$", "$1e"), (rf"([^aeiouYlsz])\1{_CUT}$", "$1"),
+    (rf"^({_C}+{_V}[^aeiouYwxy]){_CUT}$", "$1e"), (rf"{_CUT}$", ""),             # measure 1, ending *o
+    (rf"^(.*{_V}.*)[yY]$", "$1i"), ("Y", "y"),                                   # 1c
+)
+
+
+def stemmed(token: Column) -> Column:
+    """A lower-case token without plural, ``-ed`` and ``-ing``, a final ``y`` as ``i``: step 1 of Porter (1980). Up to two letters stay.
+
+    Only tokens with one of these endings are rewritten, by patterns in a row, so the token is written twice however many there are.
+    """
+    out = token
+    for pattern, text in PORTER_STEP_1:
+        out = F.regexp_replace(out, pattern, text)
+    ends = F.substring(token, -1, 1).isin("s", "d", "g", "y")
+    return F.when((F.length(token) > 2) & ends, out).otherwise(token)

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.functions.text import light_stem, tokens
+from evidex.functions.text import stemmed, tokens
 from evidex.session import spread
 
 # --- fixed values: English stop words left out of the index -------------------------------------
@@ -24,7 +24,7 @@ UNIT = r'-?"[^"]*"|\S+'
 
 def terms_of(col: Column) -> Column:
     """Index terms of a text: stemmed tokens, stop words kept in place as null so positions hold."""
-    return F.transform(tokens(col), lambda t: F.when(~t.isin(STOP_WORDS), light_stem(t)))
+    return F.transform(tokens(col), lambda t: F.when(~t.isin(STOP_WORDS), stemmed(t)))
 
 
 def postings(docs: DataFrame, doc_id: str, fields: Sequence[tuple[Column, float]]) -> DataFrame:
@@ -43,7 +43,7 @@ def postings(docs: DataFrame, doc_id: str, fields: Sequence[tuple[Column, float]
     for i in reversed(range(len(fields) - 1)):
         weight = F.when(F.col("pos") < F.col(f"__e{i}"), fields[i][1]).otherwise(weight)
     return placed.filter(~F.col("token").isin(STOP_WORDS)).select(
-        doc_id, "pos", light_stem(F.col("token")).alias("term"), weight.alias("weight"))
+        doc_id, "pos", stemmed(F.col("token")).alias("term"), weight.alias("weight"))
 
 
 def clauses(searches: DataFrame, qid: str = "qid", text: str = "text") -> DataFrame:

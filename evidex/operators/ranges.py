@@ -7,36 +7,66 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.functions.intervals import ordinals
 from evidex.operators.ordered import attach, ordered_scan, top_per_key
-from evidex.vocabulary import LOWEST_ORDINAL
+from evidex.vocabulary import HIGHEST_ORDINAL, LOWEST_ORDINAL
 
 
-def overlapping(wants: DataFrame, items: DataFrame, want_id: str, item_id: str, salts: int = 16) -> DataFrame:
-    """(want, item) whose [lo, hi] ranges meet; unknown ends reach the scale's ends.
+def _nodes(lo: Column, hi: Column, bits: int) -> Column:
+    """The nodes of a binary tree over 0 .. 2^bits - 1 that make up ``lo`` to ``hi``: at most two a level, as ``level * 2^(bits + 1) + number``."""
+    def at(level: Column) -> Column:
+        left = F.call_function("shiftright", lo + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level)
+        right = F.call_function("shiftright", hi + 1, level)
+        base = level.cast("long") * F.lit(1 << (bits + 1)).cast("long")
+        some = left < right
+        return F.array(F.when(some & (left % 2 == 1), base + left), F.when(some & (right % 2 == 1), base + right - 1))
 
-    Ranges are filed under every ordinal they cover (the scale has a few dozen) and meet by equality;
-    a pair is kept at its first shared ordinal only, so nothing needs to be made distinct. An ordinal
-    can hold a large share of all items, so items are salted and the wants repeated per salt.
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bits)), at))
+    return F.when(lo <= hi, F.filter(every, lambda n: n.isNotNull()))
+
+
+def _above(point: Column, bits: int) -> Column:
+    """The nodes over one point."""
+    return F.transform(F.sequence(F.lit(0), F.lit(bits)), lambda level: level.cast("long") * F.lit(1 << (bits + 1)).cast("long") + F.call_function("shiftright", point, level))
+
+
+def overlapping(wants: DataFrame, items: DataFrame, want_id: str, item_id: str, lowest: int = LOWEST_ORDINAL, highest: int = HIGHEST_ORDINAL) -> DataFrame:
+    """(want, item) whose [lo, hi] ranges meet on a scale of whole numbers; unknown ends reach the scale's ends.
+
+    A range is at most two nodes a level of a binary tree over the scale, a point stands under one node a level. Two ranges meet
+    if the start of one lies in the other: an item's start in the want, or a want's start in the item behind the item's
+    own; so each pair is found at one node, on any scale, by equality.
     """
-    first = F.greatest(F.coalesce("lo", F.lit(LOWEST_ORDINAL)), F.lit(LOWEST_ORDINAL))
-    asked = (wants.select(want_id, first.alias("__wlo"), F.explode(ordinals(F.col("lo"), F.col("hi"))).alias("ordinal"))
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    filed = items.select(item_id, first.alias("__ilo"), F.pmod(F.xxhash64(item_id), F.lit(salts)).cast("int").alias("salt"),
-                         F.explode(ordinals(F.col("lo"), F.col("hi"))).alias("ordinal"))
-    return (asked.join(filed, ["ordinal", "salt"])
-            .filter(F.col("ordinal") == F.greatest("__wlo", "__ilo")).select(want_id, item_id))
+    bits = max(1, (highest - lowest).bit_length())
+
+    def placed(df: DataFrame, key: str) -> DataFrame:
+        lo = F.greatest(F.coalesce("lo", F.lit(lowest)), F.lit(lowest)).cast("long") - F.lit(lowest).cast("long")
+        hi = F.least(F.coalesce("hi", F.lit(highest)), F.lit(highest)).cast("long") - F.lit(lowest).cast("long")
+        return df.select(key, lo.alias("lo"), hi.alias("hi")).filter("lo <= hi")
+
+    asked, filed = placed(wants, want_id), placed(items, item_id)
+    from_item = (asked.select(want_id, F.explode(_nodes(F.col("lo"), F.col("hi"), bits)).alias("node"))
+                 .join(filed.select(item_id, F.explode(_above(F.col("lo"), bits)).alias("node")), "node"))
+    from_want = (asked.select(want_id, F.explode(_above(F.col("lo"), bits)).alias("node"))
+                 .join(filed.select(item_id, F.explode(_nodes(F.col("lo") + 1, F.col("hi"), bits)).alias("node")), "node"))
+    return from_item.unionByName(from_want).select(want_id, item_id)
 
 
-def runs(cells: DataFrame, key: str, cell: str) -> DataFrame:
-    """Maximal runs of consecutive cells: (key, first, last, length).
+def runs(cells: DataFrame, key: str, cell: str, slice_cells: int = 4096) -> DataFrame:
+    """Maximal runs of consecutive cells: (key, first, last, length), ``length`` a long.
 
-    Cells are distinct per key before the window, so a key is bounded by the cell domain.
+    Cells are numbered inside slices of the scale, so no window holds a key. A run that touches neither end of its slice is
+    whole; of the others, at most two a slice, those that continue one another are joined by a running count of breaks.
     """
-    numbered = cells.select(key, cell).distinct().withColumn(
-        "__run", F.col(cell) - F.row_number().over(Window.partitionBy(key).orderBy(cell)))
-    return numbered.groupBy(key, "__run").agg(
-        F.min(cell).alias("first"), F.max(cell).alias("last"), F.count(F.lit(1)).alias("length")).drop("__run")
+    place = F.floor(F.col(cell) / slice_cells)
+    numbered = cells.select(key, cell).distinct().withColumn("__slice", place)
+    run = F.col(cell) - F.row_number().over(Window.partitionBy(key, "__slice").orderBy(cell))
+    found = numbered.withColumn("__run", run).groupBy(key, "__slice", "__run").agg(F.min(cell).alias("first"), F.max(cell).alias("last"))
+    edge = (F.col("first") == F.col("__slice") * slice_cells) | (F.col("last") == (F.col("__slice") + 1) * slice_cells - 1)
+    order = Window.partitionBy(key).orderBy("first")
+    edges = found.filter(edge).withColumn("__new", F.coalesce(F.lag("last").over(order) + 1 != F.col("first"), F.lit(True)).cast("long"))
+    joined = edges.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    whole = found.filter(~edge).select(key, "first", "last").unionByName(joined.select(key, "first", "last"))
+    return whole.withColumn("length", (F.col("last") - F.col("first") + 1).cast("long"))
 
 
 def longest_run(found: DataFrame, key: str) -> DataFrame:

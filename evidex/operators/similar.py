@@ -1,78 +1,99 @@
 """Items like a given item: the k best by shared features, for every anchor at once.
 
-Joining items on a shared feature emits every pair of a common feature. Instead, each item is filed
-under every subset of its features, a bucket keeps its first k + 1 items in (code, id) order, and an
-anchor looks up the buckets of its own subsets. An item's score is the weight of the largest subset
-it shares, so the best k are found exactly:  were an item missing from the bucket of all it shares
-with the anchor, k others sharing at least as much would stand before it in the final order.
-
-The number of subsets is 2^features. Items with more than ``wide`` features are too many subsets to
-file; pairs with such an item are scored through the plain feature index, which is exact too.
+Items with equal features are one profile, which keeps its first k + 1 items in (code, id) order and is asked once. A profile
+reads the lists of its own features in falling weight (the shorter list first): who shares none of those read so far shares at most
+the weight of the rest. Once its k-th score is above that, nothing unread can enter, and it stops; profiles that go on read twice as
+many lists in the next round. A pair is scored at its first shared list only. Lists that many profiles share are cut by their count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.operators.ordered import top_per_key
+from evidex.session import spread, stored
 from evidex.vocabulary import SIMILARITY_WEIGHTS
 
-_SUBSETS = """transform(sequence(1, cast(shiftleft(1, size(features)) as int) - 1),
-    m -> filter(features, (f, i) -> shiftrightunsigned(m, i) % 2 = 1))"""
+#: Profiles of one list in one shard.
+SHARD_ROWS = 10_000
+#: Features with a weight of their own kind, besides the words.
+KINDS = ("surface", "opacity", "line")
 
 
 def features(items: DataFrame, terms: str = "terms", weights: dict[str, int] = SIMILARITY_WEIGHTS) -> DataFrame:
     """(item_id, code, features): sorted (kind, value, weight) structs; what is not stated is not a feature."""
-    def one(kind: str, value) -> object:
+    def one(kind: str, value) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"), F.lit(weights[kind]).alias("weight"))
 
     words = F.transform(F.array_distinct(F.coalesce(F.col(terms), F.array().cast("array<string>"))), lambda t: one("term", t))
-    scalars = F.array(*[F.when(F.col(kind).isNotNull(), one(kind, F.col(kind)))
-                        for kind in ("surface", "opacity", "line")])
+    scalars = F.array(*[F.when(F.col(kind).isNotNull(), one(kind, F.col(kind))) for kind in KINDS])
     every = F.filter(F.concat(words, scalars), lambda f: f.isNotNull() & f["value"].isNotNull())
     return items.select("item_id", "code", F.array_sort(every).alias("features"))
 
 
-def _score(subset) -> object:
-    return F.aggregate(subset, F.lit(0), lambda acc, f: acc + f["weight"])
+def _weight(shared: Column) -> Column:
+    return F.aggregate(shared, F.lit(0), lambda acc, f: acc + f["weight"])
 
 
-def similar_items(items: DataFrame, k: int = 12, anchors: DataFrame | None = None, wide: int = 10) -> DataFrame:
+def _profiles(described: DataFrame, k: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(profiles with their features in reading order and their first items, the lists of all features)."""
+    first = top_per_key(described, ["features"], [F.col("code"), F.col("item_id")], k + 1, "place")
+    held = first.groupBy("features").agg(F.collect_list(F.struct("code", "item_id")).alias("held"))
+    # Numbered once and stored, so the numbers do not depend on when they are read.
+    numbered = stored(held.withColumn("profile", F.monotonically_increasing_id()), "profiles")
+    single = numbered.select("profile", F.explode("features").alias("f"))
+    counts = stored(single.groupBy("f").agg(F.count(F.lit(1)).alias("n")).withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int")), "feature-counts")
+    order = single.join(counts, "f").groupBy("profile").agg(F.array_sort(F.collect_list(F.struct((-F.col("f.weight")).alias("less"), "n", "f", "shards"))).alias("reading"))
+    whole = stored(numbered.join(order, "profile"), "readings")
+    shard = F.pmod(F.xxhash64("profile"), F.col("r.shards")).cast("int").alias("shard")
+    lists = whole.select("held", F.col("features").alias("others"), "profile", F.explode("reading").alias("r")).select(F.col("r.f").alias("f"), shard, "others", "held")
+    return whole, lists
+
+
+def _first_items(found: DataFrame, k: int) -> DataFrame:
+    return top_per_key(found, ["profile"], [F.desc("score"), F.col("code"), F.col("item_id")], k + 1, "nth").drop("nth")
+
+
+def similar_items(items: DataFrame, k: int = 12, anchors: DataFrame | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(anchor_id, item_id, score, position), best first by (score desc, code, id); zero scores never appear."""
     described = features(items).filter(F.size("features") > 0)
     asking = described if anchors is None else described.join(anchors.select("item_id"), "item_id", "left_semi")
-    narrow = described.filter(F.size("features") <= wide)
-
-    filed = narrow.select("item_id", "code", F.explode(F.expr(_SUBSETS)).alias("subset"))
-    buckets = top_per_key(filed, ["subset"], [F.col("code"), F.col("item_id")], k + 1, "place").drop("place")
-    # A bucket is one row of at most k + 1 items, so an anchor's lookup is a key join.
-    packed = buckets.groupBy("subset").agg(F.collect_list(F.struct("code", "item_id")).alias("held"))
-    # Equal descriptions ask the same question: answer it once per distinct description.
-    profiles = asking.filter(F.size("features") <= wide).select("features").distinct()
-    asked = profiles.select("features", F.explode(F.expr(_SUBSETS)).alias("subset"))
-    found = (asked.join(packed, "subset")
-             .select("features", _score(F.col("subset")).alias("score"), F.explode("held").alias("h"))
-             .groupBy("features", F.col("h.item_id").alias("item_id"), F.col("h.code").alias("code"))
-             .agg(F.max("score").alias("score")))
-    best = top_per_key(found, ["features"], [F.desc("score"), F.col("code"), F.col("item_id")], k + 1)
-    lists = best.groupBy("features").agg(F.collect_list(F.struct("score", "code", "item_id")).alias("held"))
-    easy = (asking.filter(F.size("features") <= wide).select(F.col("item_id").alias("anchor_id"), "features")
-            .join(lists, "features")
-            .select("anchor_id", F.explode("held").alias("h"))
-            .select("anchor_id", "h.item_id", "h.code", "h.score").filter("item_id <> anchor_id"))
-
-    pairs = easy.unionByName(_wide_pairs(described, asking, wide))
+    profiles, lists = _profiles(described, k, shard_rows)
+    longest = profiles.agg(F.max(F.size("features"))).first()[0] or 0
+    mine = profiles.select("profile", "features", "reading")
+    open_ = mine if anchors is None else mine.join(asking.select("features").distinct(), "features", "left_semi")
+    best, done, start, end = None, [], 0, 1
+    while start < longest:
+        found = _read(open_, lists, start, end, k)
+        best = stored(_first_items(found if best is None else found.unionByName(best.join(open_.select("profile"), "profile", "left_semi")), k), "best")
+        rest = F.aggregate(F.slice("reading", end + 1, longest), F.lit(0), lambda acc, r: acc - r["less"])
+        kth = best.groupBy("profile").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+        judged = open_.join(kth, "profile", "left")
+        over = (F.size("reading") <= end) | (F.coalesce("n", F.lit(0)) > k) & (F.col("least") > rest)
+        done.append(best.join(judged.filter(over).select("profile"), "profile", "left_semi"))
+        open_ = stored(judged.filter(~F.coalesce(over, F.lit(False))).select("profile", "features", "reading"), "open")
+        if open_.isEmpty():
+            break
+        start, end = end, 2 * end + 1
+    every = done[0] if done else None
+    for more in done[1:]:
+        every = every.unionByName(more)
+    if every is None:
+        return items.sparkSession.createDataFrame([], "anchor_id long, item_id long, score int, position int")
+    answers = every.groupBy("profile").agg(F.collect_list(F.struct("score", "code", "item_id")).alias("held"))
+    pairs = (asking.select(F.col("item_id").alias("anchor_id"), "features").join(profiles.select("profile", "features"), "features").join(answers, "profile")
+             .select("anchor_id", F.explode("held").alias("h")).select("anchor_id", "h.item_id", "h.code", "h.score").filter("item_id <> anchor_id"))
     w = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "code", "item_id")
     return (pairs.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
             .select("anchor_id", "item_id", F.col("score").cast("int").alias("score"), "position"))
 
 
-def _wide_pairs(described: DataFrame, asking: DataFrame, wide: int) -> DataFrame:
-    """Scores of pairs in which either item has more than ``wide`` features."""
-    index = described.select("item_id", "code", (F.size("features") > wide).alias("w"), F.explode("features").alias("f"))
-    ask = asking.select(F.col("item_id").alias("anchor_id"), (F.size("features") > wide).alias("aw"), F.explode("features").alias("f"))
-    to_wide = ask.join(index.filter("w").drop("w"), "f").drop("aw")
-    from_wide = ask.filter("aw").drop("aw").join(index.filter("not w").drop("w"), "f")
-    return (to_wide.unionByName(from_wide).filter("item_id <> anchor_id")
-            .groupBy("anchor_id", "item_id", "code").agg(F.sum("f.weight").cast("int").alias("score")))
+def _read(open_: DataFrame, lists: DataFrame, start: int, end: int, k: int) -> DataFrame:
+    """(profile, score, code, item_id) of what the profiles meet in their lists ``start`` to ``end``."""
+    part = open_.select("profile", "features", F.slice("reading", 1, end).alias("read")).select("profile", "features", "read", F.posexplode("read").alias("at", "r")).filter(F.col("at") >= start)
+    asked = part.select("profile", "features", F.col("r.f").alias("f"), F.slice(F.transform("read", lambda r: r["f"]), F.lit(1), F.col("at")).alias("before"), F.explode(F.sequence(F.lit(0), F.col("r.shards") - 1)).alias("shard"))
+    met = spread(asked, "f", "shard").join(lists, ["f", "shard"]).filter(~F.arrays_overlap("before", "others"))
+    scored = met.select("profile", _weight(F.array_intersect("features", "others")).alias("score"), F.explode("held").alias("h"))
+    return _first_items(scored.select("profile", "score", "h.code", "h.item_id"), k)
+

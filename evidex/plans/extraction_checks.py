@@ -11,6 +11,7 @@ from evidex.operators.snapshots import newest
 from evidex.plans.registry import check
 from evidex.plans.views import Catalog
 from evidex.session import shared_dir
+from evidex.sources import files
 from evidex.sources import html_pages as H
 from evidex.sources import json_products as J
 from evidex.sources import sitemap
@@ -171,3 +172,16 @@ def crop_boxes(c: Catalog) -> DataFrame:
     sized = c.table("pages").selectExpr("page_id", "200 + length(html) % 900 as w", "100 + length(html) % 700 as h")
     boxes = sized.select("page_id", centre_box(F.col("w"), F.col("h")).alias("c"), inset_box(F.lit(10), F.lit(20), F.col("w"), F.col("h")).alias("i"))
     return boxes.select("page_id", F.col("c.left").alias("cx0"), F.col("c.bottom").alias("cy1"), F.col("i.left").alias("ix0"), F.col("i.bottom").alias("iy1"))
+
+
+@check("content_files", r"""select 'p/' || substr(h, 1, 2) || '/' || h || '.jpg' storage_key, bytes, count(*) n_paths, count(distinct s_suppkey) n_owner, min(s_suppkey) first_owner from (
+ select s_suppkey, sha256(b || chr(10)) h, octet_length(encode(b)) + 1 bytes from (select s_suppkey, n_name || ' 0x' || (s_suppkey % 3) b from supplier join nation on n_nationkey = s_nationkey)) group by all""")
+def content_files(c: Catalog) -> DataFrame:
+    """A picture file per supplier, many of them with one content, landed below a folder each."""
+    root = shared_dir(c.spark, "pictures")
+    pictures = c.table("supplier").join(c.table("nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey").selectExpr(
+        "s_suppkey as owner", "concat(n_name, ' 0x', s_suppkey % 3) as content")
+    pictures.repartition("owner").write.partitionBy("owner").text(root)
+    found = files.read_files(c.spark, root, "part-*").withColumn("owner", F.regexp_extract("path", "/owner=([0-9]+)/", 1).cast("bigint"))
+    first = found.groupBy("sha256").agg(F.min("owner").alias("first_owner"))
+    return files.stored_once(found, "owner").join(first, "sha256").select("storage_key", "bytes", "n_paths", "n_owner", "first_owner")

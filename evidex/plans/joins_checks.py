@@ -114,6 +114,20 @@ def interval_join(c: Catalog) -> DataFrame:
     return pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n_items"), F.sum("item_id").alias("ids"))
 
 
+@check("interval_join_times", """with w as (select s_suppkey qid, case when s_suppkey % 50 = 7 then null else 1704067200000000 + (s_suppkey * 7919 % 720) * 3600000000 end lo,
+   1704067200000000 + (s_suppkey * 7919 % 720) * 3600000000 + case when s_suppkey % 50 = 7 then 0 else s_suppkey % 4 * 900000000 end hi from supplier),
+ i as (select event_id, us lo, case when event_id % 100 <> 3 then us + cast(floor(value) as bigint) * 1000000 end hi from evs where value is not null)
+ select qid, count(*) n_items, cast(sum(event_id) as bigint) ids, min(event_id) least from w join i on i.lo <= w.hi and coalesce(i.hi, 1706745600000000) >= coalesce(w.lo, 1704067200000000) group by qid""", "evs")
+def interval_join_times(c: Catalog) -> DataFrame:
+    """Windows of a month, in microseconds, and what was going on in them; some ends are unknown."""
+    start, end = 1_704_067_200_000_000, 1_706_745_600_000_000
+    first = f"{start} + (s_suppkey * 7919 % 720) * 3600000000"
+    want = c.table("supplier").selectExpr("s_suppkey as qid", f"case when s_suppkey % 50 <> 7 then {first} end as lo", f"{first} + case when s_suppkey % 50 = 7 then 0 else s_suppkey % 4 * 900000000 end as hi")
+    going = c.events.filter("value is not null").selectExpr("event_id", "us as lo", "case when event_id % 100 <> 3 then us + cast(floor(value) as bigint) * 1000000 end as hi")
+    pairs = overlapping(want, going, "qid", "event_id", start, end)
+    return pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n_items"), F.sum("event_id").alias("ids"), F.min("event_id").alias("least"))
+
+
 @check("similar_items", """with ft as (select item_id, code, unnest(list_distinct(terms)) v, 'term' k, 3 w from items union all select item_id, code, cast(surface as varchar), 'surface', 2 from items where surface is not null
  union all select item_id, code, cast(opacity as varchar), 'opacity', 2 from items where opacity is not null union all select item_id, code, line, 'line', 1 from items where line is not null),
  pr as (select a.item_id anchor_id, b.item_id, b.code, sum(b.w) score from ft a join ft b on a.k = b.k and a.v = b.v and a.item_id <> b.item_id group by all)

@@ -10,9 +10,19 @@ def tokens(x: str) -> str:
 
 
 def stem(t: str) -> str:
-    return (f"case when length({t}) <= 3 then {t} when {t} like '%sses' then regexp_replace({t}, 'sses$', 'ss') "
-            f"when {t} like '%ies' then regexp_replace({t}, 'ies$', 'i') "
-            f"when regexp_matches({t}, '[^s]s$') then {t}[:-2] else {t} end")
+    """Porter's step 1, written with named steps instead of back references."""
+    def bound(value: str, name: str, body: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    a = f"case when {t} like '%sses' then {t}[:-3] when {t} like '%ies' then {t}[:-3] when regexp_matches({t}, '[^s]s$') then {t}[:-2] else {t} end"
+    marked = f"regexp_replace({a}, '([^aeiou])y', '\\1Y', 'g')"
+    has = "regexp_matches({0}, '[aeiouY]')"
+    twice = "(len(r) > 1 and r[-1] = r[-2] and r[-1] not in ('a', 'e', 'i', 'o', 'u', 'Y', 'l', 's', 'z'))"
+    cleaned = f"case when regexp_matches(r, '(at|bl|iz)$') then r || 'e' when {twice} then r[:-2] when regexp_matches(r, '^[^aeiouY]+[aeiouY][^aeiouYwxy]$') then r || 'e' else r end"
+    cut_ed, cut_ing = bound("w[:-3]", "r", f"case when {has.format('r')} then {cleaned} else w end"), bound("w[:-4]", "r", f"case when {has.format('r')} then {cleaned} else w end")
+    b = bound(marked, "w", f"case when w like '%eed' then case when regexp_matches(w[:-4], '[aeiouY][^aeiouY]') then w[:-2] else w end when w like '%ed' then {cut_ed} when w like '%ing' then {cut_ing} else w end")
+    c = bound(b, "w", f"case when lower(w) like '%y' and {has.format('w[:-2]')} then w[:-2] || 'i' else w end")
+    return f"(case when length({t}) <= 2 then {t} else replace({c}, 'Y', 'y') end)"
 
 
 def stop_list() -> str:

@@ -74,6 +74,15 @@ def dense_runs(c: Catalog) -> DataFrame:
     return ranges.longest_run(ranges.runs(_hours(c), "user_id", "cell"), "user_id")
 
 
+@check("dense_runs_all", """with c as (select distinct user_id, us // 3600000000 cell from evs),
+ n as (select *, cell - row_number() over (partition by user_id order by cell) run from c)
+ select user_id, min(cell) first, max(cell) last, count(*) length from n group by user_id, run""", "evs")
+def dense_runs_all(c: Catalog) -> DataFrame:
+    """Every run of hours with an event of any type; slices of a day make most runs cross one."""
+    cells = c.events.select("user_id", F.floor(F.col("us") / 3_600_000_000).alias("cell"))
+    return ranges.runs(cells, "user_id", "cell", slice_cells=24)
+
+
 @check("widest_gap_cut", """with p as (select distinct user_id, us from evs), g as (select *, lead(us) over (partition by user_id order by us) - us gap from p),
  w as (select *, row_number() over (partition by user_id order by gap desc, us desc) rn from g where gap > 3600000000),
  c as (select user_id, list(us) cuts from w where rn <= 2 group by user_id having count(*) = 2),
