@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.operators.merge import TAKE_NEW
 from evidex.plans.aggregates_checks import issue_log
 from evidex.plans.extraction_checks import J
 from evidex.plans.folds_checks import MARKS_SQL
@@ -15,16 +14,18 @@ from evidex.plans.views import Catalog
 from evidex.plans.windows_checks import CHANGE_SQL, NOISE
 from evidex.session import shared_dir
 from evidex.streaming import batches as B
-from evidex.streaming import keyed as K
+from evidex.streaming import keyed
+from evidex.streaming import timed as K
 
 
-def land(c: Catalog, df: DataFrame, part: str, parts: int, key: str, name: str) -> DataFrame:
-    """Write ``df`` as files that arrive one part after another, and read them as a stream."""
+def land(c: Catalog, df: DataFrame, part: str, parts: int, key: str, name: str, apart: bool = False) -> DataFrame:
+    """Write ``df`` as files that arrive one part after another, and read them as a stream; ``apart`` makes each part a batch."""
     path = shared_dir(c.spark, name)
     cut = df.withColumn("part", F.expr(part).cast("int"))
     for i in range(parts):
-        cut.filter(F.col("part") == i).drop("part").repartition(key).write.mode("append").parquet(path)
-    return c.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
+        mine = cut.filter(F.col("part") == i).drop("part")
+        (mine.repartition(1) if apart else mine.repartition(key)).write.mode("append").parquet(path)
+    return c.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1 if apart else 8).parquet(path)
 
 
 def drain(c: Catalog, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -51,20 +52,20 @@ QUARTER = "least(3, (us - 1704067200000000) div (8 * 86400000000))"
 @check("stream_change_detect", CHANGE_SQL, "snapshots")
 def stream_change_detect(c: Catalog) -> DataFrame:
     log = land(c, c.snapshots, "id % 4", 4, "url", "snapshots")
-    return drain(c, K.change_stream(log, NOISE), "changes")
+    return drain(c, keyed.change_stream(log, NOISE), "changes")
 
 
 @check("stream_latest", """select user_id, event_id, ticket from (select *, cast(value * 100 as bigint) ticket, max(cast(value * 100 as bigint)) over (partition by user_id order by us, event_id) best from evs)
  where ticket = best""", "evs")
 def stream_latest(c: Catalog) -> DataFrame:
     tickets = c.events.select("user_id", "us", "event_id", F.round(F.col("value") * 100).cast("bigint").alias("ticket"))
-    out = drain(c, K.latest_stream(land(c, tickets, QUARTER, 4, "user_id", "tickets"), "user_id"), "latest")
+    out = drain(c, keyed.latest_stream(land(c, tickets, QUARTER, 4, "user_id", "tickets"), "user_id"), "latest")
     return out.filter("not stale").drop("stale")
 
 
 @check("stream_marks", f"with {MARKS_SQL} select key, state, favorite, nullif(note, '~') note from mk", "marks_log")
 def stream_marks(c: Catalog) -> DataFrame:
-    out = drain(c, K.marks_stream(land(c, c.marks_log, QUARTER, 4, "key", "marks")), "live", mode="update")
+    out = drain(c, keyed.marks_stream(land(c, c.marks_log, QUARTER, 4, "key", "marks")), "live", mode="update")
     last = out.groupBy("key").agg(F.max_by(F.struct("state", "favorite", "note"), "seq").alias("m"))
     return last.select("key", "m.*").filter("state is not null")
 
@@ -75,21 +76,31 @@ def stream_debounce(c: Catalog) -> DataFrame:
     requests = c.events.select("user_id", "us", "event_id", F.col("ts").cast("timestamp").alias("at"))
     log = land(c, requests, QUARTER, 4, "user_id", "requests").withColumn("at", F.col("at"))
     # Parts land whole, so events of one part may arrive in any order; parts are in order.
-    return drain(c, K.debounce_stream(log, "user_id", "at", "2 hours", "1 minute"), "debounced")
+    return drain(c, keyed.debounce_stream(log, "user_id", "at", "2 hours", "1 minute"), "debounced")
 
 
 @check("stream_issues", f"""with {_ISSUES}, fl as (select maker_id, kind, subject, min(seen_s) opened_s, max(seen_s) seen_s, arg_max(detail, {{'s': seen_s, 'd': detail}}) detail from lg group by all)
  select maker_id, kind, subject, seen_s, detail from fl""", "evs")
 def stream_issues(c: Catalog) -> DataFrame:
-    found = issue_log(c).withColumn("opened_s", F.col("seen_s")).withColumn("resolved_s", F.lit(None).cast("bigint"))
-    columns = ["maker_id", "kind", "subject", "opened_s", "seen_s", "detail", "resolved_s"]
+    found = issue_log(c).withColumn("opened_s", F.col("seen_s"))
+    columns = ["maker_id", "kind", "subject", "opened_s", "seen_s", "detail"]
     log = land(c, found.select(*columns, (F.col("seen_s") * 1_000_000).alias("us")), QUARTER, 4, "subject", "issues")
     root = shared_dir(c.spark, "issue-queue")
-    queue = B.KeyedTable(c.spark, f"{root}/queue", found.select(*columns).schema, ["maker_id", "kind", "subject"], buckets=8)
+    queue = B.issue_table(c.spark, f"{root}/queue")
     B.issue_stream(log.select(*columns), queue, f"{root}/checkpoint").awaitTermination()
     return queue.read().select("maker_id", "kind", "subject", "seen_s", "detail")
 
 
+@check("stream_issue_alerts", f"""with {_ISSUES} select distinct maker_id, kind, subject, cast(to_timestamp(seen_s) as date) as day from lg""", "evs")
+def stream_issue_alerts(c: Catalog) -> DataFrame:
+    """Once an issue and day; a fifth part brings sightings of the first day under new subjects, behind the watermark."""
+    found = issue_log(c).select("maker_id", "kind", "subject", F.timestamp_seconds("seen_s").alias("at"), (F.col("seen_s") * 1_000_000).alias("us"))
+    late = found.filter(f"us < {1_704_067_200_000_000 + 86_400_000_000}").withColumn("subject", F.concat("subject", F.lit(" (late)")))
+    both = found.withColumn("part", F.expr(QUARTER)).unionByName(late.withColumn("part", F.lit(4)))
+    log = land(c, both, "part", 5, "subject", "sightings", apart=True)
+    return drain(c, K.alert_stream(log, "9 days"), "alerts")
+
+
 PRODUCT_COLUMNS = "url string, code string, name string, price_min decimal(18,4), last_seen_s bigint"
 
 
@@ -100,8 +111,9 @@ def stream_sync(c: Catalog) -> DataFrame:
     log = c.json_products.selectExpr("cast(p_partkey as string) as url", "explode(array(0, 1)) as n", "body", "p_partkey").selectExpr(
         "url", "cast(n as bigint) as id", "200 as status", "cast(n as bigint) as fetched_s", "case when n = 1 and p_partkey % 2 = 0 then concat(body, ' ') else body end as body")
     root = shared_dir(c.spark, "sync")
-    heads = B.KeyedTable(c.spark, f"{root}/heads", "url string, hash string, fetched_s bigint", ["url"], buckets=8)
-    products = B.KeyedTable(c.spark, f"{root}/products", PRODUCT_COLUMNS, ["url"], buckets=8)
+    heads = B.head_table(c.spark, f"{root}/heads")
+    newest = {name: F.max_by(name, "last_seen_s") for name in ("code", "name", "price_min")}
+    products = B.BatchTable(c.spark, f"{root}/products", PRODUCT_COLUMNS, ["url"], {**newest, "last_seen_s": F.max("last_seen_s")})
 
     def parse(changed: DataFrame) -> tuple[DataFrame, DataFrame]:
         parsed = J.parse_products(changed)
@@ -110,24 +122,30 @@ def stream_sync(c: Catalog) -> DataFrame:
         reason = J.dead_letter_reason(F.col("product"))
         return rows, parsed.select("url", reason.alias("reason")).filter("reason is not null")
 
-    policy = {"code": TAKE_NEW, "name": TAKE_NEW, "price_min": TAKE_NEW, "last_seen_s": "greatest"}
     stream = land(c, log, "id", 2, "url", "payloads")
-    B.sync_stream(stream, heads, products, f"{root}/dead", parse, policy, f"{root}/checkpoint").awaitTermination()
+    B.sync_stream(stream, heads, products, f"{root}/dead", parse, f"{root}/checkpoint").awaitTermination()
     return products.read().select(F.col("url").cast("bigint").alias("url"), "code", "name")
 
 
 @check("stream_link", """select e.item_id, e.base_code, b.item_id linked_item, count(*) n from evidence e join items s on s.item_id = e.item_id
  join items b on b.maker_id = s.maker_id and b.code = e.base_code and b.item_id <> e.item_id where e.base_code is not null group by all""", "evidence items")
 def stream_link(c: Catalog) -> DataFrame:
-    """Items become known over time: early batches cannot resolve most of their bases."""
-    evidence = c.evidence.filter("base_code is not null").select("ev_id", "item_id", "base_code")
-    stream = land(c, evidence, "pmod(xxhash64(ev_id), 4)", 4, "item_id", "evidence")
-    root = shared_dir(c.spark, "links")
+    """Both tables land in four parts, in different orders: most evidence comes before the item that it names."""
+    makers = c.items.select("item_id", "maker_id")
+    evidence = c.evidence.filter("base_code is not null").join(makers, "item_id").select("ev_id", "item_id", "maker_id", "base_code")
+    named = land(c, evidence, "pmod(xxhash64(ev_id), 4)", 4, "item_id", "evidence")
+    items = land(c, c.items.select("item_id", "maker_id", "code"), "item_id % 4", 4, "item_id", "items", apart=True)
+    out = drain(c, K.link_stream(named, items), "links")
+    return out.groupBy("item_id", "base_code", "linked_item").agg(F.count(F.lit(1)).alias("n"))
 
-    def items_now(batch_id: int) -> DataFrame:
-        return c.items.filter(F.col("item_id") % 4 <= batch_id) if batch_id < 3 else c.items
 
-    B.link_stream(stream, items_now, f"{root}/resolved", f"{root}/pending", f"{root}/checkpoint").awaitTermination()
-    late = B.relink(c.spark, f"{root}/pending", evidence.schema, c.items).filter("linked_item is not null")
-    out = c.spark.read.schema(late.schema).parquet(f"{root}/resolved").drop("batch_id").unionByName(late)
-    return out.groupBy("item_id", "base_code", "linked_item").agg(F.count(F.lit(1)).alias("n"))
+@check("stream_fetch_outcomes", """select url || '#' || page_id url, cast(0 as integer) fetch_no, cast(1 + page_id % 4 as integer) attempts,
+ case when page_id % 3 = 1 then 'gone' else 'failed' end outcome from pages""")
+def stream_fetch_outcomes(c: Catalog) -> DataFrame:
+    """Attempts arrive number by number, hours apart for other pages; a last row moves the clock on, so every timer has run."""
+    tries = c.table("pages").selectExpr("concat(url, '#', page_id) as url", "page_id", "explode(sequence(1, cast(1 + page_id % 4 as int))) as attempt").selectExpr(
+        "url", "0 as fetch_no", "attempt", "case when attempt < 1 + page_id % 4 then 503 when page_id % 3 = 0 then 429 when page_id % 3 = 1 then 410 else 403 end as status",
+        "timestamp_seconds(1704067200 + attempt * 60 + page_id % 30) as at")
+    clock = c.spark.range(1).selectExpr("'' as url", "0 as fetch_no", "9 as attempt", "404 as status", "timestamp_seconds(1704153600) as at")
+    log = land(c, tries.unionByName(clock), "least(attempt, 5) - 1", 5, "url", "attempts", apart=True)
+    return drain(c, K.fetch_stream(log), "fetches").filter("url <> ''")

@@ -1,8 +1,7 @@
-"""Streams that merge each micro-batch into keyed tables.
+"""Streams that add to tables: every micro-batch is appended under its number, and the current row of a key is found on reading.
 
-Tables are split into hash buckets; a batch reads the buckets it touches and writes them anew beside the old ones.
-A merge counts once its buckets are logged, so one that fails half-way leaves the table as it was. Every
-merge is idempotent, so a batch replayed after a failure leaves the same table.
+A batch that is replayed after a failure replaces its own folder, so it counts once. Nothing is merged or rewritten while
+a stream runs; what a table holds is a combinable aggregate over its batches.
 """
 
 from __future__ import annotations
@@ -10,88 +9,64 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidex.functions.hashing import content_hash
-from evidex.operators.evidence import link_bases
-from evidex.operators.merge import upsert, upsert_issues
 
-Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
+class BatchTable:
+    """A folder of Parquet batches (``batch_id=n``) and the rule by which rows of one key become one.
 
-class KeyedTable:
-    """A Parquet table in hash buckets of its key, merged bucket by bucket.
-
-    ``data/merge=n/bucket=b`` holds bucket b as merge n left it, ``log/merge=n`` the buckets of a finished
-    merge; the newest logged one of a bucket is read. Superseded folders stay for readers that still use them.
+    ``rule`` names an aggregate per column; the order it goes by has to be in the rows.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, keys: Sequence[str], buckets: int = 64):
-        self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, keys: Sequence[str], rule: dict[str, Column]):
+        self.spark, self.path, self.keys, self.rule = spark, path, list(keys), rule
         self.schema = spark.createDataFrame([], schema).schema
 
-    def _bucket(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
-
-    def read(self) -> DataFrame:
-        return self._rows(self._newest()).drop("bucket", "merge")
+    def append(self, batch: DataFrame, batch_id: int) -> None:
+        """Add a batch, its own rows of a key already made one."""
+        self._one(batch.select(*self.schema.names)).write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
-    def _stored(self, part: str, fields: list[T.StructField]) -> DataFrame:
-        schema = T.StructType([*fields, T.StructField("bucket", T.IntegerType()), T.StructField("merge", T.LongType())])
+    def read(self, only: DataFrame | None = None) -> DataFrame:
+        """One row per key; with ``only``, of its keys."""
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+            rows = self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            rows = self.spark.createDataFrame([], self.schema)
+        return self._one(rows if only is None else rows.join(only.select(*self.keys).distinct(), self.keys, "left_semi"))
 
-    def _newest(self) -> dict[int, int]:
-        """The newest finished merge of every bucket; at most two numbers per bucket reach the driver."""
-        log = self._stored("log", [])
-        return {r.bucket: r.merge for r in log.groupBy("bucket").agg(F.max("merge").alias("merge")).collect()}
+    def _one(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*self.keys).agg(*[how.alias(name) for name, how in self.rule.items()]).select(*self.schema.names)
 
-    def _rows(self, newest: dict[int, int]) -> DataFrame:
-        places = [f"{merge}:{bucket}" for bucket, merge in newest.items()]
-        return self._stored("data", self.schema.fields).filter(F.concat_ws(":", "merge", "bucket").isin(places))
 
-    def merge(self, incoming: DataFrame, how: Merge) -> None:
-        """Replace the touched buckets by ``how(existing rows of those buckets, incoming)``."""
-        new = self._bucket(incoming).persist()
-        try:
-            # At most one number per bucket reaches the driver.
-            touched = [r.bucket for r in new.select("bucket").distinct().collect()]
-            if not touched:
-                return
-            newest = self._newest()
-            number = max(newest.values(), default=-1) + 1
-            old = self._rows({b: m for b, m in newest.items() if b in touched}).drop("bucket", "merge")
-            merged = how(old, new.drop("bucket"))
-            # What an unfinished merge left under this number was never logged and is replaced.
-            (self._bucket(merged.select(*self.schema.names)).repartition("bucket").write.mode("overwrite")
-                 .option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{self.path}/data/merge={number}"))
-            log = self.spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1)
-            log.write.mode("overwrite").parquet(f"{self.path}/log/merge={number}")
-        finally:
-            new.unpersist()
+def issue_table(spark: SparkSession, path: str) -> BatchTable:
+    """The review queue: one open row per (maker, kind, subject), newest detail wins."""
+    newest = F.struct("seen_s", "detail")
+    return BatchTable(spark, path, "maker_id int, kind string, subject string, opened_s bigint, seen_s bigint, detail string", ["maker_id", "kind", "subject"],
+                      {"opened_s": F.min("opened_s"), "seen_s": F.max("seen_s"), "detail": F.max_by("detail", newest)})
 
 
-def issue_stream(found: DataFrame, queue: KeyedTable, checkpoint: str):
-    """Keep the review queue current: one open row per (maker, kind, subject), newest detail wins."""
+def issue_stream(found: DataFrame, queue: BatchTable, checkpoint: str):
+    """Keep the review queue current."""
+    return found.writeStream.foreachBatch(queue.append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def step(batch: DataFrame, _: int) -> None:
-        queue.merge(batch.select(*queue.schema.names), upsert_issues)
 
-    return found.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def head_table(spark: SparkSession, path: str) -> BatchTable:
+    """The hash of the newest good fetch of every url."""
+    return BatchTable(spark, path, "url string, hash string, fetched_s bigint", ["url"], {"hash": F.max_by("hash", "fetched_s"), "fetched_s": F.max("fetched_s")})
 
 
-def sync_stream(log: DataFrame, heads: KeyedTable, products: KeyedTable, dead_letters: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
-                policy: dict[str, str], checkpoint: str, noise: Sequence[str] = ()):
+def sync_stream(log: DataFrame, heads: BatchTable, products: BatchTable, dead_letters: str, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+                checkpoint: str, noise: Sequence[str] = ()):
     """Changed-only ingestion: parse what is new or different, set failures aside, go on.
 
-    ``parse`` maps changed (url, body, fetched_s) rows to (product rows, dead letters). Heads are
-    written last, so a batch that failed half-way is parsed again, with the same result.
+    ``parse`` maps changed (url, body, fetched_s) rows to (product rows, dead letters). Heads are written last, and a batch is compared with
+    those of other batches only, so one that failed half-way is parsed again, with the same result.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -99,46 +74,13 @@ def sync_stream(log: DataFrame, heads: KeyedTable, products: KeyedTable, dead_le
             F.max_by(F.struct("body", "fetched_s"), F.struct("fetched_s", "id")).alias("r")).select("url", "r.*")
         hashed = newest.withColumn("hash", content_hash(F.col("body"), noise)).persist()
         try:
-            held = heads.read().select("url", F.col("hash").alias("held"))
+            held = heads.read(hashed).select("url", F.col("hash").alias("held"))
             changed = hashed.join(held, "url", "left").filter(~F.col("held").eqNullSafe(F.col("hash"))).drop("held")
             rows, failed = parse(changed)
             failed.write.mode("overwrite").parquet(f"{dead_letters}/batch_id={batch_id}")
-            products.merge(rows, lambda old, new: upsert(old, new, products.keys, policy, ["last_seen_s"]))
-            heads.merge(hashed.select("url", "hash", "fetched_s"), lambda old, new: upsert(
-                old, new, ["url"], {"hash": "take_new", "fetched_s": "greatest"}, ["fetched_s"]))
+            products.append(rows, batch_id)
+            heads.append(hashed, batch_id)
         finally:
             hashed.unpersist()
 
     return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def link_stream(evidence: DataFrame, items_now: Callable[[int], DataFrame], resolved: str, pending: str, checkpoint: str):
-    """Resolve base codes as items arrive: each batch retries what earlier batches left unresolved.
-
-    A base may come any time after the evidence that names it, so there is no time bound for a
-    stream-to-stream join; the open rows are a table that shrinks as they resolve.
-    """
-    schema = evidence.schema
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        waiting = batch
-        if batch_id > 0:
-            waiting = waiting.unionByName(spark.read.schema(schema).parquet(f"{pending}/batch_id={batch_id - 1}"))
-        linked = link_bases(waiting, items_now(batch_id)).persist()
-        try:
-            done = F.col("linked_item").isNotNull() | F.coalesce(F.col("base_code") == "", F.lit(True))
-            linked.filter(done).write.mode("overwrite").parquet(f"{resolved}/batch_id={batch_id}")
-            linked.filter(~done).select(*schema.names).write.mode("overwrite").parquet(f"{pending}/batch_id={batch_id}")
-        finally:
-            linked.unpersist()
-
-    return evidence.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def relink(spark: SparkSession, pending: str, schema: T.StructType, items: DataFrame) -> DataFrame:
-    """Try the rows the last batch left unresolved once more; what still finds no base keeps a null link."""
-    full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    rows = spark.read.schema(full).parquet(pending)
-    last = rows.agg(F.max("batch_id").alias("v")).first().v
-    return link_bases(rows.filter(F.col("batch_id") == F.lit(last)).drop("batch_id"), items)
