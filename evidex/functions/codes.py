@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values: line prefixes of the first source --------------------------------------------
-LINE_PREFIXES = ["PCF", "LUG", "TPL", "UG", "PC", "SM", "HF", "SH", "PG", "CO", "CR", "DL", "KI",
-                 "LG", "LM", "TP", "C", "O", "V", "F"]
+# --- fixed values: line prefixes of the first source and what they stand for ---------------------
+LINE_NAMES = {
+    "PC": "Potter's Choice", "PCF": "Potter's Choice Flux", "C": "Celadon", "SM": "Satin Matte", "HF": "High Fire", "SH": "Shino",
+    "PG": "Phase Glaze", "CO": "Cosmos", "CR": "Crawls", "DL": "Dipping & Layering", "KI": "Kiln Ice", "LG": "Low Fire Gloss",
+    "LM": "Low Fire Matte", "O": "Opalescent", "V": "Velvet Underglaze", "UG": "Underglaze", "LUG": "Liquid Underglaze",
+    "TP": "Teacher's Palette", "TPL": "Teacher's Palette Lustre", "F": "Fundamentals",
+}
+LINE_PREFIXES = list(LINE_NAMES)
+# --- fixed value: how a stock number of the second source opens -----------------------------------
+STOCK_NUMBER = r"^([A-Za-z]+)-?(\d+)"
 
 
 def longest_first(words: list[str]) -> str:
@@ -16,20 +23,19 @@ def longest_first(words: list[str]) -> str:
 
 
 def zero_stripped(prefix: Column, digits: Column) -> Column:
-    """``c`` + ``05`` -> ``C-5``: leading zeros are an artefact of one spelling."""
+    """A code in the first source's form: capital prefix, dash, number as a number."""
     return F.concat(F.upper(prefix), F.lit("-"), digits.try_cast("bigint").cast("string"))
 
 
 def zero_kept(prefix: Column, digits: Column) -> Column:
-    """``sw`` + ``001`` -> ``SW-001``: the padding is the maker's own spelling."""
+    """A code in the second source's form: capital prefix, dash, digits as they stand."""
     return F.concat(F.upper(prefix), F.lit("-"), digits)
 
 
 def sku_code(sku: Column) -> Column:
-    """Canonical code of a stock number: separator inserted, trailing duplicate suffix dropped."""
+    """The code a stock number opens with; one of another form is kept whole, in capitals."""
     text = F.trim(sku)
-    prefix = F.regexp_extract(text, r"^([A-Za-z]+)-?(\d+)", 1)
-    digits = F.regexp_extract(text, r"^([A-Za-z]+)-?(\d+)", 2)
+    prefix, digits = (F.regexp_extract(text, STOCK_NUMBER, k) for k in (1, 2))
     return F.when(prefix != "", zero_kept(prefix, digits)).otherwise(F.upper(text))
 
 

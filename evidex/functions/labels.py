@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The texts below, their order and limits are fixed values: they must equal what the catalog shows.
 _MINUTE, _HOUR, _DAY = 60_000, 3_600_000, 86_400_000
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.color import centre_box, inset_box
 from evidex.operators import filenames as N
+from evidex.operators import replay as replay_of
 from evidex.operators.snapshots import newest
 from evidex.plans.registry import check
 from evidex.plans.views import Catalog
@@ -185,3 +186,100 @@ def content_files(c: Catalog) -> DataFrame:
     found = files.read_files(c.spark, root, "part-*").withColumn("owner", F.regexp_extract("path", "/owner=([0-9]+)/", 1).cast("bigint"))
     first = found.groupBy("sha256").agg(F.min("owner").alias("first_owner"))
     return files.stored_once(found, "owner").join(first, "sha256").select("storage_key", "bytes", "n_paths", "n_owner", "first_owner")
+
+
+_PAGE = """pp as (select p_partkey p, p_name, p_type, p_brand, p_retailprice price, lpad(cast(1 + p_partkey % 97 as varchar), 2, '0') n, ['PC', 'SM', 'pcf', 'C'][1 + p_partkey % 4] pre, p_partkey % 13 = 0 bare, p_partkey % 7 = 0 untold from part)"""
+
+
+@check("page_products", f"""with {_PAGE} select p p_partkey, case when bare then '' else pre || '-' || n || ' ' end || p_name || ' & co' as name, case when bare then p_name || ' & co' else upper(pre) || '-' || (1 + p % 97) end code,
+ case when not bare then upper(pre) end line_code, case when not bare then ['Potter''s Choice', 'Satin Matte', 'Potter''s Choice Flux', 'Celadon'][1 + p % 4] end line_name,
+ case when p % 8 <> 1 then 'Mid & High' end range_category, case when p % 8 = 1 then 3 else 5 end n_crumbs, case when not untold then 'Fires at 1222°C. ' || p_brand end description,
+ case when not untold and p % 3 < 2 then cast(price as decimal(18, 2)) end price_min, case when not untold and p % 3 < 2 then cast(case when p % 3 = 0 then price * 2 else price end as decimal(18, 2)) end price_max,
+ case when not untold and p % 2 = 0 then 'InStock' end availability from pp""")
+def page_products(c: Catalog) -> DataFrame:
+    rows = H.product_fields(c.product_pages, ["p_partkey"], "body")
+    return rows.select("p_partkey", "name", "code", "line_code", "line_name", "range_category", F.size("breadcrumb").alias("n_crumbs"), "description", "price_min", "price_max", "availability")
+
+
+@check("page_gallery", f"""with {_PAGE} select p p_partkey, 0 as place, 'PC-' || n || '_Chip.jpg' raw_filename from pp union all select p, 1, 'Vase.jpg' from pp where p % 2 = 0""")
+def page_gallery(c: Catalog) -> DataFrame:
+    return H.gallery_images(c.product_pages, ["p_partkey"], "body").select("p_partkey", "place", "raw_filename")
+
+
+_ICONS = """ic as (select p_partkey, k, (p_partkey + k) % 6 i from part cross join (values (0), (1), (2), (3)) v(k) where k <= p_partkey % 4)"""
+
+
+@check("icon_badges", f"""with {_ICONS}, b as (select p_partkey, k, ['opacity', 'ap_seal', 'ap_seal', 'food_safe', 'prop65'][1 + i] badge, ['opaque', 'true', 'false', 'false', 'true'][1 + i] as v from ic where i < 5)
+ select p_partkey, badge, arg_max(v, k) as value from b group by all""")
+def icon_badges(c: Catalog) -> DataFrame:
+    return H.icon_badges(c.product_pages, ["p_partkey"], "body")[0]
+
+
+@check("icon_unknown", f"with {_ICONS} select p_partkey, 'new-icon.png' as unknown from ic where i = 5")
+def icon_unknown(c: Catalog) -> DataFrame:
+    return H.icon_badges(c.product_pages, ["p_partkey"], "body")[1]
+
+
+@check("value_token_entities", """select p_partkey, case p_partkey % 4 when 0 then 'food-oven-safe' when 1 then 'caf-safe' when 2 then 'a-b-1222-c' else replace(p_name, ' ', '-') || '-3' end token from part""")
+def value_token_entities(c: Catalog) -> DataFrame:
+    """Values with character references, as prose, as an address and as an image tag."""
+    raw = F.expr("""case p_partkey % 4 when 0 then 'Food &amp; Oven&#45;Safe' when 1 then 'https://cdn.example.com/i/Caf&eacute;-safe.png?z=1' when 2 then '<img src="/i/A&nbsp;B-1222&deg;C.png">'
+        else concat(p_name, ' &lt;3&gt;') end""")
+    return c.table("part").select("p_partkey", J.value_token(raw).alias("token"))
+
+
+def _payload_log(c: Catalog) -> DataFrame:
+    """Two payloads of every product, of which the later one counts."""
+    log = c.json_products.selectExpr("p_partkey as url", "explode(array(0, 1)) as n", "body").selectExpr("url", "n as id", "n as fetched_s", "case when n = 0 then '[]' else body end as body")
+    return newest(log)
+
+
+def _rows_of(found: replay_of.Replay) -> DataFrame:
+    """All tables of a replay as (kind, url, detail)."""
+    parts = {"product": (found.products, "code"), "image": (found.images, "concat_ws('|', raw_filename, role, subject, confidence)"), "badge": (found.badges, "concat(badge, '=', value)"),
+             "unknown": (found.unknown, "unknown"), "dead": (found.dead_letters, "reason")}
+    out = None
+    for kind, (df, detail) in parts.items():
+        one = df.select(F.lit(kind).alias("kind"), F.col("url"), F.expr(detail).alias("detail"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_GOOD = """gd as (select p_partkey p, p_type t, p_partkey % 29 <> 0 ok, p_partkey % 31 = 0 and (p_partkey % 4 = 0 or p_partkey % 6 <> 0) bad,
+   case when p_partkey % 3 < 2 then 'SW-' || p_partkey else 'NT' || substr('ABCDE', 1 + cast(p_partkey % 5 as integer), 1) end code from part),
+ im as (select p, code, 'sw' || p || '_cone6-300x300.jpg' f, p < 10000 as read from gd where ok and not bad union all select p, code, 'line-' || t || '.jpg', false from gd where ok and not bad and p % 7 <> 0),
+ fa as (select p, f, case when read then 'label_chip' else 'other' end as role, case when read then 'SW-' || p else code end subject,
+   case when f like 'line-%' or not read then 'medium' else 'high' end confidence from im)"""
+
+
+@check("replay_rows", f"""with {_GOOD} select 'product' kind, p url, code detail from gd where ok and not bad
+ union all select 'image', p, f || '|' || role || '|' || subject || '|' || confidence from fa
+ union all select 'badge', p, 'dinnerware_safe=' || (p % 2 = 0) from gd where ok and not bad union all select 'badge', p, case p % 4 when 2 then 'food_safe=' else 'ap_seal=' end || (p % 4 <> 1) from gd where ok and not bad and p % 4 <> 3
+ union all select 'unknown', p, 'foodsafe=who-knows' from gd where ok and not bad and p % 4 = 3
+ union all select 'dead', p, case when not ok then 'unreadable payload' else 'price without scale' end from gd where not ok or bad""")
+def replay_rows(c: Catalog) -> DataFrame:
+    return _rows_of(replay_of.replay_payloads(_payload_log(c)))
+
+
+@check("replay_funnel", f"""with {_GOOD} select 'bodies' step, count(*) n from gd union all select 'products', count(*) from gd where ok and not bad union all select 'dead_letters', count(*) from gd where not ok or bad
+ union all select 'images', count(*) from fa union all select 'high', count(*) from fa where confidence = 'high' union all select 'medium', count(*) from fa where confidence = 'medium' union all select 'low', 0""")
+def replay_funnel(c: Catalog) -> DataFrame:
+    """The counts that the writes of a replay observed."""
+    return _funnel(c, replay_of.replay_payloads(_payload_log(c)))
+
+
+def _funnel(c: Catalog, found: replay_of.Replay) -> DataFrame:
+    from evidex.session import literal_table
+
+    return literal_table(c.spark, "step string, n bigint", list(found.funnel.items()))
+
+
+@check("replay_pages", f"""with {_PAGE}, {_ICONS}, im as (select p, 'PC-' || n || '_Chip.jpg' f, 'PC-' || (1 + p % 97) c, 'label_chip' as role, true own from pp union all select p, 'Vase.jpg', null, 'in_use', false from pp where p % 2 = 0),
+ co as (select p, case when bare then p_name || ' & co' else upper(pre) || '-' || (1 + p % 97) end code from pp),
+ b as (select p_partkey, k, ['opacity', 'ap_seal', 'ap_seal', 'food_safe', 'prop65'][1 + i] badge, ['opaque', 'true', 'false', 'false', 'true'][1 + i] as v from ic where i < 5)
+ select 'product' kind, p url, code detail from co
+ union all select 'image', im.p, f || '|' || role || '|' || coalesce(c, co.code) || '|' || case when own then 'high' else 'low' end from im join co on co.p = im.p
+ union all select 'badge', p_partkey, badge || '=' || arg_max(v, k) from b group by p_partkey, badge
+ union all select 'unknown', p_partkey, 'new-icon.png' from ic where i = 5""")
+def replay_pages(c: Catalog) -> DataFrame:
+    return _rows_of(replay_of.replay_pages(c.product_pages.withColumnRenamed("p_partkey", "url")))

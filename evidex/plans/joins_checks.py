@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from evidex import vocabulary as V
 from evidex.functions import color as C
+from evidex.operators import detail as D
 from evidex.operators import evidence as E
+from evidex.operators import search as S
 from evidex.operators import similar
 from evidex.operators.ranges import overlapping
 from evidex.operators.ordered import time_slice
@@ -72,6 +74,49 @@ def evidence_listing_all(c: Catalog) -> DataFrame:
     return _listing(c, refs)
 
 
+@check("detail_rows", """select i.item_id ref_id, i.item_id, row_number() over (partition by i.item_id order by e.coat nulls last, case e.role when 'label_chip' then 0 when 'coats_composite' then 1 when 'layered' then 2 else 3 end,
+   e.ev_id, e.source_url, e.storage_path) as place, e.ev_id, e.source_url, e.storage_path, e.role, n.cone, c.coat_name, e.coat, v.clay_name, ['white', 'buff', 'brown'][1 + v.clay % 3] clay_family,
+   ['flat_tile', 'cup', 'bowl'][nullif(source_key % 4, 0)] form, b.code base_code, b.name base_name, e.hex, case when e.coat = 2 then e.hex end hex2, ['high', 'medium', 'low'][1 + source_key % 3] confidence,
+   case when e.role = 'label_chip' then 'Photograph © the maker' end credit, case when e.role = 'coats_composite' then source_key % 50 end box_left, case when e.role = 'coats_composite' then source_key % 50 + 100 end box_right,
+   200 + source_key % 900 image_width, 100 + source_key % 700 image_height
+ from items i join makers m on m.maker_id = i.maker_id join evidence e on e.item_id = i.item_id left join coats c on c.coat = e.coat left join cones n on n.ordinal = nullif(source_key % 37, 0)
+ left join clay_vocab v on v.clay = e.clay left join items b on b.item_id = e.layered_over""", "items makers evidence coats cones clay_vocab")
+def detail_rows(c: Catalog) -> DataFrame:
+    """The detail page of every item, asked for by maker and code in several spellings."""
+    refs = c.items.join(c.makers, "maker_id").selectExpr("item_id as ref_id", "if(item_id % 3 = 0, concat(upper(maker_key), ' '), maker_key) as maker",
+                                                         "case item_id % 3 when 0 then lower(code) when 1 then concat(' ', code) else concat(code, '  ') end as code")
+    rows = D.detail_rows(D.DetailTables(c.items, c.makers, c.full_evidence, c.clay_families), refs)
+    return rows.withColumns({"box_left": F.col("crop_box.left"), "box_right": F.col("crop_box.right")}).drop("crop_box")
+
+
+_HIT_SQL = """i.code, i.name, i.line line_code, m.maker_key, cf.cone range_from, s.surface_name, i.price price_min, coalesce(r.coat_levels, 0) coat_levels, coalesce(r.layering_count, 0) layering_count, r.hero_source_url"""
+_HIT_JOINS = """join makers m on m.maker_id = i.maker_id left join cones cf on cf.ordinal = i.lo left join surfaces s on s.surface = i.surface left join ru r on r.item_id = i.item_id"""
+_HIT = ["code", "name", "line_code", "maker_key", "range_from", "surface_name", "price_min", "coat_levels", "layering_count", "hero_source_url", "tier", "rank"]
+
+
+@check("lookup_hits", f"with {Q.ROLL_UP} select i.item_id ref_id, i.item_id, {_HIT_SQL}, 'match' tier, 1.0::double as rank from items i {_HIT_JOINS} where i.item_id % 5 <> 0",
+       "items makers evidence clay_vocab cones surfaces")
+def lookup_hits(c: Catalog) -> DataFrame:
+    """One full hit for each reference; a fifth name no item."""
+    refs = c.items.join(c.makers, "maker_id").selectExpr("item_id as ref_id", "concat(' ', upper(maker_key)) as maker", "if(item_id % 5 = 0, concat(code, 'x'), lower(code)) as code")
+    return S.project_hit(D.lookup_page(c.items, c.makers, refs), _tables(c), keep=("ref_id",)).select("ref_id", "item_id", *_HIT)
+
+
+@check("similar_hits", f"""with {Q.ROLL_UP}, ft as (select item_id, code, unnest(list_distinct(terms)) v, 'term' k, 3 w from items union all select item_id, code, cast(surface as varchar), 'surface', 2 from items where surface is not null
+  union all select item_id, code, cast(opacity as varchar), 'opacity', 2 from items where opacity is not null union all select item_id, code, line, 'line', 1 from items where line is not null),
+ sc as (select a.item_id anchor_id, b.item_id, b.code, sum(a.w) score from ft a join ft b on a.k = b.k and a.v = b.v and a.item_id <> b.item_id group by all),
+ tp as (select *, row_number() over (partition by anchor_id order by score desc, code, item_id) as position from sc qualify position <= 3)
+ select p.anchor_id, p.position, i.item_id, {_HIT_SQL}, 'near' tier, cast(p.score as double) as rank from tp p join items i on i.item_id = p.item_id {_HIT_JOINS}""",
+       "items makers evidence clay_vocab cones surfaces")
+def similar_hits(c: Catalog) -> DataFrame:
+    page = D.similar_page(similar.similar_items(c.items, k=3)).withColumn("position", F.col("position").cast("bigint"))
+    return S.project_hit(page, _tables(c), keep=("anchor_id", "position")).select("anchor_id", "position", "item_id", *_HIT)
+
+
+def _tables(c: Catalog) -> S.Tables:
+    return S.Tables(c.items, c.makers, c.evidence, c.clay_vocab)
+
+
 @check("evidence_rollup", f"with {Q.ROLL_UP} select item_id, hero_source_url, hero_storage_path, hero_hex, coat_levels, layering_count,"
        " coalesce(clay_bodies_shown, '') clays from ru", "evidence clay_vocab")
 def evidence_rollup(c: Catalog) -> DataFrame:

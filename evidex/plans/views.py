@@ -228,6 +228,40 @@ class Catalog:
             " case when value > 60 then 'finished' else 'greenware' end end as stage",
             "case when event_id % 3 = 0 then concat('photo-', event_id) end as photo")
 
+    @cached_property
+    def product_pages(self) -> DataFrame:
+        """Product pages of the first source: JSON-LD with odd blocks beside it, a gallery beside other links, property icons."""
+        n = "lpad(1 + p_partkey % 97, 2, '0')"
+        name = f"concat(case when p_partkey % 13 = 0 then '' else concat(array('PC', 'SM', 'pcf', 'C')[p_partkey % 4], '-', {n}, ' ') end, p_name, ' &amp; co')"
+        offer = """named_struct('lowPrice', case when p_partkey % 3 = 0 then cast(p_retailprice as string) end, 'highPrice', case when p_partkey % 3 = 0 then cast(p_retailprice * 2 as string) end,
+            'price', case when p_partkey % 3 = 1 then cast(p_retailprice as string) end, 'availability', case when p_partkey % 2 = 0 then 'https://schema.org/InStock' end)"""
+        crumbs = "transform(slice(array('Home', 'Glazes', 'Mid &amp; High', p_type, p_name), 1, if(p_partkey % 8 = 1, 3, 5)), x -> named_struct('item', named_struct('name', x)))"
+        icon = "array('opaque-icon-web.png', 'ap-logo.png', 'cl-logo.png', 'no-words-notfoodsafe-web-icon.png', 'p65-icon-web-2.png', 'new-icon.png')"
+        return self.table("part").selectExpr("p_partkey", f"""concat('<html><head><title>', {name}, ' | Shop</title>',
+            case when p_partkey % 11 = 0 then '<script type="application/ld+json">{{"@type": </script>' else '' end,
+            case when p_partkey % 7 = 0 then '' else concat('<script type="application/ld+json">', case when p_partkey % 5 = 0
+                then to_json(array(named_struct('@type', 'Product', 'name', {name}, 'description', concat('Fires  at 1222&deg;C. ', p_brand), 'offers', array({offer}))))
+                else to_json(named_struct('@type', 'Product', 'name', {name}, 'description', concat('Fires  at 1222&deg;C. ', p_brand), 'offers', {offer})) end, '</script>') end,
+            '<script type="application/ld+json">', to_json(named_struct('@type', 'BreadcrumbList', 'itemListElement', {crumbs})), '</script></head><body>',
+            '<section data-image-gallery><a href="https://cdn.example.com/i/PC-', {n}, '_Chip__1234.567.jpg" data-fancybox="image-gallery"></a>',
+            case when p_partkey % 2 = 0 then '<a data-fancybox="image-gallery" href="https://cdn.example.com/i/Vase.jpg?x=1"></a>' else '' end,
+            '<a href="/zoom.jpg">zoom</a></section><section><a href="https://cdn.example.com/i/other.jpg" data-fancybox="image-gallery"></a></section>',
+            array_join(transform(sequence(0, cast(p_partkey % 4 as int)), k -> concat('<img src="/content/image-manager/', {icon}[cast((p_partkey + k) % 6 as int)], '?v=1">')), ''), '</body></html>') as body""")
+
+    @cached_property
+    def full_evidence(self) -> DataFrame:
+        """Evidence with everything a detail page shows."""
+        return self.evidence.selectExpr(
+            "*", "cast(nullif(source_key % 37, 0) as int) as cone_no", "case source_key % 4 when 1 then 'flat_tile' when 2 then 'cup' when 3 then 'bowl' end as form",
+            "case when coat = 2 then hex end as hex2", "element_at(array('high', 'medium', 'low'), cast(1 + source_key % 3 as int)) as confidence",
+            "case when role = 'label_chip' then 'Photograph © the maker' end as credit",
+            "case when role = 'coats_composite' then named_struct('left', cast(source_key % 50 as int), 'top', 0, 'right', cast(source_key % 50 + 100 as int), 'bottom', 90) end as crop_box",
+            "cast(200 + source_key % 900 as int) as image_width", "cast(100 + source_key % 700 as int) as image_height")
+
+    @cached_property
+    def clay_families(self) -> DataFrame:
+        return self.clay_vocab.selectExpr("clay", "clay_name", "element_at(array('white', 'buff', 'brown'), cast(1 + clay % 3 as int)) as clay_family")
+
     @cached_property
     def json_products(self) -> DataFrame:
         """Product payloads: a one-element JSON array per item, every 29th payload broken."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidex.functions.codes import name_code
+from evidex.functions.codes import LINE_NAMES, name_code
 from evidex.functions.text import clean_text
 from evidex.functions.urls import CACHE_BUSTER, basename
 
@@ -95,8 +95,9 @@ def product_fields(pages: DataFrame, keep: list[str], html: str = "html") -> Dat
 
     prices = F.filter(F.transform(F.array(*[offer(k) for k in ("lowPrice", "highPrice", "price")]), lambda v: v.try_cast("decimal(18,2)")), lambda v: v.isNotNull())
     code = name_code(name)
+    line = F.regexp_extract(code, "^([A-Z]+)-", 1)
     return rows.select(
-        *keep, name.alias("name"), F.coalesce(code, name).alias("code"), F.regexp_extract(code, "^([A-Z]+)-", 1).alias("line_code"),
+        *keep, name.alias("name"), F.coalesce(code, name).alias("code"), line.alias("line_code"), F.try_element_at(F.create_map(*[F.lit(x) for pair in LINE_NAMES.items() for x in pair]), line).alias("line_name"),
         crumbs.alias("breadcrumb"), F.when(F.size(crumbs) > 3, crumbs[2]).alias("range_category"), clean_text(F.col("p.description")).alias("description"),
         F.array_min(prices).alias("price_min"), F.array_max(prices).alias("price_max"),
         F.nullif(F.regexp_extract(offer("availability"), "([^/]*)$", 1), F.lit("")).alias("availability"))
@@ -104,8 +105,12 @@ def product_fields(pages: DataFrame, keep: list[str], html: str = "html") -> Dat
 
 def gallery_images(pages: DataFrame, keep: list[str], html: str = "html", container: str = GALLERY, tag: str = GALLERY_LINK) -> DataFrame:
     """Full-size image links of the page's own gallery, upload stamps stripped from the names."""
-    return (pages.select(*keep, F.posexplode(links(F.col(html), container, tag)).alias("place", "source_url"))
-            .withColumn("raw_filename", F.regexp_replace(basename(F.col("source_url")), CACHE_BUSTER, "")))
+    return named_images(pages.select(*keep, F.posexplode(links(F.col(html), container, tag)).alias("place", "source_url")))
+
+
+def named_images(links: DataFrame) -> DataFrame:
+    """Links with ``raw_filename``: the last part of the address without its upload stamp."""
+    return links.withColumn("raw_filename", F.regexp_replace(basename(F.col("source_url")), CACHE_BUSTER, ""))
 
 
 def icons(html: Column) -> Column:
@@ -115,10 +120,14 @@ def icons(html: Column) -> Column:
 
 def icon_badges(pages: DataFrame, keep: list[str], html: str = "html") -> tuple[DataFrame, DataFrame]:
     """(badges, unknown icons): a later icon of a field replaces an earlier one on the page."""
+    return badges_of(pages.select(*keep, F.posexplode(icons(F.col(html))).alias("place", "icon")), keep)
+
+
+def badges_of(seen: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The same from icons with their places on the page."""
     from evidex.session import literal_table
 
-    spec = F.broadcast(literal_table(pages.sparkSession, "icon string, badge string, value string", ICONS))
-    seen = pages.select(*keep, F.posexplode(icons(F.col(html))).alias("place", "icon"))
+    spec = F.broadcast(literal_table(seen.sparkSession, "icon string, badge string, value string", ICONS))
     warning = F.lower("icon").startswith(WARNING_PREFIX) | F.lower("icon").endswith(WARNING_SUFFIX)
     mapped = seen.join(spec, "icon", "left").withColumns({
         "badge": F.when(warning, "prop65").otherwise(F.col("badge")), "value": F.when(warning, "true").otherwise(F.col("value"))})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.codes import sku_code
 from evidex.functions.seal import seal
-from evidex.functions.text import clean_text
+from evidex.functions.text import clean_text, unescape
 from evidex.functions.urls import basename, slug_of
 from evidex.session import literal_table
 
@@ -103,13 +103,13 @@ def attribute_key(name: Column) -> Column:
 
 
 def value_token(value: Column) -> Column:
-    """One token for an icon address, prose, or an image tag that state the same fact."""
+    """One token for an icon address, prose, or an image tag that state the same fact; character references are decoded first."""
     text = F.trim(value)
     src = F.regexp_extract(text, r"""(?i)src\s*=\s*["']([^"']+)["']""", 1)
     inner = F.when(src != "", src).otherwise(text)
     is_file = F.contains(inner, F.lit("//")) | F.lower(inner).rlike(r"\.(png|jpg|gif|svg)$")
     name = F.when(is_file, F.regexp_replace(basename(inner), r"(?i)\.[a-z]{3,4}$", "")).otherwise(inner)
-    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.trim(F.regexp_replace(F.lower(unescape(name)), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def attribute_values(products: DataFrame, keep: list[str]) -> DataFrame:
@@ -121,7 +121,7 @@ def attribute_values(products: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def badges(values: DataFrame, keep: list[str]) -> DataFrame:
-    """(badge, value): a negative is never overwritten by a positive."""
+    """(badge, value) of every product; of contradicting statements the denial stands."""
     mapped = _mapped(values)
     return mapped.filter("badge is not null").groupBy(*keep, "badge").agg(F.bool_and("badge_value").alias("value"))
 
