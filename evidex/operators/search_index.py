@@ -1,12 +1,12 @@
 """A stored search index, and ranked pages read from it with bounds.
 
-The index is written once: postings (one row per term and item, with its places), spellings by trigram, items by
-spelling, and facets. Each table is bucketed and sorted by what it is looked up by, so a batch of searches shuffles itself
+The index is written once: postings (one row per term and item, with its places), the words of each item in order, spellings by
+trigram, and items by spelling. Each table is bucketed and sorted by what it is looked up by, so a batch of searches shuffles itself
 and what it finds, never the index. A list that is long is cut into shards by the item, as many as its
 length asks for, and shards are part of the bucket key; rows carry their facets, so filters apply where rows are read.
 
-An alternative of a search reads the whole list of its rarest required term only; of its other terms it looks up the
-candidates. From counts, first places and least and greatest field weights every candidate has a lower and an upper bound of
+An alternative of a search reads the list of its rarest required term only; its other terms are looked for in the items
+that it finds there. From counts, first places and least and greatest field weights every candidate has a lower and an upper bound of
 its rank. A search keeps those that can still reach its own first ``offset + limit`` rows, and only they are
 ranked exactly, equal occurrences once.
 """
@@ -40,11 +40,12 @@ _UNSEEN = max(_FLOORS.values())
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """Bucketed tables: ``terms`` and ``postings`` by term, ``grams`` and ``prefixes`` by trigram, ``spelled`` by spelling."""
+    """Bucketed tables: ``terms`` and ``postings`` by term, ``forward`` by item, ``grams`` and ``prefixes`` by trigram, ``spelled`` by spelling."""
 
     tables: S.Tables
     terms: DataFrame
     postings: DataFrame
+    forward: DataFrame
     grams: DataFrame
     prefixes: DataFrame
     spelled: DataFrame
@@ -73,7 +74,9 @@ def _shard() -> Column:
 def build_index(t: S.Tables, shard_rows: int = SHARD_ROWS) -> SearchIndex:
     """Write the index of all items."""
     facets = t.items.select("item_id", *_FACETS)
-    lists = S.item_postings(t.items).groupBy("item_id", "term").agg(F.array_sort(F.collect_list(F.struct("pos", "weight"))).alias("at"))
+    places = stored(S.item_postings(t.items), "places")
+    forward = places.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias("at"))
+    lists = places.groupBy("item_id", "term").agg(F.array_sort(F.collect_list(F.struct("pos", "weight"))).alias("at"))
     terms, rows = _sharded(lists.join(facets, "item_id"), "term", shard_rows)
     spellings = stored(t.items.select("item_id", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("spelling")) for kind in _FLOORS])).alias("s"))
                        .select("s.*").filter("spelling is not null").distinct().withColumn("grams", trigrams(F.col("spelling"))).filter(F.size("grams") > 0), "spellings")
@@ -82,7 +85,7 @@ def build_index(t: S.Tables, shard_rows: int = SHARD_ROWS) -> SearchIndex:
     prefixes = _prefixes(grams.join(seen, "gram"), ["kind", "spelling"])
     by_spelling = t.items.select("item_id", *_FACETS, F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("spelling")) for kind in _FLOORS])).alias("s")).select("*", "s.*").drop("s")
     counts, spelled = _sharded(by_spelling.filter("spelling is not null"), "spelling", shard_rows)
-    return SearchIndex(t, _saved(terms, ["term"], "terms"), _saved(rows, ["term", "shard"], "postings", ["item_id"]), _saved(seen, ["gram"], "grams"),
+    return SearchIndex(t, _saved(terms, ["term"], "terms"), _saved(rows, ["term", "shard"], "postings", ["item_id"]), _saved(forward, ["item_id"], "forward"), _saved(seen, ["gram"], "grams"),
                        _saved(prefixes.join(counts, "spelling"), ["gram"], "prefixes"), _saved(spelled, ["spelling", "shard"], "spelled", ["item_id"]), shard_rows)
 
 
@@ -113,26 +116,18 @@ def _plans(terms: DataFrame) -> DataFrame:
 
 def hits(index: SearchIndex, terms: DataFrame, asked: DataFrame) -> DataFrame:
     """(qid, grp, item_id, code, name, words, at) of items that satisfy an alternative and pass the search's filters."""
-    plan = stored(_plans(terms), "search-plans")
-    looked = plan.select("qid", "grp", F.size("words").alias("need"), F.explode(F.array_union("words", "unwanted")).alias("term"), "words", "barred").select(
-        "qid", "grp", "need", "term", F.array_contains("words", F.col("term")).alias("wanted"), F.array_contains("barred", F.col("term")).alias("bars"))
-    looked = looked.join(index.terms, "term", "left").withColumns({"seen": F.coalesce("seen", F.lit(0)), "shards": F.coalesce("shards", F.lit(1))})
-    lead = F.min_by("term", F.when(F.col("wanted"), F.struct("seen", "term")))
-    alive = looked.groupBy("qid", "grp").agg(lead.alias("lead"), F.min(F.when(F.col("wanted"), F.col("seen"))).alias("least")).filter("least > 0").drop("least")
-    looked = stored(looked.join(alive, ["qid", "grp"]), "search-terms")
-    first = (looked.filter("term = lead").select("qid", "grp", "need", "bars", "term", _shards()).join(asked, "qid")
-             .join(index.postings, ["term", "shard"]).filter(P.row_passes()).select("qid", "grp", "need", "bars", "item_id", "code", "name", "term", "at"))
-    rest = looked.filter("term <> lead and seen > 0").select("qid", "grp", "term", "wanted", "bars", "shards")
-    probes = first.select("qid", "grp", "item_id").join(rest, ["qid", "grp"]).withColumn("shard", _shard()).drop("shards")
-    more = probes.join(index.postings.select("term", "shard", "item_id", "at"), ["term", "shard", "item_id"])
-    nothing = F.lit(None)
-    rows = first.withColumn("wanted", F.lit(True)).unionByName(more.withColumns({"need": nothing.cast("int"), "code": nothing.cast("string"), "name": nothing.cast("string")}).drop("shard"))
-    whole = spread(rows, "qid", "item_id").groupBy("qid", "grp", "item_id").agg(
-        F.max("need").alias("need"), F.max("code").alias("code"), F.max("name").alias("name"), F.count_if("wanted").alias("n_wanted"), F.count_if("bars").alias("n_barred"),
-        F.array_sort(F.flatten(F.collect_list(F.transform("at", lambda o: F.struct(o["pos"], F.col("term"), o["weight"]))))).alias("at"))
-    found = whole.filter("n_wanted = need and n_barred = 0").join(plan, ["qid", "grp"])
-    named = F.expr("transform(at, x -> named_struct('pos', x.pos, 'term', x.term, 'weight', x.weight))")
-    return found.withColumn("at", named).filter(F.expr(f"forall(required, u -> {T._HOLDS}) and not exists(excluded, u -> {T._HOLDS})")).select("qid", "grp", "item_id", "code", "name", "words", "at")
+    plan = stored(_plans(terms).withColumn("simple", (F.size("words") == 1) & (F.size("unwanted") == 0) & ~F.exists("required", lambda u: F.size(u["terms"]) > 1)), "search-plans")
+    looked = plan.select("qid", "grp", "simple", F.explode("words").alias("term")).join(index.terms, "term", "left")
+    # A required word that no item has ends its alternative; of the others the rarest leads.
+    lead = looked.groupBy("qid", "grp", "simple").agg(F.min_by(F.struct("term", "shards"), F.struct("seen", "term")).alias("lead"), F.bool_and(F.col("seen").isNotNull()).alias("alive"))
+    leads = stored(lead.filter("alive").select("qid", "grp", "simple", "lead.*"), "search-leads")
+    first = (leads.select("qid", "grp", "simple", "term", _shards()).join(asked, "qid").join(index.postings, ["term", "shard"]).filter(P.row_passes()))
+    single = first.filter("simple").select("qid", "grp", "item_id", "code", "name", F.expr("transform(at, x -> named_struct('pos', x.pos, 'term', term, 'weight', x.weight))").alias("at"))
+    whole = first.filter("not simple").select("qid", "grp", "item_id", "code", "name").join(index.forward, "item_id")
+    short = plan.select("qid", "grp", "required", "excluded", "words", "barred", F.array_union("words", "unwanted").alias("looked"))
+    read = whole.join(short, ["qid", "grp"]).withColumn("at", F.filter("at", lambda x: F.array_contains("looked", x["term"]))).withColumn("held", F.array_distinct(F.transform("at", lambda x: x["term"])))
+    read = read.filter((F.size(F.array_except("words", "held")) == 0) & ~F.arrays_overlap("barred", "held")).filter(F.expr(f"forall(required, u -> {T._HOLDS}) and not exists(excluded, u -> {T._HOLDS})"))
+    return single.join(plan.select("qid", "grp", "words"), ["qid", "grp"]).unionByName(read.select("qid", "grp", "item_id", "code", "name", "at", "words"))
 
 
 _MINE = "filter(at, x -> x.term = w)"

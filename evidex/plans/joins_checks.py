@@ -14,6 +14,7 @@ from evidex.operators import similar
 from evidex.operators.ranges import overlapping
 from evidex.operators.ordered import time_slice
 from evidex.operators.snapshots import for_makers, head_as_of, newest
+from evidex.operators.sqlapi import register_tables
 from evidex.plans import sqltext as Q
 from evidex.plans.registry import check
 from evidex.plans.views import Catalog
@@ -231,3 +232,22 @@ def asof_head(c: Catalog) -> DataFrame:
     log = ev.filter(~probe).select("key", "us", F.col("event_id").alias("log_id"), F.col("value").alias("head"))
     probes = ev.filter(probe).select("key", "us", F.col("event_id").alias("probe_id"))
     return head_as_of(probes, log, ["key"], "head", time_slice("us"))
+
+
+@check("sql_functions", """with ft as (select item_id, code, unnest(list_distinct(terms)) v, 'term' k, 3 w from items union all select item_id, code, cast(surface as varchar), 'surface', 2 from items where surface is not null
+  union all select item_id, code, cast(opacity as varchar), 'opacity', 2 from items where opacity is not null union all select item_id, code, line, 'line', 1 from items where line is not null),
+ sc as (select a.item_id a, b.item_id b, b.code, sum(a.w) score from ft a join ft b on a.k = b.k and a.v = b.v and a.item_id <> b.item_id group by all),
+ tp as (select *, row_number() over (partition by a order by score desc, code, b) p from sc qualify p <= 3)
+ select 'item' fn, item_id asked, code detail from items where maker_id in (select maker_id from makers)
+ union all select 'evidence', e.item_id, e.ev_id from evidence e join items i on i.item_id = e.item_id where i.maker_id in (select maker_id from makers)
+ union all select 'similar', a, b || ':' || score from tp
+ union all select 'page', i.item_id, i.code from items i where i.maker_id in (select maker_id from makers) and i.maker_id = 1""", "items makers evidence")
+def sql_functions(c: Catalog) -> DataFrame:
+    """The four table functions, asked for every item in one statement each."""
+    t = _tables(c)
+    browse = c.items.filter("maker_id = 1").select(F.col("item_id").alias("qid"), F.lit(1).alias("position"), "item_id", F.lit("match").alias("tier"), F.lit(1.0).alias("rank"))
+    register_tables(t, D.DetailTables(c.items, c.makers, c.full_evidence, c.clay_families), S.project_hit(browse, t, keep=("qid", "position")))
+    return c.spark.sql("""select 'item' as fn, n.item_id as asked, h.code as detail from evidex_names n, lateral item_by_code(n.maker, concat(' ', upper(n.item_code))) h
+        union all select 'evidence', n.item_id, e.ev_id from evidex_names n, lateral item_evidence(upper(n.maker), n.item_code) e
+        union all select 'similar', i.item_id, concat(s.item_id, ':', s.score) from (select distinct item_id from evidex_features) i, lateral similar_to(i.item_id, 3) s
+        union all select 'page', n.item_id, p.code from evidex_names n, lateral search_page(n.item_id) p""")

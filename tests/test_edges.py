@@ -48,31 +48,95 @@ def test_carry_forward_by_image(spark):
     assert got == sorted([(1, "light", "#1", "6"), (1, "heavy", "#2", "6"), (2, "light", "#9", "6"), (3, None, None, "6"), (4, None, None, "5"), (None, None, None, "5")], key=str)
 
 
-def test_a_failed_merge_leaves_the_table_whole(spark, tmp_path):
+def test_a_replayed_batch_counts_once(spark, tmp_path):
     import pytest
 
-    from evidex.streaming.batches import KeyedTable
+    from evidex.streaming.batches import BatchTable
 
-    table = KeyedTable(spark, str(tmp_path / "t"), "k long, v string", ["k"], buckets=4)
+    rule = {"v": F.max_by("v", "at"), "at": F.max("at")}
+    table = BatchTable(spark, str(tmp_path / "t"), "k long, v string, at long", ["k"], rule)
     assert table.read().count() == 0
-
-    def newer(old, new):
-        return old.join(new, "k", "left_anti").unionByName(new)
-
-    def torn(old, new):
-        return newer(old, new).withColumn("v", F.when(F.col("k") == 7, F.raise_error(F.lit("lost"))).otherwise(F.col("v")))
-
-    first = spark.createDataFrame([(k, "a") for k in range(20)], "k long, v string")
-    second = spark.createDataFrame([(k, "b") for k in range(5, 25)], "k long, v string")
-    table.merge(first, newer)
+    table.append(spark.createDataFrame([(k, "a", 1) for k in range(20)], table.schema), 0)
+    torn = spark.createDataFrame([(k, "b", 2) for k in range(5, 25)], table.schema)
     with pytest.raises(Exception, match="lost"):
-        table.merge(second, torn)
+        table.append(torn.withColumn("v", F.when(F.col("k") == 7, F.raise_error(F.lit("lost"))).otherwise(F.col("v"))), 1)
     assert {(r.k, r.v) for r in table.read().collect()} == {(k, "a") for k in range(20)}
     for _ in range(2):  # the replayed batch, and once more
-        table.merge(second, newer)
+        table.append(torn, 1)
         assert {(r.k, r.v) for r in table.read().collect()} == {(k, "a" if k < 5 else "b") for k in range(25)}
-    table.merge(second.limit(0), newer)
-    assert table.read().count() == 25
+    table.append(torn.limit(0), 2)
+    assert table.read().count() == 25 and table.read(torn.filter("k in (3, 6)")).count() == 1
+
+
+def test_runs_of_one_key_cross_slices(spark):
+    from evidex.operators.ranges import runs
+
+    cells = [c for c in range(-40, 400) if c % 37 not in (5, 6) and not 100 <= c < 131]
+    want, start = [], cells[0]
+    for a, b in zip(cells, [*cells[1:], None], strict=True):
+        if b != a + 1:
+            want.append(("k", start, a, a - start + 1))
+            start = b
+    df = spark.createDataFrame([("k", c) for c in cells * 2], "k string, cell long")
+    for width in (1, 2, 7, 10, 4096):
+        assert sorted(map(tuple, runs(df, "k", "cell", width).collect())) == sorted(want)
+
+
+def test_interval_join_on_any_scale(spark):
+    import random
+
+    from evidex.operators.ranges import overlapping
+
+    rng = random.Random(6)
+    for low, high in ((1, 36), (-5, 3), (0, 2**41 + 17), (7, 7)):
+        def made(n, low=low, high=high):
+            ends = [sorted((rng.randint(low, high), rng.randint(low, high))) for _ in range(n)]
+            return [(k, rng.choice([None, a, a]), rng.choice([None, b, a])) for k, (a, b) in enumerate(ends)]
+
+        wants, items = made(25), made(40)
+        got = overlapping(spark.createDataFrame(wants, "q long, lo long, hi long"), spark.createDataFrame(items, "i long, lo long, hi long"), "q", "i", low, high)
+        full = lambda r: (r[0], low if r[1] is None else r[1], high if r[2] is None else r[2])
+        want = sorted((a, b) for a, al, ah in map(full, wants) for b, bl, bh in map(full, items) if al <= ah and bl <= bh and al <= bh and bl <= ah)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_late_and_repeated_attempts(spark, tmp_path):
+    """An attempt behind a later one or behind the end of its fetch changes nothing; silence is a failure."""
+    from datetime import datetime, timedelta
+
+    from evidex.streaming.timed import fetch_stream
+
+    schema = "url string, fetch_no int, attempt int, status int, at timestamp"
+    rows = [[("u", 0, 1, 503, 0), ("u", 0, 2, 410, 60), ("v", 0, 2, 503, 60), ("w", 0, 1, 429, 0), ("w", 1, 1, 404, 5)], [("v", 0, 1, 404, 30), ("u", 0, 2, 500, 61), ("v", 0, 3, 503, 400)],
+            [("w", 2, 1, 404, 5000), ("x", 0, 1, 304, 5000)], [("x", 1, 1, 304, 90000)]]
+    for part in rows:
+        spark.createDataFrame([(*r[:4], datetime(2024, 1, 1) + timedelta(seconds=r[4])) for r in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = fetch_stream(log).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("url", "fetch_no", "attempts", "outcome").collect())
+    assert got == [("u", 0, 2, "gone"), ("v", 0, 3, "failed"), ("w", 0, 1, "failed"), ("w", 1, 1, "gone"), ("w", 2, 1, "gone"), ("x", 0, 1, "unchanged"), ("x", 1, 1, "unchanged")]
+
+
+def test_funnel_equals_the_tables(spark, catalog):
+    from evidex.operators.replay import replay_pages, replay_payloads
+
+    for found in (replay_payloads(catalog.json_products.withColumnRenamed("p_partkey", "url")), replay_pages(catalog.product_pages.withColumnRenamed("p_partkey", "url"))):
+        levels = {r["confidence"]: r["count"] for r in found.images.groupBy("confidence").count().collect()}
+        assert found.funnel == {"bodies": found.products.count() + found.dead_letters.count(), "products": found.products.count(), "dead_letters": found.dead_letters.count(),
+                                "images": found.images.count(), **{k: levels.get(k, 0) for k in ("high", "medium", "low")}}
+
+
+def test_detail_contract(spark, catalog):
+    from evidex.operators import detail as D
+    from evidex.operators.quality import schema_contract
+
+    refs = spark.createDataFrame([(1, " ASIA", "pc-20 "), (2, "asia", "PC-20"), (3, "asia", "none"), (4, None, "PC-20")], "ref_id int, maker string, code string")
+    rows = D.detail_rows(D.DetailTables(catalog.items, catalog.makers, catalog.full_evidence, catalog.clay_families), refs)
+    kinds = rows.select(*D.DETAIL_ROW.names)
+    assert schema_contract(kinds, D.DETAIL_ROW) == [] and len(D.DETAIL_ROW) == 19
+    by_ref = {r["ref_id"]: r["n"] for r in rows.groupBy("ref_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(by_ref) == {1, 2} and by_ref[1] == by_ref[2] > 0
 
 
 def test_every_items_evidence_is_listed(catalog):

@@ -17,7 +17,8 @@ CHECKS = load_checks()
 #: what these do cannot be said in expressions: state machines and a numeric solver
 PYTHON = {"two_means_color", "stream_change_detect", "stream_latest", "stream_marks"}
 #: streams and stored intermediates run while the query is built
-EAGER = {name for name in CHECKS if name.startswith("stream_")} | {"ranked_search", "bulk_replay"}
+EAGER = {name for name in CHECKS if name.startswith("stream_")} | {
+    "ranked_search", "bulk_replay", "index_search", "search_edges", "similar_items", "similar_hits", "lookup_hits", "sql_functions", "replay_rows", "replay_funnel", "replay_pages"}
 
 
 def plan(df):
@@ -54,7 +55,8 @@ def test_top_k_is_limited_before_the_shuffle(catalog):
 
     w = Window.partitionBy("rep").orderBy("tier", F.desc("rank"), "code", "item_id")
     assert "WindowGroupLimit" in plan(found.withColumn("n", F.row_number().over(w)).filter("n <= 40"))
-    assert plan(similar.similar_items(catalog.items, k=12)).count("WindowGroupLimit") >= 2
+    profiles, lists = similar._profiles(similar.features(catalog.items), 12, 10_000)
+    assert "WindowGroupLimit" in plan(similar._read(profiles.select("profile", "features", "reading"), lists, 0, 1, 12))
 
 
 def test_vocabularies_are_local_relations(spark, catalog):

@@ -1,160 +1,197 @@
-"""Search and similarity on a tiny catalog with known answers."""
+"""Search and similarity on a catalog of our own, against plain restatements of the rules."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from evidex.functions.text import stemmed
+from evidex.operators import postings as T
 from evidex.operators import search as S
+from evidex.operators import search_index as I
 from evidex.operators import similar
-from evidex.operators.postings import clauses
+from tests import brute
 
 ITEMS = "item_id long, maker_id int, code string, name string, description string, line string, lo int, hi int, terms array<string>, surface int, opacity int, flag boolean, price double"
-ROWS = [
-    (1, 1, "PC-20", "PC-20 Blue Lagoon", "Runs on edges and pools light blue in cut lines.", "PC", 27, 28, ["teal", "blue", "celadon", "green"], 1, 2, None, 9.0),
-    (2, 1, "PC-13", "PC-13 Fernleaf Green", "Clear emerald that moves a little.", "PC", 27, 28, ["sage", "green"], 1, 1, True, 8.0),
-    (3, 1, "LG-99", "LG-99 Broad Fire", "Fires broad on purpose.", "PC", 19, 32, ["brown"], None, None, False, None),
-    (4, 1, "PC-30", "PC-30 Tessaku", "Deep iron for tall jars.", "PC", 27, 28, ["tenmoku", "brown"], None, None, None, 7.0),
-]
-OTHER = (5, 2, "PC-20", "PC-20 Sand Slip", "Sold elsewhere.", "T", None, None, ["ochre", "yellow"], None, 2, None, 7.0)
 SEARCH = "qid long, text string, makers array<int>, lines array<string>, surfaces array<int>, opacities array<int>, lo int, hi int, flag boolean, clays array<long>, codes array<string>, code_makers array<string>, page_limit int, page_offset int"
-
-
-def search(text="", **kw):
-    base = dict(makers=None, lines=None, surfaces=None, opacities=None, lo=None, hi=None, flag=None, clays=None, codes=None, code_makers=None, page_limit=40, page_offset=0)
-    base.update(kw)
-    return (text, *base.values())
+MAKERS = {3: "northkiln", 5: "orchard", 8: "tidewater"}
+NOUNS = "harbour pine ember chalk penny drift willow cinder quarry heron".split()
+STATES = "cooling settled glossy pooling broken drifting ringed smoky".split()
+COLOURS = "slate rust amber oribe cobalt cream indigo tan".split()
+
+
+def catalog(n, seed):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        noun, state = rng.choice(NOUNS), rng.choice(STATES)
+        name = f"{state.title()} {noun}" + rng.choice(["", "", f" or {rng.choice(NOUNS)}", "s"])
+        text = rng.choice([None, "", f"The {noun} is {state} over {rng.choice(NOUNS)} and {rng.choice(NOUNS)}.", f"{state} {state} {noun}"])
+        lo = rng.choice([None, rng.randint(1, 30)])
+        rows.append((k * 11 + 4, rng.choice(list(MAKERS)), f"{rng.choice(['KV', 'RD', 'W'])}-{k // 3}", name, text, rng.choice(["KV", "RD", None]), lo, rng.choice([None, (lo or 1) + rng.randint(0, 6)]),
+                     rng.sample(COLOURS, rng.randint(0, 3)), rng.choice([None, 1, 2, 3]), rng.choice([None, 1, 2]), rng.choice([None, True, False]), float(k)))
+    return rows
+
+
+def asked(n, seed):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(NOUNS + STATES + COLOURS)
+    shapes = [lambda: None, lambda: "  ", word, lambda: f"{word()} {word()}", lambda: f'"{rng.choice(STATES)} {rng.choice(NOUNS)}"', lambda: f"{word()} -{word()}", lambda: f"{word()} or {word()} {word()}",
+              lambda: f"-{word()}", lambda: f'-"{rng.choice(STATES)} {rng.choice(NOUNS)}" -{word()}', lambda: f'"{rng.choice(NOUNS)} or {rng.choice(NOUNS)}"', lambda: word()[:-2] + "x", lambda: f"kv-{rng.randint(0, 20)}",
+              lambda: f"{word()} or -{word()}", lambda: "the of", lambda: f"{word()} -{word()[:1]}"]
+    out = []
+    for k in range(n):
+        some = lambda values, p=0.2: rng.sample(values, rng.randint(1, 2)) if rng.random() < p / 2 else None
+        codes = rng.choice([None] * 12 + [[], [" kv-1", "RD-2", "w-3", None], ["Kv-4", "rd-5"]])
+        out.append((k, shapes[k % len(shapes)](), some(list(MAKERS)), some(["KV", "RD"], 0.1), some([1, 2, 3], 0.15), some([1, 2], 0.15), rng.choice([None, None, None, 9]), rng.choice([None, None, None, 18]),
+                    rng.choice([None] * 5 + [True, False]), some([70, 71, 72], 0.15), codes, None if codes is None else rng.choice([["NORTHKILN ", "orchard"], ["tidewater", "northkiln", "nobody"], []]),
+                    rng.choice([0, 2, 3, 5, 40]), rng.choice([-2, 0, 0, 0, 1])))
+    return out
 
 
 @pytest.fixture(scope="module")
-def tables(spark):
-    items = spark.createDataFrame(ROWS, ITEMS)
-    makers = spark.createDataFrame([(1, "alpha"), (2, "secondco")], "maker_id int, maker_key string")
-    evidence = spark.createDataFrame(
-        [(f"e{i}", i, "label_chip", 2, 32 if i == 1 else 25, "#82a1a1", None, f"u{i}", f"s{i}") for i in (1, 2, 3, 4)]
-        + [("e9", 1, "layered", None, None, None, 4, "u9", "s9")],
-        "ev_id string, item_id long, role string, coat int, clay long, hex string, layered_over long, source_url string, storage_path string")
-    clays = spark.createDataFrame([(32, "Dark No. 32"), (25, "White No. 25")], "clay long, clay_name string")
-    return S.Tables(items, makers, evidence, clays)
+def shop(spark):
+    rows = catalog(60, 17)
+    evidence = [(f"e{i}", r[0], "label_chip" if i % 3 else "layered", 1 + i % 4, 70 + i % 4 if i % 2 else None, "#102030", None, f"u{i}", f"s{i}") for i, r in enumerate(rows) if i % 5]
+    makers = spark.createDataFrame(list(MAKERS.items()), "maker_id int, maker_key string")
+    clays = spark.createDataFrame([(70, "Ball"), (71, "Fire"), (72, "Bone"), (73, "Raku")], "clay long, clay_name string")
+    tables = S.Tables(spark.createDataFrame(rows, ITEMS), makers, spark.createDataFrame(evidence, "ev_id string, item_id long, role string, coat int, clay long, hex string, layered_over long, source_url string, storage_path string"), clays)
+    shown = {}
+    for e in evidence:
+        if e[4] is not None:
+            shown.setdefault(e[1], set()).add(e[4])
+    return tables, [r.asDict() for r in tables.items.collect()], shown
+
+
+def answers(hits):
+    out = {}
+    for r in sorted(hits.collect(), key=lambda r: (r.qid, r.position)):
+        out.setdefault(r.qid, []).append((r.item_id, r.tier, r.rank))
+    return out
 
 
 @pytest.fixture(scope="module")
-def answers(spark, tables):
-    asked = [
-        search("blue lagoon"), search("sage"), search("sage green"), search("tenmoku brown"), search(lo=28, hi=28), search("tesaku"), search("  "),
-        search(clays=[32]), search('"light blue"'), search("green -sage"), search("sage or tenmoku"), search(flag=True), search(codes=["pc-30", "PC-20", "LG-99"], code_makers=["alpha ", "nobody"]),
-        search(page_limit=-1), search(page_limit=2, page_offset=1), search("zzzz"), search(makers=[]), search('"blue light"'),
-        search("-green"), search("-green or sage"), search("-green -tenmoku", makers=[1]), search('"edges or pools"'), search('"blue or light"'),
-    ]
-    frame = spark.createDataFrame([(i, *row) for i, row in enumerate(asked)], SEARCH)
-    rows = S.ranked_search(tables, frame).orderBy("qid", "position").collect()
-    return {i: [r for r in rows if r.qid == i] for i in range(len(asked))}
-
-
-def codes(rows):
-    return [r.code for r in rows]
-
-
-def test_exact_name_is_a_match(answers):
-    assert answers[0][0].code == "PC-20" and answers[0][0].tier == "match"
-
-
-def test_colour_words_and_families(answers):
-    assert "PC-13" in codes(answers[1]) and "PC-13" in codes(answers[2])
-    assert codes([r for r in answers[3] if r.tier == "match"]) == ["PC-30"]
-
-
-def test_ranges_overlap_rather_than_contain(answers):
-    assert "LG-99" in codes(answers[4]) and len(answers[4]) == 4
-
-
-def test_misspelling_reaches_the_near_tier(answers):
-    assert [(r.code, r.tier) for r in answers[5]] == [("PC-30", "near")]
-
-
-def test_blank_is_a_browse_in_total_order(answers):
-    assert codes(answers[6]) == ["LG-99", "PC-13", "PC-20", "PC-30"] and {r.tier for r in answers[6]} == {"match"}
-    assert codes(answers[16]) == codes(answers[6])
-
-
-def test_evidence_filter_and_rollup(answers):
-    (hit,) = answers[7]
-    assert (hit.code, hit.layering_count, hit.coat_levels, hit.clay_bodies_shown, hit.hero_source_url) == ("PC-20", 1, 1, ["Dark No. 32"], "u1")
-
-
-def test_phrase_negation_alternative(answers):
-    assert codes([r for r in answers[8] if r.tier == "match"]) == ["PC-20"]
-    assert not [r for r in answers[17] if r.tier == "match"]
-    assert codes([r for r in answers[9] if r.tier == "match"]) == ["PC-20"]
-    assert sorted(codes([r for r in answers[10] if r.tier == "match"])) == ["PC-13", "PC-30"]
-
-
-def test_exclusions_alone_list_what_lacks_them(answers):
-    """They rank nothing, so the rows are near ones; a close spelling may still be listed."""
-    assert codes([r for r in answers[18] if r.rank == 0]) == ["LG-99", "PC-30"] and {r.tier for r in answers[18]} == {"near"}
-    assert {r.code for r in answers[19]} == {"LG-99", "PC-30", "PC-13"} and answers[19][0].code == "PC-13"
-    assert codes([r for r in answers[20] if r.rank == 0]) == ["LG-99"]
-
-
-def test_or_inside_quotes_is_a_word(answers):
-    assert codes([r for r in answers[21] if r.tier == "match"]) == ["PC-20"]
-    assert not [r for r in answers[22] if r.tier == "match"]
-
-
-def test_flag_and_identity_lists_fail_closed(answers):
-    assert codes(answers[11]) == ["PC-13"]
-    assert codes(answers[12]) == ["PC-30"]
-
-
-def test_limits(answers):
-    assert answers[13] == [] and codes(answers[14]) == ["PC-13", "PC-20"] and answers[15] == []
-
-
-def test_similarity_scores(spark, tables):
-    items = tables.items.unionByName(spark.createDataFrame([OTHER], ITEMS))
-    got = {(r.anchor_id, r.item_id): r.score for r in similar.similar_items(items).collect()}
-    assert {k[1]: v for k, v in got.items() if k[0] == 1} == {2: 6, 5: 2, 3: 1, 4: 1}
-    assert {k[1]: v for k, v in got.items() if k[0] == 5} == {1: 2}
-    assert got[(3, 4)] == 4 and not [k for k in got if k[0] == k[1]]
-    assert similar.similar_items(items, k=1).filter("anchor_id = 1").count() == 1
-
-
-@pytest.mark.parametrize("wide", [10, 3, 1])
-def test_similarity_equals_brute_force(spark, wide):
-    """Narrow and wide descriptions, hot features, bounded k."""
-    rows = [(i, i % 3, f"C-{i % 7}", None, None, "L" if i % 3 else None, None, None,
-             [w for j, w in enumerate("abcdef") if (i * 7 + j * j) % 3 == 0], (i % 4) or None, (i % 5) or None, None, None) for i in range(60)]
-    items = spark.createDataFrame(rows, ITEMS)
+def wanted(spark, shop):
+    _, items, clays = shop
+    searches = spark.createDataFrame(asked(90, 23), SEARCH)
+    want = {r["qid"]: brute.page(r.asDict(), items, MAKERS, clays) for r in searches.collect()}
+    return searches, {q: rows for q, rows in want.items() if rows}
+
+
+def test_ranked_search_against_brute_force(shop, wanted):
+    searches, want = wanted
+    assert answers(S.ranked_search(shop[0], searches)) == want
+    assert len(want) > 40 and {t for rows in want.values() for _, t, _ in rows} == {"match", "near"}
+
+
+@pytest.mark.parametrize("shard_rows", [100_000, 2])
+def test_index_search_against_brute_force(shop, wanted, shard_rows):
+    """Also with lists in so small shards that every one is cut."""
+    searches, want = wanted
+    assert answers(I.search(I.build_index(shop[0], shard_rows), searches)) == want
+
+
+def test_an_empty_identity_list_allows_nothing(spark, shop):
+    base = (None, None, None, None, None, None, None, None)
+    searches = spark.createDataFrame([(1, " ", *base, None, None, 40, 0), (2, " ", *base, [], [], 40, 0), (3, " ", *base, ["KV-1"], None, 40, 0)], SEARCH)
+    assert set(answers(S.ranked_search(shop[0], searches))) == {1} == set(answers(I.search(I.build_index(shop[0]), searches)))
+
+
+def test_the_index_is_not_shuffled(spark, catalog):
+    from evidex.plans.search_checks import tables
+
+    index = I.build_index(tables(catalog))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = I.hits(index, T.clauses(catalog.searches), I._wanted(catalog.searches))
+        tree = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*(0123456789)"))
+    read = {kind: [k for k, line in enumerate(tree) if f"Scan parquet spark_catalog.default.evidex_{kind}" in line] for kind in ("postings", "forward")}
+    assert all(read.values())
+    for k in sum(read.values(), []):
+        above = depth(tree[k])
+        for line in reversed(tree[:k]):  # up to the join that reads the index
+            if depth(line) < above:
+                above = depth(line)
+                assert "Exchange" not in line
+                if "Join" in line:
+                    break
+
+
+def test_bounds_hold_and_leave_few(spark, catalog):
+    from evidex.plans.search_checks import tables
+    from evidex.session import stored
+
+    index = I.build_index(tables(catalog))
+    searches = catalog.searches.filter("trim(text) <> ''")
+    rows = stored(I.candidates(index, searches), "candidates")
+    exact = rows.join(I.ranked(rows, 0.02).select("qid", "item_id", "tier", "rank"), ["qid", "item_id"])
+    wrong = exact.filter("rank < low - 1e-6 or rank > high + 1e-6 or tier > tier_low or tier < tier_high")
+    assert exact.count() > 100 and wrong.count() == 0
+    depths = searches.select("qid", (F.col("page_limit") + F.col("page_offset")).cast("long").alias("depth"))
+    kept = stored(I.survivors(rows, depths), "kept")
+    order = [F.col("tier"), F.desc("rank"), F.col("code"), F.col("item_id")]
+    first = lambda df: {tuple(r) for r in I._first(df, depths, order, "position").drop("depth").collect()}
+    assert first(I.ranked(kept, 0.02)) == first(I.ranked(rows, 0.02))
+    assert kept.count() <= 5 * depths.agg(F.sum("depth")).first()[0] and kept.count() < rows.count()
+
+
+def test_porters_first_step(spark):
+    rng = random.Random(4)
+    known = dict(p.split(":") for p in ("caresses:caress ponies:poni ties:ti caress:caress cats:cat feed:feed agreed:agree plastered:plaster bled:bled motoring:motor sing:sing conflated:conflate "
+                                        "troubled:trouble sized:size hopping:hop tanned:tan falling:fall hissing:hiss fizzed:fizz failing:fail filing:file happy:happi sky:sky").split())
+    made = ["".join(rng.choice("aeiouybcdlstzw") for _ in range(rng.randint(1, 6))) + rng.choice(["", "s", "ed", "ing", "eed", "y", "ies", "sses", "edly"]) for _ in range(2000)]
+    words = spark.createDataFrame([(w,) for w in sorted({*known, *made})], "w string")
+    got = {r.w: r.s for r in words.select("w", stemmed(F.col("w")).alias("s")).collect()}
+    assert {w: got[w] for w in known} == known and got == {w: brute.stem(w) for w in got}
+
+
+def similar_by_hand(rows, k, anchors=None):
+    def features(r):
+        return {("t", t): 3 for t in r[8] or []} | ({("s", r[9]): 2} if r[9] else {}) | ({("o", r[10]): 2} if r[10] else {}) | ({("l", r[5]): 1} if r[5] else {})
+
+    own, out = {r[0]: features(r) for r in rows}, set()
+    for a in rows:
+        if anchors is None or a[0] in anchors:
+            scored = [(-sum(w for f, w in own[a[0]].items() if f in own[b[0]]), b[2], b[0]) for b in rows if b[0] != a[0]]
+            out |= {(a[0], b, -s, i) for i, (s, _, b) in enumerate(sorted(x for x in scored if x[0] < 0)[:k], 1)}
+    return out
 
-    def feats(r):
-        return {("t", t): 3 for t in r[8]} | ({("s", r[9]): 2} if r[9] else {}) | ({("o", r[10]): 2} if r[10] else {}) | ({("l", r[5]): 1} if r[5] else {})
 
-    want = set()
-    for a in rows:
-        scored = [(-sum(w for f, w in feats(a).items() if f in feats(b)), b[2], b[0]) for b in rows if b[0] != a[0]]
-        want |= {(a[0], b, -s, i) for i, (s, _, b) in enumerate(sorted(x for x in scored if x[0] < 0)[:4], 1)}
-    got = {(r.anchor_id, r.item_id, r.score, r.position) for r in similar.similar_items(items, k=4, wide=wide).collect()}
-    assert got == want
+@pytest.mark.parametrize("words,shard_rows,k", [(3, 10_000, 4), (3, 2, 4), (40, 10_000, 4), (40, 3, 50)])
+def test_similarity_equals_brute_force(spark, words, shard_rows, k):
+    """Few and many features, features that most items share, lists in small shards, more asked for than there are."""
+    rng = random.Random(words + shard_rows)
+    pool = [f"w{j}" for j in range(words + 5)]
+    rows = [(i, i % 3, f"C-{i % 7}", None, None, "L" if i % 3 else None, None, None, sorted({"common", *rng.sample(pool, rng.randint(0, words))} if i % 5 else set()), (i % 4) or None, (i % 5) or None, None, None) for i in range(70)]
+    items = spark.createDataFrame([(*r[:2], r[2], "n", *r[4:]) for r in rows], ITEMS)
+    got = {(r.anchor_id, r.item_id, r.score, r.position) for r in similar.similar_items(items, k, shard_rows=shard_rows).collect()}
+    assert got == similar_by_hand(rows, k)
+    some = {0, 6, 35, 69}
+    few = similar.similar_items(items, k, anchors=items.filter(F.col("item_id").isin(*some)), shard_rows=shard_rows)
+    assert {(r.anchor_id, r.item_id, r.score, r.position) for r in few.collect()} == similar_by_hand(rows, k, some)
+    assert similar.similar_items(items.filter("false"), k).count() == 0
 
 
-def test_hit_contract(spark, tables):
-    page = tables.items.select("item_id", F.lit("match").alias("tier"), F.lit(1.0).alias("rank"))
-    assert S.project_hit(page, tables).columns == S.HIT_COLUMNS and len(S.HIT_COLUMNS) == 27
+def test_hit_contract(spark, shop):
+    page = shop[0].items.select("item_id", F.lit("match").alias("tier"), F.lit(1.0).alias("rank"))
+    assert S.project_hit(page, shop[0]).columns == S.HIT_COLUMNS and len(S.HIT_COLUMNS) == 27
 
 
 def test_clauses(spark):
-    frame = spark.createDataFrame([(1, 'red "Dark Flux" -matte or the greens')], "qid long, text string")
-    got = {(r.grp, r.unit, r.negated, r.place, r.term) for r in clauses(frame).collect()}
-    assert got == {(0, 0, False, 0, "red"), (0, 1, False, 0, "dark"), (0, 1, False, 1, "flux"), (0, 2, True, 0, "matte"), (1, 1, False, 0, "green")}
+    frame = spark.createDataFrame([(1, 'smoky "Chalk Cliffs" -tan or the herons')], "qid long, text string")
+    got = {(r.grp, r.unit, r.negated, r.place, r.term) for r in T.clauses(frame).collect()}
+    assert got == {(0, 0, False, 0, "smoki"), (0, 1, False, 0, "chalk"), (0, 1, False, 1, "cliff"), (0, 2, True, 0, "tan"), (1, 1, False, 0, "heron")}
 
 
 def test_matching_edges(spark):
-    """A word both required and excluded matches nothing; more words than bits still match."""
-    from evidex.operators.postings import matches
-
+    """A word both required and excluded matches nothing; any number of words match."""
     many = " ".join(f"w{i}x" for i in range(70))
-    docs = spark.createDataFrame([(1, "red fox"), (2, many + " red"), (3, many.replace("w69x", "zz"))], "doc long, text string")
-    from evidex.operators.postings import postings
-
-    index = postings(docs, "doc", [(F.col("text"), 1.0)])
-    asked = spark.createDataFrame([(1, "red -red"), (2, many), (3, 'red -"red fox"'), (4, "fox red")], "qid long, text string")
-    got = {(r.qid, r.doc): r.cover_rank for r in matches(index, clauses(asked), "doc").collect()}
+    docs = spark.createDataFrame([(1, "tan heron"), (2, many + " tan"), (3, many.replace("w69x", "zz"))], "doc long, text string")
+    index = T.postings(docs, "doc", [(F.col("text"), 1.0)])
+    searches = spark.createDataFrame([(1, "tan -tan"), (2, many), (3, 'tan -"tan heron"'), (4, "heron tan")], "qid long, text string")
+    got = {(r.qid, r.doc): r.cover_rank for r in T.matches(index, T.clauses(searches), "doc").collect()}
     assert set(got) == {(2, 2), (3, 2), (4, 1)} and got[(4, 1)] == 1.0 and got[(2, 2)] == 1.0

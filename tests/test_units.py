@@ -150,44 +150,59 @@ def test_scale_order():
 
 
 # --- file names ------------------------------------------------------------------------------------
-B_CASES = [
-    ("SW317.jpg", "SW-317", "label_chip", "SW-317", None, None), ("sw317_cone10.jpg", "SW-317", "label_chip", "SW-317", None, "10"),
-    ("ug-148_cone6.jpg", "UG-148", "label_chip", "UG-148", None, "6"), ("s-2804.jpg", "S-2804", "label_chip", "S-2804", None, None),
-    ("c-307_cone06.jpg", "C-307", "label_chip", "C-307", None, "06"), ("sw266_over_sw401_cone6.jpg", "SW-266", "layered", "SW-266", "SW-401", "6"),
-    ("fd231_cone10_over_sw512.jpg", "FD-231", "layered", "FD-231", "SW-512", "10"), ("sw317_under_sw401_cone6.jpg", "SW-401", "layered", "SW-401", "SW-317", "6"),
-    ("sw401_over_sw125_crop.jpg", "SW-125", "other", "SW-401", None, None), ("sw401_over_sw125_crop.jpg", "SW-401", "layered", "SW-401", "SW-125", None),
-    ("web_crop.jpg", "SW-1", "other", "SW-1", None, None),
-]
-A_CASES = [
-    ("PG-43overSM-21_Cone6.jpg", "PG-43", None, "layered", "PG-43", "SM-21", "high"), ("CR-34_over_PC-47_1280pxX1280px_ProductPage.jpg", "CR-34", None, "layered", "CR-34", "PC-47", "high"),
-    ("PG-43overC-1_Cone6.jpg", "PG-43", None, "layered", "PG-43", "C-1", "high"), ("PC-62_over_PCF-33_16M_Vase_Website.jpg", "PCF-33", None, "layered", "PC-62", "PCF-33", "high"),
-    ("SM-21_CO-4_PC-38_Medina_Website.jpg", "PC-38", None, "other", "PC-38", None, "low"), ("C-5_Pewter_Cone5_Chip-HiRes.jpg", "C-5", "C-05 Pewter", "label_chip", "C-5", None, "high"),
-    ("large_pc27-application-tiles-and-sake-cup-2048px.jpg", None, None, "coats_composite", "PC-27", None, "high"), ("gloss-glazes-color-chart-2048px.jpg", "LG-58", None, "line_chart", None, None, "low"),
-    ("SH-31_Plum_Matte_Bowl_2048px.jpg", "SH-31", "SH-31 Plum Matte", "in_use", "SH-31", None, "high"), ("PCF-33_Cone5_WebsiteSwatch.jpg", None, None, "label_chip", "PCF-33", None, "high"),
-    ("518lg.jpg", "O-24", None, "other", "O-24", None, "low"), ("40962X.jpg", "V-318", None, "other", "V-318", None, "low"),
-    ("CR-34_MottledGreen_1280pxX1280px_Website.jpg", "CR-34", "CR-34 Mottled Green", "label_chip", "CR-34", None, "high"),
-    ("LG-58_Honey_Blick_FishTile_5-16-Square-WEB.jpg", "LG-58", "LG-58 Honey", "label_chip", "LG-58", None, "medium"),
-    ("o24-foxglove-basket-2048px.jpg", None, None, "in_use", "O-24", None, "medium"), ("PC-1_over_PC-2_99M_Vase.jpg", "PC-1", None, "layered", "PC-1", "PC-2", "high"),
-]
-
-
-def test_second_source_names(spark):
-    df = spark.createDataFrame([(i, *c) for i, c in enumerate(B_CASES)], "n int, filename string, product_code string, role_ string, subject_ string, over_ string, cone_ string")
-    for r in filenames.source_b_facts(df.withColumn("alt", F.lit(None).cast("string"))).collect():
-        assert (r.role, r.subject, r.layered_over, r.cone) == (r.role_, r.subject_, r.over_, r.cone_), r.filename
-
-
-def test_second_source_confidence_and_alt(spark):
-    df = spark.createDataFrame([("web_crop.jpg", "SW-1", None), ("sw1_reduction.jpg", "SW-1", "White Clay, Cone 6 oxidation"), ("sw1.jpg", "SW-1", None), ("sw214_over_sw401_sw402.jpg", "SW-214", None), ("2024_SW_lineup_clay-body-bowls_1.jpg", "SW-1", None)],
-                               "filename string, product_code string, alt string")
-    got = [(r.confidence, r.role, r.cone, r.unmatched) for r in filenames.source_b_facts(df).collect()]
-    assert got == [("medium", "other", None, []), ("medium", "label_chip", "6", ["reduction", "white", "clay", "oxidation"]), ("high", "label_chip", None, []), ("low", "other", None, []), ("medium", "line_chart", None, ["sw", "clay", "body"])]
-
-
-def test_first_source_names(spark):
-    df = spark.createDataFrame([(i, *c) for i, c in enumerate(A_CASES)], "n int, filename string, product_code string, product_name string, role_ string, subject_ string, over_ string, conf_ string")
-    for r in filenames.source_a_facts(df).collect():
-        assert (r.role, r.subject, r.layered_over, r.confidence) == (r.role_, r.subject_, r.over_, r.conf_), (r.filename, r.unmatched)
+def second_source_case(rng):
+    """(file name, product, alt, facts) put together from the parts that the second grammar knows."""
+    spell = lambda prefix, digits: f"{prefix.upper()}-{digits}"
+    codes = rng.sample([(p, d) for p in ("kv", "rdx", "q") for d in ("7", "041", "903", "12")], rng.choice([0, 1, 1, 2, 2, 2, 3]))
+    named, way = [spell(*c) for c in codes], rng.choice(["over", "under"]) if len(codes) == 2 else "over"
+    spelt = [p + rng.choice(["", "-"]) + d for p, d in codes]
+    written = "_".join([f"_{way}_".join(spelt[:2]), *spelt[2:]])
+    cone, coats, form = rng.choice([None, "5", "06", "10"]), rng.choice([None, None, "3"]), rng.choice([None, None, "bowl", "tile", "plate"])
+    noise, strange, chart = rng.sample(["web", "final", "crop"], rng.randint(0, 2)), rng.sample(["velvet", "harbour"], rng.randint(0, 2)), rng.random() < 0.1
+    parts = [written, f"cone{cone}" if cone else "", f"{coats}coats" if coats else "", form or "", *noise, *strange, "lineup" if chart else ""]
+    alt = rng.choice([None, None, "", "Brown clay, Cone 04"])
+    product = rng.choice([*named, "KV-555"]) if named else "KV-555"
+    top, base = (named if way == "over" else named[::-1]) if len(named) == 2 else (None, None)
+    layered = base if base and product != base else None
+    combination = named if len(named) > 1 and not layered else []
+    unmatched = strange if not alt else list(dict.fromkeys([*strange, "brown", "clay"]))
+    role = ("line_chart" if chart else "layered" if layered else "other" if combination or coats else "in_use" if form in ("bowl", "plate")
+            else "label_chip" if len(named) == 1 or form == "tile" else "other")
+    return ("_".join(x for x in parts if x) + rng.choice([".jpg", "-scaled.jpg", ".JPG"]), product, alt,
+            {"subject": top or (product if product in named else named[0] if named else product), "layered_over": layered, "combination": combination, "cone": cone or ("04" if alt else None), "coats": coats,
+             "form": {"tile": "flat_tile"}.get(form, form), "role": role, "unmatched": unmatched, "confidence": "low" if combination else "medium" if not named or unmatched else "high"})
+
+
+def first_source_case(rng):
+    """The same for the first grammar, which knows its prefixes."""
+    codes = rng.sample([(p, d) for p in ("PC", "LUG", "sm", "V") for d in ("7", "41", "093")], rng.choice([0, 1, 1, 1, 2, 2]))
+    named = [f"{p.upper()}-{int(d)}" for p, d in codes]
+    pair = len(codes) == 2 and rng.random() < 0.7
+    joint = rng.choice(["over", "_over_", "-over-"]) if pair else "_"
+    written = joint.join(p + rng.choice(["", "-", "_"]) + d for p, d in codes)
+    kind = rng.choice(["", "", "", "application-tiles", "colour-chart"])
+    form = rng.choice([None, None, "Mug", "Vase", "chip", "LabelTile"])
+    cone, clay = rng.choice([None, "6", "05"]), rng.choice([None, 38, 25])
+    name, noise, strange = rng.choice(["Harbour Fog", None]), rng.sample(["web", "hires", "final"], rng.randint(0, 2)), rng.sample(["medina", "blick"], rng.randint(0, 1))
+    parts = [written, f"Cone{cone}" if cone else "", f"{clay}M" if clay else "", kind, form or "", rng.choice(["HarbourFog", "Fog"]) if name else "", *noise, *strange]
+    product = rng.choice([*named, "PC-555"]) if named else "PC-555"
+    vessel = form in ("Mug", "Vase")
+    role = ("line_chart" if "chart" in kind else "coats_composite" if "tiles" in kind else "layered" if pair else "in_use" if vessel else "label_chip" if form or len(named) == 1 else "other")
+    subject = None if role == "line_chart" else named[0] if pair else product if product in named else named[0] if len(named) == 1 else product
+    combination = named if len(named) == 2 and not pair else []
+    return ("_".join(x for x in parts if x) + ".jpg", product, f"{product} {name}" if name else None,
+            {"subject": subject, "layered_over": named[1] if pair else None, "combination": combination, "cone": cone, "clay": clay, "role": role,
+             "form": {"Mug": "mug", "Vase": "vase", "chip": "flat_tile", "LabelTile": "textured_tile"}.get(form, None), "unmatched": strange,
+             "confidence": "low" if subject is None or combination or not named else "medium" if strange else "high"})
+
+
+@pytest.mark.parametrize("case,facts,third", [(second_source_case, filenames.source_b_facts, "alt"), (first_source_case, filenames.source_a_facts, "product_name")])
+def test_file_names_built_from_their_grammar(spark, case, facts, third):
+    rng = random.Random(8)
+    made = [case(rng) for _ in range(400)]
+    df = spark.createDataFrame([(n, *c[:3]) for n, c in enumerate(made)], f"n int, filename string, product_code string, {third} string")
+    wrong = [(made[r.n][:3], {k: (r[k], v) for k, v in made[r.n][3].items() if r[k] != v}) for r in facts(df).collect() if any(r[k] != v for k, v in made[r.n][3].items())]
+    assert not wrong, wrong[:3]
 
 
 # --- merges, quality, snapshots, paging ---------------------------------------------------------------
