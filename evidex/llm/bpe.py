@@ -1,14 +1,16 @@
 """BPE encoding and decoding of item descriptions by tree concatenation.
 
-White space splits a text into stretches that any BPE of this family encodes independently (the
-tokenizer's own splitting never crosses white space); texts of Latin-1 characters are split further, by
-the tokenizer's own pattern. Most stretches are words and come from a bounded memo that tasks of a worker share. A long unsplit stretch is cut into halves again and again, the leaves are encoded side by side,
-and neighbours are joined as a tree: a window around the join is encoded anew and grows until one of its
-tokens equals a token of the left side and one equals a token of the right side, away from every cut.
-Tokens of a BPE code are fixed pair by pair, so equal tokens on both sides make the join exact.
+A long text is cut into halves again and again, wherever the middle falls. The leaves are encoded side by side, and neighbours are joined
+as a tree: a window around the join is encoded anew and grows until, away from its own ends and from the cut, it agrees exactly with
+the left side and with the right side; what stands between the two agreements is taken from the window.
+
+Inside a leaf, white space splits the text into stretches that any BPE of this family encodes independently (the tokenizer's own
+splitting never crosses white space); leaves of Latin-1 characters are split further, by the tokenizer's own pattern. Sides agree in such a
+piece if its place and its tokens are equal. Most pieces are words and come from a memo that tasks of a worker share. A piece that is
+itself long is a tree again, of tokens: sides then agree in a token away from every cut, as tokens of a BPE code are fixed pair by pair.
 
 Rows are independent: there is no shuffle, and a lost task repeats its own rows only. A task holds one
-Arrow batch and a memo of at most ``MEMO_WORDS`` stretches.
+Arrow batch and a memo that is emptied between batches beyond ``MEMO_WORDS`` pieces.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidex.llm.words import BASES, Powers
 
-#: A stretch longer than this is encoded as a tree.
+#: A text, or a piece of one, longer than this is encoded as a tree.
 LEAF_CHARS = 4096
+#: Characters on each side of a join in its first window.
+REACH_CHARS = 48
 #: Cuts and window ends distort tokens near them; agreement counts only this far away (longer than any added token).
 GUARD_CHARS = 48
 MEMO_WORDS = 300_000
@@ -35,7 +39,8 @@ _BATCH_WORDS = 1024
 _BATCH_CHARS = 500_000
 #: White space as the tokenizer's normalizer sees it; ``str.split`` also splits at four control characters.
 _CONTROLS = re.compile(r"[\x1c-\x1f]")
-_SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_SPACES, _STRETCH = re.compile(f"[{_BLANK}]+"), re.compile(f"[^{_BLANK}]+")
 #: The split pattern that the lean path reproduces (fixed value).
 _PATTERN = json.dumps("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
 #: A character no word of ordinary text has; it separates words that are encoded in one call.
@@ -54,13 +59,20 @@ _HASH = [Powers(b) for b in BASES[:2]]
 
 
 class _Index:
-    """Open addressing over arrays: 128-bit keys to numbers, looked up and filed many at a time."""
+    """Open addressing over arrays: 128-bit keys to numbers, looked up and filed many at a time; grows before it is half full."""
 
     def __init__(self, bits: int):
+        self.bits, self.held = bits, 0
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.zeros((2, 1 << bits), np.uint64)
         self.values = np.full(1 << bits, -1, np.int64)
 
+    def _grow(self, bits: int) -> None:
+        used = np.flatnonzero(self.values >= 0)
+        key, check, value = self.keys[0][used], self.keys[1][used], self.values[used]
+        self.__init__(bits)
+        self.file(key, check, value)
+
     def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         out, at = np.full(len(key), -1, np.int64), np.arange(len(key))
         slot = (key >> self.shift).astype(np.int64)
@@ -73,6 +85,9 @@ class _Index:
         return out
 
     def file(self, key: np.ndarray, check: np.ndarray, value: np.ndarray) -> None:
+        if 2 * (self.held + len(key)) > len(self.values):
+            self._grow((2 * (self.held + len(key))).bit_length())
+        self.held += len(key)
         at, slot = np.arange(len(key)), (key >> self.shift).astype(np.int64)
         while len(at):
             free = np.flatnonzero(self.values[slot] < 0)
@@ -92,6 +107,53 @@ def stretches(text: str) -> list[str]:
     return text.split()
 
 
+def halves(length: int, most: int) -> list[int]:
+    """Places that cut a length into halves again and again until no part is longer than ``most``."""
+    cuts = [0, length]
+    while max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) > most:
+        cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:], strict=False))})
+    return cuts
+
+
+class _Run:
+    """The pieces of a span of a text: their numbers, and their places in the whole text where they are known."""
+
+    def __init__(self, start: int, end: int, numbers: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None):
+        self.start, self.end, self.numbers = start, end, numbers
+        self.lo, self.hi = (None, None) if lo is None else (lo + start, hi + start)
+
+    def near(self, text: str, a: int, b: int) -> list[tuple[int, int, int]]:
+        """(start, end, which) of the pieces of ``a`` to ``b``, which is at one end of the span or all of it."""
+        if self.lo is not None:
+            i, j = np.searchsorted(self.hi, a, side="right"), np.searchsorted(self.lo, b)
+            return list(zip(self.lo[i:j].tolist(), self.hi[i:j].tolist(), range(int(i), int(j)), strict=True))
+        spans = [(m.start() + a, m.end() + a) for m in _STRETCH.finditer(text[a:b])]
+        first = 0 if a == self.start else len(self.numbers) - len(spans)
+        return [(s, e, first + k) for k, (s, e) in enumerate(spans)]
+
+    def between(self, text: str, left: _Run, right: _Run) -> _Run | None:
+        """Left and right with this window, around the end of left, laid over them; none if it agrees with one of them nowhere."""
+        at = left.end
+        mine = self.near(text, self.start, self.end)
+        i, first, j, last = 0, 0, len(right.numbers), len(self.numbers)
+        if self.start > left.start:
+            known = {(s, e): k for s, e, k in left.near(text, self.start, at)}
+            same = [(known[s, e], k) for s, e, k in mine if self.start < s and e < at and (s, e) in known and left.numbers[known[s, e]] == self.numbers[k]]
+            if not same:
+                return None
+            i, first = same[-1][0] + 1, same[-1][1] + 1
+        if self.end < right.end:
+            known = {(s, e): k for s, e, k in right.near(text, at, self.end)}
+            same = [(known[s, e], k) for s, e, k in mine if at < s and e < self.end and (s, e) in known and right.numbers[known[s, e]] == self.numbers[k]]
+            if not same:
+                return None
+            j, last = same[0]
+        whole = _Run(left.start, right.end, np.concatenate([left.numbers[:i], self.numbers[first:last], right.numbers[j:]]))
+        if self.lo is not None:
+            whole.lo, whole.hi = (np.concatenate([x[:i], y[first:last], z[j:]]) for x, y, z in ((left.lo, self.lo, right.lo), (left.hi, self.hi, right.hi)))
+        return whole
+
+
 class TreeEncoder:
     """Encodes texts exactly as the tokenizers library does without special tokens; decodes likewise."""
 
@@ -107,6 +169,7 @@ class TreeEncoder:
         mark = self.tokenizer.encode(f"a {_MARK} a", add_special_tokens=False).ids
         self.mark = mark[1] if len(mark) == 3 else None
         self.lean = self._lean()
+        self.joins = 0
         self._reset()
 
     def _lean(self):
@@ -116,6 +179,8 @@ class TreeEncoder:
         spec = json.loads(self.tokenizer.to_str())
         if not (_PATTERN in json.dumps(spec["pre_tokenizer"]) and spec["model"].get("end_of_word_suffix") and spec["decoder"] is None):
             return None
+        if sorted(n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])) != ["Lowercase", "NFC", "Replace"]:
+            return None
         lean = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
         lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = spec["model"]["end_of_word_suffix"]
@@ -184,18 +249,44 @@ class TreeEncoder:
             if text:
                 slow = self.lean is None or _OTHER.search(text) or any(t in text for t in self.special)
                 (rest if slow else plain).append(k)
-        for chosen, numbers in ((plain, self._plain), (rest, self._rest)):
+        for chosen, pieces in ((plain, self._plain), (rest, self._rest)):
             if chosen:
-                at, ends = numbers([texts[k] for k in chosen])
+                numbers = self._joined([texts[k] for k in chosen], pieces)
+                at = np.concatenate(numbers)
                 count = self.count[at]
                 shift = self.begin[at] - (np.cumsum(count) - count)
                 ids = self.flat[np.repeat(shift, count) + np.arange(count.sum())]
-                for k, own in zip(chosen, np.split(ids, np.append(0, np.cumsum(count))[ends][:-1]), strict=True):
+                ends = np.append(0, np.cumsum(count))[np.cumsum([len(n) for n in numbers])]
+                for k, own in zip(chosen, np.split(ids, ends[:-1]), strict=True):
                     out[k] = own
         return out
 
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of all pattern pieces, how many there are up to the end of each text), for Latin-1 texts."""
+    def _joined(self, texts: list[str], pieces) -> list[np.ndarray]:
+        """The numbers of the pieces of each text: leaves side by side, then joins, level by level."""
+        cuts = [halves(len(t), self.leaf_chars) for t in texts]
+        leaves = iter(pieces([t[a:b] for t, c in zip(texts, cuts, strict=True) for a, b in zip(c, c[1:], strict=False)]))
+        rows = [[_Run(a, b, *next(leaves)) for a, b in zip(c, c[1:], strict=False)] for c in cuts]
+        while any(len(r) > 1 for r in rows):
+            pairs = [(t, *r[k:k + 2]) for t, r in zip(texts, rows, strict=True) for k in range(0, len(r) - 1, 2)]
+            joined = iter(self._pairs(pairs, pieces))
+            rows = [[next(joined) if k + 1 < len(r) else r[k] for k in range(0, len(r), 2)] for r in rows]
+        return [r[0].numbers for r in rows]
+
+    def _pairs(self, pairs: list[tuple[str, _Run, _Run]], pieces) -> list[_Run]:
+        """Neighbours as one run each, by windows that grow until both sides agree."""
+        out: list[_Run | None] = [None] * len(pairs)
+        open_, reach = list(range(len(pairs))), REACH_CHARS
+        while open_:
+            spans = [(max(pairs[k][1].start, pairs[k][1].end - reach), min(pairs[k][2].end, pairs[k][1].end + reach)) for k in open_]
+            found = pieces([pairs[k][0][a:b] for k, (a, b) in zip(open_, spans, strict=True)])
+            for k, (a, b), mid in zip(open_, spans, found, strict=True):
+                out[k] = _Run(a, b, *mid).between(*pairs[k])
+            self.joins += len(open_)
+            open_, reach = [k for k in open_ if out[k] is None], 4 * reach
+        return out
+
+    def _plain(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(numbers, starts, ends) of the pattern pieces of each text, for Latin-1 texts."""
         whole = "\n".join(texts).lower().encode("latin-1")
         raw = np.frombuffer(whole, np.uint8)
         kind = _KIND[raw]
@@ -215,21 +306,21 @@ class TreeEncoder:
             at[new] = self.index.find(key[new], check[new])
             if (at < 0).any():
                 raise ValueError("two words of one batch share a hash")
-        return at, np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]) - 1)
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        cut = np.searchsorted(start, first)
+        return [(at[i:j], start[i:j] - f, end[i:j] - f) for i, j, f in zip(cut.tolist(), cut[1:].tolist(), first.tolist(), strict=False)]
 
-    def _rest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _rest(self, texts: list[str]) -> list[tuple[np.ndarray, None, None]]:
+        """The same of the stretches of any text; places are found where they are needed."""
         words = [stretches(t) for t in texts]
         unknown = list(set().union(*words) - self.memo.keys())
         if unknown:
             self.memo.update(zip(unknown, self._learn(unknown, False).tolist(), strict=True))
-        ends = np.cumsum([len(w) for w in words])
-        return np.fromiter((self.memo[w] for own in words for w in own), np.int64, int(ends[-1])), ends
+        return [(np.fromiter(map(self.memo.__getitem__, own), np.int64, len(own)), None, None) for own in words]
 
     def tree(self, text: str) -> np.ndarray:
         """Ids of one unsplit stretch: leaves side by side, then joins, level by level."""
-        cuts = [0, len(text)]
-        while max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) > self.leaf_chars:
-            cuts = sorted({*cuts, *((a + b) // 2 for a, b in zip(cuts, cuts[1:], strict=False))})
+        cuts = halves(len(text), self.leaf_chars)
         leaves = self.tokenizer.encode_batch([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False)
         parts = [_Part(a, b, e) for a, b, e in zip(cuts, cuts[1:], leaves, strict=False)]
         while len(parts) > 1:
@@ -298,33 +389,40 @@ class _Part:
         return keys[0][best], keys[1][best]
 
 
+def _step(items: DataFrame, columns: list[str], fields: str, make) -> DataFrame:
+    """``item_id`` as it is (whole numbers of any size, nulls too) beside what ``make`` gives for a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = make(*(batch.column(c) for c in columns))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), *made.values()], names=["item_id", *made])
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    return items.select("item_id", *columns).mapInArrow(run, f"item_id {kind}, {fields}")
+
+
+def _ids(found: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(np.cumsum([0, *(len(x) for x in found)]).astype(np.int32), flat)
+
+
 def encode_descriptions(items: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """``item_id, token_ids``: the ids of every item's whole ``description``, in order.
 
     One row per input row, repeated rows and null ids included. A null or empty description has an empty
     array. Other columns of ``items`` are not looked at.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(tokenizer_path, leaf_chars)
-        for batch in batches:
-            yield pd.DataFrame({"item_id": batch["item_id"], "token_ids": [x.astype(np.int32) for x in encoder.encode_batch(batch["description"].tolist())]})
-
-    kind = items.schema["item_id"].dataType.simpleString()
-    return items.select("item_id", F.col("description").cast("string")).mapInPandas(run, f"item_id {kind}, token_ids array<int>")
+    read = items.select("item_id", F.col("description").cast("string"))
+    return _step(read, ["description"], "token_ids array<int>", lambda texts: {"token_ids": _ids(encoder_of(tokenizer_path, leaf_chars).encode_batch(texts.to_pylist()))})
 
 
 def decode_tokens(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """``item_id, description``: the text of every ``token_ids`` array; a null array gives an empty text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(tokenizer_path)
-        for batch in batches:
-            ids = [np.array([], np.int32) if x is None else np.asarray(x) for x in batch["token_ids"]]
-            yield pd.DataFrame({"item_id": batch["item_id"], "description": encoder.decode_batch(ids)})
+    def make(ids: pa.Array) -> dict[str, pa.Array]:
+        return {"description": pa.array(encoder_of(tokenizer_path).decode_batch([np.array(x or [], np.int32) for x in ids.to_pylist()]), pa.string())}
 
-    kind = encoded.schema["item_id"].dataType.simpleString()
-    return encoded.select("item_id", "token_ids").mapInPandas(run, f"item_id {kind}, description string")
+    return _step(encoded, ["token_ids"], "description string", make)
 
 
 def recode_descriptions(items: DataFrame, tokenizer_path: str, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -333,12 +431,9 @@ def recode_descriptions(items: DataFrame, tokenizer_path: str, leaf_chars: int =
     Nulls, repeated rows and other columns are treated as there.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: pa.Array) -> dict[str, pa.Array]:
         encoder = encoder_of(tokenizer_path, leaf_chars)
-        for batch in batches:
-            ids = encoder.encode_batch(batch["description"].tolist())
-            yield pd.DataFrame({"item_id": batch["item_id"], "token_ids": [x.astype(np.int32) for x in ids], "decoded": encoder.decode_batch(ids)})
-
-    kind = items.schema["item_id"].dataType.simpleString()
-    return items.select("item_id", F.col("description").cast("string")).mapInPandas(run, f"item_id {kind}, token_ids array<int>, decoded string")
+        ids = encoder.encode_batch(texts.to_pylist())
+        return {"token_ids": _ids(ids), "decoded": pa.array(encoder.decode_batch(ids), pa.string())}
 
+    return _step(items.select("item_id", F.col("description").cast("string")), ["description"], "token_ids array<int>, decoded string", make)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.llm import sha
-from evidex.session import stored
+from evidex.session import spread, stored
 
 FAN_OUT, CHUNK_LEVELS = 2, 12
 _STEP = "struct<slot:int,state:binary,left:binary,right:binary>"
@@ -135,7 +135,7 @@ def _climbed(nodes: DataFrame, fan_out: int, levels: int) -> list[DataFrame]:
         return pa.table({"g": table.column("g")[:1], "pos": pa.array([pos // chunk], pa.int64()), "total": pa.array([-(-total // chunk)], pa.int64()), "digest": pa.array(sha.to_bytes(node), pa.binary())})
 
     while (nodes.agg(F.max("total")).first()[0] or 0) > 1:
-        split = nodes.select("g", "pos", "total", "digest").withColumn("chunk", F.floor(F.col("pos") / chunk))
+        split = spread(nodes.select("g", "pos", "total", "digest").withColumn("chunk", F.floor(F.col("pos") / chunk)), "g", "chunk")
         nodes = stored(split.groupBy("g", "chunk").applyInArrow(top, "g string, pos long, total long, digest binary"), "manifest-nodes")
         stages.append(nodes)
     return stages
@@ -209,7 +209,7 @@ def _verified(leaves: DataFrame, above: DataFrame, fan_out: int, levels: int) ->
                          "proof": pa.array(sha.to_bytes(sha.finish(proof, blocks)), pa.binary()), "folded": pa.array(folded, pa.binary()), "verified": pa.array([f == root for f in folded])})
 
     kind = leaves.schema["id"].dataType.simpleString()
-    split = leaves.withColumn("chunk", F.floor(F.col("pos") / chunk))
+    split = spread(leaves.withColumn("chunk", F.floor(F.col("pos") / chunk)), "g", "chunk")
     out = split.groupBy("g", "chunk").cogroup(above.withColumnRenamed("pos", "chunk").groupBy("g", "chunk")).applyInArrow(
         fold, f"id {kind}, leaf binary, subroot binary, root binary, proof binary, folded binary, verified boolean")
     text = lambda c: F.lower(F.hex(c))

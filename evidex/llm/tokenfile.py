@@ -134,15 +134,19 @@ def write_token_files(items: DataFrame, tokenizer_path: str, end_id: int, path:
         for batch in batches:
             ids = [np.append(x, end_id).astype("<u4") for x in encoder.encode_batch(batch["description"].tolist())]
             small = [x.astype("<u2") if x.max() < 1 << 16 else x for x in ids]
-            yield pd.DataFrame({"item_id": batch["item_id"], "ids": [x.tobytes() for x in small], "wide": [x.itemsize == 4 for x in small], "n": [len(x) for x in ids]})
+            yield pd.DataFrame({"item_id": batch["item_id"], "known": batch["known"], "ids": [x.tobytes() for x in small], "wide": [x.itemsize == 4 for x in small], "n": [len(x) for x in ids]})
 
-    coded = stored(items.select(F.col("item_id").cast("long"), F.col("description").cast("string")).mapInPandas(encode, "item_id long, ids binary, wide boolean, n int"), "token-ids")
+    # A null id travels as a flag: a batch with nulls in it would hold whole numbers as floating ones.
+    read = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(0)).alias("item_id"), F.col("item_id").isNotNull().alias("known"), F.col("description").cast("string"))
+    made = read.mapInPandas(encode, "item_id long, known boolean, ids binary, wide boolean, n int")
+    coded = stored(made.select(F.when(F.col("known"), F.col("item_id")).alias("item_id"), "ids", "wide", "n"), "token-ids")
     lengths = _lengths(coded)
     spark = items.sparkSession
     spark.createDataFrame([(k, int(v)) for k, v in enumerate(lengths) if v], "id int, bits int").write.parquet(f"{path}/code")
 
     bounds = boundaries(coded, "item_id")
     cut = coded.withColumn("slice", F.coalesce(_slice(F.col("item_id"), bounds), F.lit(0)).cast("int"))
+    ordered = ["slice", "item_id", "ids"]
     totals = dict(cut.groupBy("slice").agg(F.sum("n")).collect())
     base, bases = 0, []
     for k in range(len(bounds) + 1):
@@ -158,16 +162,15 @@ def write_token_files(items: DataFrame, tokenizer_path: str, end_id: int, path:
 
         def block() -> pd.DataFrame:
             nonlocal start, held
-            ids = np.concatenate([np.frombuffer(x, "<u4" if wide else "<u2") for _, x, wide, _ in held])
+            ids = np.concatenate([np.frombuffer(x, "<u4" if wide else "<u2") for _, x, wide, *_ in held])
             bits, checks = code.encode(ids)
-            known = [not pd.isna(r[0]) for r in held]
-            row = (start, len(ids), [int(r[0]) if k else 0 for r, k in zip(held, known, strict=True)], known, [r[3] for r in held], checks, bits)
+            row = (start, len(ids), [int(r[0]) for r in held], [bool(r[4]) for r in held], [r[3] for r in held], checks, bits)
             start, held = start + len(ids), []
             return pd.DataFrame([row], columns=["start", "n_ids", "item_ids", "known", "n_tokens", "checks", "bits"])
 
         size = 0
         for batch in batches:
-            for s, *row in zip(batch["slice"], batch["item_id"], batch["ids"], batch["wide"], batch["n"], strict=True):
+            for s, *row in zip(batch["slice"], batch["item_id"], batch["ids"], batch["wide"], batch["n"], batch["known"], strict=True):
                 if s != now or size >= BLOCK_IDS:
                     if held:
                         yield block()
@@ -180,7 +183,9 @@ def write_token_files(items: DataFrame, tokenizer_path: str, end_id: int, path:
             yield block()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut.repartitionByRange(n, "slice").sortWithinPartitions("slice", "item_id", "ids").mapInPandas(pack, BLOCKS).write.parquet(f"{path}/blocks")
+    sorted_ = cut.repartitionByRange(n, "slice").sortWithinPartitions(*ordered)
+    rows = sorted_.select("slice", F.coalesce("item_id", F.lit(0)).alias("item_id"), "ids", "wide", "n", F.col("item_id").isNotNull().alias("known"))
+    rows.mapInPandas(pack, BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def _lengths(coded: DataFrame) -> np.ndarray:
@@ -222,7 +227,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                         for name, value in zip(out, (item if there else None, start + at, n, ids[at:at + n].astype("<u4").tobytes()), strict=True):
                             out[name].append(value)
                         at += n
-                yield pd.DataFrame(out).astype({"item_id": "Int64"})
+                yield pd.DataFrame(out | {"item_id": pd.array(out["item_id"], "Int64")})
 
     return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInPandas(unpack, "item_id long, start long, n_tokens long, ids binary")
 

@@ -35,6 +35,37 @@ def test_tree_equals_library(tokenizer):
             assert tree.tree(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_whole_texts_are_joined_as_a_tree(spark, sf, tokenizer):
+    """Cuts inside words, numbers, white space and letters with marks; the given documents are joined too."""
+    plain, tree = Tokenizer.from_file(tokenizer), bpe.TreeEncoder(tokenizer, leaf_chars=200)
+    rng = random.Random(7)
+    pools = ["the glaze's broke over 12 tiles", "Töpfer brännt 1 222 °C", "e\u0301te\u0301 d'ar\u0300gile it's", "日本 の 釉薬 x"]
+    texts = ["".join(rng.choice(pools[k % 4].split()) + rng.choice([" ", "  ", "\n", "\t\x85", "", "\x1c", "."]) for _ in range(rng.randint(50, 900))) for k in range(60)]
+    texts += [" " * 3000, "a" * 1500 + " b " * 900, "<|endoftext|>" * 90 + " x" * 400]
+    for text, ids in zip(texts, tree.encode_batch(texts), strict=True):
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert tree.joins > 500
+    given, whole = bpe.TreeEncoder(tokenizer), [r["text"] or "" for r in read(spark, sf, "documents")]
+    assert [x.tolist() for x in given.encode_batch(whole)] == [plain.encode(t, add_special_tokens=False).ids for t in whole] and given.joins >= sum(len(t) > bpe.LEAF_CHARS for t in whole) > 0
+
+
+def test_a_text_of_many_distinct_words_ends(tokenizer):
+    tree = bpe.TreeEncoder(tokenizer)
+    text = " ".join(f"w{k:x}q" for k in range(1_200_000))
+    ids = tree.encode_batch([text])[0]
+    assert tree.decode_batch([ids])[0].replace(" ", "").replace("</w>", "") == text.replace(" ", "")
+
+
+def test_ids_of_any_size_and_nulls(spark, tokenizer, tmp_path):
+    rows = [(2**53 + 1, "a b"), (None, "c"), (-(2**62) - 1, None)]
+    items = spark.createDataFrame(rows, EMPTY).coalesce(1)
+    coded = bpe.encode_descriptions(items, tokenizer)
+    for made in (coded, bpe.decode_tokens(coded, tokenizer), bpe.recode_descriptions(items, tokenizer)):
+        assert {r["item_id"] for r in made.collect()} == {r[0] for r in rows}
+    tokenfile.write_token_files(items, tokenizer, 2, str(tmp_path / "a"))
+    assert {r["item_id"] for r in tokenfile.read_token_files(spark, str(tmp_path / "a")).collect()} == {r[0] for r in rows}
+
+
 def test_op1_on_whole_table(spark, sf, tokenizer):
     plain = Tokenizer.from_file(tokenizer)
     want = {}
