@@ -8,8 +8,9 @@ their first page, each is paired with the neighbour on its host whose path agree
 subsequence aligns are template and go. So copies are answered alike, and a neighbour always differs. A class
 without a neighbour on its host keeps what markup left.
 
-On a page with an article, lines outside it that differencing leaves are kept if they are of ``PROSE`` characters or more, or if together they are
-longer than the article (which then is a teaser); other short ones beside an article are labels.
+On a page with an article, lines outside it that differencing leaves are kept if they are paragraphs (headings, items, quotations), if they are of
+``PROSE`` characters or more, or if together they are longer than the article (which then is a teaser); other short text beside an article is a label.
+A class or id rules an element out only if all its words are of boxes and of what is not the article (``share-buttons``, not ``share-price-report``).
 
 Pages are parsed twice, so that whole texts are shuffled once: hashed lines find the template lines of each class, and packed
 texts are joined to them. A host that has a third of all pages is many slices of the order.
@@ -41,6 +42,10 @@ NAMES = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcr
                   "masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond share "
                   "sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: Words that only say where or what kind of box something is.
+LAYOUT = frozenset("area bar block bottom box button buttons container content footer head header inner item items left link links list main outer page panel right section site text top wrap wrapper".split())
+#: Elements whose text is prose at any length; other text beside an article has to be of so many characters.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption".split())
 PROSE = 40
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                   r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -58,23 +63,29 @@ def _aside(name: str, attrs: str, inside: bool) -> bool:
         key = key.lower()
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id") and NAMES.intersection(w.lower() for w in _NAME.findall(value)) and name not in ("html", "body", "main"):
+        if key in ("class", "id") and name not in ("html", "body", "main") and any(_names_aside(v) for v in value.split()):
             return True
     return False
 
 
-def read_page(html: str) -> list[tuple[bool, str]]:
-    """Lines that markup does not rule out, in page order, and whether they are the article's."""
-    lines: list[tuple[bool, str]] = []
+def _names_aside(value: str) -> bool:
+    """Whether one class or id names what is not the article: with no other word in it that says something."""
+    words = {w.lower() for w in _NAME.findall(value)}
+    return bool(words & NAMES) and words <= NAMES | LAYOUT
+
+
+def read_page(html: str) -> list[tuple[int, str]]:
+    """Lines that markup does not rule out, in page order, and what they are: 1 the article's, 2 a paragraph outside one, 0 other text."""
+    lines: list[tuple[int, str]] = []
     held: list[str] = []
     dropped: list[str] = []  # open elements since one that is not the article's, itself first
-    depth, at = 0, 0
+    depth, at, inner = 0, 0, ""
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(held)).split())
         held.clear()
         if text:
-            lines.append((depth > 0, text))
+            lines.append((1 if depth > 0 else 2 if inner in PARAGRAPHS else 0, text))
 
     for tag in _TAG.finditer(html):
         if not dropped:
@@ -85,6 +96,7 @@ def read_page(html: str) -> list[tuple[bool, str]]:
             continue
         if name in BLOCKS and not dropped:
             flush()
+            inner = "" if tag["close"] else name
         elif name in ("br", "td", "th") and not dropped:
             held.append(" ")
         main = name in ("article", "main")
@@ -172,7 +184,7 @@ def main_text(snapshots: DataFrame) -> DataFrame:
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lines = [[hash_line(t) for inside, t in read_page(body) if not inside] if body else [] for body in batch["body"]]
+            lines = [[hash_line(t) for kind, t in read_page(body) if kind != 1] if body else [] for body in batch["body"]]
             yield batch.drop(columns="body").assign(digest=[_digest(x) for x in lines], lines=lines)
 
     outside = (pages.filter("host <> ''").select("host", "path", "body", key)
@@ -199,7 +211,7 @@ def main_text(snapshots: DataFrame) -> DataFrame:
         for batch in batches:
             pages = [read_page(body) if body else [] for body in batch["body"]]
             yield batch.drop(columns="body").assign(own=[press.compress(json.dumps(p).encode()) for p in pages],
-                                                    digest=[_digest([hash_line(t) for inside, t in p if not inside]) for p in pages])
+                                                    digest=[_digest([hash_line(t) for kind, t in p if kind != 1]) for p in pages])
 
     parsed = pages.select("snapshot_id", "url", "host", "body").mapInPandas(read, f"snapshot_id {kind}, url string, host string, own binary, digest binary")
 
@@ -214,13 +226,13 @@ def main_text(snapshots: DataFrame) -> DataFrame:
     return parsed.join(template, ["host", "digest"], "left").select("snapshot_id", "url", "own", "gone").mapInPandas(settle, f"snapshot_id {kind}, url string, text string")
 
 
-def _kept(lines: list[tuple[bool, str]], gone: bytes | None) -> list[str]:
+def _kept(lines: list[tuple[int, str]], gone: bytes | None) -> list[str]:
     """The lines of the article and those of the others that are no template and no labels beside the article."""
     flags = iter(gone or b"")
-    left = [(inside, text) for inside, text in lines if inside or not next(flags, 0)]
-    article = sum(len(text) for inside, text in left if inside)
-    teaser = sum(len(text) for inside, text in left if not inside) > article
-    return [text for inside, text in left if inside or teaser or len(text) >= PROSE]
+    left = [(kind, text) for kind, text in lines if kind == 1 or not next(flags, 0)]
+    article = sum(len(text) for kind, text in left if kind == 1)
+    teaser = sum(len(text) for kind, text in left if kind != 1) > article
+    return [text for kind, text in left if kind or teaser or len(text) >= PROSE]
 
 
 def _digest(lines: list[int]) -> bytes:

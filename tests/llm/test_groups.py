@@ -168,6 +168,46 @@ def test_text_outside_a_teaser_and_copies(spark):
                    3: "first", **dict.fromkeys((4, 5, 6, 7, 8, 10), "copy"), 9: "last"}
 
 
+def test_short_paragraphs_and_speaking_names_stay(spark):
+    site = ("<body><div class='site-header-bar'>Kiln and Co</div><p>Short but unique lead {}</p><article><p>The article {} itself, of some length.</p></article>"
+            "<p>Tiny closing para {}</p><p>Shared closing para</p><div class='share-price-report'><p>Prices {} rose by a tenth</p></div><div class='share-buttons'><p>Share</p></div></body>")
+    pages = [(k, f"http://a.com/g/{k}", site.format(*[f"n{k}"] * 4)) for k in (1, 2, 3)]
+    got = {r["snapshot_id"]: r["text"] for r in maintext.main_text(spark.createDataFrame(pages, "snapshot_id long, url string, body string")).collect()}
+    assert got == {k: f"Short but unique lead n{k}\n\nThe article n{k} itself, of some length.\n\nTiny closing para n{k}\n\nPrices n{k} rose by a tenth" for k in (1, 2, 3)}
+
+
+def test_main_text_against_plain_differencing(spark):
+    """Pages without an article on one host: classes of equal lines, ordered by path, each differenced by a table with its nearer neighbour."""
+    rng = random.Random(12)
+    pages = []
+    for k in range(60):
+        lines = ["Kiln and Co", *[f"line {rng.randint(0, 40)}" for _ in range(rng.randint(0, 5))], "All rights"]
+        pages.append((k, f"http://{rng.choice('ab')}.com/{rng.choice(['g', 'g/x', 'h'])}/{rng.randint(0, 30)}", "".join(f"<p>{t}</p>" for t in lines)))
+    pages += [(100 + k, p[1], p[2]) for k, p in enumerate(pages[:9])]
+
+    def common(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    got = {r["snapshot_id"]: r["text"] for r in maintext.main_text(spark.createDataFrame(pages, "snapshot_id long, url string, body string")).collect()}
+    parsed = {i: (u.split("/")[2], "/" + u.split("/", 3)[3], h[3:-4].split("</p><p>")) for i, u, h in pages}
+    classes = {}
+    for i, (host, path, lines) in parsed.items():
+        classes.setdefault((host, tuple(lines)), []).append((host, path, f"{i:020d}"))
+    order = sorted((min(v), k) for k, v in classes.items())
+    for n, ((host, path, _), key) in enumerate(order):
+        near = [order[m] for m in (n - 1, n + 1) if 0 <= m < len(order) and order[m][1][0] == host]
+        partner = max(near, key=lambda o: maintext._agreement(path, o[0][1]), default=None)
+        texts = {got[i] for i, (h, _, lines) in parsed.items() if (h, tuple(lines)) == key}
+        assert len(texts) == 1
+        kept = [t for t in texts.pop().split("\n\n") if t]
+        rest = iter(key[1])
+        assert all(t in rest for t in kept) and len(kept) == len(key[1]) - (common(key[1], partner[1][1]) if partner else 0)
+
+
 def test_op10_keeps_articles(spark, sf):
     rows = queries()["op10_main_text"](spark, sf).collect()
     assert len(rows) == 50 and all(r["n_chars"] == len(r["text"]) > 0 and "track(" not in r["text"] for r in rows)
