@@ -53,10 +53,12 @@ def resolve_revisits(snapshots: DataFrame) -> DataFrame:
     (map of strings) and ``body``. ``outcome`` is ``resolved``, ``changed`` (the latest earlier full response has other
     validators; ``source_id`` names it, body and headers are null) or ``missing`` (there is none). Of full responses at one
     time the one with the greatest id counts; one at the very time of the 304 is not earlier. A null url or time matches nothing
-    (``missing``); a null id sorts first. Repeated rows of a 304 are answered each. Other columns are not looked at.
+    (``missing``); a 304 with a null id is answered like others, a 200 with one takes no part. Repeated rows of a 304 are answered each; of 200s with
+    one id and time the one with the least body counts, once. Other columns are not looked at.
     """
     log = snapshots.select("snapshot_id", "http_status", "etag", "last_modified", F.col("fetched_at").cast("timestamp").alias("fetched_at"), canonical_url(F.col("url")).alias("canonical_url"))
-    log = log.filter("http_status in (200, 304)")
+    # A full response without an id cannot be named or found again.
+    log = log.filter("http_status = 304 or http_status = 200 and snapshot_id is not null")
     micros = F.unix_micros("fetched_at")
     known = log.filter("canonical_url is not null and fetched_at is not null").withColumns({
         "at": micros, "full": (F.col("http_status") == 200).cast("int"),
@@ -68,7 +70,8 @@ def resolve_revisits(snapshots: DataFrame) -> DataFrame:
     good = same_validators(F.col("etag"), F.col("last_modified"), F.col("source.etag"), F.col("source.last_modified"))
     judged = revisits.withColumn("outcome", F.when(F.col("source").isNull(), "missing").when(good, "resolved").otherwise("changed")).withColumn("source_id", F.col("source.snapshot_id"))
     fresh = snapshots.filter("http_status = 304").groupBy("snapshot_id").agg(F.max(F.to_json("headers")).alias("fresh"))
-    full = snapshots.filter("http_status = 200").select(F.col("snapshot_id").alias("body_of"), "body", F.col("headers").alias("kept"))
+    kept = F.min(F.struct("body", F.to_json("headers").alias("kept"))).alias("r")
+    full = snapshots.filter("http_status = 200 and snapshot_id is not null").groupBy(F.col("snapshot_id").alias("body_of")).agg(kept).select("body_of", "r.body", F.from_json("r.kept", "map<string,string>").alias("kept"))
     judged = judged.withColumn("body_of", F.when(F.col("outcome") == "resolved", F.col("source_id")))
     out = judged.join(fresh, "snapshot_id", "left").join(full, "body_of", "left")
     headers = F.when(F.col("outcome") == "resolved", merged_headers(F.col("kept"), F.from_json("fresh", "map<string,string>")))

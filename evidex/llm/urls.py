@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidex.llm.words import BASES, Powers, mix
+from evidex.session import spread
 
 BUCKET_BITS, GRAMS, MAX_EXAMPLES = 14, (3, 4, 5), 10_000
 _POWERS = Powers(BASES[2])
@@ -71,7 +72,7 @@ def judge_urls(snapshots: DataFrame, rules: DataFrame, examples: DataFrame, thre
     ``rules`` has ``host``, ``path`` and ``verdict`` (``block`` or ``allow``); a rule fits its host and all subdomains if the path
     starts with the rule's. The longest fitting rule decides (ties: the lesser text). ``examples`` has ``url`` and
     ``unwanted`` (0 or 1). ``score`` is the model's chance that the URL is unwanted; it decides where no rule fits.
-    A null url, or one without ``://``, has an empty host and path and is judged so. Null rules and examples are ignored.
+    A host with a port is a host of its own: rules do not fit it. A null url, or one without ``://``, has an empty host and path and is judged so. Null rules and examples are ignored.
     Repeated rows are answered each. Other columns are not looked at.
     """
     labelled = examples.filter("url is not null and unwanted in (0, 1)").select(host_of(F.col("url")), path_of(F.col("url")), F.col("unwanted").cast("int"))
@@ -93,12 +94,15 @@ def judge_urls(snapshots: DataFrame, rules: DataFrame, examples: DataFrame, thre
     pages = snapshots.select("snapshot_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     distinct = pages.select("host", "path").distinct()
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    # Only suffixes of as many labels as a rule can have; a host of very many labels has no more.
+    most = rules.filter("host is not null").agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
+    suffixes = F.transform(F.sequence(F.greatest(F.size(labels) - most + 1, F.lit(1)), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     filed = rules.filter("host is not null and path is not null and verdict is not null").select(
         F.col("host").alias("suffix"), F.col("path").alias("rule_path"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("by_rule"))
     fits = distinct.select("host", "path", F.explode(suffixes).alias("suffix")).join(filed, "suffix").filter(F.startswith("path", "rule_path"))
     chosen = fits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "by_rule"), F.struct(-F.length("rule"), "rule", "by_rule")).alias("hit"))
-    scored = distinct.join(chosen, ["host", "path"], "left").withColumn("score", score("host", "path"))
+    # Small shuffles are merged to few tasks; the Python step takes all.
+    scored = spread(distinct.join(chosen, ["host", "path"], "left"), "host", "path").withColumn("score", score("host", "path"))
     verdict = F.coalesce(F.col("hit.by_rule"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     judged = scored.select("host", "path", F.col("hit.rule").alias("rule"), "score", verdict.alias("verdict"))
     return pages.join(judged, ["host", "path"]).select("snapshot_id", "host", "path", "rule", "score", "verdict")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evidex.llm import maintext, neardup, revisits, substrings, urls, words
@@ -228,3 +229,54 @@ def test_pipeline_stages_against_brute_force(spark, sf):
 def test_pipeline_runs(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert 0 < len(rows) < 200 and all(r["n_tokens"] == len(r["token_ids"]) for r in rows) and len(hashlib.sha256().hexdigest()) == len(rows[0]["decoded_sha256"])
+
+
+def test_repeated_and_nameless_full_responses(spark):
+    """A response logged twice gives its 304 one answer; one without an id gives none."""
+    schema = "snapshot_id long, url string, fetched_at string, http_status int, etag string, last_modified string, headers map<string,string>, body string, body_of string"
+    rows = [(1, "a.com/x", "2024-01-01", 200, None, None, {"A": "1"}, "one", "w"), (1, "a.com/x", "2024-01-01", 200, None, None, {"A": "1"}, "one", "w"), (2, "a.com/x", "2024-01-03", 304, None, None, None, None, "w"),
+            (None, "b.com", "2024-01-01", 200, None, None, None, "lost", "w"), (3, "b.com", "2024-01-02", 304, None, None, None, None, "w"), (3, "b.com", "2024-01-02", 304, None, None, None, None, "w")]
+    got = sorted((r["snapshot_id"], r["outcome"], r["source_id"], r["body"]) for r in revisits.resolve_revisits(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(2, "resolved", 1, "one"), (3, "missing", None, None), (3, "missing", None, None)]
+
+
+def test_urls_of_odd_tables(spark):
+    rules = spark.createDataFrame([("net", "/", "block"), ("net", "/", "allow"), ("b.net", "/x", "block")], "host string, path string, verdict string")
+    examples = spark.createDataFrame([("http://a.com/1", 1), ("http://b.com/1", 0)], "url string, unwanted int")
+    pages = spark.createDataFrame([(1, "http://" + "." * 20_000 + "/x"), (2, "http://a.b.net/x"), (3, "http://b.net:80/x"), (4, "http://net/")], "snapshot_id long, url string").withColumn("rule", F.lit("x"))
+    got = {r["snapshot_id"]: (r["rule"], r["verdict"]) for r in urls.judge_urls(pages, rules, examples).collect()}
+    assert got[2] == ("b.net/x", "block") and got[4] == ("net/", "allow") and got[1][0] is None and got[3][0] is None
+    assert urls.judge_urls(pages.filter("false"), rules, examples).count() == 0
+
+
+def test_labels_on_hosts_left_out():
+    """The labelled table judged host by host, each without its own rows."""
+    from evidex.llm.queries import UNWANTED, WANTED
+
+    def cut(url):
+        rest = url.split("://")[1]
+        host = rest.split("/")[0]
+        return host, rest[len(host):]
+
+    rows = [(*cut(u), y) for y, many in ((1, UNWANTED), (0, WANTED)) for u in many]
+    name = lambda host: next(x for x in host.split(".") if x not in ("www", "m", "blog"))
+    right = []
+    for own in {name(h) for h, _, _ in rows}:
+        weights, bias = urls.fit([r for r in rows if name(r[0]) != own])
+        for host, path, y in rows:
+            if name(host) == own:
+                at = np.unique(urls.grams(host, path))
+                right.append((weights[at].sum() / np.sqrt(len(at)) + bias >= 0) == bool(y))
+    assert np.mean(right) >= 0.6
+
+
+def test_pipeline_leaves_clashing_columns_behind(spark, sf):
+    """Columns named like those that operators use inside, nulls, empty texts and repeated rows, in every stage."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, "en", "s", 0), (7, "", "en", "s", 0), (7, "", "en", "s", 0)], docs.select(corpus_pipeline.DOCUMENT).schema)
+    wide = docs.select(corpus_pipeline.DOCUMENT).unionByName(odd).withColumns({c: F.lit("x") for c in ("item_id", "description", "rest", "score", "klass", "kept")})
+    for name, stage in corpus_pipeline.STAGES:
+        left = stage(spark, wide, sf)
+        assert set(left.columns) == set(corpus_pipeline.DOCUMENT) or name == "bpe"
+        assert left.filter("doc_id is null").count() == 1 and left.filter("doc_id = 7").count() >= 2
+        assert stage(spark, wide.filter("false"), sf).count() == 0
