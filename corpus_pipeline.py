@@ -22,8 +22,9 @@ DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _items(docs: DataFrame) -> DataFrame:
+    """Documents as items; columns that documents do not have are left behind, whatever their names."""
     configure(docs.sparkSession)
-    return docs.withColumnsRenamed({"doc_id": "item_id", "text": "description"})
+    return docs.select(DOCUMENT).withColumnsRenamed({"doc_id": "item_id", "text": "description"})
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the least, of each group of near duplicates; documents without words or id all stay."""
     gone = near_duplicate_items(_items(docs)).filter("not kept").select(F.col("item_id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(DOCUMENT)
+    return docs.select(DOCUMENT).join(gone, "doc_id", "left_anti").select(DOCUMENT)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = strip_repeated_passages(_items(docs)).filter("n_removed > 0 and item_id is not null")
     cut = found.groupBy(F.col("item_id").alias("doc_id")).agg(F.min("description").alias("rest"))
     text = F.coalesce("rest", "text")
-    return docs.join(cut, "doc_id", "left").withColumns({"text": text, "n_chars": F.when(F.col("rest").isNull(), F.col("n_chars")).otherwise(F.char_length("rest"))}).select(DOCUMENT)
+    return docs.select(DOCUMENT).join(cut, "doc_id", "left").withColumns({"text": text, "n_chars": F.when(F.col("rest").isNull(), F.col("n_chars")).otherwise(F.char_length("rest"))}).select(DOCUMENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
