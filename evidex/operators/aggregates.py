@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidex import vocabulary as V
 from evidex.functions.text import tokens
 from evidex.operators.ordered import top_per_key
 
@@ -28,6 +30,34 @@ def facet_counts(items: DataFrame, facets: Sequence[str]) -> DataFrame:
     return grouped.select(name.alias("facet"), value.alias("value"), "n").filter("value is not null")
 
 
+def facet_options(items: DataFrame, makers: DataFrame, evidence: DataFrame, clays: DataFrame) -> DataFrame:
+    """(facet, value, label, maker, n, place): every choice that an item backs, as it is shown.
+
+    Lines and clays belong to makers and stand under them, by the maker's name and then their own; a clay counts the items it is shown on.
+    All counts are combined before they are shuffled, and labels are joined to counts, never to items.
+    """
+    spark = items.sparkSession
+    counted = items.groupingSets([[F.col("maker_id")], [F.col("maker_id"), F.col("line")], [F.col("surface")], [F.col("opacity")]], "maker_id", "line", "surface", "opacity").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("__set"))
+    named = makers.select("maker_id", F.col("maker_key").alias("maker"))
+    nothing = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, facet: str, value: Column, label: Column, maker: Column) -> DataFrame:
+        return df.select(F.lit(facet).alias("facet"), value.cast("string").alias("value"), label.alias("label"), maker.alias("maker"), "n")
+
+    def of(bits: int) -> DataFrame:
+        return counted.filter(F.col("__set") == bits)
+
+    shown = evidence.filter("clay is not null").select("clay", "item_id").distinct().groupBy("clay").agg(F.count(F.lit(1)).alias("n"))
+    every = [rows(of(0b0111).join(named, "maker_id"), "maker", F.col("maker_id"), F.col("maker"), nothing),
+             rows(of(0b0011).filter("line is not null").join(named, "maker_id"), "line", F.col("line"), F.col("line"), F.col("maker")),
+             rows(of(0b1101).join(V.surfaces(spark), "surface"), "surface", F.col("surface"), F.col("surface_name"), nothing),
+             rows(of(0b1110).join(V.opacities(spark), "opacity"), "opacity", F.col("opacity"), F.col("opacity_name"), nothing),
+             rows(shown.join(clays, "clay").join(named, "maker_id"), "clay", F.col("clay"), F.col("clay_name"), F.col("maker"))]
+    order = Window.partitionBy("facet").orderBy(F.asc_nulls_first("maker"), "label", "value")
+    return reduce(DataFrame.unionByName, every).withColumn("place", F.row_number().over(order).cast("long"))
+
+
 def report(items: DataFrame, evidence: DataFrame, issues: DataFrame) -> DataFrame:
     """Catalog totals as (metric, n): one pass per table."""
     def long(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:

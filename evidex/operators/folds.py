@@ -26,28 +26,19 @@ def mark_fold(log: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
     clears the favourite and keeps the note; a toggle counts only while owned; a note counts only
     where a mark exists, and a blank note is no note.
 
-    Each rule is "a position relative to another position", so the fold is a few whole-key maxima
-    and sums, taken per slice first.
+    Each rule asks what the last own, wish or clear before an event was, and whether a clear or wish came later: one scan
+    gives both, and the fold is combinable maxima and counts.
     """
-    cut = time_slice("us", slice_seconds)
-    at = F.struct("us", "event_id")
-    rows = log.select("key", "us", "event_id", "action", "note", at.alias("at"))
-    rows = rows.withColumn("clear_at", F.when(F.col("action") == "clear", F.col("at")))
-    rows = ordered_scan(rows, ["key"], ["us", "event_id"], cut, {"__cleared": ("total_max", "clear_at")})
-    live = rows.filter((F.col("action") != "clear") & (F.col("__cleared").isNull() | (F.col("at") > F.col("__cleared"))))
-
-    is_set = F.col("action").isin("own", "wish")
-    live = live.select("key", "us", "event_id", "action", "note", "at", F.when(is_set, F.col("at")).alias("set_at"),
-                       F.when(F.col("action") == "wish", F.col("at")).alias("wish_at"))
-    live = ordered_scan(live, ["key"], ["us", "event_id"], cut, {
-        "__first_set": ("total_min", "set_at"), "__last_wish": ("total_max", "wish_at")})
-    # Owned without interruption since: the first own after the last wish.
-    owned = (F.col("action") == "own") & (F.col("__last_wish").isNull() | (F.col("at") > F.col("__last_wish")))
-    live = live.withColumn("own_at", F.when(owned, F.col("at")))
-    live = ordered_scan(live, ["key"], ["us", "event_id"], cut, {"__owned_from": ("total_min", "own_at")})
-
-    toggled = (F.col("action") == "toggle") & (F.col("at") > F.col("__owned_from"))
-    noted = (F.col("action") == "note") & (F.col("at") > F.col("__first_set"))
+    at, action = F.struct("us", "event_id"), F.col("action")
+    is_set = action.isin("own", "wish")
+    rows = log.select("key", "us", "event_id", "action", "note", at.alias("at"), F.when(is_set | (action == "clear"), action).alias("sets"),
+                      F.when(action == "clear", at).alias("clear_at"), F.when(action.isin("clear", "wish"), at).alias("reset_at"))
+    live = ordered_scan(rows, ["key"], ["us", "event_id"], time_slice("us", slice_seconds), {
+        "__was": ("prior_last", "sets"), "__cleared": ("total_max", "clear_at"), "__reset": ("total_max", "reset_at")})
+    live = live.filter((action != "clear") & (F.col("__cleared").isNull() | (F.col("at") > F.col("__cleared"))))
+    # Owned without interruption since: after the last wish, and with an own before it.
+    toggled = (action == "toggle") & (F.col("__was") == "own") & (F.col("__reset").isNull() | (F.col("at") > F.col("__reset")))
+    noted = (action == "note") & F.col("__was").isin("own", "wish")
     folded = live.groupBy("key").agg(
         F.max_by("action", F.when(is_set, F.col("at"))).alias("last_set"),
         F.count_if(toggled).alias("toggles"),

@@ -2,8 +2,8 @@
 
 Exact prefix filtering (Chaudhuri et al. 2006; Bayardo et al. 2007): grams are ordered rarest
 first, and two strings above the threshold must share one of each side's first
-``n - ceil(t * n) + 1`` grams. Common grams therefore rarely reach the index, and candidates are
-verified on the gram arrays themselves. Equal texts are compared once.
+``n - ceil(t * n) + 1`` grams. Common grams therefore rarely reach the index, where they meet says how much they can
+share at most (Xiao et al. 2008), and candidates are verified on the gram arrays themselves. Equal texts are compared once.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from evidex.functions.text import trigram_similarity, trigrams
 from evidex.session import spread
 
+#: Texts under one gram in one part.
+GRAM_ROWS = 20_000
+
 
 def gram_table(texts: DataFrame, text: str) -> DataFrame:
     """Distinct texts with their gram arrays; texts without a word are left out."""
@@ -30,12 +33,19 @@ def similar_texts(left: DataFrame, left_text: str, right: DataFrame, right_text:
     ordered = (grams.join(frequency, "gram").groupBy("side", "text", "n")
                .agg(F.array_sort(F.collect_list(F.struct("seen", "gram"))).alias("ordered")))
     length = F.col("n") - F.ceil(F.col("n") * threshold).cast("int") + 1
-    prefix = ordered.select("side", "text", "n", F.explode(F.slice("ordered", F.lit(1), length)).alias("e")).select(
-        "side", "text", "n", F.col("e.gram").alias("gram"))
-    a = prefix.filter("side = 0").select("gram", F.col("text").alias("__a"), F.col("n").alias("na"))
-    b = prefix.filter("side = 1").select("gram", F.col("text").alias("__b"), F.col("n").alias("nb"))
-    candidates = (a.join(b, "gram")
-                  .filter((F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold))
+    prefix = ordered.select("side", "text", "n", F.posexplode(F.slice("ordered", F.lit(1), length)).alias("at", "e")).select(
+        "side", "text", "n", "at", F.col("e.gram").alias("gram"))
+    a = prefix.filter("side = 0").select("gram", F.col("text").alias("__a"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    b = prefix.filter("side = 1").select("gram", F.col("text").alias("__b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    # A gram that many texts start with is cut by their number; what is looked up is repeated for each part.
+    parts = b.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / GRAM_ROWS).cast("int").alias("parts"))
+    asked = a.join(parts, "gram").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    filed = b.join(parts, "gram").withColumn("part", F.pmod(F.xxhash64("__b"), F.col("parts")).cast("int")).drop("parts")
+    # Two texts above the threshold share at least this many grams; those behind the one met here bound what they can share.
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    reach = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 + F.least("pa", "pb")
+    candidates = (asked.join(filed, ["gram", "part"])
+                  .filter((F.col("na") >= F.col("nb") * threshold) & (F.col("nb") >= F.col("na") * threshold) & (reach >= least))
                   .select("__a", "__b").distinct())
     return (spread(candidates, "__a", "__b").withColumn("similarity", trigram_similarity(F.col("__a"), F.col("__b")))
             .filter(F.col("similarity") > threshold)

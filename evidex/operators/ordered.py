@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidex.session import stored
+
 SLICE = "__slice"
 
 
@@ -32,7 +34,7 @@ def _summaries(df: DataFrame, keys: Sequence[str], order: Sequence[str], want: M
             aggs.append(F.max_by(F.struct(c.alias("v")), position).alias(name))
         elif kind == "lead":
             aggs.append(F.min_by(F.struct(c.alias("v")), position).alias(name))
-        elif kind == "running_last":
+        elif kind in ("running_last", "prior_last"):
             aggs.append(F.max_by(c, F.when(c.isNotNull(), position)).alias(name))
         elif kind in ("running_sum", "total_sum"):
             aggs.append(F.sum(c).alias(name))
@@ -47,7 +49,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
                  want: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Add columns ``out: (kind, column)`` to every row.
 
-    Kinds: ``row_number``, ``lag``, ``lead``, ``running_last`` (last non-null up to this row),
+    Kinds: ``row_number``, ``lag``, ``lead``, ``running_last`` (last non-null up to this row), ``prior_last`` (before it),
     ``running_sum``, ``running_max`` (this row included), ``prior_max`` (this row excluded),
     ``total_sum``, ``total_max``, ``total_min`` (whole key). ``order`` is ascending and must be a
     total order within a key; ``slice_by`` must never decrease along it.
@@ -65,6 +67,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
             "lag": lambda: F.lag(s).over(by_slice),
             "lead": lambda: F.lead(s).over(by_slice),
             "running_last": lambda: F.last(s, ignorenulls=True).over(before),
+            "prior_last": lambda: F.last(s, ignorenulls=True).over(before),
             "running_sum": lambda: F.sum(s).over(before),
             "running_max": lambda: F.max(s).over(before),
             "prior_max": lambda: F.max(s).over(before),
@@ -89,6 +92,8 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
             local.append(F.lead(F.struct(F.col(col).alias("v"))).over(inside).alias(name))
         elif kind == "running_last":
             local.append(F.last(col, ignorenulls=True).over(upto).alias(name))
+        elif kind == "prior_last":
+            local.append(F.last(col, ignorenulls=True).over(earlier).alias(name))
         elif kind == "running_sum":
             local.append(F.sum(col).over(upto).alias(name))
         elif kind == "running_max":
@@ -105,7 +110,7 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
             value = mine + F.coalesce(carry, F.lit(0))
         elif kind in ("lag", "lead"):
             value = F.coalesce(mine, carry)["v"]
-        elif kind == "running_last":
+        elif kind in ("running_last", "prior_last"):
             value = F.coalesce(mine, carry)
         elif kind == "running_sum":
             value = F.when(mine.isNull(), carry).otherwise(mine + F.coalesce(carry, F.lit(0)))
@@ -135,3 +140,17 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     """
     return (df.withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
               .filter(F.col(number) <= k))
+
+
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str], number: str = "position", total: str = "total") -> DataFrame:
+    """Number the rows of every key in a total order, and say how many the key has.
+
+    Rows are dealt to ranges of (keys, order) that are cut by the data itself and stored; where a range starts within a key is a sum over
+    the ranges before it. So a key with most of the rows is as many ranges as it needs, whatever its values look like.
+    """
+    ranged = stored(df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    by_part = Window.partitionBy(*keys).orderBy("__part")
+    sizes = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n")).select(
+        *keys, "__part", F.coalesce(F.sum("__n").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"), F.sum("__n").over(Window.partitionBy(*keys)).alias(total))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    return ranged.withColumn("__nth", inside).join(sizes, [*keys, "__part"]).select(*df.columns, (F.col("__nth") + F.col("__ahead")).alias(number), total)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.operators.ordered import ordered_scan
+from evidex.operators.ordered import placed
 
 #: (tier, rank desc, code, id): the id makes it total.
 PAGE_ORDER = ("tier", "rank_desc", "code", "item_id")
@@ -32,17 +32,14 @@ def batch_pages(rows: DataFrame, limit: Column, offset: Column, longest: int) ->
             .filter((F.col("position") > low) & (F.col("position") <= low + F.greatest(limit, F.lit(0)))))
 
 
-def page_index(rows: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, size: int) -> DataFrame:
+def page_index(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
     """Number every row of every result and say which page it is on and whether another page follows."""
-    numbered = ordered_scan(rows, keys, order, slice_by, {
-        "position": ("row_number", ""), "__total": ("total_sum", "__one")}) if "__one" in rows.columns else \
-        ordered_scan(rows.withColumn("__one", F.lit(1)), keys, order, slice_by, {
-            "position": ("row_number", ""), "__total": ("total_sum", "__one")})
+    numbered = placed(rows, keys, order, "position", "__total")
     page_no = F.floor((F.col("position") - 1) / size)
     return (numbered.withColumn("page_no", page_no)
             .withColumn("has_more", F.col("__total") > (F.col("page_no") + 1) * size)
             .withColumn("next_offset", F.least(F.col("__total"), (F.col("page_no") + 1) * size))
-            .drop("__total", "__one"))
+            .drop("__total"))
 
 
 def after(tier: str, rank: float, code: str, item_id: int) -> Column:

@@ -114,9 +114,10 @@ def matches(index: DataFrame, terms: DataFrame, doc_id: str) -> DataFrame:
                            & ~F.exists(F.concat("required", "excluded"), lambda u: F.size(u["terms"]) > 1))
     asked = plan.select("qid", "grp", F.size("words").alias("n_words"), F.posexplode("vocabulary").alias("at", "term")).select(
         "qid", "grp", "term", (F.col("at") < F.col("n_words")).alias("wanted"))
-    # Postings are placed by document once. With a batch of searches small enough for the planner to
-    # broadcast, nothing below moves a posting again; a larger batch is joined by shuffling on term.
-    index = spread(index, doc_id)
+    # Only postings of words that are asked for at all are placed by document, once. With a batch of searches small enough for
+    # the planner to broadcast, nothing below moves a posting again; a larger batch is joined by shuffling on term.
+    known = plan.select(F.explode(F.array_union("vocabulary", flat("excluded"))).alias("term")).distinct()
+    index = spread(index.join(known, "term", "left_semi"), doc_id)
     # A word counts once per document here, so its repeats are summed before searches multiply them.
     per_doc = index.groupBy(doc_id, "term").agg(F.sum("weight").alias("weight"))
     tally = (per_doc.join(asked, "term").groupBy("qid", "grp", doc_id)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidex.functions.hashing import content_hash
 from evidex.operators.ordered import ordered_scan, time_slice, top_per_key
+from evidex.session import stored
 
 #: outcomes of a fetch
 STORED, UNCHANGED, GONE, FAILED, RETRIED = "stored", "unchanged", "gone", "failed", "retried"
@@ -40,14 +41,12 @@ def outcomes(log: DataFrame, noise: Sequence[str] = (), slice_seconds: int = 86_
     stored" hold the same hash.
     """
     status = F.col("status")
-    hashed = log.select("url", "id", "fetched_s", "status",
-                        F.when(status.between(200, 299), content_hash(F.col("body"), noise)).alias("hash"))
-    good = hashed.filter("hash is not null").withColumn("us", F.col("fetched_s") * 1_000_000)
-    compared = ordered_scan(good, ["url"], ["fetched_s", "id"], time_slice("us", slice_seconds), {"before": ("lag", "hash")})
-    settled = compared.select("url", "id", "fetched_s", "status", "hash",
-                              F.when(F.col("before").eqNullSafe(F.col("hash")), UNCHANGED).otherwise(STORED).alias("outcome"))
-    rest = hashed.filter("hash is null").select("url", "id", "fetched_s", "status", "hash", status_outcome(status).alias("outcome"))
-    return settled.unionByName(rest)
+    # Bodies are read and hashed here, once; what follows sees narrow rows.
+    hashed = stored(log.select("url", "id", "fetched_s", "status", F.when(status.between(200, 299), content_hash(F.col("body"), noise)).alias("hash")), "hashes")
+    rows = hashed.withColumn("us", F.col("fetched_s") * 1_000_000)
+    seen = ordered_scan(rows, ["url"], ["fetched_s", "id"], time_slice("us", slice_seconds), {"before": ("prior_last", "hash")})
+    compared = F.when(F.col("before").eqNullSafe(F.col("hash")), UNCHANGED).otherwise(STORED)
+    return seen.select("url", "id", "fetched_s", "status", "hash", F.when(F.col("hash").isNotNull(), compared).otherwise(status_outcome(status)).alias("outcome"))
 
 
 def status_outcome(status: Column) -> Column:

@@ -41,6 +41,16 @@ def facet_counts(c: Catalog) -> DataFrame:
     return A.facet_counts(c.items, ["maker_id", "line", "surface", "opacity", "flag"]).orderBy("facet", "value")
 
 
+@check("facet_options", """with o as (select 'maker' facet, cast(i.maker_id as varchar) as value, m.maker_key label, null maker, count(*) n from items i join makers m on m.maker_id = i.maker_id group by all
+ union all select 'line', i.line, i.line, m.maker_key, count(*) from items i join makers m on m.maker_id = i.maker_id where line is not null group by all
+ union all select 'surface', cast(i.surface as varchar), s.surface_name, null, count(*) from items i join surfaces s on s.surface = i.surface group by all
+ union all select 'opacity', cast(i.opacity as varchar), p.opacity_name, null, count(*) from items i join opacities p on p.opacity = i.opacity group by all
+ union all select 'clay', cast(v.clay as varchar), v.clay_name, m.maker_key, count(distinct e.item_id) from evidence e join clay_vocab v on v.clay = e.clay join makers m on m.maker_id = v.maker_id group by all)
+ select *, row_number() over (partition by facet order by maker nulls first, label, value) as place from o""", "items makers surfaces opacities evidence clay_vocab")
+def facet_options(c: Catalog) -> DataFrame:
+    return A.facet_options(c.items, c.makers, c.evidence, c.clay_vocab)
+
+
 @check("catalog_report", """select 'items' metric, count(*) n from items union all select 'items_with_range', count(lo) from items union all select 'items_priced', count(price) from items
  union all select 'evidence', count(*) from evidence union all select 'with_clay', count(clay) from evidence union all select 'layered', count(layered_over) from evidence
  union all select 'open_issues', count(*) from events where event_type = 'error' and event_id % 4 <> 0""", "items evidence")
@@ -100,6 +110,14 @@ def reuse_ratio_approx(c: Catalog) -> DataFrame:
     return A.reuse(c.table("documents"), F.sha2("text", 256), approximate=True)
 
 
+@check("reuse_ratio_within", "select count(*) n_rows, true as within from documents")
+def reuse_ratio_within(c: Catalog) -> DataFrame:
+    """Whether the estimate of distinct texts is within three in a hundred of their number."""
+    sha = F.sha2("text", 256)
+    both = c.table("documents").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(sha).alias("exact"), F.approx_count_distinct(sha, 0.01).alias("estimate"))
+    return both.select("n_rows", (F.abs(F.col("estimate") - F.col("exact")) <= 0.03 * F.col("exact")).alias("within"))
+
+
 @check("price_span", """with p as (select p_partkey, p_partkey % 31 = 0 no_scale, p_partkey % 4 = 0 ranged, p_partkey % 6 = 0 zero, round(p_retailprice * 100) / 100 price from part where p_partkey % 29 <> 0)
  select p_partkey, round(case when ranged then price when not zero then price end, 2) price_min, round(case when ranged then round(price * 200) / 100 when not zero then price end, 2) price_max
  from p where not (no_scale and (ranged or not zero))""")

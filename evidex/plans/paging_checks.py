@@ -37,9 +37,9 @@ def page_then_rollup(c: Catalog) -> DataFrame:
 @check("page_index", """with r as (select *, maker_id as result from items), n as (select result, item_id, row_number() over (partition by result order by code, item_id) as position, count(*) over (partition by result) total from r)
  select result, item_id, position, (position - 1) // 40 page_no, total > ((position - 1) // 40 + 1) * 40 has_more, least(total, ((position - 1) // 40 + 1) * 40) next_offset from n""", "items")
 def page_index(c: Catalog) -> DataFrame:
-    """Every page of every result at once; codes are cut by their leading characters."""
+    """Every page of every result at once."""
     rows = c.items.select(F.col("maker_id").alias("result"), "code", "item_id")
-    return G.page_index(rows, ["result"], ["code", "item_id"], F.substring("code", 1, 5), 40).drop("code")
+    return G.page_index(rows, ["result"], ["code", "item_id"], 40).drop("code")
 
 
 @check("keyset_page", f"""with {RANKED_SQL}, a as (select * from rk where tier = 'match' order by tier, rank desc, code, item_id limit 1 offset 100)

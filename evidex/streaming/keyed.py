@@ -36,15 +36,12 @@ def change_stream(log: DataFrame, noise: Sequence[str] = ()) -> DataFrame:
 
             batch = pd.concat(list(rows)).sort_values(["fetched_s", "id"])
             held = self.held.get()[0] if self.held.exists() else None
-            outcome = []
-            for digest, settled in zip(batch["hash"], batch["settled"], strict=True):
-                if not isinstance(digest, str):
-                    outcome.append(settled)
-                    continue
-                outcome.append(unchanged if digest == held else stored)
-                held = digest
-            if held is not None:
-                self.held.update((held,))
+            good = batch["hash"].notna()
+            before = batch["hash"].where(good).shift().ffill()  # the good fetch before each row of the batch
+            before = before if held is None else before.fillna(held)
+            outcome = batch["settled"].mask(good, stored).mask(good & (before == batch["hash"]), unchanged)
+            if good.any():
+                self.held.update((batch["hash"][good].iloc[-1],))
             yield pd.DataFrame({"url": batch["url"], "id": batch["id"], "status": batch["status"], "outcome": outcome})
 
         def close(self):
@@ -99,18 +96,17 @@ def marks_stream(log: DataFrame) -> DataFrame:
             import pandas as pd
 
             state, favorite, note, seq = self.mark.get() if self.mark.exists() else (None, False, None, 0)
-            batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
-            for action, text in zip(batch["action"], batch["note"], strict=True):
-                if action == "clear":
-                    state, favorite, note = None, False, None
-                elif action == "own":
-                    state = "owned"
-                elif action == "wish":
-                    state, favorite = "wishlist", False
-                elif action == "toggle" and state == "owned":
-                    favorite = not favorite
-                elif action == "note" and state is not None:
-                    note = (text or "").strip() or None
+            batch = pd.concat(list(rows)).sort_values(["us", "event_id"]).reset_index(drop=True)
+            action = batch["action"]
+            first = {"owned": "own", "wishlist": "wish"}.get(state, "clear")
+            sets = action.where(action.isin(["own", "wish", "clear"])).ffill().fillna(first)  # the last of them at every row
+            resets = batch.index[action.isin(["wish", "clear"])]
+            toggles = int(((action == "toggle") & (sets == "own") & (batch.index > (resets[-1] if len(resets) else -1))).sum())
+            favorite = (bool(favorite) and not len(resets)) != (toggles % 2 == 1)
+            clears = batch.index[action == "clear"]
+            noted = batch["note"][(action == "note") & (sets != "clear") & (batch.index > (clears[-1] if len(clears) else -1))]
+            note = (noted.iloc[-1] or "").strip() or None if len(noted) else None if len(clears) else note
+            state = {"own": "owned", "wish": "wishlist", "clear": None}[sets.iloc[-1]]
             self.mark.update((state, bool(favorite), note, int(seq) + 1))
             yield pd.DataFrame({"key": [key[0]], "state": [state], "favorite": [bool(favorite)], "note": [note], "seq": [int(seq) + 1]})
 

@@ -18,7 +18,7 @@ CHECKS = load_checks()
 PYTHON = {"two_means_color", "stream_change_detect", "stream_latest", "stream_marks"}
 #: streams and stored intermediates run while the query is built
 EAGER = {name for name in CHECKS if name.startswith("stream_")} | {
-    "ranked_search", "bulk_replay", "index_search", "search_edges", "similar_items", "similar_hits", "lookup_hits", "sql_functions", "replay_rows", "replay_funnel", "replay_pages"}
+    "ranked_search", "bulk_replay", "change_detect", "page_index", "index_search", "search_edges", "similar_items", "similar_hits", "lookup_hits", "sql_functions", "replay_rows", "replay_funnel", "replay_pages"}
 
 
 def plan(df):
@@ -64,3 +64,21 @@ def test_vocabularies_are_local_relations(spark, catalog):
     assert "LocalTableScan" in plan(literal_table(spark, "a int, b string", [(1, "x'y"), (2, None)]))
     joined = catalog.items.join(cones(spark).withColumnRenamed("ordinal", "lo"), "lo", "left")
     assert "BroadcastHashJoin" in plan(joined)
+
+
+def test_bodies_are_hashed_once_and_marks_scanned_once(spark, catalog):
+    from evidex.operators import folds, snapshots
+    from evidex.plans.windows_checks import NOISE
+
+    text = plan(snapshots.outcomes(catalog.snapshots, NOISE))
+    assert "sha2" not in text and "html" not in text
+    assert plan(folds.mark_fold(catalog.marks_log)).count("FileScan parquet") <= 2
+
+
+def test_only_asked_postings_are_spread(spark, catalog):
+    from evidex.operators import postings as T
+    from evidex.plans.search_checks import doc_postings
+
+    text = plan(T.matches(doc_postings(catalog), T.clauses(catalog.doc_searches), "doc_id"))
+    at = text.index("REPARTITION_BY_NUM")
+    assert "LeftSemi" in text[at:at + 2500]

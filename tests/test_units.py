@@ -68,6 +68,27 @@ def test_mark_fold_equals_a_sequential_fold(spark):
     assert got == want
 
 
+def test_marks_stream_equals_a_sequential_fold(spark, tmp_path):
+    """In batches that cut a key's events anywhere."""
+    from evidex.streaming.keyed import marks_stream
+
+    rng = random.Random(15)
+    schema = "key long, us long, event_id long, action string, note string"
+    rows = [(k, i, i, rng.choice(["own", "wish", "toggle", "toggle", "note", "clear"]), rng.choice([None, " ", f"n{i} "])) for k in range(60) for i in range(rng.randint(1, 16))]
+    for low, high in ((0, 2), (2, 7), (7, 99)):
+        spark.createDataFrame([r for r in rows if low <= r[1] < high], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def step(batch, number):
+        batch.write.mode("overwrite").parquet(str(tmp_path / f"out/n={number}"))
+
+    marks_stream(log).writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).groupBy("key").agg(F.max_by(F.struct("state", "favorite", "note"), "seq").alias("m")).collect()
+    got = {r.key: tuple(r.m) for r in out if r.m.state is not None}
+    want = {k: brute_marks([(r[3], r[4] if r[3] == "note" else None) for r in rows if r[0] == k]) for k in range(60)}
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_status_never_regresses(spark):
     log = spark.createDataFrame([(1, 1, 1, "glazing"), (1, 2, 2, "throwing"), (1, 3, 3, "note"), (1, 90_000_000_000, 4, "finished")], "piece long, us long, event_id long, stage string")
     assert [r.status for r in folds.status_progress(log).orderBy("us").collect()] == ["glazed", "glazed", "glazed", "finished"]
