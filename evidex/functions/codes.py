@@ -51,10 +51,6 @@ def has_code_shape(slug: Column) -> Column:
     return F.lower(F.trim(slug, F.lit("/"))).rlike(rf"^({longest_first(LINE_PREFIXES)})-\d{{1,3}}(-|$)")
 
 
-def same_key(a: Column, b: Column) -> Column:
-    return fold(a) == fold(b)
-
-
 def fold(col: Column) -> Column:
     """Case- and edge-blank-insensitive key."""
     return F.lower(F.trim(col))

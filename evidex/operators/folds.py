@@ -50,9 +50,11 @@ def mark_fold(log: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
         (owned_now & (F.col("toggles") % 2 == 1)).alias("favorite"), F.col("last_note.v").alias("note"), "updated_us")
 
 
-def mark_list(marks: DataFrame, which: str) -> DataFrame:
-    """The three slices of one's own marks."""
-    return marks.filter({"wishlist": F.col("state") == "wishlist", "owned": F.col("state") == "owned", "favorite": F.col("favorite")}[which])
+def mark_lists(marks: DataFrame) -> DataFrame:
+    """(key, list): the lists that every mark is on, in one pass."""
+    rules = {"wishlist": F.col("state") == "wishlist", "owned": F.col("state") == "owned", "favorite": F.col("favorite")}
+    named = F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()])
+    return marks.select("key", F.explode(F.filter(named, lambda n: n.isNotNull())).alias("list"))
 
 
 def rekey_marks(old: DataFrame, maker: str) -> DataFrame:

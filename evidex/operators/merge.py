@@ -9,11 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.session import shared_dir
-
 #: How a column behaves when the key exists on both sides.
 TAKE_NEW, KEEP_OLD, COALESCE, GREATEST = "take_new", "keep_old", "coalesce", "greatest"
 
@@ -75,18 +74,31 @@ def inherit_range(items: DataFrame, lines: DataFrame) -> DataFrame:
                          F.when(take, "line").otherwise(F.col("range_source") if "range_source" in items.columns else F.when(F.col("lo").isNotNull(), "product").otherwise("unknown")).alias("range_source"))
 
 
-def publish(merged: DataFrame, table_dir: str, partition: str | None = None) -> str:
-    """Write a merged table beside the current one and return its path.
+def publish(merged: DataFrame, root: str) -> DataFrame:
+    """Write a merged table as the next version below ``root`` and return it as readers see it from then on.
 
-    Readers move over when the caller records the new path; a failed write leaves the current table
-    as it is.
+    A version is a folder of its own and counts once it is named in ``root/finished``, after its writer has ended; one that failed is passed
+    over and its number used again. The version before stays for those who read it.
     """
-    version = shared_dir(merged.sparkSession, "tables") if not table_dir else f"{table_dir.rstrip('/')}"
-    writer = merged.write.mode("errorifexists")
-    if partition:
-        writer = writer.partitionBy(partition)
-    writer.parquet(version)
-    return version
+    spark = merged.sparkSession
+    number = _newest(spark, root) + 1
+    merged.write.mode("overwrite").parquet(f"{root}/version={number}")
+    spark.range(number, number + 1).toDF("number").coalesce(1).write.mode("append").parquet(f"{root}/finished")
+    return current(spark, root)
+
+
+def current(spark: SparkSession, root: str) -> DataFrame:
+    """The newest finished version below ``root``."""
+    return spark.read.parquet(f"{root}/version={_newest(spark, root)}")
+
+
+def _newest(spark: SparkSession, root: str) -> int:
+    try:
+        return spark.read.schema("number long").parquet(f"{root}/finished").agg(F.coalesce(F.max("number"), F.lit(-1))).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
 
 
 def run_summary(outcomes: DataFrame) -> DataFrame:

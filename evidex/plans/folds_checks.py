@@ -28,8 +28,7 @@ def mark_fold(c: Catalog) -> DataFrame:
 @check("mark_lists", f"with {MARKS_SQL} select key, 'wishlist' list from mk where state = 'wishlist' union all select key, 'owned' from mk where state = 'owned' union all select key, 'favorite' from mk where favorite", "marks_log")
 def mark_lists(c: Catalog) -> DataFrame:
     marks = folds.mark_fold(c.marks_log)
-    named = F.array(F.when(F.col("state") == "wishlist", F.lit("wishlist")), F.when(F.col("state") == "owned", F.lit("owned")), F.when(F.col("favorite"), F.lit("favorite")))
-    return marks.select("key", F.explode(F.filter(named, lambda n: n.isNotNull())).alias("list"))
+    return folds.mark_lists(marks)
 
 
 @check("rekey_marks", """select 'source_a' maker, 'PC-' || c_custkey code, case when c_custkey % 3 = 0 then 'owned' else 'wishlist' end state, c_custkey % 2 = 0 and c_custkey % 3 = 0 favorite, c_name as name, c_custkey * 1000 updated_ms, cast(null as varchar) note from customer""")

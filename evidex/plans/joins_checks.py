@@ -9,6 +9,7 @@ from evidex import vocabulary as V
 from evidex.functions import color as C
 from evidex.operators import detail as D
 from evidex.operators import evidence as E
+from evidex.operators import nested as N
 from evidex.operators import search as S
 from evidex.operators import similar
 from evidex.operators.ranges import overlapping
@@ -26,11 +27,7 @@ from evidex.plans.views import Catalog
  left join surfaces s on s.surface = i.surface left join opacities o on o.opacity = i.opacity""",
        "items makers line_vocab cones surfaces opacities")
 def dim_enrich(c: Catalog) -> DataFrame:
-    cones = V.cones(c.spark)
-    return (c.items.join(c.makers, "maker_id").join(c.line_vocab, "line", "left")
-            .join(cones.withColumnsRenamed({"ordinal": "lo", "cone": "range_from"}), "lo", "left")
-            .join(cones.withColumnsRenamed({"ordinal": "hi", "cone": "range_to"}), "hi", "left")
-            .join(V.surfaces(c.spark), "surface", "left").join(V.opacities(c.spark), "opacity", "left")
+    return (N.with_labels(c.items, c.makers, c.line_vocab)
             .select("item_id", "maker_key", "line_id", "line_lo", "line_hi", "range_from", "range_to", "surface_name", "opacity_name"))
 
 
@@ -198,11 +195,32 @@ def scope_violations(c: Catalog) -> DataFrame:
  left join items i on i.item_id = c.c_custkey * 2""", "items")
 def marks_with_fallback(c: Catalog) -> DataFrame:
     """Every mark is kept; a mark whose item left the catalog shows the name stored with it."""
-    marks = c.table("customer").selectExpr("c_custkey as mark_id", "c_custkey * 2 as item_id", "c_name as stored_name", "c_acctbal as updated")
-    found = c.items.select("item_id", "name", F.lit(True).alias("__there"))
-    return (marks.join(found, "item_id", "left")
-            .select("mark_id", F.coalesce("name", "stored_name").alias("name"), F.coalesce("__there", F.lit(False)).alias("in_catalog"), "updated")
-            .orderBy(F.desc("updated"), "mark_id").drop("updated"))
+    return N.marked_items(_marks(c), c.items).drop("place")
+
+
+def _marks(c: Catalog) -> DataFrame:
+    return c.table("customer").selectExpr("c_custkey as mark_id", "c_custkey * 2 as item_id", "c_name as stored_name", "c_acctbal as updated")
+
+
+@check("marks_in_order", """select c.c_custkey mark_id, coalesce(i.name, c.c_name) as name, i.item_id is not null in_catalog, row_number() over (order by c.c_acctbal desc, c.c_custkey) as place from customer c
+ left join items i on i.item_id = c.c_custkey * 2""", "items")
+def marks_in_order(c: Catalog) -> DataFrame:
+    return N.marked_items(_marks(c), c.items)
+
+
+@check("timeline_media", """with m as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, string_agg(n || '=p/' || l_suppkey || '/' || n, '+' order by n) media from lineitem cross join (values (0), (1), (2)) v(n)
+   where n < l_linenumber % 3 group by all)
+ select o.o_orderkey piece, coalesce(string_agg(l.l_linenumber || ':' || l.l_partkey || ':' || coalesce(m.media, ''), ',' order by l.l_linenumber, l.l_partkey, l.l_suppkey), '') entries
+ from orders o left join (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem) l on l.l_orderkey = o.o_orderkey
+ left join m on m.l_orderkey = l.l_orderkey and m.l_linenumber = l.l_linenumber and m.l_partkey = l.l_partkey and m.l_suppkey = l.l_suppkey group by o.o_orderkey""")
+def timeline_media(c: Catalog) -> DataFrame:
+    """Pieces, their entries, and the pictures of each entry."""
+    key = ["l_linenumber", "l_partkey", "l_suppkey"]
+    entries = c.table("lineitem").select(F.col("l_orderkey").alias("piece"), *key).distinct()
+    media = entries.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("media_no")).filter("media_no < l_linenumber % 3").withColumn("path", F.concat_ws("/", F.lit("p"), "l_suppkey", "media_no"))
+    nested = N.timeline(c.table("orders").select(F.col("o_orderkey").alias("piece")), entries, media, key)
+    shown = lambda e: F.array_join(F.transform(e["media"], lambda m: F.concat(m["media_no"], F.lit("="), m["path"])), "+")
+    return nested.select("piece", F.array_join(F.transform("entries", lambda e: F.concat(e["l_linenumber"], F.lit(":"), e["l_partkey"], F.lit(":"), shown(e))), ",").alias("entries"))
 
 
 @check("timeline_nested", """select o.o_orderkey piece, count(l.l_orderkey) n_entries, coalesce(string_agg(l.l_linenumber || ':' || l.l_partkey, ',' order by l.l_linenumber, l.l_partkey, l.l_suppkey), '') entries

@@ -11,6 +11,7 @@ from evidex.operators.snapshots import outcomes
 from evidex.plans.aggregates_checks import issue_log
 from evidex.plans.registry import check
 from evidex.plans.views import Catalog
+from evidex.session import shared_dir
 from evidex.plans.windows_checks import CHANGE_SQL, NOISE
 
 
@@ -36,6 +37,20 @@ def upsert_items(c: Catalog) -> DataFrame:
     return merged.select("maker_id", "code", "name", "description", "price", "slug", "first_seen_s", "last_seen_s")
 
 
+@check("publish_items", """select maker_id, code, case when item_id % 3 <> 0 then name || ' v2' else name end as name, case when item_id % 3 <> 0 then null else description end description,
+ case when item_id % 3 <> 0 then price + 2 else price end price, case when item_id % 4 <> 0 then 'slug-' || item_id else 'other-2' end slug,
+ case when item_id % 4 <> 0 then item_id else item_id + 2000 end first_seen_s,
+ case when item_id % 3 = 0 then item_id when item_id % 4 = 0 then item_id + (item_id % 2) * 100 - 50 else greatest(item_id, item_id + (item_id % 2) * 100 - 50) end last_seen_s
+ from items where item_id % 4 <> 0 or item_id % 3 <> 0""", "items")
+def publish_items(c: Catalog) -> DataFrame:
+    """The same merge into a published table, and once more into what was published: the second run adds nothing."""
+    root = shared_dir(c.spark, "published")
+    held = U.publish(_stored_items(c), root)
+    for _ in range(2):
+        held = U.publish(U.upsert(held, _incoming_items(c), ["maker_id", "code"], U.ITEM_POLICY, ["n"]), root)
+    return held.select("maker_id", "code", "name", "description", "price", "slug", "first_seen_s", "last_seen_s")
+
+
 CHILD_POLICY = {"storage_path": U.TAKE_NEW, "role": U.TAKE_NEW, "hex": U.COALESCE}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidex.functions.evidence_map import fact, has_fact, with_fact
 from evidex.functions import codes, labels, urls
 from evidex.functions.color import hex_of, with_delta_e, with_lab
 from evidex.functions.hashing import content_hash
@@ -79,10 +80,10 @@ def array_to_text(c: Catalog) -> DataFrame:
 @check("evidence_map", """select event_id, cast(json_extract_string(props, '$.k') as bigint) k, event_type kind, json_extract_string(props, '$.k') = '1' is_one, 2 n_keys from events""")
 def evidence_map(c: Catalog) -> DataFrame:
     given = F.from_json("props", "map<string,string>")
-    merged = F.map_concat(given, F.create_map(F.lit("kind"), F.lit("?")), F.create_map(F.lit("kind"), F.col("event_type")))
+    merged = with_fact(with_fact(given, "kind", F.lit("?")), "kind", F.col("event_type"))
+    m = F.col("m")
     return c.events.select("event_id", merged.alias("m")).select(
-        "event_id", F.try_element_at("m", F.lit("k")).cast("bigint").alias("k"), F.try_element_at("m", F.lit("kind")).alias("kind"),
-        (F.map_contains_key("m", "k") & (F.try_element_at("m", F.lit("k")) == "1")).alias("is_one"), F.size("m").alias("n_keys"))
+        "event_id", fact(m, "k").cast("bigint").alias("k"), fact(m, "kind").alias("kind"), has_fact(m, "k", "1").alias("is_one"), F.size("m").alias("n_keys"))
 
 
 @check("display_labels", """select i.item_id, case when lo is null and hi is null then 'Cone not stated' when lo is not null and hi is not null and lo <> hi then 'Cone ' || lo || '–' || hi else 'Cone ' || coalesce(lo, hi) end range_text,

@@ -106,6 +106,21 @@ def split_or_refuse(c: Catalog) -> DataFrame:
     return split.select("user_id", "ok", "reason", F.col("boxes")[0]["right"].alias("first_cut"))
 
 
+@check("split_or_refuse_all", """with c as (select distinct user_id, us // 3600000000 // 6 cell from evs),
+ n as (select *, cell - row_number() over (partition by user_id order by cell) run from c),
+ r as (select user_id, min(cell) first, max(cell) last from n group by user_id, run),
+ s as (select user_id, min(first) lo, max(last) hi from r group by user_id),
+ w as (select r.*, s.lo, s.hi, last - first + 1 width, last - first + 1 > (hi - lo + 1) * 0.04 counted from r join s on s.user_id = r.user_id),
+ k as (select user_id, lo, hi, count(*) filter (counted) n, max(width) filter (counted) widest, min(width) filter (counted) narrowest from w group by all)
+ select user_id, n = 3 and not widest - narrowest > 0.25 * widest ok, case when n <> 3 then 'expected 3 parts, found ' || n when widest - narrowest > 0.25 * widest then 'parts disagree on width' end reason,
+ case when n = 3 and not widest - narrowest > 0.25 * widest then lo + (hi - lo + 1) // 3 end first_cut from k""", "evs")
+def split_or_refuse_all(c: Catalog) -> DataFrame:
+    """The same over events of every type."""
+    cells = c.events.select("user_id", F.floor(F.col("us") / 3_600_000_000 / 6).alias("cell"))
+    split = ranges.split_or_refuse(ranges.runs(cells, "user_id", "cell"), "user_id")
+    return split.select("user_id", "ok", "reason", F.col("boxes")[0]["right"].alias("first_cut"))
+
+
 @check("status_progress", """with r as (select *, case stage when 'bisque' then 1 when 'glazing' then 2 when 'firing' then 2 when 'finished' then 3 else 0 end k from stage_log)
  select piece, event_id, ['in_progress', 'bisqued', 'glazed', 'finished'][1 + max(k) over (partition by piece order by us, event_id)] status from r""", "stage_log")
 def status_progress(c: Catalog) -> DataFrame:

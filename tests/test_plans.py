@@ -18,7 +18,7 @@ CHECKS = load_checks()
 PYTHON = {"two_means_color", "stream_change_detect", "stream_latest", "stream_marks"}
 #: streams and stored intermediates run while the query is built
 EAGER = {name for name in CHECKS if name.startswith("stream_")} | {
-    "ranked_search", "bulk_replay", "change_detect", "page_index", "index_search", "search_edges", "similar_items", "similar_hits", "lookup_hits", "sql_functions", "replay_rows", "replay_funnel", "replay_pages"}
+    "ranked_search", "bulk_replay", "change_detect", "page_index", "publish_items", "marks_with_fallback", "marks_in_order", "index_search", "search_edges", "similar_items", "similar_hits", "lookup_hits", "sql_functions", "replay_rows", "replay_funnel", "replay_pages"}
 
 
 def plan(df):
