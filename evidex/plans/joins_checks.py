@@ -208,7 +208,7 @@ def marks_in_order(c: Catalog) -> DataFrame:
     return N.marked_items(_marks(c), c.items)
 
 
-@check("timeline_media", """with m as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, string_agg(n || '=p/' || l_suppkey || '/' || n, '+' order by n) media from lineitem cross join (values (0), (1), (2)) v(n)
+@check("timeline_media", """with m as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, string_agg(n || '=p/' || l_suppkey || '/' || n, '+' order by n) media from (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem) cross join (values (0), (1), (2)) v(n)
    where n < l_linenumber % 3 group by all)
  select o.o_orderkey piece, coalesce(string_agg(l.l_linenumber || ':' || l.l_partkey || ':' || coalesce(m.media, ''), ',' order by l.l_linenumber, l.l_partkey, l.l_suppkey), '') entries
  from orders o left join (select distinct l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem) l on l.l_orderkey = o.o_orderkey
