@@ -70,8 +70,11 @@ def resolve_revisits(snapshots: DataFrame) -> DataFrame:
     good = same_validators(F.col("etag"), F.col("last_modified"), F.col("source.etag"), F.col("source.last_modified"))
     judged = revisits.withColumn("outcome", F.when(F.col("source").isNull(), "missing").when(good, "resolved").otherwise("changed")).withColumn("source_id", F.col("source.snapshot_id"))
     fresh = snapshots.filter("http_status = 304").groupBy("snapshot_id").agg(F.max(F.to_json("headers")).alias("fresh"))
-    kept = F.min(F.struct("body", F.to_json("headers").alias("kept"))).alias("r")
-    full = snapshots.filter("http_status = 200 and snapshot_id is not null").groupBy(F.col("snapshot_id").alias("body_of")).agg(kept).select("body_of", "r.body", F.from_json("r.kept", "map<string,string>").alias("kept"))
+    full = snapshots.filter("http_status = 200 and snapshot_id is not null").select(F.col("snapshot_id").alias("body_of"), "body", F.col("headers").alias("kept"))
+    # Bodies are aggregated only where a response was logged twice: a plain join may split an id that many revisits name.
+    if not full.groupBy("body_of").count().filter("count > 1").isEmpty():
+        least = F.min(F.struct("body", F.to_json("kept").alias("kept"))).alias("r")
+        full = full.groupBy("body_of").agg(least).select("body_of", "r.body", F.from_json("r.kept", "map<string,string>").alias("kept"))
     judged = judged.withColumn("body_of", F.when(F.col("outcome") == "resolved", F.col("source_id")))
     out = judged.join(fresh, "snapshot_id", "left").join(full, "body_of", "left")
     headers = F.when(F.col("outcome") == "resolved", merged_headers(F.col("kept"), F.from_json("fresh", "map<string,string>")))
