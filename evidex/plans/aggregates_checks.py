@@ -156,6 +156,16 @@ def dominant_color(c: Catalog) -> DataFrame:
     return top.select("vec_id", F.col("place").cast("bigint").alias("place"), "n", hex_of(F.col("r"), F.col("g"), F.col("b")).alias("hex"))
 
 
+@check("dominant_color_all", """with m as (select vec_id, i, r, g, b, least(r, g, b) >= 235 light from all_pixels),
+ d as (select *, count(*) filter (not light) over (partition by vec_id) dark from m),
+ k as (select vec_id, r // 32 qr, g // 32 qg, b // 32 qb, count(*) n, avg(r) r, avg(g) g, avg(b) b from d where dark < 16 or not light group by all),
+ t as (select *, row_number() over (partition by vec_id order by n desc, qr, qg, qb) place from k)
+ select vec_id, place, n, printf('#%02x%02x%02x', cast(round_even(r, 0) as integer), cast(round_even(g, 0) as integer), cast(round_even(b, 0) as integer)) hex from t where place <= 2""", "all_pixels")
+def dominant_color_all(c: Catalog) -> DataFrame:
+    top = A.dominant_colors(c.all_pixels, "vec_id", min_kept=16)
+    return top.select("vec_id", F.col("place").cast("bigint").alias("place"), "n", hex_of(F.col("r"), F.col("g"), F.col("b")).alias("hex"))
+
+
 @check("two_means_color")
 def two_means_color(c: Catalog) -> DataFrame:
     two = A.two_means(c.pixels, "vec_id")

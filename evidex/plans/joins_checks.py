@@ -12,6 +12,7 @@ from evidex.operators import evidence as E
 from evidex.operators import nested as N
 from evidex.operators import search as S
 from evidex.operators import similar
+from evidex.operators.aggregates import item_words
 from evidex.operators.ranges import overlapping
 from evidex.operators.ordered import time_slice
 from evidex.operators.snapshots import for_makers, head_as_of, newest
@@ -149,6 +150,25 @@ def color_match(c: Catalog) -> DataFrame:
     return found.select("vec_id", F.explode("hits").alias("t")).select("vec_id", "t.term", "t.distance")
 
 
+_ALL_NAMED = ("lt as (select r.*, t.term, t.family, t.ord, t.radius, t.l l2, t.a a2, t.b b2 from all_readings r cross join color_terms t),\n " + Q.delta_e_ctes("lt", "reading_id, vec_id, term, family, ord, radius")
+              + ",\n nm as (select *, row_number() over (partition by reading_id order by round(de, 6), ord) place from de where de <= radius qualify place <= 3)")
+
+
+@check("color_match_all", f"with {_ALL_NAMED} select reading_id, term, round(de, 6) distance from nm", "all_readings color_terms")
+def color_match_all(c: Catalog) -> DataFrame:
+    """Every reading of every vector against every term."""
+    found = C.reading_words(c.all_readings, "reading_id", [("l1", "a1", "b1", 3)], V.COLOR_TERMS)
+    return found.select("reading_id", F.explode("hits").alias("t")).select("reading_id", "t.term", "t.distance")
+
+
+@check("item_terms_all", f"""with {_ALL_NAMED}, w as (select vec_id, term word from nm union select vec_id, family from nm where family is not null)
+ select vec_id, string_agg(word, ',' order by word) words from w group by vec_id""", "all_readings color_terms")
+def item_terms_all(c: Catalog) -> DataFrame:
+    """The sorted words of all readings of a vector."""
+    found = C.reading_words(c.all_readings, "reading_id", [("l1", "a1", "b1", 3)], V.COLOR_TERMS).filter(F.size("words") > 0)
+    return item_words(found.withColumn("vec_id", F.floor(F.col("reading_id") / 22)), "vec_id", "words").select("vec_id", F.array_join("words", ",").alias("words"))
+
+
 @check("interval_join", """select w.qid, count(*) n_items, cast(sum(i.item_id) as bigint) ids from (select s_suppkey qid, cast(1 + s_suppkey % 30 as integer) lo, cast(4 + s_suppkey % 30 as integer) hi from supplier) w
  join items i on coalesce(i.lo, 1) <= w.hi and coalesce(i.hi, 32767) >= w.lo group by w.qid""", "items")
 def interval_join(c: Catalog) -> DataFrame:

@@ -197,6 +197,22 @@ class Catalog:
             f"50 + 100 * {e[0]} as l1", f"100 * {e[1]} as a1", f"100 * {e[2]} as b1",
             f"50 + 100 * {e[3]} as l2", f"100 * {e[4]} as a2", f"100 * {e[5]} as b2")
 
+    @cached_property
+    def all_readings(self) -> DataFrame:
+        """Every number of a vector in one of 22 readings of three; the last goes on at the front."""
+        return (self.table("embeddings").selectExpr("vec_id", "embedding as e", "explode(sequence(0, 21)) as k")
+                .selectExpr("vec_id * 22 + k as reading_id", "vec_id", "50 + 100 * cast(e[(3 * k) % 64] as double) as l1", "100 * cast(e[(3 * k + 1) % 64] as double) as a1",
+                            "100 * cast(e[(3 * k + 2) % 64] as double) as b1"))
+
+    @cached_property
+    def all_pixels(self) -> DataFrame:
+        """Every number of a vector as a channel of one of 22 pixels."""
+        def channel(k: int) -> str:
+            return f"least(255, cast(floor(512 * abs(cast(embedding[(3 * i + {k}) % 64] as double))) as int))"
+
+        return (self.table("embeddings").selectExpr("vec_id", "embedding", "explode(sequence(0, 21)) as i")
+                .selectExpr("vec_id", "i", f"{channel(0)} as r", f"{channel(1)} as g", f"{channel(2)} as b"))
+
     @cached_property
     def pixels(self) -> DataFrame:
         def channel(k: int) -> str:
@@ -384,6 +400,11 @@ VIEW_SQL: dict[str, tuple[str, str]] = {
     "readings": ("", """select vec_id, label as owner, 50 + 100 * cast(embedding[1] as double) l1, 100 * cast(embedding[2] as double) a1,
  100 * cast(embedding[3] as double) b1, 50 + 100 * cast(embedding[4] as double) l2, 100 * cast(embedding[5] as double) a2,
  100 * cast(embedding[6] as double) b2 from embeddings"""),
+    "all_readings": ("", """select vec_id * 22 + k reading_id, vec_id, 50 + 100 * cast(embedding[1 + (3 * k) % 64] as double) l1, 100 * cast(embedding[1 + (3 * k + 1) % 64] as double) a1,
+ 100 * cast(embedding[1 + (3 * k + 2) % 64] as double) b1 from embeddings cross join (select cast(unnest(range(0, 22)) as integer) k)"""),
+    "all_pixels": ("", """select vec_id, i, least(255, cast(floor(512 * abs(cast(embedding[1 + (3 * i) % 64] as double))) as integer)) r,
+ least(255, cast(floor(512 * abs(cast(embedding[1 + (3 * i + 1) % 64] as double))) as integer)) g,
+ least(255, cast(floor(512 * abs(cast(embedding[1 + (3 * i + 2) % 64] as double))) as integer)) b from embeddings cross join (select cast(unnest(range(0, 22)) as integer) i)"""),
     "pixels": ("", """select vec_id, i, least(255, cast(floor(512 * abs(cast(embedding[3 * i + 1] as double))) as integer)) r,
  least(255, cast(floor(512 * abs(cast(embedding[3 * i + 2] as double))) as integer)) g,
  least(255, cast(floor(512 * abs(cast(embedding[3 * i + 3] as double))) as integer)) b
