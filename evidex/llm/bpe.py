@@ -33,16 +33,18 @@ LEAF_CHARS = 4096
 REACH_CHARS = 48
 #: Cuts and window ends distort tokens near them; agreement counts only this far away (longer than any added token).
 GUARD_CHARS = 48
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 _BATCH_WORDS = 1024
 #: Characters that are split and looked up at once.
-_BATCH_CHARS = 500_000
+_BATCH_CHARS = 250_000
 #: White space as the tokenizer's normalizer sees it; ``str.split`` also splits at four control characters.
 _CONTROLS = re.compile(r"[\x1c-\x1f]")
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACES, _STRETCH = re.compile(f"[{_BLANK}]+"), re.compile(f"[^{_BLANK}]+")
 #: The split pattern that the lean path reproduces (fixed value).
 _PATTERN = json.dumps("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+#: Rows that a task reads and hands on at once.
+_ROWS = 100
 #: A character no word of ordinary text has; it separates words that are encoded in one call.
 _MARK = "\x01"
 
@@ -394,8 +396,10 @@ def _step(items: DataFrame, columns: list[str], fields: str, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = make(*(batch.column(c) for c in columns))
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), *made.values()], names=["item_id", *made])
+            for k in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(k, _ROWS)
+                made = make(*(part.column(c) for c in columns))
+                yield pa.RecordBatch.from_arrays([part.column("item_id"), *made.values()], names=["item_id", *made])
 
     kind = items.schema["item_id"].dataType.simpleString()
     return items.select("item_id", *columns).mapInArrow(run, f"item_id {kind}, {fields}")
