@@ -2,8 +2,8 @@
 
 Items with equal features are one profile, which keeps its first k + 1 items in (code, id) order and is asked once. A profile
 reads the lists of its own features in falling weight (the shorter list first): who shares none of those read so far shares at most
-the weight of the rest. Once its k-th score is above that, nothing unread can enter, and it stops; profiles that go on read twice as
-many lists in the next round. A pair is scored at its first shared list only. Lists that many profiles share are cut by their count.
+the weight of the rest. Once its k-th score is above that, nothing unread can enter, and it stops; profiles that go on read the next lists
+in another round, half as many again as before. A pair is scored at its first shared list only. Lists that many profiles share are cut by their count.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from evidex.vocabulary import SIMILARITY_WEIGHTS
 
 #: Profiles of one list in one shard.
 SHARD_ROWS = 10_000
+#: Weights are below this.
+_WEIGHTS = 1024
 #: Features with a weight of their own kind, besides the words.
 KINDS = ("surface", "opacity", "line")
 
@@ -33,21 +35,26 @@ def features(items: DataFrame, terms: str = "terms", weights: dict[str, int] = S
 
 
 def _weight(shared: Column) -> Column:
-    return F.aggregate(shared, F.lit(0), lambda acc, f: acc + f["weight"])
+    return F.aggregate(shared, F.lit(0), lambda acc, code: acc + (code % _WEIGHTS).cast("int"))
 
 
 def _profiles(described: DataFrame, k: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(profiles with their features in reading order and their first items, the lists of all features)."""
+    """(profiles with their features in reading order and their first items, the lists of all features).
+
+    A feature is a number there, with its weight in the last places, so that pairs are scored on arrays of numbers.
+    """
     first = top_per_key(described, ["features"], [F.col("code"), F.col("item_id")], k + 1, "place")
     held = first.groupBy("features").agg(F.collect_list(F.struct("code", "item_id")).alias("held"))
     # Numbered once and stored, so the numbers do not depend on when they are read.
     numbered = stored(held.withColumn("profile", F.monotonically_increasing_id()), "profiles")
     single = numbered.select("profile", F.explode("features").alias("f"))
-    counts = stored(single.groupBy("f").agg(F.count(F.lit(1)).alias("n")).withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int")), "feature-counts")
-    order = single.join(counts, "f").groupBy("profile").agg(F.array_sort(F.collect_list(F.struct((-F.col("f.weight")).alias("less"), "n", "f", "shards"))).alias("reading"))
-    whole = stored(numbered.join(order, "profile"), "readings")
+    counts = single.groupBy("f").agg(F.count(F.lit(1)).alias("n")).withColumn("shards", F.ceil(F.col("n") / shard_rows).cast("int"))
+    counts = stored(counts.withColumn("number", F.monotonically_increasing_id() * _WEIGHTS + F.col("f.weight")), "feature-counts")
+    order = single.join(counts, "f").groupBy("profile").agg(F.array_sort(F.collect_list(F.struct((-F.col("f.weight")).alias("less"), "n", "number", "shards"))).alias("reading"))
+    whole = numbered.join(order, "profile").withColumn("numbers", F.transform("reading", lambda r: r["number"]))
+    whole = stored(whole, "readings")
     shard = F.pmod(F.xxhash64("profile"), F.col("r.shards")).cast("int").alias("shard")
-    lists = whole.select("held", F.col("features").alias("others"), "profile", F.explode("reading").alias("r")).select(F.col("r.f").alias("f"), shard, "others", "held")
+    lists = whole.select("held", F.col("numbers").alias("others"), "profile", F.explode("reading").alias("r")).select(F.col("r.number").alias("number"), shard, "others", "held")
     return whole, lists
 
 
@@ -61,7 +68,7 @@ def similar_items(items: DataFrame, k: int = 12, anchors: DataFrame | None = Non
     asking = described if anchors is None else described.join(anchors.select("item_id"), "item_id", "left_semi")
     profiles, lists = _profiles(described, k, shard_rows)
     longest = profiles.agg(F.max(F.size("features"))).first()[0] or 0
-    mine = profiles.select("profile", "features", "reading")
+    mine = profiles.select("profile", "features", "numbers", "reading")
     open_ = mine if anchors is None else mine.join(asking.select("features").distinct(), "features", "left_semi")
     best, done, start, end = None, [], 0, 1
     while start < longest:
@@ -72,10 +79,10 @@ def similar_items(items: DataFrame, k: int = 12, anchors: DataFrame | None = Non
         judged = open_.join(kth, "profile", "left")
         over = (F.size("reading") <= end) | (F.coalesce("n", F.lit(0)) > k) & (F.col("least") > rest)
         done.append(best.join(judged.filter(over).select("profile"), "profile", "left_semi"))
-        open_ = stored(judged.filter(~F.coalesce(over, F.lit(False))).select("profile", "features", "reading"), "open")
+        open_ = stored(judged.filter(~F.coalesce(over, F.lit(False))).select("profile", "features", "numbers", "reading"), "open")
         if open_.isEmpty():
             break
-        start, end = end, 2 * end + 1
+        start, end = end, end + max(1, end // 2)
     every = done[0] if done else None
     for more in done[1:]:
         every = every.unionByName(more)
@@ -91,9 +98,8 @@ def similar_items(items: DataFrame, k: int = 12, anchors: DataFrame | None = Non
 
 def _read(open_: DataFrame, lists: DataFrame, start: int, end: int, k: int) -> DataFrame:
     """(profile, score, code, item_id) of what the profiles meet in their lists ``start`` to ``end``."""
-    part = open_.select("profile", "features", F.slice("reading", 1, end).alias("read")).select("profile", "features", "read", F.posexplode("read").alias("at", "r")).filter(F.col("at") >= start)
-    asked = part.select("profile", "features", F.col("r.f").alias("f"), F.slice(F.transform("read", lambda r: r["f"]), F.lit(1), F.col("at")).alias("before"), F.explode(F.sequence(F.lit(0), F.col("r.shards") - 1)).alias("shard"))
-    met = spread(asked, "f", "shard").join(lists, ["f", "shard"]).filter(~F.arrays_overlap("before", "others"))
-    scored = met.select("profile", _weight(F.array_intersect("features", "others")).alias("score"), F.explode("held").alias("h"))
+    part = open_.select("profile", "numbers", F.posexplode(F.slice("reading", 1, end)).alias("at", "r")).filter(F.col("at") >= start)
+    asked = part.select("profile", "numbers", F.col("r.number").alias("number"), F.slice("numbers", F.lit(1), F.col("at")).alias("before"), F.explode(F.sequence(F.lit(0), F.col("r.shards") - 1)).alias("shard"))
+    met = spread(asked, "number", "shard").join(lists, ["number", "shard"]).filter(~F.arrays_overlap("before", "others"))
+    scored = met.select("profile", _weight(F.array_intersect("numbers", "others")).alias("score"), F.explode("held").alias("h"))
     return _first_items(scored.select("profile", "score", "h.code", "h.item_id"), k)
-

@@ -56,7 +56,7 @@ def test_top_k_is_limited_before_the_shuffle(catalog):
     w = Window.partitionBy("rep").orderBy("tier", F.desc("rank"), "code", "item_id")
     assert "WindowGroupLimit" in plan(found.withColumn("n", F.row_number().over(w)).filter("n <= 40"))
     profiles, lists = similar._profiles(similar.features(catalog.items), 12, 10_000)
-    assert "WindowGroupLimit" in plan(similar._read(profiles.select("profile", "features", "reading"), lists, 0, 1, 12))
+    assert "WindowGroupLimit" in plan(similar._read(profiles.select("profile", "numbers", "reading"), lists, 0, 1, 12))
 
 
 def test_vocabularies_are_local_relations(spark, catalog):
