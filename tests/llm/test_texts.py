@@ -127,6 +127,40 @@ def test_quality_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
 
 
+def plain_buckets(text):
+    """The buckets of a text one gram at a time, with whole numbers."""
+    top = 2**64
+
+    def mixed(h):
+        h = (h ^ (h >> 32)) * 0xD6E8FEB86659FD93 % top
+        h = (h ^ (h >> 29)) * 0xA0761D6478BD642F % top
+        return h ^ (h >> 32)
+
+    def hashed(part):
+        return mixed(sum(int(quality._VALUES[b]) * pow(bpe.BASES[1], k, top) for k, b in enumerate(part)) % top)
+
+    words = [b" " + w + b" " for w in text.encode().split()]
+    whole = [hashed(w) for w in words]
+    found = [h ^ 1 for h in whole] + [2 if a == b else (mixed(a) + b) % top for a, b in zip(whole, whole[1:], strict=False)]
+    found += [(hashed(w[k:k + n]) + n) % top for w in words for n in quality.GRAMS for k in range(len(w) - n + 1)]
+    return [mixed(h) >> (64 - quality.BUCKET_BITS) for h in found]
+
+
+def test_op2_against_plain_scores(spark, sf):
+    """The query's scores from the fitted numbers, gram by gram; labels of held-out rows change nothing."""
+    docs = {r["doc_id"]: r["text"] or "" for r in read(spark, sf, "documents")}
+    held = {i for i in docs if zlib.crc32(str(i).encode()) % 5 == 0}
+    items = spark.createDataFrame(list(docs.items()), EMPTY)
+    marks = [(r["doc_id"], r["quality"]) for r in read(spark, sf, "labels") if r["doc_id"] not in held]
+    table, bias = quality.train(items, spark.createDataFrame(marks, "item_id long, accepted int"))
+    got = {r["doc_id"]: r for r in queries()["op2_quality"](spark, sf).collect()}
+    assert got.keys() == docs.keys() and {i for i, r in got.items() if r["held_out"]} == held
+    for i in sorted(docs, key=lambda i: len(docs[i]))[:60]:
+        at = plain_buckets(docs[i])
+        want = 1 / (1 + np.exp(-(sum(float(table[b]) for b in at) / max(len(at), 1) + bias)))
+        assert abs(got[i]["score"] - want) < 1e-6 and got[i]["predicted"] == int(got[i]["score"] >= 0.3)
+
+
 def test_quality_odd_items(spark, odd_items):
     reviews = spark.createDataFrame([(1, 1), (7, 0), (7, 1), (None, 1), (5, None)], "item_id long, accepted int")
     rows = quality.score_items(odd_items, quality.train(odd_items, reviews)).collect()
