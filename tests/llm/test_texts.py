@@ -228,6 +228,50 @@ def test_op6_edited_texts(spark, sf):
     assert np.mean([r["near_edited"] for r in rows.values()]) > 0.3 > 0.05 > np.median([r["near_next"] for r in rows.values()])
 
 
+def plain_prints(text):
+    """[(hash, position)] kept of a text, one window at a time."""
+    import re
+
+    import xxhash
+
+    def both(a, b):
+        return xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))
+
+    pieces = [m[1] for m in re.finditer(r"(?=((?<!\S)\S{1,8}(?!\S)|\S{8}))\S", text, re.ASCII)]
+    h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in pieces]
+    two = [both(a, b) for a, b in zip(h, h[1:], strict=False)]
+    four = [both(a, b) & 0xFFFFFFFF for a, b in zip(two, two[2:], strict=False)]
+    kept = []
+    for k in range(max(1, len(four) - 7) if four else 0):
+        window = range(k, min(k + 8, len(four)))
+        place = min(window, key=lambda i: (four[i], -i))
+        if (four[place], place) not in kept:
+            kept.append((four[place], place))
+    flat = re.sub("^ | $", "", re.sub(r"\s+", " ", text, flags=re.ASCII))
+    if 0 < len(flat) <= 64:
+        kept += [(xxhash.xxh64_intdigest(flat[k:k + 4].encode(), 42) & 0xFFFFFFFF, k) for k in range(max(1, len(flat) - 3))]
+    return kept
+
+
+def test_op6_against_plain_winnowing(spark, sf):
+    docs = {r["doc_id"]: r["text"] or "" for r in read(spark, sf, "documents")}
+    ids = sorted(docs, reverse=True)
+    rows = {r["doc_id"]: r for r in queries()["op6_fingerprints"](spark, sf).collect()}
+    plain = {i: plain_prints(docs[i]) for i in ids}
+
+    def alike(a, b):
+        x, y = {h for h, _ in a}, {h for h, _ in b}
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for k, i in enumerate(ids):
+        following = ids[(k + 1) % len(ids)]
+        cut = len(docs[i]) // 3
+        edited = plain_prints(docs[i][:len(docs[i]) - cut] + docs[following][:cut])
+        shown = [" ".join(f"{h:08x}@{p}" for h, p in prints) for prints in (plain[i], edited)]
+        assert [rows[i]["fingerprint"], rows[i]["edited_fingerprint"]] == shown
+        assert abs(rows[i]["near_edited"] - alike(plain[i], edited)) < 1e-9 and abs(rows[i]["near_next"] - alike(plain[i], plain[following])) < 1e-9
+
+
 def test_winnowing_by_hand(spark, odd_items):
     rows = winnow.fingerprints(odd_items.withColumn("prints", odd_items.score)).collect()
     assert len(rows) == 9 and [len(r["prints"]) for r in rows if not (r["description"] or "").strip()] == [0, 0, 0]
