@@ -226,6 +226,49 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     assert all(cut[i] == (t if len(whole[i].split()) == len(t.encode().split()) else whole[i]) for i, t in rows)
 
 
+def test_quality_and_bpe_stages_against_plain_forms(spark, sf, tokenizer):
+    """What the classifier keeps is what the scores of the same model say; ids are the library's."""
+    from tokenizers import Tokenizer
+
+    from evidex.llm import quality
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = docs.selectExpr("doc_id as item_id", "text as description")
+    model = quality.train(items, spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id as item_id", "quality as accepted"))
+    want = {r["item_id"] for r in quality.score_items(items, model).collect() if r["score"] >= corpus_pipeline.ACCEPTED}
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, sf)
+    assert {r["doc_id"] for r in kept.collect()} == want and 0 < len(want) < docs.count() and kept.columns == docs.columns
+    plain = Tokenizer.from_file(tokenizer)
+    coded = {r["doc_id"]: r for r in corpus_pipeline.STAGES[4][1](spark, docs, sf).collect()}
+    for r in docs.collect():
+        ids = plain.encode(r["text"] or "", add_special_tokens=False).ids
+        mine = coded[r["doc_id"]]
+        assert list(mine["token_ids"]) == ids and mine["decoded_sha256"] == hashlib.sha256(plain.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_decontamination_stage_against_plain_search(spark, sf):
+    """A document goes if it holds a passage with at most its errors, by a table of edit distances, whole texts."""
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = [r for r in docs.collect() if len(r["text"] or "") <= 1500][:12]
+    planted = [(10**6 + k, "before it " + t[:len(t) // 2] + "x" + t[len(t) // 2 + 1:] + " after", "en", "s", 1) for k, (_, t) in enumerate(bench[:4])]
+    rows = [tuple(r) for r in some] + planted
+    left = {r["doc_id"] for r in corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame(rows, docs.schema), sf).collect()}
+
+    def least(passage, text):
+        row = np.zeros(len(text) + 1, int)
+        for i, c in enumerate(passage, 1):
+            diagonal = row[:-1] + (np.frombuffer(text.encode("utf-32-le"), np.uint32) != ord(c))
+            now = np.append(i, np.minimum(diagonal, row[1:] + 1))
+            row = np.minimum.accumulate(now - np.arange(len(now))) + np.arange(len(now))
+        return int(row.min())
+
+    flat = lambda t: " ".join(t.lower().split())
+    gone = {r[0] for r in rows if any(least(flat(p), flat(r[1])) <= len(flat(p)) * 8 // 100 for _, p in bench)}
+    assert {r[0] for r in planted} <= gone
+    assert left == {r[0] for r in rows} - gone
+
+
 def test_pipeline_runs(spark, sf):
     rows = corpus_pipeline.run(spark, sf).collect()
     assert 0 < len(rows) < 200 and all(r["n_tokens"] == len(r["token_ids"]) for r in rows) and len(hashlib.sha256().hexdigest()) == len(rows[0]["decoded_sha256"])
