@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from evidex import vocabulary as V
 from evidex.functions.codes import fold
@@ -17,13 +19,17 @@ from evidex.operators import postings as T
 from evidex.operators.fuzzy import similar_texts
 from evidex.session import stored
 
-#: Frozen output: order is part of the contract.
-HIT_COLUMNS = [
-    "item_id", "code", "name", "description", "line_code", "line_name", "maker_key", "range_from", "range_to",
-    "surface_name", "opacity_name", "color_terms", "food_safe", "ap_seal", "price_min", "availability", "product_url",
-    "hero_source_url", "hero_storage_path", "hero_hex", "coat_levels", "layering_count", "clay_bodies_shown",
-    "tier", "rank", "maker_name", "maker_site",
-]
+if TYPE_CHECKING:
+    from evidex.operators.search_index import SearchIndex
+
+_S, _L = T_.StringType(), T_.LongType()
+#: Frozen output: names, order and types are part of the contract (an item's id and flags are as its table has them).
+HIT_ROW = T_.StructType([T_.StructField(name, kind) for name, kind in (
+    ("item_id", _L), ("code", _S), ("name", _S), ("description", _S), ("line_code", _S), ("line_name", _S), ("maker_key", _S), ("range_from", _S), ("range_to", _S),
+    ("surface_name", _S), ("opacity_name", _S), ("color_terms", T_.ArrayType(_S)), ("food_safe", T_.BooleanType()), ("ap_seal", T_.BooleanType()), ("price_min", T_.DoubleType()),
+    ("availability", _S), ("product_url", _S), ("hero_source_url", _S), ("hero_storage_path", _S), ("hero_hex", _S), ("coat_levels", _L), ("layering_count", _L),
+    ("clay_bodies_shown", T_.ArrayType(_S)), ("tier", _S), ("rank", T_.DoubleType()), ("maker_name", _S), ("maker_site", _S))])
+HIT_COLUMNS = HIT_ROW.names
 #: Into how many parts the items under one maker are cut when blank searches meet them.
 SALTS = 32
 FILTER_ARRAYS = ["makers", "lines", "surfaces", "opacities", "clays", "codes", "code_makers"]
@@ -189,12 +195,17 @@ def project_hit(page: DataFrame, t: Tables, keep: tuple[str, ...] = ()) -> DataF
     return renamed.select(*keep, *HIT_COLUMNS)
 
 
-def ranked_search(t: Tables, searches: DataFrame, match_floor: float = V.MATCH_RANK_FLOOR) -> DataFrame:
+def ranked_search(t: Tables, searches: DataFrame, match_floor: float = V.MATCH_RANK_FLOOR, index: SearchIndex | None = None) -> DataFrame:
     """Pages of hits for every search, with (qid, position) in front of the hit columns.
 
+    With a stored ``index`` of the same tables (``search_index.build_index``) its lists are read; without one, postings are made for this batch.
     The chosen pages (at most the sum of the page limits) are stored before anything is looked up for
     them: what follows reads evidence for those items only.
     """
     grouped = stored(collapse(searches), "searches")
+    if index is not None:
+        from evidex.operators.search_index import index_pages
+
+        return project_hit(stored(index_pages(index, grouped, match_floor), "pages"), t, keep=("qid", "position"))
     chosen = stored(pages(scored(t, grouped.filter("qid = rep"), match_floor), grouped), "pages")
     return project_hit(chosen, t, keep=("qid", "position"))

@@ -259,6 +259,5 @@ def index_pages(index: SearchIndex, grouped: DataFrame, match_floor: float = V.M
 
 
 def search(index: SearchIndex, searches: DataFrame, match_floor: float = V.MATCH_RANK_FLOOR) -> DataFrame:
-    """Pages of hits for every search, as ``ranked_search`` gives them, from the stored index."""
-    grouped = stored(S.collapse(searches), "searches")
-    return S.project_hit(stored(index_pages(index, grouped, match_floor), "pages"), index.tables, keep=("qid", "position"))
+    """Pages of hits for every search from the stored index."""
+    return S.ranked_search(index.tables, searches, match_floor, index)

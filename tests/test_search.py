@@ -10,6 +10,7 @@ from evidex.operators import postings as T
 from evidex.operators import search as S
 from evidex.operators import search_index as I
 from evidex.operators import similar
+from evidex.operators.quality import schema_contract
 from tests import brute
 
 ITEMS = "item_id long, maker_id int, code string, name string, description string, line string, lo int, hi int, terms array<string>, surface int, opacity int, flag boolean, price double"
@@ -178,7 +179,9 @@ def test_similarity_equals_brute_force(spark, words, shard_rows, k):
 
 def test_hit_contract(spark, shop):
     page = shop[0].items.select("item_id", F.lit("match").alias("tier"), F.lit(1.0).alias("rank"))
-    assert S.project_hit(page, shop[0]).columns == S.HIT_COLUMNS and len(S.HIT_COLUMNS) == 27
+    found = S.project_hit(page, shop[0])
+    assert schema_contract(found, S.HIT_ROW) == [] and len(S.HIT_COLUMNS) == 27
+    assert schema_contract(found.withColumn("rank", F.col("rank").cast("float")), S.HIT_ROW) != []
 
 
 def test_clauses(spark):
