@@ -10,7 +10,7 @@ piece if its place and its tokens are equal. Most pieces are words and come from
 itself long is a tree again, of tokens: sides then agree in a token away from every cut, as tokens of a BPE code are fixed pair by pair.
 
 Rows are independent: there is no shuffle, and a lost task repeats its own rows only. A task holds one
-Arrow batch and a memo that is emptied between batches beyond ``MEMO_WORDS`` pieces.
+Arrow batch and a memo that is emptied between batches beyond ``memo_words`` pieces.
 """
 
 from __future__ import annotations
@@ -159,9 +159,11 @@ class _Run:
 class TreeEncoder:
     """Encodes texts exactly as the tokenizers library does without special tokens; decodes likewise."""
 
-    def __init__(self, path: str, leaf_chars: int = LEAF_CHARS):
+    def __init__(self, path: str, leaf_chars: int = LEAF_CHARS, memo_words: int = MEMO_WORDS, batch_chars: int = _BATCH_CHARS):
         from tokenizers import Tokenizer
 
+        self.memo_words, self.batch_chars = memo_words, batch_chars
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -237,13 +239,13 @@ class TreeEncoder:
         first, held = 0, 0
         for k, text in enumerate(texts):
             held += len(text or "")
-            if held >= _BATCH_CHARS:
+            if held >= self.batch_chars:
                 out += self._encode(texts[first:k + 1])
                 first, held = k + 1, 0
         return out + self._encode(texts[first:])
 
     def _encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        if self.words > MEMO_WORDS:
+        if self.words > self.memo_words:
             self._reset()
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         plain, rest = [], []
@@ -351,9 +353,9 @@ class TreeEncoder:
 
 
 @functools.cache
-def encoder_of(path: str, leaf_chars: int = LEAF_CHARS) -> TreeEncoder:
+def encoder_of(path: str, leaf_chars: int = LEAF_CHARS, memo_words: int = MEMO_WORDS, batch_chars: int = _BATCH_CHARS) -> TreeEncoder:
     """The worker process's own encoder, with the words it has met in earlier tasks."""
-    return TreeEncoder(path, leaf_chars)
+    return TreeEncoder(path, leaf_chars, memo_words, batch_chars)
 
 
 class _Part:

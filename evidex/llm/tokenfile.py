@@ -25,6 +25,8 @@ from evidex.llm.order import _slice, boundaries
 from evidex.session import shared_dir, stored
 
 BLOCK_IDS, CHECK_IDS = 1 << 16, 1 << 10
+#: Nothing else of this size is in a task that encodes, so its memo may be larger than the encoder's own choice.
+MEMO_WORDS, BATCH_CHARS = 300_000, 500_000
 BLOCKS = "start long, n_ids long, item_ids array<long>, known array<boolean>, n_tokens array<int>, checks array<long>, bits binary"
 
 
@@ -130,7 +132,7 @@ def write_token_files(items: DataFrame, tokenizer_path: str, end_id: int, path:
     from evidex.llm.bpe import encoder_of
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(tokenizer_path)
+        encoder = encoder_of(tokenizer_path, memo_words=MEMO_WORDS, batch_chars=BATCH_CHARS)
         for batch in batches:
             ids = [np.append(x, end_id).astype("<u4") for x in encoder.encode_batch(batch["description"].tolist())]
             small = [x.astype("<u2") if x.max() < 1 << 16 else x for x in ids]
