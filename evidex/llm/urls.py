@@ -101,8 +101,8 @@ def judge_urls(snapshots: DataFrame, rules: DataFrame, examples: DataFrame, thre
         F.col("host").alias("suffix"), F.col("path").alias("rule_path"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("by_rule"))
     fits = distinct.select("host", "path", F.explode(suffixes).alias("suffix")).join(filed, "suffix").filter(F.startswith("path", "rule_path"))
     chosen = fits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "by_rule"), F.struct(-F.length("rule"), "rule", "by_rule")).alias("hit"))
-    # Small shuffles are merged to few tasks; the Python step takes all.
-    scored = spread(distinct.join(chosen, ["host", "path"], "left"), "host", "path").withColumn("score", score("host", "path"))
+    # Small shuffles are merged to few tasks; the Python step takes all. (Dealt by the join's own keys, the rows would stay where they are.)
+    scored = spread(distinct.join(chosen, ["host", "path"], "left"), F.xxhash64("path", "host")).withColumn("score", score("host", "path"))
     verdict = F.coalesce(F.col("hit.by_rule"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     judged = scored.select("host", "path", F.col("hit.rule").alias("rule"), "score", verdict.alias("verdict"))
     return pages.join(judged, ["host", "path"]).select("snapshot_id", "host", "path", "rule", "score", "verdict")
