@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Settings every operator relies on. All of them can be changed on a running session.
 RUNTIME_CONF = {
@@ -67,7 +67,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/evidex/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
+def spread(df: DataFrame, *columns: str | Column) -> DataFrame:
     """Spread rows over all shuffle partitions before a step that multiplies them.
 
     A small input sits in few tasks, and adaptive execution merges small shuffles; neither knows that a
